@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riverloom.llm import common, decontaminate, minhash, token_files
+from riverloom.llm import common, decontaminate, language, minhash, mixture, token_files
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -30,12 +30,26 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(spark, folder, manifest)
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(4)) == 2
+    model = language.Model.fit(language.sample(docs.where(~held_out), "text", "lang"))
+    found = language.predict(docs.select("doc_id", "text"), model, keep_text=False, spans=False)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op10_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    slim = common.written(docs.select("doc_id", "source", mixture.n_words("text").alias("n")), "sizes")
+    return mixture.mix(slim, size=F.col("n")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(common.table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_decontaminate, op5_token_files, op9_near_duplicates)}
+    return {f.__name__: f for f in (op4_decontaminate, op5_token_files, op6_language, op9_near_duplicates, op10_mixture)}
 
 
 def oracle_sql() -> dict[str, str]:
