@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riverloom.llm import common, decontaminate, language, minhash, mixture, token_files
+from riverloom.llm import common, decontaminate, hosts, language, minhash, mixture, token_files, warc
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -17,6 +17,11 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op2_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = hosts.judge(common.table(spark, sf_dir, "pages"))
+    return found.select("page_id", "host", "path", "rule", "verdict", "trust", "distrust")
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.scan(docs, common.table(spark, sf_dir, "benchmark"))
@@ -38,6 +43,13 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = common.table(spark, sf_dir, "pages")
+    streams = warc.write_archives(pages, common.new_folder(spark, "warc-streams"))
+    archives = warc.normalise(streams, common.new_folder(spark, "warc"))
+    return warc.read_archives(spark, archives)
+
+
 def op10_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     slim = common.written(docs.select("doc_id", "source", mixture.n_words("text").alias("n")), "sizes")
@@ -49,7 +61,7 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_decontaminate, op5_token_files, op6_language, op9_near_duplicates, op10_mixture)}
+    return {f.__name__: f for f in (op2_hosts, op4_decontaminate, op5_token_files, op6_language, op7_warc, op9_near_duplicates, op10_mixture)}
 
 
 def oracle_sql() -> dict[str, str]:
