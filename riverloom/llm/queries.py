@@ -7,7 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riverloom.llm import common, decontaminate, hosts, language, minhash, mixture, token_files, warc
+from riverloom.llm import (
+    common,
+    decontaminate,
+    embeddings,
+    hosts,
+    language,
+    licenses,
+    minhash,
+    mixture,
+    pseudonyms,
+    token_files,
+    warc,
+)
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -17,11 +29,21 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pseudonyms.pseudonymise(docs, key="riverloom-1")
+    return found.select("doc_id", "text", "n_pseudonyms", F.array_join("kinds", ",").alias("kinds"))
+
+
 def op2_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = hosts.judge(common.table(spark, sf_dir, "pages"))
     return found.select("page_id", "host", "path", "rule", "verdict", "trust", "distrust")
 
 
+def op3_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_vectors(common.table(spark, sf_dir, "embeddings"))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.scan(docs, common.table(spark, sf_dir, "benchmark"))
@@ -56,13 +78,18 @@ def op10_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.mix(slim, size=F.col("n")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return licenses.scan(docs, licenses.known_licenses(spark)).select("doc_id", "canon_sha256", "license")
+
+
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(common.table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_hosts, op4_decontaminate, op5_token_files, op6_language, op7_warc, op9_near_duplicates, op10_mixture)}
+    return {f.__name__: f for f in (op1_pseudonyms, op2_hosts, op3_near_vectors, op4_decontaminate, op5_token_files, op6_language, op7_warc, op8_licenses, op9_near_duplicates, op10_mixture)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_licenses": licenses.scan_sql()}
