@@ -37,7 +37,7 @@ TARGET = 900
 #: Signatures of a pair at 0.8 agree in 96 coordinates on average; fewer than this many has probability 1e-6.
 LEAST_AGREEING = 75
 #: Words that one batch of array operations covers.
-BATCH_WORDS = 400_000
+BATCH_WORDS = 200_000
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _G = np.uint64(0x9E3779B97F4A7C15)
@@ -54,7 +54,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """64-bit hashes of words, each computed once while the table has room."""
 
-    MOST = 1_000_000
+    MOST = 200_000
 
     def __missing__(self, word: bytes) -> int:
         import xxhash
