@@ -113,6 +113,50 @@ def read_range(fs, path: str, start: int, length: int) -> bytes:
         return f.read(length)
 
 
+def in_blocks(rows: DataFrame, n: Column, id_col: str, block: int) -> DataFrame:
+    """``rows`` of groups of ``n`` dealt to pairs of blocks of about ``block`` rows: adds block, low, high.
+
+    Every two rows of a group meet in exactly one of the pieces (group, low, high): in their own block's, or in that of
+    their two blocks. A piece has two blocks at most, however large the group is.
+    """
+    rows = rows.withColumn("blocks", F.ceil(n / block).cast("int"))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64(id_col), "blocks").cast("int"))
+    rows = rows.withColumn("mate", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.withColumn("low", F.least("block", "mate")).withColumn("high", F.greatest("block", "mate"))
+    return rows.drop("blocks", "mate")
+
+
+def groups(batches, key: list[str]):
+    """The rows of each key, as dictionaries, from Arrow batches sorted by it; a key may reach over batches."""
+    held: list[dict] = []
+    last = None
+    for batch in batches:
+        for row in batch.to_pylist():
+            now = tuple(row[c] for c in key)
+            if now != last and held:
+                yield held
+                held = []
+            last = now
+            held.append(row)
+    if held:
+        yield held
+
+
+def roots(n: int, i, j):
+    """Of n nodes linked by pairs (i, j), the smallest number that each one reaches."""
+    import numpy as np
+
+    root = np.arange(n)
+    while True:
+        new = root.copy()
+        np.minimum.at(new, i, root[j])
+        np.minimum.at(new, j, root[i])
+        new = new[new]
+        if (new == root).all():
+            return root
+        root = new
+
+
 def same(a: Column, b: Column) -> Column:
     """Equality that holds between nulls."""
     return a.eqNullSafe(b)

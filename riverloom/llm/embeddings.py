@@ -83,22 +83,6 @@ KEY = ["label", "dim", "tab", "code", "low", "high"]
 COMPARED = "digest string, links long, other string"
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
-    """The rows of each key from sorted batches; a key may reach over batches."""
-    held: list[dict] = []
-    last = None
-    for batch in batches:
-        for row in batch.to_pylist():
-            key = tuple(row[c] for c in KEY)
-            if key != last and held:
-                yield held
-                held = []
-            last = key
-            held.append(row)
-    if held:
-        yield held
-
-
 def compare(x: np.ndarray, codes: np.ndarray, block: np.ndarray, low: int, high: int, tab: int) -> tuple[np.ndarray, np.ndarray]:
     """Linked pairs (i, j) of one group that no earlier table shows."""
     a, b = np.flatnonzero(block == low), np.flatnonzero(block == high)
@@ -112,19 +96,6 @@ def compare(x: np.ndarray, codes: np.ndarray, block: np.ndarray, low: int, high:
     return i[fresh], j[fresh]
 
 
-def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """The smallest index that each one reaches."""
-    root = np.arange(n)
-    while True:
-        new = root.copy()
-        np.minimum.at(new, i, root[j])
-        np.minimum.at(new, j, root[i])
-        new = new[new]
-        if (new == root).all():
-            return root
-        root = new
-
-
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     out: dict[str, list] = {"digest": [], "links": [], "other": []}
 
@@ -135,7 +106,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             v.clear()
         return batch
 
-    for rows in _groups(batches):
+    for rows in common.groups(batches, KEY):
         if len(rows) < 2:
             continue
         x = np.asarray([r["unit"] for r in rows])
@@ -146,7 +117,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not len(i):
             continue
         links = np.bincount(i, n[j], len(rows)) + np.bincount(j, n[i], len(rows))
-        root = _roots(len(rows), i, j)
+        root = common.roots(len(rows), i, j)
         for k in np.flatnonzero(links).tolist():
             out["digest"].append(rows[k]["digest"])
             out["links"].append(int(links[k]))
@@ -177,10 +148,7 @@ def near_vectors(rows: DataFrame, *, id_col: str = "vec_id", vector_col: str = "
     keyed = classes.select("digest", "label", F.size("unit").alias("dim"), F.posexplode("codes").alias("tab", "code"))
     bucket = ["label", "dim", "tab", "code"]
     size = keyed.groupBy(*bucket).agg(F.count("*").alias("m")).where("m > 1")
-    meeting = keyed.join(size, bucket).withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
-    meeting = meeting.withColumn("block", F.pmod(F.xxhash64("digest"), "blocks").cast("int"))
-    meeting = meeting.withColumn("mate", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    meeting = meeting.withColumn("low", F.least("block", "mate")).withColumn("high", F.greatest("block", "mate"))
+    meeting = common.in_blocks(keyed.join(common.written(size, "vector-sizes"), bucket), F.col("m"), "digest", BLOCK)
     meeting = common.written(meeting.select("digest", *KEY, "block"), "vector-buckets")
     full = meeting.join(classes.select("digest", "unit", "codes", "n"), "digest")
     dealt = full.repartition(common.partitions(rows.sparkSession), *KEY).sortWithinPartitions(*KEY)
