@@ -1,3 +1,79 @@
-"""The corpus pipeline: five stages over documents, each written and read again before the next."""
+"""The corpus pipeline: language identification, near-duplicate removal, benchmark decontamination, mixing, token files.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
+one's docs. All but the last return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from riverloom.llm import common, decontaminate, language, minhash, mixture, token_files
+from riverloom.llm.queries import tokenizer_path
+
+#: A text whose best language holds less of its letters than this is rejected, as is one without letters.
+LEAST_SCORE = 0.3
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is known; the model is fitted on a bounded sample of the labelled ones."""
+    columns = docs.columns
+    model = language.Model.fit(language.sample(docs, "text", "lang"))
+    found = language.predict(docs, model, spans=False)
+    kept = found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
+    return kept.select(*columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near-duplicates: that with the smallest id; of rows that repeat its id, one.
+
+    Rows without an id take part in no class and stay.
+    """
+    classes = minhash.near_duplicates(docs)
+    gone = common.written(classes.where("doc_id <> class_id").select("doc_id"), "duplicates")
+    kept = docs.join(gone, "doc_id", "left_anti")
+    again = common.written(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    once = kept.join(again, "doc_id", "left_anti")
+    first = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return once.unionByName(first).select(*docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no phrase of a benchmark item stands."""
+    schema = docs.columns
+    found = decontaminate.scan(docs.withColumn("__text", F.col("text")), common.table(spark, sf_dir, "benchmark"), text_col="__text")
+    return found.where(F.size("spans") == 0).select(*schema)
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them; the partial round counts from half a document on."""
+    columns = docs.columns
+    return mixture.copies(mixture.mix(docs)).select(*columns)
+
+
+def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token files of the mix, and what a reader finds in them: doc_id, start, n_tokens, ids_crc32."""
+    folder = common.new_folder(spark, "tokens")
+    manifest = token_files.write_token_files(docs, folder, tokenizer_path(), end_id=2)
+    return token_files.read_token_files(spark, folder, manifest)
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("source_mix", source_mix),
+    ("token_output", token_output),
+]
+
+#: Learnt models, hashing and tokens can't be stated in SQL; tests hold the stages against brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; each but the last is written to the shared folder and read again."""
+    docs = common.table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = common.written(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -87,8 +87,14 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(common.table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pseudonyms, op2_hosts, op3_near_vectors, op4_decontaminate, op5_token_files, op6_language, op7_warc, op8_licenses, op9_near_duplicates, op10_mixture)}
+    return {f.__name__: f for f in (op1_pseudonyms, op2_hosts, op3_near_vectors, op4_decontaminate, op5_token_files, op6_language, op7_warc, op8_licenses, op9_near_duplicates, op10_mixture, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
