@@ -8,9 +8,9 @@ document are thrown; a document with a coordinate still empty throws again up to
 
 Equal word sequences are one class before anything is joined. Bands of the signature then name buckets. In each bucket
 the member that shares most of its buckets with others is tested against all others (a star, not all pairs); what the
-stars link becomes components. Where a bucket still holds members of different components, all pairs across them
-whose signatures leave 0.8 possible are tested too, so no link that a bucket could show is lost. A test compares the
-exact multisets.
+stars link becomes components. Where a bucket still holds members of different components, it is dealt out in pairs of
+blocks, and a task compares all members across components through a table of their elements, so no link that a bucket
+could show is lost and no pairs are emitted. All tests compare the exact multisets.
 """
 
 from __future__ import annotations
@@ -34,8 +34,8 @@ BANDS, ROWS = 24, 5
 COORDINATES = BANDS * ROWS
 #: Darts that a document throws at first: leaves no coordinate empty for most documents.
 TARGET = 900
-#: Signatures of a pair at 0.8 agree in 96 coordinates on average; fewer than this many has probability 1e-6.
-LEAST_AGREEING = 75
+#: Documents in a block.
+BLOCK = 128
 #: Words that one batch of array operations covers.
 BATCH_WORDS = 200_000
 
@@ -161,7 +161,7 @@ def _batches(texts: list) -> Iterator[tuple[int, list[list[bytes]]]]:
 
 
 _HASHES = WordHashes()
-SIGNED = "doc_id long, digest binary, n_words long, sig array<int>, bands array<long>"
+SIGNED = "doc_id long, digest binary, n_words long, bands array<long>"
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,14 +171,12 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n = len(words)
             doc, h = elements(words, _HASHES)
             sig = signatures(*counted(doc, h), n)
-            short = (mix(sig) >> np.uint64(32)).astype(np.uint32).view(np.int32)
             digest = [hashlib.blake2b(b" ".join(w), digest_size=16).digest() if w else None for w in words]
             yield pa.RecordBatch.from_pydict(
                 {
                     "doc_id": ids.slice(first, n),
                     "digest": pa.array(digest, pa.binary()),
                     "n_words": pa.array([len(w) for w in words], pa.int64()),
-                    "sig": _lists(short),
                     "bands": _lists(bands(sig)),
                 }
             )
@@ -205,36 +203,76 @@ def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pdf.loc[np.asarray(keep, bool), ["a", "b"]]
 
 
+KEY = ["band", "h", "low", "high"]
+
+
+def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links between members of different components in each piece of a bucket.
+
+    The elements of the piece's documents are one inverted table; a document's common weight with all others is summed
+    over the lists of its own elements. A linked document is returned with the smallest one that it reaches.
+    """
+    a: list[int] = []
+    b: list[int] = []
+    for rows in common.groups(batches, KEY):
+        n, low, high = len(rows), rows[0]["low"], rows[0]["high"]
+        block = np.asarray([r["block"] for r in rows])
+        component = np.asarray([r["component"] for r in rows])
+        doc, h, count = counted(*elements([common.split_words(r["text"]) for r in rows], _HASHES))
+        cut = np.searchsorted(doc, np.arange(n + 1))
+        total = np.bincount(doc, count, n)
+        _, at = np.unique(h, return_inverse=True)
+        order = np.argsort(at, kind="stable")
+        begin = np.searchsorted(at[order], np.arange(int(at.max(initial=-1)) + 2))
+        i, j = [], []
+        for k in np.flatnonzero(block == low).tolist():
+            own = at[cut[k] : cut[k + 1]]
+            size = begin[own + 1] - begin[own]
+            lists = order[np.arange(int(size.sum())) + np.repeat(begin[own] - np.cumsum(size) + size, size)]
+            common_ = np.bincount(doc[lists], np.minimum(np.repeat(count[cut[k] : cut[k + 1]], size), count[lists]), n)
+            near = common_ >= THRESHOLD * (total[k] + total - common_)
+            near &= (component != component[k]) & (block == high)
+            if low == high:
+                near[:k] = False
+            found = np.flatnonzero(near)
+            i += [k] * len(found)
+            j += found.tolist()
+        if i:
+            root = common.roots(n, np.asarray(i), np.asarray(j))
+            for k in sorted({*i, *j}):
+                if root[k] != k:
+                    a.append(rows[k]["doc_id"])
+                    b.append(rows[root[k]]["doc_id"])
+    yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, class_id), one row per distinct id: the class is the smallest id of all near-duplicates linked to it.
 
-    Rows that repeat an id are one document, of which the text that sorts first counts. Null ids are left out. A text
-    that is null or has no words is like nothing and is its own class. Other columns are not read.
+    Rows that repeat an id are one document: it has the links of all its texts. Null ids are left out. A text that is
+    null or has no words is like nothing and is its own class. Other columns are not read.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
     signed = common.written(base.mapInArrow(_sign, SIGNED), "signed")
-    # Equal word sequences: the smallest id stands for all. Rows that repeat an id with other words stay apart here and
-    # meet through the id at the end.
-    member = signed.where("n_words > 0").select("doc_id", "digest")
-    rep = member.groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    member = common.written(member.join(rep, "digest").select("doc_id", "rep").distinct(), "members")
-    reps = common.written(
-        signed.where("n_words > 0").join(rep.select(F.col("rep").alias("doc_id"), "digest"), ["doc_id", "digest"])
-        .dropDuplicates(["doc_id", "digest"]).select("doc_id", "digest", "sig", "bands"),
-        "representatives",
-    )
-    rows = reps.select("doc_id", F.posexplode("bands").alias("band", "h"))
-    size = rows.groupBy("band", "h").agg(F.count("*").alias("n")).where("n > 1")
+    some = signed.where("n_words > 0")
+    # Equal word sequences: the smallest id stands for all. Tables that tell a group's size, star or representative are
+    # written before they are joined, so the join is free to split a large group.
+    rep = common.written(some.groupBy("digest").agg(F.min("doc_id").alias("rep")), "digests")
+    member = common.written(some.select("doc_id", "digest").join(rep, "digest").select("doc_id", "rep", "digest"), "members")
+    chosen = rep.select(F.col("rep").alias("doc_id"), "digest")
+    rows = some.join(chosen, ["doc_id", "digest"]).select("doc_id", F.posexplode("bands").alias("band", "h")).distinct()
+    rows = common.written(rows, "bands")
+    size = common.written(rows.groupBy("band", "h").agg(F.count("*").alias("n")).where("n > 1"), "bucket-sizes")
     rows = common.written(rows.join(size, ["band", "h"]).select("band", "h", "doc_id", "n"), "buckets")
-    degree = rows.groupBy("doc_id").agg(F.sum("n").alias("degree"))
-    known = rows.join(degree, "doc_id")
-    star = known.groupBy("band", "h").agg(F.max(F.struct("degree", (-F.col("doc_id")).alias("minus"))).alias("x"))
-    star = star.select("band", "h", (-F.col("x.minus")).alias("star"))
+    degree = common.written(rows.groupBy("doc_id").agg(F.sum("n").alias("degree")), "degrees")
+    best = F.max(F.struct("degree", (-F.col("doc_id")).alias("minus"))).alias("x")
+    star = rows.join(degree, "doc_id").groupBy("band", "h").agg(best).select("band", "h", (-F.col("x.minus")).alias("star"))
+    star = common.written(star, "stars")
     pairs = rows.join(star, ["band", "h"]).where("star <> doc_id").select(F.col("star").alias("a"), F.col("doc_id").alias("b"))
-    texts = _texts(base, rows.select("doc_id").distinct())
+    texts = _texts(base, degree.select("doc_id"))
     first = common.written(_verified(pairs.distinct(), texts), "linked")
     component = common.written(connected_components(first), "components")
-    links = first.unionByName(_verified(_across(rows, reps, component), texts))
+    links = first.unionByName(_across(rows, component, texts))
     links = links.unionByName(member.where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")))
     classes = connected_components(links)
     ids = signed.select("doc_id").distinct()
@@ -244,7 +282,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 
 def _texts(base: DataFrame, ids: DataFrame) -> DataFrame:
-    """The text of each id that stands in a bucket, once."""
+    """The text of each id that stands in a bucket, once; an id's first text where rows repeat it."""
     found = base.join(ids, "doc_id", "left_semi")
     return common.written(found.groupBy("doc_id").agg(F.min("text").alias("text")), "texts")
 
@@ -256,19 +294,20 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("a", "b", "text_a", "text_b").mapInPandas(_verify, "a long, b long")
 
 
-def _across(rows: DataFrame, reps: DataFrame, component: DataFrame) -> DataFrame:
-    """Pairs that share a bucket, are in different components, and whose signatures leave THRESHOLD possible."""
-    placed = rows.select("band", "h", "doc_id").join(component.withColumnRenamed("id", "doc_id"), "doc_id", "left")
+def _across(rows: DataFrame, component: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links between members of different components of a bucket; buckets with the same members are looked at once."""
+    placed = rows.join(component.withColumnRenamed("id", "doc_id"), "doc_id", "left")
     placed = common.written(placed.withColumn("component", F.coalesce("component", "doc_id")), "placed")
-    mixed = placed.groupBy("band", "h").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
-    sig = reps.select("doc_id", "sig").dropDuplicates(["doc_id"])
-    open_ = placed.join(mixed.select("band", "h"), ["band", "h"]).join(sig, "doc_id")
-    open_ = common.written(open_, "mixed")
-    a = open_.select("band", "h", F.col("doc_id").alias("a"), F.col("component").alias("ca"), F.col("sig").alias("sa"))
-    b = open_.select("band", "h", F.col("doc_id").alias("b"), F.col("component").alias("cb"), F.col("sig").alias("sb"))
-    agree = F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda t, x: t + x)
-    where = [a["band"] == b["band"], a["h"] == b["h"], F.col("a") < F.col("b"), F.col("ca") != F.col("cb"), agree >= LEAST_AGREEING]
-    on = where[0]
-    for x in where[1:]:
-        on = on & x
-    return a.join(b, on).select("a", "b").distinct()
+    wide = "decimal(38,0)"
+    mixed = placed.groupBy("band", "h").agg(
+        F.min("component").alias("x"),
+        F.max("component").alias("y"),
+        F.sum(F.xxhash64("doc_id").cast(wide)).alias("s"),
+        F.sum(F.xxhash64(F.lit(1), "doc_id").cast(wide)).alias("t"),
+    )
+    mixed = mixed.where("x <> y").groupBy("s", "t").agg(F.min(F.struct("band", "h")).alias("z")).select("z.*")
+    members = placed.join(common.written(mixed, "mixed"), ["band", "h"])
+    dealt = common.in_blocks(members, F.col("n"), "doc_id", BLOCK).join(texts, "doc_id")
+    dealt = dealt.select(*KEY, "block", "doc_id", "component", "text")
+    dealt = dealt.repartition(common.partitions(rows.sparkSession), *KEY).sortWithinPartitions(*KEY)
+    return common.written(dealt.mapInArrow(_link, "a long, b long"), "across")
