@@ -227,9 +227,7 @@ FOUND = "n_words long, spans array<struct<start:long,end:long>>, items array<str
 def _search_block(docs: DataFrame, block: list[tuple[str, str | None]], text_col: str, width: int) -> DataFrame:
     """``docs`` with n_words, merged spans [start, end) of hit words, and the items met, for one block of items."""
     shared = docs.sparkSession.sparkContext.broadcast(block)
-    kinds = {"n_words", "spans", "items"}
-    if kinds & set(docs.columns):
-        raise ValueError(f"columns {sorted(kinds & set(docs.columns))} are taken")
+    docs = docs.drop("n_words", "spans", "items")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != text_col)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -301,7 +299,8 @@ def scan(
     A phrase is ``width`` consecutive words of an item, or a shorter item whole. Null texts have no words; items with a
     null id are left out; repeated items count once; an empty benchmark hits nothing. The benchmark goes to the
     executors in blocks of at most BLOCK_WORDS words: one pass over the documents for each block. Beyond one block the
-    rows are told apart by a row number, and the blocks' spans are merged.
+    rows are told apart by a row number, and the blocks' spans are merged. Columns of ``docs`` named like new ones are
+    replaced.
     """
     blocks = _blocks(benchmark, item_col, item_text_col)
     block = next(blocks)
