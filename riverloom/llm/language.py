@@ -160,6 +160,8 @@ class Tagger:
 
     def paths(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(language numbers of the words, letters of the words) of each text."""
+        if not self.model.languages:
+            return iter([(np.zeros(0, np.int64),) * 2 for _ in texts])
         if len(self.known) > CACHE_WORDS:
             self.forget()
         number = self.known.__getitem__

@@ -37,12 +37,12 @@ _NOT_IN_NUMBER = r"(?<![0-9A-Za-z])"
 _END = r"(?![0-9A-Za-z])"
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}+(?:\.[A-Za-z0-9-]{1,63}+){1,8}+",
-    "iban": _NOT_IN_NUMBER + r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?" + _END,
+    "iban": _NOT_IN_NUMBER + r"[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}| [A-Z0-9]{4}(?: [0-9]{4}){1,6}(?: [0-9]{1,3})?)" + _END,
     "date": _NOT_IN_NUMBER + r"(?<![-/.])(?:(?:19|20)[0-9]{2}([-/])[0-9]{2}\1[0-9]{2}|[0-9]{2}\.[0-9]{2}\.(?:19|20)[0-9]{2})" + _END + r"(?![-/][0-9])(?!\.[0-9])",
     "ssn": _NOT_IN_NUMBER + r"(?<!-)[0-9]{3}-[0-9]{2}-[0-9]{4}" + _END + r"(?!-[0-9])",
     "ip": _NOT_IN_NUMBER + r"(?<!\.)[0-9]{1,3}(?:\.[0-9]{1,3}){3}" + _END + r"(?!\.[0-9])",
-    "phone": r"(?<![0-9A-Za-z+])\+[0-9]{1,3}(?:[ .-]?\(?[0-9]{2,4}\)?){2,4}" + _END,
-    "card": _NOT_IN_NUMBER + r"(?<![0-9][ -])(?<!\+)[0-9](?:[ -]?[0-9]){12,18}" + _END + r"(?![ -][0-9])",
+    "phone": r"(?<![0-9A-Za-z+])\+(?:1[ .-]?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}|(?!1[ (.-])[0-9]{1,3}(?:[ .-]?\(?[0-9]{2,4}\)?){2,4})" + _END + r"(?!\.[0-9])",
+    "card": _NOT_IN_NUMBER + r"(?:[0-9]{13,19}|[0-9]{4}(?:-[0-9]{4}){3}|[0-9]{4}(?: [0-9]{4}){3}|[0-9]{4}-[0-9]{6}-[0-9]{5}|[0-9]{4} [0-9]{6} [0-9]{5})" + _END,
 }
 KINDS = list(PATTERNS)
 NUMBERS = "(?=[0-9A-Z+])(?:" + "|".join(p.replace(r"\1", r"\k<sep>").replace(r"([-/])", r"(?<sep>[-/])") for k, p in PATTERNS.items() if k != "email") + ")"
