@@ -113,13 +113,13 @@ def read_range(fs, path: str, start: int, length: int) -> bytes:
         return f.read(length)
 
 
-def in_blocks(rows: DataFrame, n: Column, id_col: str, block: int) -> DataFrame:
-    """``rows`` of groups of ``n`` dealt to pairs of blocks of about ``block`` rows: adds block, low, high.
+def in_blocks(rows: DataFrame, blocks: Column, id_col: str) -> DataFrame:
+    """Rows of groups of so many ``blocks`` dealt to pairs of blocks by a hash: adds block, low, high.
 
     Every two rows of a group meet in exactly one of the pieces (group, low, high): in their own block's, or in that of
     their two blocks. A piece has two blocks at most, however large the group is.
     """
-    rows = rows.withColumn("blocks", F.ceil(n / block).cast("int"))
+    rows = rows.withColumn("blocks", F.greatest(F.lit(1), blocks).cast("int"))
     rows = rows.withColumn("block", F.pmod(F.xxhash64(id_col), "blocks").cast("int"))
     rows = rows.withColumn("mate", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.withColumn("low", F.least("block", "mate")).withColumn("high", F.greatest("block", "mate"))

@@ -14,19 +14,19 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
     Links are undirected; repeated links and links of an id to itself change nothing. Each step moves neighbours of
     an id to its smallest neighbour: first the larger ones, then the smaller ones. The number of steps grows with the
     logarithm of the longest chain. Every step's links are written to the shared folder, so the plan stays short and a
-    lost executor costs one step; the smallest neighbour is found by partial aggregation, and the join that hands it
-    back to a hub's many links is one that adaptive execution splits.
+    lost executor costs one step; the smallest neighbour is found by partial aggregation and written, so the join that
+    hands it back to a hub's many links is one that adaptive execution can split.
     """
     plain = links.select(F.least(a, b).alias("v"), F.greatest(a, b).alias("u")).where("u <> v").distinct()
     now = common.written(plain, "links")
     before = None
     while True:
         both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = common.written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where("u <> v").distinct()
         large = common.written(large, "links")
-        smallest = large.groupBy("u").agg(F.min("v").alias("m"))
+        smallest = common.written(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = (
             large.join(smallest, "u")
             .select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("x"))

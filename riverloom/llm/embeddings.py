@@ -148,7 +148,7 @@ def near_vectors(rows: DataFrame, *, id_col: str = "vec_id", vector_col: str = "
     keyed = classes.select("digest", "label", F.size("unit").alias("dim"), F.posexplode("codes").alias("tab", "code"))
     bucket = ["label", "dim", "tab", "code"]
     size = keyed.groupBy(*bucket).agg(F.count("*").alias("m")).where("m > 1")
-    meeting = common.in_blocks(keyed.join(common.written(size, "vector-sizes"), bucket), F.col("m"), "digest", BLOCK)
+    meeting = common.in_blocks(keyed.join(common.written(size, "vector-sizes"), bucket), F.ceil(F.col("m") / BLOCK), "digest")
     meeting = common.written(meeting.select("digest", *KEY, "block"), "vector-buckets")
     full = meeting.join(classes.select("digest", "unit", "codes", "n"), "digest")
     dealt = full.repartition(common.partitions(rows.sparkSession), *KEY).sortWithinPartitions(*KEY)

@@ -34,8 +34,8 @@ BANDS, ROWS = 24, 5
 COORDINATES = BANDS * ROWS
 #: Darts that a document throws at first: leaves no coordinate empty for most documents.
 TARGET = 900
-#: Documents in a block.
-BLOCK = 128
+#: Words and documents of a block.
+BLOCK_WORDS, BLOCK = 256_000, 4096
 #: Words that one batch of array operations covers.
 BATCH_WORDS = 200_000
 
@@ -260,10 +260,11 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     rep = common.written(some.groupBy("digest").agg(F.min("doc_id").alias("rep")), "digests")
     member = common.written(some.select("doc_id", "digest").join(rep, "digest").select("doc_id", "rep", "digest"), "members")
     chosen = rep.select(F.col("rep").alias("doc_id"), "digest")
-    rows = some.join(chosen, ["doc_id", "digest"]).select("doc_id", F.posexplode("bands").alias("band", "h")).distinct()
+    rows = some.join(chosen, ["doc_id", "digest"]).select("doc_id", "n_words", F.posexplode("bands").alias("band", "h")).distinct()
     rows = common.written(rows, "bands")
-    size = common.written(rows.groupBy("band", "h").agg(F.count("*").alias("n")).where("n > 1"), "bucket-sizes")
-    rows = common.written(rows.join(size, ["band", "h"]).select("band", "h", "doc_id", "n"), "buckets")
+    size = rows.groupBy("band", "h").agg(F.count("*").alias("n"), F.sum("n_words").alias("words"))
+    size = common.written(size.where("n > 1"), "bucket-sizes")
+    rows = common.written(rows.drop("n_words").join(size, ["band", "h"]), "buckets")
     degree = common.written(rows.groupBy("doc_id").agg(F.sum("n").alias("degree")), "degrees")
     best = F.max(F.struct("degree", (-F.col("doc_id")).alias("minus"))).alias("x")
     star = rows.join(degree, "doc_id").groupBy("band", "h").agg(best).select("band", "h", (-F.col("x.minus")).alias("star"))
@@ -307,7 +308,8 @@ def _across(rows: DataFrame, component: DataFrame, texts: DataFrame) -> DataFram
     )
     mixed = mixed.where("x <> y").groupBy("s", "t").agg(F.min(F.struct("band", "h")).alias("z")).select("z.*")
     members = placed.join(common.written(mixed, "mixed"), ["band", "h"])
-    dealt = common.in_blocks(members, F.col("n"), "doc_id", BLOCK).join(texts, "doc_id")
+    blocks = F.greatest(F.ceil(F.col("words") / BLOCK_WORDS), F.ceil(F.col("n") / BLOCK))
+    dealt = common.in_blocks(members, blocks, "doc_id").join(texts, "doc_id")
     dealt = dealt.select(*KEY, "block", "doc_id", "component", "text")
     dealt = dealt.repartition(common.partitions(rows.sparkSession), *KEY).sortWithinPartitions(*KEY)
     return common.written(dealt.mapInArrow(_link, "a long, b long"), "across")
