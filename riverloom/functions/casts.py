@@ -35,6 +35,11 @@ def to_string(c: Column, kind: T.DataType) -> Column:
     return V.text(c, kind)
 
 
+def _cut(n: Column) -> Column:
+    """A double cut off towards zero; null beyond 64 bits."""
+    return F.when(F.abs(n) < 2.0**63, n.cast("bigint"))
+
+
 def to_int(c: Column, kind: T.DataType) -> Column:
     """Numbers cut off towards zero, booleans as 1 and 0, text as an integer or else as a cut-off number."""
     if isinstance(kind, T.BooleanType):
@@ -42,12 +47,11 @@ def to_int(c: Column, kind: T.DataType) -> Column:
     if V.is_integer(kind):
         return c.cast("bigint")
     if V.is_number(kind):
-        return F.when(~F.isnan(c.cast("double")), F.signum(c) * F.floor(F.abs(c))).try_cast("bigint")
+        return _cut(c.cast("double"))
     if isinstance(kind, T.StringType):
         x = F.trim(c)
         whole = F.when(x.rlike(r"^[+-]?[0-9]+$"), x.try_cast("bigint"))
-        n = V.whole_number(x, kind)
-        return F.coalesce(whole, (F.signum(n) * F.floor(F.abs(n))).try_cast("bigint"))
+        return F.coalesce(whole, _cut(V.whole_number(x, kind)))
     return F.lit(None).cast("bigint")
 
 

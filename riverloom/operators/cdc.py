@@ -68,7 +68,7 @@ def _envelope(df: DataFrame, config: dict) -> tuple[DataFrame, dict[str, Column]
         p = {n: F.when(has, F.col(f"__outer.payload.{n}")).otherwise(F.col(f"__outer.{n}")) for n in inner.names}
         p["plain"] = F.from_json(c, image_type)
         p["tombstone"] = c.isNull() | (F.trim(c) == "") | (F.trim(c) == "null") | F.trim(c).rlike(r'(?s)^\{\s*("payload"\s*:\s*null\s*,?.*)?\}$') & ~has
-        p["unreadable"] = F.col("__outer").isNull()
+        p["unreadable"] = F.get_json_object(c, "$").isNull() | ~F.trim(c).startswith("{")
         return df, p, image_type
     if "after" not in df.columns and "before" not in df.columns:
         raise ConfigError("envelope: no JSON column and no before/after columns")

@@ -51,7 +51,7 @@ def call_rows(df: DataFrame, f: Callable[[dict], Any], schema: str, context: Con
                     continue
                 rows = got if isinstance(got, list) else [] if got is None or got is False else [row if got is True else got]
                 out += [{**{n: x.get(n) for n in names}, "__failed": None, "__record": None} for x in rows]
-            yield pd.DataFrame(out, columns=[*names, "__failed", "__record"])
+            yield pd.DataFrame(out, columns=[*names, "__failed", "__record"], dtype=object)
 
     found = df.select(*[col(c) for c in before]).mapInPandas(run, f"{schema}, __failed string, __record string")
     ok = found.where(F.col("__failed").isNull()).drop("__failed", "__record")

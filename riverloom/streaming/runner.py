@@ -91,16 +91,16 @@ class _AsOf(StatefulProcessor):
         self.last = handle.getValueState("last", self.state, ttlDurationMs=None)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values("__seq", kind="stable")
+        batch = pd.concat(list(rows)).sort_values("asof_seq", kind="stable")
         held = self.last.get()
         held = None if held is None else tuple(held)
         out = []
         for row in batch.astype(object).to_dict("records"):
-            t = row["__t"]
+            t = row["asof_time"]
             hit = held is not None and t - held[0] < self.span and key[0]
             if hit or self.left:
                 out.append({**{n: row[n] for n in self.names}, **{self.prefix + f: held[i + 1] if hit else None for i, f in enumerate(self.fields)}})
-            if row["__candidate"] and key[0]:
+            if row["asof_candidate"] and key[0]:
                 held = (t, *[None if row[f] is None or row[f] != row[f] else str(row[f]) for f in self.fields])
         if held is not None:
             self.last.update(held)
@@ -129,10 +129,10 @@ def asof_stream(df: DataFrame, config: dict, context: Context) -> DataFrame:
     prefix = config.get("join_prefix", "joined_")
     shown = F.coalesce(V.text(col(key), V.dtype(df, key)), F.lit(""))
     micros = F.unix_micros(event_time(df, config, context)) / 1e6
-    work = df.withColumn("__key", shown).withColumn("__t", micros).withColumn("__seq", col(seq))
-    work = work.withColumn("__candidate", where_clause(config.get("where") or "", df.schema))
+    work = df.withColumn("asof_key", shown).withColumn("asof_time", micros).withColumn("asof_seq", col(seq))
+    work = work.withColumn("asof_candidate", where_clause(config.get("where") or "", df.schema))
     plain = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
     out = f"{plain}, " + ", ".join(f"`{prefix}{f}` string" for f in fields)
     state = "t double, " + ", ".join(f"f{i} string" for i in range(len(fields)))
     processor = _AsOf(float(config.get("join_window_sec", 60)), fields, df.columns, state, kind == "left", prefix)
-    return work.groupBy("__key").transformWithStateInPandas(processor, out, "Append", "None")
+    return work.groupBy("asof_key").transformWithStateInPandas(processor, out, "Append", "None")
