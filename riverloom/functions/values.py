@@ -18,6 +18,15 @@ TIME_SHAPE = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}(?:[T ][0-9]{2}:[0-9]{2}:[0-9]{2}(?:\.
 MILLIS = 1_000_000_000_000
 
 
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with a column that is computed once per row, however many expressions and filters read it.
+
+    The optimiser moves an expression to where it is used and would parse a JSON text once per field; it does not move
+    the one element of a generated array.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def dtype(df: DataFrame, name: str) -> T.DataType:
     return df.schema[name].dataType
 

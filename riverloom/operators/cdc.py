@@ -63,12 +63,20 @@ def _envelope(df: DataFrame, config: dict) -> tuple[DataFrame, dict[str, Column]
         )
         outer = T.StructType([*inner.fields, T.StructField("payload", inner)])
         c = col(source)
-        df = df.withColumn("__outer", F.from_json(c, outer))
-        has = F.get_json_object(c, "$.payload").isNotNull()
-        p = {n: F.when(has, F.col(f"__outer.payload.{n}")).otherwise(F.col(f"__outer.{n}")) for n in inner.names}
-        p["plain"] = F.from_json(c, image_type)
-        p["tombstone"] = c.isNull() | (F.trim(c) == "") | (F.trim(c) == "null") | F.trim(c).rlike(r'(?s)^\{\s*("payload"\s*:\s*null\s*,?.*)?\}$') & ~has
-        p["unreadable"] = F.get_json_object(c, "$").isNull() | ~F.trim(c).startswith("{")
+        whole = F.trim(c)
+        parts = F.struct(
+            F.from_json(c, outer).alias("outer"),
+            F.get_json_object(c, "$.payload").isNotNull().alias("has"),
+            F.from_json(c, image_type).alias("plain"),
+            (F.get_json_object(c, "$").isNull() | ~whole.startswith("{")).alias("unreadable"),
+            (c.isNull() | whole.isin("", "null") | whole.rlike(r'(?s)^\{\s*("payload"\s*:\s*null\s*,?.*)?\}$')).alias("empty"),
+        )
+        df = V.once(df, "__x", parts)
+        x = F.col("__x")
+        p = {n: F.when(x["has"], x["outer"]["payload"][n]).otherwise(x["outer"][n]) for n in inner.names}
+        p["plain"] = x["plain"]
+        p["tombstone"] = x["empty"] & ~F.coalesce(x["has"], F.lit(False))
+        p["unreadable"] = x["unreadable"]
         return df, p, image_type
     if "after" not in df.columns and "before" not in df.columns:
         raise ConfigError("envelope: no JSON column and no before/after columns")
@@ -100,9 +108,11 @@ def _unwrap(df: DataFrame, config: dict, context: Context, full: bool) -> Outcom
     table = F.coalesce(p["source"]["table"], p["table"].cast("string"))
     ts = F.timestamp_millis(p["ts_ms"].cast("bigint"))
     seq = col(config["seq"]) if config.get("seq") in df.columns else F.lit(None)
-    work = df.withColumn("__image", image).withColumn("__op", kind).withColumn("__before", p["before"])
-    work = work.withColumn("__tombstone", closed(p["tombstone"]))
-    work = work.withColumn(META, meta(op=kind, database=database, table=table, ts=ts, ddl=ddl, seq=seq))
+    row = F.struct(image.alias("image"), kind.alias("op"), p["before"].alias("before"), closed(p["tombstone"]).alias("tombstone"), closed(p["unreadable"]).alias("unreadable"))
+    work = V.once(df, "__y", row)
+    work = work.withColumn("__image", F.col("__y.image")).withColumn("__op", F.col("__y.op")).withColumn("__before", F.col("__y.before"))
+    work = work.withColumn("__tombstone", F.col("__y.tombstone"))
+    work = work.withColumn(META, meta(op=F.col("__y.op"), database=database, table=table, ts=ts, ddl=ddl, seq=seq))
     if keep:
         work = work.withColumn("_op", F.when(ddl.isNotNull(), "ddl").otherwise(letter)).withColumn("_source_table", table)
         work = work.withColumn("_event_time", F.when(ts.isNotNull(), V.rfc3339(ts)))
@@ -117,8 +127,8 @@ def _unwrap(df: DataFrame, config: dict, context: Context, full: bool) -> Outcom
     lost = F.col("__image").isNull() & ~F.col("__tombstone") & (F.col("__op") != "DDL")
     if full:
         lost = lost & (F.col("__op") != "DELETE")
-    message = F.when(closed(p["unreadable"]) & ~F.col("__tombstone"), "envelope: not JSON").when(lost, "envelope: an operation without a row image")
-    out = split(work, message, context, leave=("__image", "__op", "__before", "__tombstone", META))
+    message = F.when(F.col("__y.unreadable") & ~F.col("__tombstone"), "envelope: not JSON").when(lost, "envelope: an operation without a row image")
+    out = split(work, message, context, leave=("__image", "__op", "__before", "__tombstone", *[c for c in ("__x", "__y") if c in work.columns], META))
     ok = work.where(message.isNull())
     extra = [c for c in ("_op", "_source_table", "_event_time", "_debezium_op", "_source_database", "_debezium_snapshot", "_debezium_tombstone") if c in ok.columns]
     names = image_type.names
