@@ -16,6 +16,7 @@ from riverloom.llm import (
     licenses,
     minhash,
     mixture,
+    oracles,
     pseudonyms,
     token_files,
     warc,
@@ -37,7 +38,8 @@ def op1_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = hosts.judge(common.table(spark, sf_dir, "pages"))
-    return found.select("page_id", "host", "path", "rule", "verdict", "trust", "distrust")
+    scores = [F.round(c, 9).alias(c) for c in ("trust", "distrust")]
+    return found.select("page_id", "host", "path", "rule", "verdict", *scores)
 
 
 def op3_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,4 +100,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_licenses": licenses.scan_sql()}
+    return oracles.oracle_sql()
