@@ -192,7 +192,7 @@ def extract(df: DataFrame, config: dict, context: Context) -> DataFrame:
     return df
 
 
-@operator("mask")
+@operator("mask", "data_masking")
 def mask(df: DataFrame, config: dict, context: Context) -> DataFrame:
     """Masks by field: mask_phone, mask_email, mask_id_card, mask_all, hash. Lengths count bytes of ASCII values."""
     for name, strategy in need(config, "fields", "mask").items():
@@ -259,7 +259,7 @@ def fnv32(value: Column) -> Column:
     return F.when(n == 0, start).otherwise(F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), start, step))
 
 
-@operator("add_audit_fields")
+@operator("add_audit_fields", "field_enrichment")
 def add_audit_fields(df: DataFrame, config: dict, context: Context) -> DataFrame:
     """_pipeline, _source_table, _ingested_at and extra constants, where the row has none of that name."""
     new = {

@@ -194,11 +194,13 @@ def distinct(df: DataFrame, config: dict, context: Context) -> DataFrame:
 def deduplicate(df: DataFrame, config: dict, context: Context) -> DataFrame:
     """The first row of each key.
 
-    In a stream, keys are remembered within the watermark. With ``window_size`` and ``exact_window`` a key counts as
+    In a stream, keys are remembered within the watermark, which ``state_ttl_seconds`` sets on the event time. With ``window_size`` and ``exact_window`` a key counts as
     seen only while it is among that many last kept keys, which needs one ordered pass; see ``streaming.dedup``.
     """
     keys = [c for c in need(config, "keys", "deduplicate") if c in df.columns]
     if context.streaming:
+        if context.event_time and config.get("state_ttl_seconds"):
+            df = df.withWatermark(context.event_time, f"{whole(config, 'state_ttl_seconds')} seconds")
         return df.dropDuplicatesWithinWatermark(keys)
     if config.get("exact_window"):
         from riverloom.streaming.dedup import fifo_deduplicate

@@ -79,6 +79,13 @@ def _step(x: Any) -> Step:
     return Step(x.get("type") or x.get("plugin") or x.get("name") or "", config)
 
 
+def _processors(given: Any) -> list[Step]:
+    """Steps before the transforms, as a list or as a mapping of names to configurations."""
+    if isinstance(given, dict):
+        return [Step(k, dict(v or {})) for k, v in given.items()]
+    return [_step(x) for x in given or []]
+
+
 def parse(data: str | dict | Path, env: dict[str, str] | None = None) -> Spec | Graph:
     """A specification from YAML text, a file or a dictionary; ``nodes`` make it a graph."""
     if isinstance(data, Path):
@@ -102,7 +109,8 @@ def parse(data: str | dict | Path, env: dict[str, str] | None = None) -> Spec |
         return Graph(name, nodes, edges, options)
     if "source" not in body:
         raise ConfigError("a specification has a source or nodes")
-    spec = Spec(name, _step(body["source"]), [_step(t) for t in body.get("transforms") or []], _step(body["sink"]) if body.get("sink") else None, options, body.get("hooks") or {})
+    steps = _processors(body.get("processors")) + [_step(t) for t in body.get("transforms") or []]
+    spec = Spec(name, _step(body["source"]), steps, _step(body["sink"]) if body.get("sink") else None, options, body.get("hooks") or {})
     return spec
 
 

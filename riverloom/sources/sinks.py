@@ -36,6 +36,23 @@ def write(df: DataFrame, name: str, config: dict | None = None) -> None:
     SINKS[name](df, dict(config or {}))
 
 
+def write_observed(df: DataFrame, name: str, config: dict | None = None) -> dict:
+    """``write``, and what it wrote: rows by operation and by table, counted on the way, and seconds."""
+    from time import perf_counter
+
+    from pyspark.sql import Observation
+
+    if META not in df.columns:
+        df = df.withColumn(META, cdc.meta(op=F.lit("INSERT")))
+    op, table_ = F.col(f"{META}.op"), F.coalesce(F.col(f"{META}.table"), F.lit(""))
+    seen = Observation()
+    counts = [F.count_if(op == k).alias(k.lower()) for k in ("INSERT", "UPDATE", "DELETE", "DDL")]
+    df = df.observe(seen, F.count(F.lit(1)).alias("rows"), *counts, F.approx_count_distinct(table_).alias("tables"))
+    start = perf_counter()
+    write(df, name, config)
+    return {**seen.get, "seconds": perf_counter() - start}
+
+
 def live_rows(df: DataFrame) -> DataFrame:
     """Payload columns of rows that are not deletes or DDL."""
     if META in df.columns:

@@ -43,6 +43,12 @@ def test_parse_and_defaults():
     assert topological(to_graph(spec)) == ["source", "t0", "t1", "t2", "sink"]
 
 
+def test_processors_come_first(spark):
+    spec = parse({"name": "p", "source": "table", "processors": {"data_masking": {"fields": {"v": "mask_all"}}}, "transforms": [{"type": "field_enrichment", "config": {"pipeline": "p"}}]})
+    out = compile_spec(spec, spark.createDataFrame([("x",)], "v string")).sinks["sink"].first()
+    assert out.v == "********" and out._pipeline == "p"
+
+
 def test_all_faults_are_told():
     bad = {"source": {"type": "fax"}, "sink": {"type": "drum"}, "batch_size": 0, "schedule": "daily", "transforms": [{"type": "nope"}, {"type": "window", "config": {"window_type": "session"}}, {"type": "filter", "config": {"keyed_state": True}}]}
     found = "; ".join(faults(parse(bad)))

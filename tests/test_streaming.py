@@ -31,7 +31,7 @@ def batch(spark, folder):
 
 
 def finish(query):
-    query.processAllAvailable() if False else query.awaitTermination(120)
+    query.awaitTermination(120)
     assert query.exception() is None
 
 
@@ -57,8 +57,9 @@ def test_window_of_a_stream(spark, folder):
 
 
 def test_deduplication_of_a_stream(spark, folder):
-    df = stream(spark, folder, maxFilesPerTrigger=1).withWatermark("t", "1 hour")
-    finish(run_stream(df, [("deduplicate", {"keys": ["key", "v"]})], ("file_sink", {"path": str(folder / "out")}), str(folder / "cp")))
+    steps = [("deduplicate", {"keys": ["key", "v"], "state_ttl_seconds": 3600})]
+    context = Context(event_time="t")
+    finish(run_stream(stream(spark, folder, maxFilesPerTrigger=1), steps, ("file_sink", {"path": str(folder / "out")}), str(folder / "cp"), context=context))
     assert spark.read.json(str(folder / "out")).count() == 10
 
 
