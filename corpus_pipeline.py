@@ -18,6 +18,7 @@ LEAST_SCORE = 0.3
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known; the model is fitted on a bounded sample of the labelled ones."""
+    common.wide_rows(spark)
     columns = docs.columns
     model = language.Model.fit(language.sample(docs, "text", "lang"))
     found = language.predict(docs, model, spans=False)
@@ -30,6 +31,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Rows without an id take part in no class and stay.
     """
+    common.wide_rows(spark)
     classes = minhash.near_duplicates(docs)
     gone = common.written(classes.where("doc_id <> class_id").select("doc_id"), "duplicates")
     kept = docs.join(gone, "doc_id", "left_anti")
@@ -41,9 +43,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no phrase of a benchmark item stands."""
-    schema = docs.columns
-    found = decontaminate.scan(docs.withColumn("__text", F.col("text")), common.table(spark, sf_dir, "benchmark"), text_col="__text")
-    return found.where(F.size("spans") == 0).select(*schema)
+    common.wide_rows(spark)
+    found = decontaminate.scan(docs, common.table(spark, sf_dir, "benchmark"), keep_text=True)
+    return found.where(F.size("spans") == 0).select(*docs.columns)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,6 +56,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files of the mix, and what a reader finds in them: doc_id, start, n_tokens, ids_crc32."""
+    common.wide_rows(spark)
     folder = common.new_folder(spark, "tokens")
     manifest = token_files.write_token_files(docs, folder, tokenizer_path(), end_id=2)
     return token_files.read_token_files(spark, folder, manifest)
@@ -72,8 +75,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each but the last is written to the shared folder and read again."""
-    docs = common.table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = common.written(stage(spark, docs, sf_dir), f"stage-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+    """All stages over ``documents``; each is written to the shared folder and read again.
+
+    Tables between the stages are deleted at the end; the token files and the returned digest stay.
+    """
+    with common.Scratch(spark) as scratch:
+        docs = common.table(spark, sf_dir, "documents")
+        for name, stage in STAGES[:-1]:
+            docs = common.written(stage(spark, docs, sf_dir), f"stage-{name}")
+        return scratch.keep(STAGES[-1][1](spark, docs, sf_dir), "pipeline")

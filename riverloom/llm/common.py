@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import io
-import os
 import tempfile
 import uuid
 
@@ -43,17 +42,59 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/riverloom/{name}-{uuid.uuid4().hex}"
 
 
+_SCRATCH: list[list[str]] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet to the shared folder and read it back.
 
-    Lost executors cost nothing that was written before. Columns keep their types.
+    Lost executors cost nothing that was written before. Columns keep their types. Within a ``Scratch`` the table goes
+    when the block ends.
     """
     spark = df.sparkSession
     path = new_folder(spark, name)
+    if _SCRATCH:
+        _SCRATCH[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables that are written within this block are deleted at its end; ``keep`` writes one that stays."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+
+    def __enter__(self) -> Scratch:
+        self.paths: list[str] = []
+        _SCRATCH.append(self.paths)
+        return self
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        inner = _SCRATCH.pop()
+        try:
+            return written(df, name)
+        finally:
+            _SCRATCH.append(inner)
+
+    def __exit__(self, *error) -> None:
+        _SCRATCH.pop()
+        for path in self.paths:
+            drop_folder(self.spark, path)
+
+
+def wide_rows(spark: SparkSession, rows: int = 2500) -> None:
+    """Rows that hold whole texts pass to Python in smaller batches than the default, which bounds a worker's memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+
+
+def parts_for(df: DataFrame, most_bytes: int) -> int:
+    """Partitions so that each has about ``most_bytes`` of the plan's estimated size, at least the session's number."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    known = size < 10**18  # an unknown size is given as the largest number
+    return max(partitions(df.sparkSession), -(-size // most_bytes) if known else 0)
+
+
 def drop_folder(spark: SparkSession, path: str) -> None:
     """Delete a folder of the shared storage through Spark's own file systems."""
     jvm = spark.sparkContext._jvm
@@ -113,6 +154,39 @@ def read_range(fs, path: str, start: int, length: int) -> bytes:
         return f.read(length)
 
 
+def text_slices(column, most: int):
+    """(first row, texts) of runs of an Arrow text column of about ``most`` bytes; a longer text is a run of its own.
+
+    Only one run at a time becomes Python strings.
+    """
+    import numpy as np
+    import pyarrow.compute as pc
+
+    size = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    a, n = 0, len(column)
+    while a < n:
+        before = int(size[a - 1]) if a else 0
+        b = max(a + 1, int(np.searchsorted(size, before + most, side="right")))
+        yield a, column.slice(a, b - a).to_pylist()
+        a = b
+
+
+def release() -> None:
+    """Give memory that a task no longer needs back to the system, before the worker serves another stage."""
+    import ctypes
+    import gc
+    import sys
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+
 def in_blocks(rows: DataFrame, blocks: Column, id_col: str) -> DataFrame:
     """Rows of groups of so many ``blocks`` dealt to pairs of blocks by a hash: adds block, low, high.
 
@@ -131,13 +205,14 @@ def groups(batches, key: list[str]):
     held: list[dict] = []
     last = None
     for batch in batches:
-        for row in batch.to_pylist():
-            now = tuple(row[c] for c in key)
-            if now != last and held:
-                yield held
-                held = []
-            last = now
-            held.append(row)
+        for a in range(0, batch.num_rows, 1000):
+            for row in batch.slice(a, 1000).to_pylist():
+                now = tuple(row[c] for c in key)
+                if now != last and held:
+                    yield held
+                    held = []
+                last = now
+                held.append(row)
     if held:
         yield held
 
@@ -166,10 +241,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cpu_count() -> int:
-    return os.cpu_count() or 1
-
-
 def null_safe(c: str) -> Column:
     """A string key under which nulls meet each other and no text."""
     return F.when(F.col(c).isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col(c).cast("string")))

@@ -17,29 +17,31 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
     lost executor costs one step; the smallest neighbour is found by partial aggregation and written, so the join that
     hands it back to a hub's many links is one that adaptive execution can split.
     """
-    plain = links.select(F.least(a, b).alias("v"), F.greatest(a, b).alias("u")).where("u <> v").distinct()
-    now = common.written(plain, "links")
-    before = None
-    while True:
-        both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = common.written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
-        large = common.written(large, "links")
-        smallest = common.written(large.groupBy("u").agg(F.min("v").alias("m")), "least")
-        small = (
-            large.join(smallest, "u")
-            .select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("x"))
-            .select(F.col("x.v").alias("u"), F.col("x.m").alias("v"))
-            .where("u <> v")
-            .distinct()
+    with common.Scratch(links.sparkSession) as scratch:
+        plain = links.select(F.least(a, b).alias("v"), F.greatest(a, b).alias("u")).where("u <> v").distinct()
+        now = common.written(plain, "links")
+        before = None
+        while True:
+            both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            least = common.written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+            large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+            large = large.where("u <> v").distinct()
+            large = common.written(large, "links")
+            smallest = common.written(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+            small = (
+                large.join(smallest, "u")
+                .select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("x"))
+                .select(F.col("x.v").alias("u"), F.col("x.m").alias("v"))
+                .where("u <> v")
+                .distinct()
+            )
+            now = common.written(small, "links")
+            state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+            if state == before:
+                break
+            before = state
+        roots = now.select("v").distinct()
+        found = now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(
+            roots.select(F.col("v").alias("id"), F.col("v").alias("component"))
         )
-        now = common.written(small, "links")
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == before:
-            break
-        before = state
-    roots = now.select("v").distinct()
-    return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(
-        roots.select(F.col("v").alias("id"), F.col("v").alias("component"))
-    )
+        return scratch.keep(found, "components")

@@ -11,6 +11,7 @@ position. Occurrences in a document merge into spans to remove.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -205,17 +206,18 @@ class Phrases:
         return start, self.lengths[phrase], phrase
 
 
-def _shards(texts: list, most: int) -> Iterator[tuple[int, list[list[bytes]]]]:
-    """(first document, words of each) of runs of about ``most`` words; a longer document is a run of its own."""
-    held: list[list[bytes]] = []
+def _shards(column: pa.Array, number, most: int) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """(first document, numbers of the words of each) of runs of about ``most`` words; a longer document is a run alone."""
+    held: list[np.ndarray] = []
     first = size = 0
-    for k, t in enumerate(texts):
-        w = common.split_words(t)
-        if held and size + len(w) > most:
-            yield first, held
-            held, first, size = [], k, 0
-        held.append(w)
-        size += len(w)
+    for a, texts in common.text_slices(column, 4_000_000):
+        for k, t in enumerate(texts, a):
+            w = common.split_words(t)
+            if held and size + len(w) > most:
+                yield first, held
+                held, first, size = [], k, 0
+            held.append(np.fromiter((number(x, 0) for x in w), np.int32, len(w)))
+            size += len(w)
     if held:
         yield first, held
 
@@ -224,30 +226,38 @@ SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 FOUND = "n_words long, spans array<struct<start:long,end:long>>, items array<string>"
 
 
-def _search_block(docs: DataFrame, block: list[tuple[str, str | None]], text_col: str, width: int) -> DataFrame:
+#: The phrases that a worker searched last; building them anew for every task would cost as much as a small shard.
+_LAST: dict[str, Phrases] = {}
+
+
+def _search_block(docs: DataFrame, block: list[tuple[str, str | None]], text_col: str, width: int, keep_text: bool) -> DataFrame:
     """``docs`` with n_words, merged spans [start, end) of hit words, and the items met, for one block of items."""
     shared = docs.sparkSession.sparkContext.broadcast(block)
     docs = docs.drop("n_words", "spans", "items")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != text_col)
+    names = [c for c in docs.columns if keep_text or c != text_col]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name in names)
+    known = uuid.uuid4().hex
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        phrases = Phrases.of(shared.value, width)
+        if known not in _LAST:
+            _LAST.clear()
+            _LAST[known] = Phrases.of(shared.value, width)
+        phrases = _LAST[known]
         number = phrases.number.get
         for batch in batches:
-            kept = [k for k, c in enumerate(batch.schema.names) if c != text_col]
-            texts = batch.column(text_col).to_pylist()
-            for first, words in _shards(texts, SHARD_WORDS):
+            for first, words in _shards(batch.column(text_col), number, SHARD_WORDS):
                 n = len(words)
                 sizes = np.fromiter(map(len, words), np.int64, n)
                 start = np.concatenate([[0], np.cumsum(sizes)])
-                ids = np.fromiter((number(w, 0) for x in words for w in x), np.int32, int(start[-1]))
+                ids = np.concatenate(words)
                 at, length, phrase = phrases.hits(ids, start)
                 doc = np.searchsorted(start, at, side="right") - 1
                 spans, items = _merged(at, at + length, doc, phrase, start, phrases.items, n)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(k).slice(first, n) for k in kept] + [pa.array(sizes), pa.array(spans, SPANS), pa.array(items, pa.list_(pa.string()))],
-                    [batch.schema.names[k] for k in kept] + ["n_words", "spans", "items"],
+                    [batch.column(c).slice(first, n) for c in names] + [pa.array(sizes), pa.array(spans, SPANS), pa.array(items, pa.list_(pa.string()))],
+                    names + ["n_words", "spans", "items"],
                 )
+        common.release()
 
     return docs.mapInArrow(search, ", ".join(x for x in (schema, FOUND) if x))
 
@@ -293,8 +303,9 @@ def scan(
     item_col: str = "item_id",
     item_text_col: str = "text",
     width: int = 10,
+    keep_text: bool = False,
 ) -> DataFrame:
-    """Every row of ``docs`` without its text, with ``n_words``, ``spans`` (merged runs of hit words) and ``items``.
+    """Every row of ``docs``, without its text unless that is kept, with ``n_words``, ``spans`` (merged runs of hit words) and ``items``.
 
     A phrase is ``width`` consecutive words of an item, or a shorter item whole. Null texts have no words; items with a
     null id are left out; repeated items count once; an empty benchmark hits nothing. The benchmark goes to the
@@ -306,13 +317,13 @@ def scan(
     block = next(blocks)
     following = next(blocks, None)
     if following is None:
-        return _search_block(docs, block, text_col, width)
+        return _search_block(docs, block, text_col, width, keep_text)
     own = "__row"
     base = common.written(docs.withColumn(own, F.monotonically_increasing_id()), "decontaminate")
-    found = _search_block(base, block, text_col, width)
+    found = _search_block(base, block, text_col, width, keep_text)
     slim = base.select(own, text_col)
     while following is not None:
-        more = _search_block(slim, following, text_col, width)
+        more = _search_block(slim, following, text_col, width, False)
         more = more.select(own, F.col("spans").alias("more_spans"), F.col("items").alias("more_items"))
         found = common.written(found.join(more, own), "decontaminate")
         found = found.withColumn("spans", merge_spans(F.concat("spans", "more_spans")))

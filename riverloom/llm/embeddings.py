@@ -136,6 +136,11 @@ def near_vectors(rows: DataFrame, *, id_col: str = "vec_id", vector_col: str = "
     an id are vectors like others: each counts. A null id never names a component that has another id. Other columns
     are not read.
     """
+    with common.Scratch(rows.sparkSession) as scratch:
+        return scratch.keep(_linked(rows, id_col, vector_col, label_col), "near-vectors")
+
+
+def _linked(rows: DataFrame, id_col: str, vector_col: str, label_col: str) -> DataFrame:
     base = rows.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).alias("embedding"))
     base = common.written(base.mapInArrow(_hash, HASHED), "vectors")
     valid = base.where("digest is not null")
@@ -151,13 +156,14 @@ def near_vectors(rows: DataFrame, *, id_col: str = "vec_id", vector_col: str = "
     meeting = common.in_blocks(keyed.join(common.written(size, "vector-sizes"), bucket), F.ceil(F.col("m") / BLOCK), "digest")
     meeting = common.written(meeting.select("digest", *KEY, "block"), "vector-buckets")
     full = meeting.join(classes.select("digest", "unit", "codes", "n"), "digest")
-    dealt = full.repartition(common.partitions(rows.sparkSession), *KEY).sortWithinPartitions(*KEY)
+    dealt = full.repartition(*KEY).sortWithinPartitions(*KEY)
     found = common.written(dealt.mapInArrow(_compare, COMPARED), "vector-links")
     links = found.groupBy("digest").agg(F.sum("links").alias("links"))
     component = connected_components(found.select(F.col("digest").alias("a"), F.col("other").alias("b")))
     placed = counts.join(component.withColumnRenamed("id", "digest"), "digest", "left")
     placed = placed.withColumn("component", F.coalesce("component", "digest"))
-    least = placed.groupBy("component").agg(F.min("rep").alias("component_id"))
+    placed = common.written(placed, "vector-placed")
+    least = common.written(placed.groupBy("component").agg(F.min("rep").alias("component_id")), "vector-least")
     placed = placed.join(least, "component").join(links, "digest", "left")
     placed = placed.select("digest", "component_id", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"))
     out = base.select("vec_id", "digest").join(common.written(placed, "vector-components"), "digest", "left")

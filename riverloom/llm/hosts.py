@@ -132,7 +132,8 @@ def judge(
     alike; columns of ``pages`` named like new ones are replaced. Host scores meet the pages by a join on the host
     that broadcasts them where they are small and is split by adaptive execution where one host has most pages.
     """
-    scores = common.written(host_scores(pages, rules, url_col=url_col, html_col=html_col, rounds=rounds), "host-scores")
+    with common.Scratch(pages.sparkSession) as scratch:
+        scores = scratch.keep(host_scores(pages, rules, url_col=url_col, html_col=html_col, rounds=rounds), "host-scores")
     slim = judged(pages.drop(html_col, "host", "path", "rule", "verdict", "trust", "distrust"), rules, url_col)
     found = slim.join(scores, "host", "left")
     method = F.when(F.coalesce(F.col("distrust") - F.col("trust"), F.lit(0.0)) > margin, "block").otherwise("allow")

@@ -18,10 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from riverloom.llm import common
+
 #: Texts per language that a model is fitted on, and languages it learns; the ones with most texts first.
 SAMPLE_TEXTS, MOST_LANGUAGES = 400, 200
 #: Buckets of the letter-run table.
-BUCKETS = 1 << 18
+BUCKETS = 1 << 16
 ORDERS = 4
 SMOOTHING = 0.1
 #: Cost of a change of language between two words, in nats.
@@ -31,7 +33,7 @@ FOREIGN = 20.0
 #: A language uses a script that holds at least this share of its letters.
 SCRIPT_SHARE = 0.01
 #: Words that a worker keeps scores of, words of a batch, and words of a Viterbi piece.
-CACHE_WORDS, BATCH_WORDS, PIECE = 500_000, 1_000_000, 256
+CACHE_WORDS, BATCH_WORDS, PIECE = 250_000, 300_000, 256
 
 #: First and last code points of the scripts, from the Unicode blocks.
 SCRIPTS = [
@@ -284,10 +286,9 @@ def predict(docs: DataFrame, model: Model, *, text_col: str = "text", keep_text:
         languages = shared.value.languages
         for batch in batches:
             columns = [batch.column(f.name) for f in fields]
-            texts = batch.column(text_col).to_pylist()
-            for a, b in _slices(texts, tagger.batch_words * 6):
+            for a, texts in common.text_slices(batch.column(text_col), tagger.batch_words * 6):
                 pred, share, runs = [], [], []
-                for path, letters in tagger.paths(texts[a:b]):
+                for path, letters in tagger.paths(texts):
                     if not len(path) or not languages:
                         pred.append(UNKNOWN), share.append(0.0), runs.append([])
                         continue
@@ -296,9 +297,11 @@ def predict(docs: DataFrame, model: Model, *, text_col: str = "text", keep_text:
                     share.append(float(by.max() / by.sum()))
                     runs.append(_runs(path, languages) if spans else [])
                 yield pa.RecordBatch.from_arrays(
-                    [c.slice(a, b - a) for c in columns] + [pa.array(pred, pa.string()), pa.array(share, pa.float64()), pa.array(runs, _SPANS)],
+                    [c.slice(a, len(texts)) for c in columns] + [pa.array(pred, pa.string()), pa.array(share, pa.float64()), pa.array(runs, _SPANS)],
                     [f.name for f in fields] + ["lang_pred", "score", "spans"],
                 )
+        del tagger
+        common.release()
 
     return docs.mapInArrow(run, schema)
 
@@ -306,15 +309,3 @@ def predict(docs: DataFrame, model: Model, *, text_col: str = "text", keep_text:
 def _runs(path: np.ndarray, languages: list[str]) -> list[dict]:
     edge = np.concatenate([[0], np.flatnonzero(path[1:] != path[:-1]) + 1, [len(path)]])
     return [{"start": int(a), "end": int(b), "lang": languages[path[a]]} for a, b in zip(edge[:-1], edge[1:], strict=True)]
-
-
-def _slices(texts: list, most: int) -> Iterator[tuple[int, int]]:
-    a = size = 0
-    for b, t in enumerate(texts):
-        n = len(t or "")
-        if size and size + n > most:
-            yield a, b
-            a, size = b, 0
-        size += n
-    if a < len(texts):
-        yield a, len(texts)

@@ -19,7 +19,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -146,30 +145,32 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return float(both / either) if either else 0.0
 
 
-def _batches(texts: list) -> Iterator[tuple[int, list[list[bytes]]]]:
+def _batches(column: pa.Array) -> Iterator[tuple[int, list[list[bytes]]]]:
+    """(first document, words of each) of runs of about BATCH_WORDS words."""
     held: list[list[bytes]] = []
     first = size = 0
-    for k, t in enumerate(texts):
-        w = common.split_words(t)
-        if held and size + len(w) > BATCH_WORDS:
-            yield first, held
-            held, first, size = [], k, 0
-        held.append(w)
-        size += len(w)
+    for a, texts in common.text_slices(column, 2_000_000):
+        for k, t in enumerate(texts, a):
+            w = common.split_words(t)
+            if held and size + len(w) > BATCH_WORDS:
+                yield first, held
+                held, first, size = [], k, 0
+            held.append(w)
+            size += len(w)
     if held:
         yield first, held
 
 
-_HASHES = WordHashes()
 SIGNED = "doc_id long, digest binary, n_words long, bands array<long>"
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    hashes = WordHashes()
     for batch in batches:
-        ids, texts = batch.column("doc_id"), batch.column("text").to_pylist()
-        for first, words in _batches(texts):
+        ids = batch.column("doc_id")
+        for first, words in _batches(batch.column("text")):
             n = len(words)
-            doc, h = elements(words, _HASHES)
+            doc, h = elements(words, hashes)
             sig = signatures(*counted(doc, h), n)
             digest = [hashlib.blake2b(b" ".join(w), digest_size=16).digest() if w else None for w in words]
             yield pa.RecordBatch.from_pydict(
@@ -180,6 +181,8 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     "bands": _lists(bands(sig)),
                 }
             )
+    del hashes
+    common.release()
 
 
 def _lists(x: np.ndarray) -> pa.Array:
@@ -187,20 +190,23 @@ def _lists(x: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(0, n * k + 1, k, dtype=np.int32)), pa.array(x.ravel()))
 
 
-def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    hashes = WordHashes()
     last, known = None, None
 
     def profile(text):
-        _, h, n = counted(*elements([common.split_words(text)], _HASHES))
+        _, h, n = counted(*elements([common.split_words(text)], hashes))
         return h, n
 
-    for pdf in batches:
+    for batch in batches:
         keep = []
-        for a, ta, tb in zip(pdf["a"], pdf["text_a"], pdf["text_b"], strict=True):
-            if last != a:
-                last, known = a, profile(ta)
-            keep.append(similarity(known, profile(tb)) >= THRESHOLD)
-        yield pdf.loc[np.asarray(keep, bool), ["a", "b"]]
+        for a in range(0, batch.num_rows, 500):
+            for row in batch.slice(a, 500).to_pylist():
+                if last != row["a"]:
+                    last, known = row["a"], profile(row["text_a"])
+                keep.append(similarity(known, profile(row["text_b"])) >= THRESHOLD)
+        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+    common.release()
 
 
 KEY = ["band", "h", "low", "high"]
@@ -212,13 +218,14 @@ def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     The elements of the piece's documents are one inverted table; a document's common weight with all others is summed
     over the lists of its own elements. A linked document is returned with the smallest one that it reaches.
     """
+    hashes = WordHashes()
     a: list[int] = []
     b: list[int] = []
     for rows in common.groups(batches, KEY):
         n, low, high = len(rows), rows[0]["low"], rows[0]["high"]
         block = np.asarray([r["block"] for r in rows])
         component = np.asarray([r["component"] for r in rows])
-        doc, h, count = counted(*elements([common.split_words(r["text"]) for r in rows], _HASHES))
+        doc, h, count = counted(*elements([common.split_words(r["text"]) for r in rows], hashes))
         cut = np.searchsorted(doc, np.arange(n + 1))
         total = np.bincount(doc, count, n)
         _, at = np.unique(h, return_inverse=True)
@@ -244,6 +251,7 @@ def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     a.append(rows[k]["doc_id"])
                     b.append(rows[root[k]]["doc_id"])
     yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+    common.release()
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -252,6 +260,11 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     Rows that repeat an id are one document: it has the links of all its texts. Null ids are left out. A text that is
     null or has no words is like nothing and is its own class. Other columns are not read.
     """
+    with common.Scratch(docs.sparkSession) as scratch:
+        return scratch.keep(_classes(docs, id_col, text_col), "classes")
+
+
+def _classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
     signed = common.written(base.mapInArrow(_sign, SIGNED), "signed")
     some = signed.where("n_words > 0")
@@ -272,7 +285,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     pairs = rows.join(star, ["band", "h"]).where("star <> doc_id").select(F.col("star").alias("a"), F.col("doc_id").alias("b"))
     texts = _texts(base, degree.select("doc_id"))
     first = common.written(_verified(pairs.distinct(), texts), "linked")
-    component = common.written(connected_components(first), "components")
+    component = connected_components(first)
     links = first.unionByName(_across(rows, component, texts))
     links = links.unionByName(member.where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")))
     classes = connected_components(links)
@@ -292,7 +305,7 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Of pairs (a, b), those with a similarity of THRESHOLD or more."""
     other = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
     both = other.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    return both.select("a", "b", "text_a", "text_b").mapInPandas(_verify, "a long, b long")
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a long, b long")
 
 
 def _across(rows: DataFrame, component: DataFrame, texts: DataFrame) -> DataFrame:
@@ -311,5 +324,5 @@ def _across(rows: DataFrame, component: DataFrame, texts: DataFrame) -> DataFram
     blocks = F.greatest(F.ceil(F.col("words") / BLOCK_WORDS), F.ceil(F.col("n") / BLOCK))
     dealt = common.in_blocks(members, blocks, "doc_id").join(texts, "doc_id")
     dealt = dealt.select(*KEY, "block", "doc_id", "component", "text")
-    dealt = dealt.repartition(common.partitions(rows.sparkSession), *KEY).sortWithinPartitions(*KEY)
+    dealt = dealt.repartition(*KEY).sortWithinPartitions(*KEY)
     return common.written(dealt.mapInArrow(_link, "a long, b long"), "across")

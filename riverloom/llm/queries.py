@@ -47,12 +47,14 @@ def op3_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    common.wide_rows(spark)
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.scan(docs, common.table(spark, sf_dir, "benchmark"))
     return decontaminate.digest(found)
 
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    common.wide_rows(spark)
     folder = common.new_folder(spark, "tokens")
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
     manifest = token_files.write_token_files(docs, folder, tokenizer_path(), end_id=2)
@@ -60,6 +62,7 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    common.wide_rows(spark)
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(4)) == 2
     model = language.Model.fit(language.sample(docs.where(~held_out), "text", "lang"))
@@ -68,6 +71,7 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    common.wide_rows(spark)
     pages = common.table(spark, sf_dir, "pages")
     streams = warc.write_archives(pages, common.new_folder(spark, "warc-streams"))
     archives = warc.normalise(streams, common.new_folder(spark, "warc"))
@@ -86,6 +90,7 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    common.wide_rows(spark)
     return minhash.near_duplicates(common.table(spark, sf_dir, "documents"))
 
 

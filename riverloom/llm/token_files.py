@@ -33,8 +33,10 @@ SEEKABLE = 0x8F92EAB1
 CHECKSUMS = 0x80
 NO_ID = -(2**63)
 #: Pieces that a worker keeps encoded; the table is begun anew beyond it.
-CACHE_PIECES = 1_000_000
-#: Ids that a worker holds before it writes a batch of frames.
+CACHE_PIECES = 600_000
+#: Bytes of text of a file, by the plan's estimate.
+SHARD_BYTES = 256_000_000
+#: Bytes of text that a worker encodes at once.
 BATCH_CHARS = 2_000_000
 
 
@@ -216,10 +218,10 @@ def write_token_files(
     empty one; an empty table gives an empty manifest. Other columns are not read. The tokenizer's file must be
     readable under ``tokenizer_path`` on every executor, as installed packages are.
     """
-    n = shards or common.partitions(docs.sparkSession)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    n = shards or common.parts_for(rows, SHARD_BYTES)
     rows = (
-        docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-        .repartitionByRange(n, F.col("doc_id").asc_nulls_first())
+        rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first())
         .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
         .withColumn("shard", F.spark_partition_id())
     )
@@ -235,9 +237,9 @@ def write_token_files(
                 shard = batch.column("shard")[0].as_py()
                 out = common.SharedWriter(folder, f"part-{shard:08d}.zst")
                 frames = FrameWriter(out, 2 if enc.vocab <= 65536 else 4)
-            ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-            for a, b in _slices(texts, BATCH_CHARS):
-                for doc_id, x in zip(ids[a:b], enc.encode(texts[a:b]), strict=True):
+            ids = batch.column("doc_id").to_pylist()
+            for a, texts in common.text_slices(batch.column("text"), BATCH_CHARS):
+                for doc_id, x in zip(ids[a : a + len(texts)], enc.encode(texts), strict=True):
                     frames.add(doc_id, np.append(x, end_id))
                     total += len(x) + 1
         if out is not None:
@@ -246,22 +248,11 @@ def write_token_files(
             yield pa.RecordBatch.from_pydict(
                 {"shard": pa.array([shard], pa.int32()), "path": [path], "n_docs": [len(frames.sizes)], "n_ids": [total]}
             )
+        common.release()
 
     return common.written(rows.mapInArrow(encode, MANIFEST), "token-manifest")
 
 
-def _slices(texts: list[str], most: int) -> Iterator[tuple[int, int]]:
-    """Runs of texts of about ``most`` characters; a longer text is a run of its own."""
-    a = size = 0
-    for b, t in enumerate(texts):
-        if size and size + len(t) > most:
-            yield a, b
-            a, size = b, 0
-        size += len(t)
-    if a < len(texts):
-        yield a, len(texts)
-
-
 _ENCODERS: dict[str, Encoder] = {}
 
 
@@ -284,7 +275,7 @@ def read_token_files(spark: SparkSession, folder: str, manifest: DataFrame) -> D
 
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     files = manifest.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
-    files = files.repartition(common.partitions(spark), "shard").select("shard", "path", "start")
+    files = files.repartitionByRange(max(1, manifest.count()), "shard").select("shard", "path", "start")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, _ = common.filesystem(folder)
