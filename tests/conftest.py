@@ -23,5 +23,8 @@ def spark(tmp_path_factory):
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
+    from riverloom.ship import ship
+
+    ship(session)
     yield session
     session.stop()
