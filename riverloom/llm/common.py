@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from riverloom.ship import ship
+
 #: Words are runs of ASCII letters and digits and of all characters from U+0080 on, with A-Z lower-cased.
 #: In UTF-8 a byte is enough to tell: this table lower-cases A-Z and turns every separator into a space.
 _KEPT = bytes(range(0x30, 0x3A)) + bytes(range(0x61, 0x7B)) + bytes(range(0x80, 0x100))
@@ -84,7 +86,11 @@ class Scratch:
 
 
 def wide_rows(spark: SparkSession, rows: int = 2500) -> None:
-    """Rows that hold whole texts pass to Python in smaller batches than the default, which bounds a worker's memory."""
+    """Rows that hold whole texts pass to Python in smaller batches than the default, which bounds a worker's memory.
+
+    The package is handed to workers that cannot import it yet.
+    """
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
 
 
