@@ -190,7 +190,7 @@ def enricher(df: DataFrame, config: dict, context: Context) -> Outcome:
         names = [c for c in dim.columns]
         rows = dim.where(col(dim_key).isNotNull()).withColumn("__dim", V.text(col(dim_key), V.dtype(dim, dim_key)))
         one = rows.groupBy("__dim").agg(F.array_sort(F.collect_list(F.struct(*[col(c) for c in names]))).alias("__rows"))
-        if not context.streaming and small(one):
+        if not context.streaming and small(rows):  # all rows of all keys are broadcast
             one = F.broadcast(one)
         own = V.text(col(key), V.dtype(df, key)) if key in df.columns else F.lit(None).cast("string")
         joined = df.drop(target).withColumn("__key", own).join(one, F.col("__key") == F.col("__dim"), "left")
