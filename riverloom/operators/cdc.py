@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from riverloom.functions import values as V
 from riverloom.functions.predicates import ConfigError, any_glob, closed, glob_regex
-from riverloom.operators.outcome import BEFORE, META, Context, Outcome, need, operator, split
+from riverloom.operators.outcome import BEFORE, META, Context, Outcome, operator, split
 from riverloom.operators.project import col
 from riverloom.operators.rows import first_of, payload
 
