@@ -19,6 +19,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +33,8 @@ DIRECTORY = 0x184D2A5D
 SEEKABLE = 0x8F92EAB1
 CHECKSUMS = 0x80
 NO_ID = -(2**63)
-#: Pieces that a worker keeps encoded; the table is begun anew beyond it.
-CACHE_PIECES = 600_000
+#: Pieces that a worker keeps encoded; beyond it the half that was met first stays, which holds the frequent ones.
+CACHE_PIECES = 800_000
 #: Bytes of text of a file, by the plan's estimate.
 SHARD_BYTES = 256_000_000
 #: Bytes of text that a worker encodes at once.
@@ -64,13 +65,16 @@ class Encoder:
         self.lib.no_truncation()
         self.lib.no_padding()
         self.vocab = self.lib.get_vocab_size(with_added_tokens=True)
-        self.forget()
-
-    def forget(self) -> None:
         self.known = _Numbers()
         self.start = np.zeros(1, np.int64)
         self.ids = np.zeros(0, np.int32)
 
+    def forget(self) -> None:
+        kept = CACHE_PIECES // 2
+        self.known = _Numbers(islice(self.known.items(), kept))
+        self.start = self.start[: len(self.known) + 1].copy()
+        self.ids = self.ids[: self.start[-1]].copy()
+
     def _learn(self, pieces: list[str]) -> None:
         """Encode new pieces, many in one text: a line break between two pieces is a piece of its own."""
         inline = [k for k, p in enumerate(pieces) if not p.isspace()]
@@ -119,7 +123,8 @@ class Encoder:
 class _Numbers(dict):
     """Numbers pieces in the order in which they are first met; ``fresh`` gathers the new ones."""
 
-    def __init__(self):
+    def __init__(self, known=()):
+        super().__init__(known)
         self.fresh: list[str] = []
 
     def __missing__(self, piece: str) -> int:
