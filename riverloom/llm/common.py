@@ -154,12 +154,6 @@ class SharedWriter(io.RawIOBase):
         return self.final
 
 
-def read_range(fs, path: str, start: int, length: int) -> bytes:
-    with fs.open_input_file(path) as f:
-        f.seek(start)
-        return f.read(length)
-
-
 def text_slices(column, most: int):
     """(first row, texts) of runs of an Arrow text column of about ``most`` bytes; a longer text is a run of its own.
 
@@ -245,8 +239,3 @@ def same(a: Column, b: Column) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def null_safe(c: str) -> Column:
-    """A string key under which nulls meet each other and no text."""
-    return F.when(F.col(c).isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col(c).cast("string")))

@@ -10,7 +10,6 @@ position. Occurrences in a document merge into spans to remove.
 
 from __future__ import annotations
 
-import hashlib
 import uuid
 from collections import defaultdict
 from collections.abc import Iterator
@@ -374,7 +373,3 @@ def cut_spans(text: str | None, spans: list[tuple[int, int]]) -> str | None:
         at = int(end[b - 1])
     out.append(raw[at:])
     return b"\n".join(out).decode("utf-8", "surrogatepass")
-
-
-def items_sha256(items: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
