@@ -12,6 +12,7 @@ import re
 from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -153,13 +154,16 @@ class Tagger:
     def __init__(self, model: Model):
         self.model = model
         self.batch_words = max(20_000, min(BATCH_WORDS, 16_000_000 // max(1, len(model.languages)) ** 2))
-        self.forget()
-
-    def forget(self) -> None:
         self.known = _Numbers()
-        self.score = np.zeros((0, len(self.model.languages)), np.float32)
+        self.score = np.zeros((0, len(model.languages)), np.float32)
         self.letters = np.zeros(0, np.int64)
 
+    def forget(self) -> None:
+        """The half of the words that was met first stays: it holds the frequent ones."""
+        self.known = _Numbers(islice(self.known.items(), CACHE_WORDS // 2))
+        self.score = self.score[: len(self.known)].copy()
+        self.letters = self.letters[: len(self.known)].copy()
+
     def paths(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(language numbers of the words, letters of the words) of each text."""
         if not self.model.languages:
@@ -181,7 +185,8 @@ class Tagger:
 
 
 class _Numbers(dict):
-    def __init__(self):
+    def __init__(self, known=()):
+        super().__init__(known)
         self.fresh: list[str] = []
 
     def __missing__(self, word: str) -> int:
