@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from riverloom.llm import common
 
-#: Texts per language that a model is fitted on, and languages it learns; the ones with most texts first.
-SAMPLE_TEXTS, MOST_LANGUAGES = 400, 200
+#: Texts per language that a model is fitted on.
+SAMPLE_TEXTS = 400
 #: Buckets of the letter-run table.
 BUCKETS = 1 << 16
 ORDERS = 4
@@ -35,6 +35,8 @@ FOREIGN = 20.0
 SCRIPT_SHARE = 0.01
 #: Words that a worker keeps scores of, words of a batch, and words of a Viterbi piece.
 CACHE_WORDS, BATCH_WORDS, PIECE = 250_000, 300_000, 256
+#: With more languages than this, texts are not cut into pieces, and the words kept and in a batch are fewer.
+PIECE_LANGUAGES = 200
 
 #: First and last code points of the scripts, from the Unicode blocks.
 SCRIPTS = [
@@ -112,23 +114,28 @@ class Model:
     @classmethod
     def fit(cls, rows: list[tuple[str, str]]) -> Model:
         """From (text, language) rows."""
-        languages = sorted({lang for _, lang in rows})
-        counts = np.zeros((ORDERS, BUCKETS + 1, len(languages)))
+        texts: dict[str, list[str]] = {}
+        for text, lang in rows:
+            texts.setdefault(lang, []).append(text)
+        languages = sorted(texts)
+        table = np.zeros((ORDERS, BUCKETS + 1, len(languages)), np.float32)
         scripts = np.zeros((len(_NAMES), len(languages)))
         for k, lang in enumerate(languages):
-            words = [w for text, x in rows if x == lang for w in words_of(text)]
+            counts = np.zeros((ORDERS, BUCKETS + 1))
+            words = [w for text in texts[lang] for w in words_of(text)]
             for a in range(0, len(words), 200_000):
                 runs, _ = letter_runs(words[a : a + 200_000])
                 for n in range(ORDERS):
-                    counts[n, :, k] += np.bincount(np.where(runs[n] < 0, BUCKETS, runs[n]), minlength=BUCKETS + 1)
+                    counts[n] += np.bincount(np.where(runs[n] < 0, BUCKETS, runs[n]), minlength=BUCKETS + 1)
             for w in words:
                 if (s := script_of(w)) >= 0:
                     scripts[s, k] += len(w)
-        counts[:, BUCKETS] = 0
-        share = np.log((counts + SMOOTHING) / (counts.sum(axis=1, keepdims=True) + SMOOTHING * BUCKETS))
-        share[:, BUCKETS] = 0
+            counts[:, BUCKETS] = 0
+            share = np.log((counts + SMOOTHING) / (counts.sum(axis=1, keepdims=True) + SMOOTHING * BUCKETS))
+            share[:, BUCKETS] = 0
+            table[:, :, k] = share / ORDERS
         uses = scripts >= SCRIPT_SHARE * np.maximum(scripts.sum(axis=0), 1)
-        return cls(languages, (share / ORDERS).astype(np.float32), uses)
+        return cls(languages, table, uses)
 
     def scores(self, words: list[str]) -> np.ndarray:
         """(words, languages): log-likelihoods less the best one of each word."""
@@ -153,14 +160,16 @@ class Tagger:
 
     def __init__(self, model: Model):
         self.model = model
-        self.batch_words = max(20_000, min(BATCH_WORDS, 16_000_000 // max(1, len(model.languages)) ** 2))
+        k = max(1, len(model.languages))
+        self.batch_words = max(20_000, min(BATCH_WORDS, 16_000_000 // k**2)) if k <= PIECE_LANGUAGES else max(1_000, 4_000_000 // k)
+        self.cache_words = min(CACHE_WORDS, CACHE_WORDS * PIECE_LANGUAGES // k)
         self.known = _Numbers()
         self.score = np.zeros((0, len(model.languages)), np.float32)
         self.letters = np.zeros(0, np.int64)
 
     def forget(self) -> None:
         """The half of the words that was met first stays: it holds the frequent ones."""
-        self.known = _Numbers(islice(self.known.items(), CACHE_WORDS // 2))
+        self.known = _Numbers(islice(self.known.items(), self.cache_words // 2))
         self.score = self.score[: len(self.known)].copy()
         self.letters = self.letters[: len(self.known)].copy()
 
@@ -168,7 +177,7 @@ class Tagger:
         """(language numbers of the words, letters of the words) of each text."""
         if not self.model.languages:
             return iter([(np.zeros(0, np.int64),) * 2 for _ in texts])
-        if len(self.known) > CACHE_WORDS:
+        if len(self.known) > self.cache_words:
             self.forget()
         number = self.known.__getitem__
         ids = [np.fromiter(map(number, words_of(t)), np.int64) for t in texts]
@@ -206,6 +215,8 @@ def viterbi(score: np.ndarray, sizes: np.ndarray, penalty: float) -> np.ndarray:
     path = np.zeros(len(score), np.int64)
     if not len(score) or k < 2:
         return path
+    if k > PIECE_LANGUAGES:
+        return _whole(score, sizes, penalty)
     start = np.cumsum(sizes) - sizes
     count = -(-sizes // PIECE)
     text = np.repeat(np.arange(len(sizes)), count)
@@ -257,17 +268,43 @@ def viterbi(score: np.ndarray, sizes: np.ndarray, penalty: float) -> np.ndarray:
     return path
 
 
+def _whole(score: np.ndarray, sizes: np.ndarray, penalty: float) -> np.ndarray:
+    """The same in one pass over each text: a word needs memory for each language, not for each pair of them."""
+    order = np.argsort(-sizes, kind="stable")
+    begin, length = (np.cumsum(sizes) - sizes)[order], sizes[order]
+    active = np.searchsorted(-length, -np.arange(int(length.max())), side="left")  # texts longer than t
+    stay, best = np.zeros(score.shape, bool), np.zeros(len(score), np.int64)
+    v = score[begin[: active[0]]]
+    for t in range(1, len(active)):
+        m = active[t]
+        now = v[:m] - v[:m].max(axis=1, keepdims=True)
+        where = begin[:m] + t
+        best[where] = now.argmax(axis=1)
+        stay[where] = now >= -penalty
+        v[:m] = np.maximum(now, -np.float32(penalty)) + score[where]
+    path = np.zeros(len(score), np.int64)
+    at = v.argmax(axis=1)
+    for t in range(len(active) - 1, -1, -1):
+        m = active[t]
+        where = begin[:m] + t
+        path[where] = at[:m]
+        at[:m] = np.where(stay[where, at[:m]], at[:m], best[where])
+    return path
+
+
 def sample(labelled: DataFrame, text_col: str, lang_col: str, texts: int = SAMPLE_TEXTS) -> list[tuple[str, str]]:
-    """At most ``texts`` texts of each of the MOST_LANGUAGES languages that have most, chosen by a hash of the text."""
+    """At most ``texts`` different texts of each language, those with the smallest hashes; all where there are fewer.
+
+    Copies of a text count once for a language. Hashes of the different texts are shuffled, and a task keeps so many of
+    each language before they are ranked.
+    """
     rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.where("lang is not null and text is not null")
-    many = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
-    if not many:
-        return []
-    keep = F.create_map(*(F.lit(x) for r in many for x in (r["lang"], min(1.0, 2.0 * texts / r["count"]))))
-    near = rows.withColumn("h", F.xxhash64("text")).where((F.pmod("h", F.lit(1 << 20)) / (1 << 20)) < F.try_element_at(keep, "lang"))
-    order = Window.partitionBy("lang").orderBy("h", "text")
-    found = near.withColumn("n", F.row_number().over(order)).where(F.col("n") <= texts)
+    rows = rows.withColumn("h", F.xxhash64("text")).withColumn("g", F.xxhash64(F.lit(1), "text"))
+    key = ["lang", "h", "g"]
+    order = Window.partitionBy("lang").orderBy("h", "g")
+    chosen = rows.select(*key).distinct().withColumn("n", F.row_number().over(order)).where(F.col("n") <= texts)
+    found = rows.join(F.broadcast(chosen.select(*key)), key, "left_semi").groupBy(*key).agg(F.min("text").alias("text"))
     return sorted((r["text"], r["lang"]) for r in found.select("text", "lang").collect())
 
 

@@ -148,6 +148,30 @@ def test_scripts_narrow_languages():
     assert (model.scores(["мир", "how"]).argmax(axis=1) == [model.languages.index("ru"), model.languages.index("en")]).all()
 
 
+def test_every_language_is_fitted_on_different_texts(spark):
+    rows = [(f"text {k} of many copies", "aa") for k in range(50) for _ in range(200)]
+    rows += [(f"other {k}", "bb") for k in range(500) for _ in range(3)]
+    rows += [(f"rare {k}", f"r{k:03d}") for k in range(230)] + [("rare 1", "bb"), (None, "aa"), ("x", None)]
+    got = language.sample(spark.createDataFrame(rows, "text string, lang string").repartition(5), "text", "lang")
+    assert len(set(got)) == len(got)
+    many = {lang: sum(x == lang for _, x in got) for lang in {x for _, x in got}}
+    assert many == {"aa": 50, "bb": 400, **{f"r{k:03d}": 1 for k in range(230)}}
+    assert set(got) <= set(rows)
+
+
+def test_many_languages_take_one_pass_with_the_same_result(monkeypatch):
+    rng = np.random.default_rng(1)
+    sizes = np.array([0, 7, 700, 1, 0, 300])
+    score = rng.normal(0, 3, (int(sizes.sum()), 6)).astype(np.float32)
+    want = language.viterbi(score, sizes, 5.0)
+    monkeypatch.setattr(language, "PIECE_LANGUAGES", 5)
+    assert (language.viterbi(score, sizes, 5.0) == want).all()
+    model = language.Model.fit([("the cat and the dog", "en"), *((f"w{k}", f"x{k}") for k in range(220))])
+    assert len(model.languages) == 221
+    (path, _), (none, _) = language.Tagger(model).paths(["the dog and the cat " * 50, None])
+    assert {model.languages[k] for k in path} == {"en"} and not len(none)
+
+
 # ------------------------------------------------------------- licences
 
 
