@@ -7,6 +7,9 @@ it. Everything is Spark SQL.
 
 from __future__ import annotations
 
+import re
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -101,6 +104,54 @@ WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWIS
 THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
 }
 
+#: Where the full texts of longer licences lie, as their stewards and Debian's common-licenses give them.
+FOLDER = Path(__file__).parent / "license_texts"
+#: Lines that stand over the short licences in files.
+TITLES = {
+    "MIT": ["MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)", "Expat License"],
+    "ISC": ["ISC License", "The ISC License", "ISC License (ISC)"],
+    "0BSD": ["BSD Zero Clause License", "Zero-Clause BSD", "Zero-Clause BSD License", "0BSD"],
+    "Zlib": ["zlib License", "The zlib License", "zlib/libpng License"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "The BSD 2-Clause License", "Simplified BSD License", "BSD License"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "The BSD 3-Clause License", "New BSD License", "Modified BSD License", "BSD License"],
+    "Unlicense": ["The Unlicense", "Unlicense"],
+}
+#: First words of the long licences below their title.
+BODIES = {
+    "Apache-2.0": "TERMS AND CONDITIONS FOR USE",
+    "Artistic-1.0-Perl": "Preamble",
+    "BSD-3-Clause": "Redistribution and use",
+    "BSL-1.0": "Permission is hereby granted",
+    "CC0-1.0": "CREATIVE COMMONS CORPORATION IS NOT",
+    "MPL-1.1": "1. Definitions",
+    "MPL-2.0": "1. Definitions",
+} | dict.fromkeys(["GFDL-1.2", "GFDL-1.3", "GPL-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.0", "LGPL-2.1", "LGPL-3.0"], "Everyone is permitted")
+END = "END OF TERMS AND CONDITIONS"
+
+
+def known_texts() -> list[tuple[str, str]]:
+    """(licence, text) of the notices, the short licences and the full texts, in the forms in which files hold them.
+
+    These are: with and without the title; without what follows the end of the terms; short licences below ``All
+    rights reserved.``, and with list items numbered, starred or bare.
+    """
+    texts = NOTICES | {f.stem: f.read_text("utf-8") for f in sorted(FOLDER.glob("*.txt"))}
+    out = set()
+    for name, text in texts.items():
+        forms = {text}
+        if name in BODIES:
+            forms.add(text[text.index(BODIES[name]) :])
+        if END in text:
+            forms |= {x[: x.index(END) + k] for x in forms for k in (0, len(END))}
+        if name in TITLES:
+            body = text[text.index(BODIES[name]) :] if name in BODIES else text
+            bare = re.sub(r"(?m)^(?:\*|[0-9]\.) ", "", body)
+            count = iter(range(1, 10))
+            numbered = re.sub(r"(?m)^\* ", lambda _: f"{next(count)}. ", body)
+            forms |= {f"{t}\n\n{r}{x}" for x in (body, bare, numbered) for t in ("", *TITLES[name]) for r in ("", "All rights reserved.\n\n")}
+        out |= {(name, x) for x in forms}
+    return sorted(out)
+
 
 def canonical(text: str | Column) -> Column:
     """The canonical form of a text; null for a null text."""
@@ -138,8 +189,10 @@ def digest(text: str | Column) -> Column:
     return F.sha2(canonical(text), 256)
 
 
-def known_licenses(spark: SparkSession, texts: dict[str, str] = NOTICES) -> DataFrame:
-    return spark.createDataFrame(sorted(texts.items()), "license string, license_text string")
+def known_licenses(spark: SparkSession, texts: dict[str, str] | None = None) -> DataFrame:
+    """(license, license_text): ``texts`` as they are, or all of ``known_texts``."""
+    rows = known_texts() if texts is None else sorted(texts.items())
+    return spark.createDataFrame(rows, "license string, license_text string")
 
 
 def scan(docs: DataFrame, known: DataFrame, *, text_col: str = "text", most_broadcast: int = 10_000) -> DataFrame:

@@ -196,6 +196,19 @@ def test_licenses_match_whatever_their_spelling(spark):
     assert licenses.scan(df.limit(0), licenses.known_licenses(spark)).count() == 0
 
 
+def test_license_files_with_their_titles_and_full_texts(spark):
+    long = {f.stem: f.read_text() for f in licenses.FOLDER.glob("*.txt")}
+    line = "\n\nCopyright (c) 2020 A. Person\n"
+    want = [(n, t) for n, t in long.items()]
+    want += [(n, title + line + "\n" + licenses.NOTICES[n]) for n, x in licenses.TITLES.items() if n in licenses.NOTICES for title in x]
+    want += [("BSD-3-Clause", "BSD 3-Clause License" + line + "All rights reserved.\n\n" + long["BSD-3-Clause"].split("reserved.")[1].replace("* Re", "1. Re", 1).replace("* Re", "2. Re", 1).replace("* N", "3. N"))]
+    want += [("MIT", "MIT License" + line + "All rights reserved.\n" + licenses.NOTICES["MIT"]), ("Unlicense", "The Unlicense\n\n" + long["Unlicense"])]
+    want += [("Apache-2.0", long["Apache-2.0"].split("APPENDIX")[0]), ("GPL-2.0", long["GPL-2.0"].split("How to Apply")[0]), (None, long["GPL-3.0"][:-400])]
+    df = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(want)], "doc_id long, text string")
+    got = {r.doc_id: r.license for r in licenses.scan(df, licenses.known_licenses(spark)).collect()}
+    assert [got[k] for k in range(len(want))] == [n for n, _ in want] and len(long) >= 16
+
+
 # ------------------------------------------------------------- pseudonyms
 
 KEY = "k"
