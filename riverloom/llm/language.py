@@ -9,9 +9,11 @@ letters is the text's, and its share of the letters the score.
 from __future__ import annotations
 
 import re
+import unicodedata
 from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 from itertools import islice
 
 import numpy as np
@@ -38,7 +40,7 @@ CACHE_WORDS, BATCH_WORDS, PIECE = 250_000, 300_000, 256
 #: With more languages than this, texts are not cut into pieces, and the words kept and in a batch are fewer.
 PIECE_LANGUAGES = 200
 
-#: First and last code points of the scripts, from the Unicode blocks.
+#: First and last code points of scripts, from the Unicode blocks. Letters elsewhere are named after theirs.
 SCRIPTS = [
     (0x0041, 0x024F, "Latin"),
     (0x0370, 0x03FF, "Greek"),
@@ -62,17 +64,31 @@ SCRIPTS = [
     (0xAC00, 0xD7AF, "Hangul"),
 ]
 _FIRST = [a for a, _, _ in SCRIPTS]
-_NAMES = sorted({name for _, _, name in SCRIPTS})
+#: First words of the names of letters that stand in words of any script, and words before a script's name.
+_SHARED, _FORMS = {"MODIFIER", "MASCULINE", "FEMININE", "MICRO"}, ("FULLWIDTH ", "HALFWIDTH ", "OLD ", "NEW ", "CJK ")
 
 LETTERS = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 
 
-def script_of(word: str) -> int:
-    """The number of the script of a word's first letter, -1 where no range holds it."""
-    c = ord(word[0])
+@cache
+def script_of_letter(letter: str) -> str:
+    """The script of a letter: that of the ranges, else the first word of its Unicode name; empty for shared letters."""
+    c = ord(letter)
     k = bisect_right(_FIRST, c) - 1
-    return _NAMES.index(SCRIPTS[k][2]) if k >= 0 and c <= SCRIPTS[k][1] else -1
+    if k >= 0 and c <= SCRIPTS[k][1]:
+        return SCRIPTS[k][2]
+    name = unicodedata.name(letter, "unnamed")
+    for form in _FORMS:
+        name = name.removeprefix(form)
+    first = name.split()[0].split("-")[0]
+    alike = {"HIRAGANA": "Kana", "KATAKANA": "Kana", "UNIFIED": "Han", "COMPATIBILITY": "Han"}
+    return "" if first in _SHARED else alike.get(first, first.capitalize())
+
+
+def script_of(word: str) -> str:
+    """The script of a word's first letter that has one, empty where none has."""
+    return script_of_letter(word[0]) or next(filter(None, map(script_of_letter, word)), "")
 
 
 def words_of(text: str | None) -> list[str]:
@@ -109,6 +125,7 @@ def letter_runs(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 class Model:
     languages: list[str]
     table: np.ndarray  # (ORDERS, BUCKETS + 1, languages); the last bucket is for no run
+    scripts: dict[str, int]  # the numbers of the scripts of the texts learnt from
     uses: np.ndarray  # (scripts, languages)
 
     @classmethod
@@ -119,7 +136,7 @@ class Model:
             texts.setdefault(lang, []).append(text)
         languages = sorted(texts)
         table = np.zeros((ORDERS, BUCKETS + 1, len(languages)), np.float32)
-        scripts = np.zeros((len(_NAMES), len(languages)))
+        scripts: dict[str, np.ndarray] = {}
         for k, lang in enumerate(languages):
             counts = np.zeros((ORDERS, BUCKETS + 1))
             words = [w for text in texts[lang] for w in words_of(text)]
@@ -128,27 +145,31 @@ class Model:
                 for n in range(ORDERS):
                     counts[n] += np.bincount(np.where(runs[n] < 0, BUCKETS, runs[n]), minlength=BUCKETS + 1)
             for w in words:
-                if (s := script_of(w)) >= 0:
-                    scripts[s, k] += len(w)
+                if s := script_of(w):
+                    scripts.setdefault(s, np.zeros(len(languages)))[k] += len(w)
             counts[:, BUCKETS] = 0
             share = np.log((counts + SMOOTHING) / (counts.sum(axis=1, keepdims=True) + SMOOTHING * BUCKETS))
             share[:, BUCKETS] = 0
             table[:, :, k] = share / ORDERS
-        uses = scripts >= SCRIPT_SHARE * np.maximum(scripts.sum(axis=0), 1)
-        return cls(languages, table, uses)
+        letters = np.array(list(scripts.values())).reshape(len(scripts), len(languages))
+        uses = letters >= SCRIPT_SHARE * np.maximum(letters.sum(axis=0), 1)
+        return cls(languages, table, {s: k for k, s in enumerate(scripts)}, uses)
+
+    def fits(self, words: list[str]) -> np.ndarray:
+        """(words, languages): whether a language uses a word's script; all do where a word has none."""
+        uses = np.concatenate([self.uses, np.zeros((1, len(self.languages)), bool), np.ones((1, len(self.languages)), bool)])
+        foreign, none = len(self.scripts), len(self.scripts) + 1
+        script = (self.scripts.get(s, foreign) if s else none for s in map(script_of, words))
+        return uses[np.fromiter(script, np.int64, len(words))]
 
     def scores(self, words: list[str]) -> np.ndarray:
-        """(words, languages): log-likelihoods less the best one of each word."""
+        """(words, languages): log-likelihoods less the best one of each word; zeros where no language uses its script."""
         runs, first = letter_runs(words)
         per = np.zeros((runs.shape[1], len(self.languages)), np.float32)
         for n in range(ORDERS):
             per += self.table[n][runs[n]]  # -1 is the last bucket
         out = np.add.reduceat(per, first, axis=0)
-        script = np.fromiter(map(script_of, words), np.int64, len(words))
-        known = script >= 0
-        fits = np.ones(out.shape, bool)
-        fits[known] = self.uses[script[known]]
-        fits &= known[:, None]
+        fits = self.fits(words)
         some = fits.any(axis=1)
         out[some] -= np.where(fits[some], 0, FOREIGN).astype(np.float32)
         out[~some] = 0
@@ -166,17 +187,19 @@ class Tagger:
         self.known = _Numbers()
         self.score = np.zeros((0, len(model.languages)), np.float32)
         self.letters = np.zeros(0, np.int64)
+        self.evidence = np.zeros(0, np.int64)  # letters of words whose script a language uses
 
     def forget(self) -> None:
         """The half of the words that was met first stays: it holds the frequent ones."""
         self.known = _Numbers(islice(self.known.items(), self.cache_words // 2))
         self.score = self.score[: len(self.known)].copy()
         self.letters = self.letters[: len(self.known)].copy()
+        self.evidence = self.evidence[: len(self.known)].copy()
 
-    def paths(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(language numbers of the words, letters of the words) of each text."""
+    def paths(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(language numbers, letters, letters that are evidence) of the words of each text."""
         if not self.model.languages:
-            return iter([(np.zeros(0, np.int64),) * 2 for _ in texts])
+            return iter([(np.zeros(0, np.int64),) * 3 for _ in texts])
         if len(self.known) > self.cache_words:
             self.forget()
         number = self.known.__getitem__
@@ -185,12 +208,14 @@ class Tagger:
             self.known.fresh = []
             self.score = np.concatenate([self.score, self.model.scores(fresh)])
             self.letters = np.concatenate([self.letters, np.fromiter(map(len, fresh), np.int64, len(fresh))])
+            sure = self.model.fits(fresh).any(axis=1)
+            self.evidence = np.concatenate([self.evidence, self.letters[len(self.evidence) :] * sure])
         flat = np.concatenate([*ids, np.zeros(0, np.int64)])
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
         path = viterbi(self.score[flat], sizes, SWITCH)
-        letters = self.letters[flat]
         cut = np.cumsum(sizes)[:-1]
-        return zip(np.split(path, cut), np.split(letters, cut), strict=True) if len(ids) else iter(())
+        columns = (path, self.letters[flat], self.evidence[flat])
+        return zip(*(np.split(x, cut) for x in columns), strict=True) if len(ids) else iter(())
 
 
 class _Numbers(dict):
@@ -315,8 +340,9 @@ _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang"
 def predict(docs: DataFrame, model: Model, *, text_col: str = "text", keep_text: bool = True, spans: bool = True) -> DataFrame:
     """``docs`` with lang_pred, score and the spans [start, end) of words in one language.
 
-    A null text, one without letters, and any text where nothing was learnt are ``und`` with score 0 and no spans. Ties
-    go to the language whose name sorts first. Columns of ``docs`` named like new ones are replaced.
+    The score is the language's share of all letters. A word of a script that no learnt language uses counts for none:
+    a text of such words only has score 0. A null text, one without letters, and any text where nothing was learnt are
+    ``und`` with score 0 and no spans. Ties go to the language whose name sorts first. Columns of ``docs`` named like new ones are replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     docs = docs.drop("lang_pred", "score", "spans")
@@ -330,13 +356,13 @@ def predict(docs: DataFrame, model: Model, *, text_col: str = "text", keep_text:
             columns = [batch.column(f.name) for f in fields]
             for a, texts in common.text_slices(batch.column(text_col), tagger.batch_words * 6):
                 pred, share, runs = [], [], []
-                for path, letters in tagger.paths(texts):
+                for path, letters, evidence in tagger.paths(texts):
                     if not len(path) or not languages:
                         pred.append(UNKNOWN), share.append(0.0), runs.append([])
                         continue
-                    by = np.bincount(path, letters, len(languages))
+                    by = np.bincount(path, evidence, len(languages))
                     pred.append(languages[int(by.argmax())])
-                    share.append(float(by.max() / by.sum()))
+                    share.append(float(by.max() / letters.sum()))
                     runs.append(_runs(path, languages) if spans else [])
                 yield pa.RecordBatch.from_arrays(
                     [c.slice(a, len(texts)) for c in columns] + [pa.array(pred, pa.string()), pa.array(share, pa.float64()), pa.array(runs, _SPANS)],

@@ -168,10 +168,23 @@ def test_many_languages_take_one_pass_with_the_same_result(monkeypatch):
     assert (language.viterbi(score, sizes, 5.0) == want).all()
     model = language.Model.fit([("the cat and the dog", "en"), *((f"w{k}", f"x{k}") for k in range(220))])
     assert len(model.languages) == 221
-    (path, _), (none, _) = language.Tagger(model).paths(["the dog and the cat " * 50, None])
+    (path, *_), (none, *_) = language.Tagger(model).paths(["the dog and the cat " * 50, None])
     assert {model.languages[k] for k in path} == {"en"} and not len(none)
 
 
+def test_every_script_is_evidence(spark):
+    learnt = {"en": "hello world how are you", "gu": "ગુજરાતી ભાષા છે", "kn": "ಕನ್ನಡ ಭಾಷೆ", "my": "မြန်မာ ဘာသာ", "am": "አማርኛ ቋንቋ ነው", "bo": "བོད་སྐད་ ཡིག", "km": "ភាសា ខ្មែរ", "ff": "𞤆𞤵𞤤𞤢𞤪 𞤬𞤵𞤤𞤬𞤵𞤤𞤣𞤫"}
+    model = language.Model.fit([(t * 5, lang) for lang, t in learnt.items()])
+    odd = {"日本語": 0.0, "привет мир": 0.0, "hello мирмир": 5 / 11, "ʻhello ʻworld": 1.0}
+    df = spark.createDataFrame([(t,) for t in [*learnt.values(), *odd]], "text string")
+    got = {r.text: (r.lang_pred, r.score) for r in language.predict(df, model).collect()}
+    assert {t: got[t] for t in learnt.values()} == {t: (lang, 1.0) for lang, t in learnt.items()}
+    assert {t: got[t][1] for t in odd} == odd and got["ʻhello ʻworld"][0] == "en"
+    one = language.Model.fit([("hello world", "en")])
+    assert [r.score for r in language.predict(df.where("text = '日本語'"), one).collect()] == [0.0]
+    assert {language.script_of(w) for w in ("日", "ひ", "ア", "ｱ", "ａ", "한", "ʻ", "𠀀", "豈")} == {"Han", "Kana", "Latin", "Hangul", ""}
+
+
 # ------------------------------------------------------------- licences
 
 
