@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 from riverloom.llm import common
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Share of rank that follows links, rounds of propagation, and how far distrust must exceed trust to block a host.
+#: Share of rank that follows links, rounds of propagation between two tests of convergence, and how far distrust must exceed trust to block a host.
 DAMPING, ROUNDS, MARGIN = 0.85, 10, 0.0
+#: Ranks have converged when a round moves less than this in each kind.
+TOLERANCE = 1e-9
 #: Links in a page: absolute or scheme-relative targets of href attributes.
 LINK = r"""(?i)href\s*=\s*["']?\s*((?:https?:)?//[^\s"'<>]+)"""
 
@@ -77,28 +79,43 @@ def host_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     return links.groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, *, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, *, damping: float = DAMPING, rounds: int | None = None) -> DataFrame:
     """(kind, host, score) by personalised PageRank from ``seeds`` (kind, host, weight) over (kind, src, dst, weight).
 
     A kind's seeds share a mass of one by weight and all rank that does not follow a link returns to them. Rank of
-    hosts without links out is lost in a round, which changes no order between hosts. Every round joins rank with the
+    hosts without links out is lost in a round, which changes no order between hosts of one kind; the kinds lose
+    different masses, which ``judge`` does not make up for. There are as many ``rounds`` as given, else until they move less than TOLERANCE. Every round joins rank with the
     edges, is summed by target with partial aggregation, and is written to the shared folder.
     """
     total = edges.groupBy("kind", "src").agg(F.sum("weight").alias("total"))
     steps = common.written(edges.join(total, ["kind", "src"]).select("kind", "src", "dst", (F.col("weight") / F.col("total")).alias("p")), "edges")
     mass = seeds.groupBy("kind").agg(F.sum("weight").alias("mass"))
     start = common.written(seeds.join(mass, "kind").select("kind", "host", (F.col("weight") / F.col("mass")).alias("score")), "seeds")
-    rank = start
-    for _ in range(rounds):
-        moved = rank.withColumnRenamed("host", "src").join(steps, ["kind", "src"])
-        moved = moved.select("kind", F.col("dst").alias("host"), (F.col("score") * F.col("p") * damping).alias("score"))
-        back = start.select("kind", "host", (F.col("score") * (1 - damping)).alias("score"))
-        rank = moved.unionByName(back).groupBy("kind", "host").agg(F.sum("score").alias("score"))
-        rank = common.written(rank, "rank")
-    return rank
 
+    def moved(rank: DataFrame) -> DataFrame:
+        to = rank.withColumnRenamed("host", "src").join(steps, ["kind", "src"])
+        to = to.select("kind", F.col("dst").alias("host"), (F.col("score") * F.col("p") * damping).alias("score"))
+        back = start.select("kind", "host", (F.col("score") * (1 - damping)).alias("score"))
+        return to.unionByName(back).groupBy("kind", "host").agg(F.sum("score").alias("score"))
 
-def host_scores(pages: DataFrame, rules: tuple[Rule, ...], *, url_col: str = "url", html_col: str = "html", rounds: int = ROUNDS) -> DataFrame:
+    rank = start
+    if rounds is not None:
+        for _ in range(rounds):
+            rank = common.written(moved(rank), "rank")
+        return rank
+    while True:
+        with common.Scratch(edges.sparkSession) as scratch:
+            for _ in range(ROUNDS - 1):
+                rank = common.written(moved(rank), "rank")
+            new = scratch.keep(moved(rank), "rank")
+            both = new.unionByName(rank.withColumn("score", -F.col("score"))).groupBy("kind", "host").agg(F.abs(F.sum("score")).alias("x"))
+            change = [r["x"] for r in both.groupBy("kind").agg(F.sum("x").alias("x")).collect()]
+        rank = new
+        if max(change, default=0.0) < TOLERANCE:
+            return rank
+
+
+def host_scores(pages: DataFrame, rules: tuple[Rule, ...], *, url_col: str = "url", html_col: str = "html", rounds: int | None = None) -> DataFrame:
     """(host, trust, distrust) of hosts that a seed reaches.
 
     Seeds are the hosts of urls that a rule decides, weighted by how many; trust follows links, distrust goes against
@@ -123,7 +140,7 @@ def judge(
     url_col: str = "url",
     html_col: str = "html",
     margin: float = MARGIN,
-    rounds: int = ROUNDS,
+    rounds: int | None = None,
 ) -> DataFrame:
     """``pages`` without their html, with host, path, rule, trust, distrust and verdict.
 

@@ -220,6 +220,20 @@ def test_trust_and_distrust_spread_over_links(spark):
         assert got[k].verdict == ("block" if distrust.get(got[k].host, 0) > trust.get(got[k].host, 0) else "allow")
 
 
+def test_distrust_reaches_far_hosts(spark):
+    link = lambda *to: "".join(f'<a href="{t}">x</a>' for t in to)
+    rows = [(k, f"https://h{k}.com/", link(f"https://h{k - 1}.com/" if k else "https://bad.net/")) for k in range(14)]
+    rows += [(20, "https://bad.net/", None), (21, "https://good.org/fr/", link("https://mid.com/", *(f"https://leaf{k}.com/" for k in range(9))))]
+    rows += [(22, "https://mid.com/", link("https://bad.net/", "https://end.com/", "https://end.com/"))]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r for r in hosts.judge(df).collect()}
+    assert all(got[k].distrust > 0 and got[k].verdict == "block" for k in range(14))
+    edges = [tuple(r) for r in hosts.host_edges(df).collect()]
+    for kind, e, seed in (("trust", edges, {"good.org": 1}), ("distrust", [(b, a, w) for a, b, w in edges], {"bad.net": 1})):
+        want = rank(e, seed, 300)
+        assert all(abs(r[kind] - want.get(r.host, 0)) < 1e-8 for r in got.values())
+
+
 def test_no_pages(spark):
     assert hosts.judge(spark.createDataFrame([], "page_id long, url string, html string"), rounds=2).count() == 0
 
