@@ -24,8 +24,8 @@ def test_pieces(monkeypatch):
 def test_words(monkeypatch):
     model = language.Model.fit([("abc abd " * 9, "x"), ("ééd ceé " * 9, "y")])
     whole = language.Tagger(model)
-    want = [p.tolist() for p, _ in whole.paths(texts())]
+    want = [p.tolist() for p, *_ in whole.paths(texts())]
     monkeypatch.setattr(language, "CACHE_WORDS", 50)
     small = language.Tagger(model)
-    assert [p.tolist() for t in texts() for p, _ in small.paths([t])] == want
+    assert [p.tolist() for t in texts() for p, *_ in small.paths([t])] == want
     assert len(small.known) == len(small.score) == len(small.letters)
