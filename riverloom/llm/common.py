@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,13 +28,16 @@ def split_words(text: str | None) -> list[bytes]:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: ``spark.checkpoint.dir`` where the cluster names one.
 
-    It is set here only where it is unset, as in tests on one machine.
+    It is set here only where it is unset and driver and executors are one machine, as in tests. On a cluster an unset
+    folder is an error: a folder of the driver's machine would be no shared one.
     """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
         if known.isDefined():
             return str(known.get())
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="riverloom-")
         spark.sparkContext.setCheckpointDir(path)
     return path
@@ -44,7 +48,14 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/riverloom/{name}-{uuid.uuid4().hex}"
 
 
-_SCRATCH: list[list[str]] = []
+class _Scratches(threading.local):
+    """The open ``Scratch`` blocks of a thread: queries that run side by side delete only their own tables."""
+
+    def __init__(self):
+        self.open: list[list[str]] = []
+
+
+_SCRATCH = _Scratches()
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -55,8 +66,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = new_folder(spark, name)
-    if _SCRATCH:
-        _SCRATCH[-1].append(path)
+    if _SCRATCH.open:
+        _SCRATCH.open[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -69,18 +80,18 @@ class Scratch:
 
     def __enter__(self) -> Scratch:
         self.paths: list[str] = []
-        _SCRATCH.append(self.paths)
+        _SCRATCH.open.append(self.paths)
         return self
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
-        inner = _SCRATCH.pop()
+        inner = _SCRATCH.open.pop()
         try:
             return written(df, name)
         finally:
-            _SCRATCH.append(inner)
+            _SCRATCH.open.append(inner)
 
     def __exit__(self, *error) -> None:
-        _SCRATCH.pop()
+        _SCRATCH.open.pop()
         for path in self.paths:
             drop_folder(self.spark, path)
 

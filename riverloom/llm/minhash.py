@@ -1,9 +1,9 @@
 """Near-duplicates by dart-throwing weighted minimum hashes, banded joining and exact verification.
 
 A document is the multiset of its runs of five words; the similarity of two is the sum of the smaller counts over the
-sum of the larger ones, and 0.8 links them. Every unit of an element's weight is a region in which darts land, hashed
-from the element alone, so equal elements of two documents meet equal darts. A dart has a rank and a coordinate; a
-document keeps the earliest dart of each coordinate. Only darts up to a rank that leaves about TARGET of them per
+sum of the larger ones, and 0.8 links them. The weights of an element are cut into regions, each as wide as all below
+it, in which darts land, hashed from the element alone, so equal elements of two documents meet equal darts and a
+weight costs its logarithm. A dart has a rank and a coordinate; a document keeps the earliest dart of each coordinate. Only darts up to a rank that leaves about TARGET of them per
 document are thrown; a document with a coordinate still empty throws again up to twice that rank.
 
 Equal word sequences are one class before anything is joined. Bands of the signature then name buckets. In each bucket
@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riverloom.llm import common
@@ -34,7 +34,7 @@ COORDINATES = BANDS * ROWS
 #: Darts that a document throws at first: leaves no coordinate empty for most documents.
 TARGET = 900
 #: Words and documents of a block.
-BLOCK_WORDS, BLOCK = 256_000, 4096
+BLOCK_WORDS, BLOCK = 128_000, 512
 #: Words that one batch of array operations covers.
 BATCH_WORDS = 200_000
 
@@ -92,27 +92,34 @@ def counted(doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return doc[at], h[at], np.diff(np.append(at, len(h))).astype(np.float64)
 
 
-def signatures(doc: np.ndarray, h: np.ndarray, weight: np.ndarray, n: int, k: int = COORDINATES) -> np.ndarray:
-    """(n, k) earliest darts; doc ascending. All zeros for a document without elements. Weights may be any positive numbers."""
+def signatures(doc: np.ndarray, h: np.ndarray, weight: np.ndarray, n: int, k: int = COORDINATES, floor: float = 1.0) -> np.ndarray:
+    """(n, k) earliest darts; doc ascending. All zeros for a document without elements. Weights may be any positive numbers.
+
+    Regions of weight are [0, floor), [floor, 2 floor), [2 floor, 4 floor), ...; darts fall into a region in proportion
+    to its width, and count where they fall below the weight. ``floor`` must be the same for all documents that are
+    compared, and near the smallest weights: smaller ones cost in inverse proportion.
+    """
     table = np.full(n * k, np.iinfo(np.uint64).max, np.uint64)
     total = np.bincount(doc, weight, n)
     limit = np.where(total > 0, TARGET / np.maximum(total, 1e-300), 0)
     open_ = total > 0
     while open_.any():
         own = open_[doc]
-        d, e, w = doc[own], h[own], weight[own]
-        cells = np.ceil(w).astype(np.int64)
-        part = np.arange(int(cells.sum())) - np.repeat(np.cumsum(cells) - cells, cells)
-        d, e = np.repeat(d, cells), np.repeat(e, cells)
-        room = np.minimum(np.repeat(w, cells) - part, 1.0)  # how much of this region the weight covers
+        d, e, w = doc[own], h[own], weight[own] / floor
+        regions = 1 + np.ceil(np.log2(np.maximum(w, 1.0))).astype(np.int64)
+        part = np.arange(int(regions.sum())) - np.repeat(np.cumsum(regions) - regions, regions)
+        d, e = np.repeat(d, regions), np.repeat(e, regions)
+        width = np.where(part > 0, 2.0 ** (part - 1), 1.0)
+        room = np.minimum((np.repeat(w, regions) - np.where(part > 0, width, 0.0)) / width, 1.0)  # the share that counts
+        rate = width * floor
         state = mix(e + mix(part.astype(np.uint64) + _G))
         rank = np.zeros(len(d))
         while len(d):
             state = mix(state + _G)
             step = (state >> np.uint64(11)).astype(np.float64)
-            rank = rank - np.log((step + 1.0) / 2.0**53)
+            rank = rank - np.log((step + 1.0) / 2.0**53) / rate
             on = rank < limit[d]
-            d, rank, room, state = d[on], rank[on], room[on], state[on]
+            d, rank, room, rate, state = d[on], rank[on], room[on], rate[on], state[on]
             dart = mix(state ^ _M2)
             inside = room >= 1.0
             if not inside.all():
@@ -164,6 +171,11 @@ def _batches(column: pa.Array) -> Iterator[tuple[int, list[list[bytes]]]]:
 SIGNED = "doc_id long, digest binary, n_words long, bands array<long>"
 
 
+def word_digest(words: list[bytes]) -> bytes | None:
+    """Names a word sequence; None where there are no words."""
+    return hashlib.blake2b(b" ".join(words), digest_size=16).digest() if words else None
+
+
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = WordHashes()
     for batch in batches:
@@ -172,7 +184,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n = len(words)
             doc, h = elements(words, hashes)
             sig = signatures(*counted(doc, h), n)
-            digest = [hashlib.blake2b(b" ".join(w), digest_size=16).digest() if w else None for w in words]
+            digest = [word_digest(w) for w in words]
             yield pa.RecordBatch.from_pydict(
                 {
                     "doc_id": ids.slice(first, n),
@@ -185,6 +197,22 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     common.release()
 
 
+def with_digest(docs: DataFrame, text_col: str, name: str = "digest") -> DataFrame:
+    """``docs`` with the digest of each text's word sequence, null where it has no words."""
+    docs = docs.drop(name)
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), f"`{name}` binary"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, words in _batches(batch.column(text_col)):
+                part = batch.slice(first, len(words))
+                digest = pa.array([word_digest(w) for w in words], pa.binary())
+                yield pa.RecordBatch.from_arrays([*part.columns, digest], [*part.schema.names, name])
+        common.release()
+
+    return docs.mapInArrow(add, schema)
+
+
 def _lists(x: np.ndarray) -> pa.Array:
     n, k = x.shape
     return pa.ListArray.from_arrays(pa.array(np.arange(0, n * k + 1, k, dtype=np.int32)), pa.array(x.ravel()))
@@ -219,8 +247,8 @@ def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     over the lists of its own elements. A linked document is returned with the smallest one that it reaches.
     """
     hashes = WordHashes()
-    a: list[int] = []
-    b: list[int] = []
+    a: list[bytes] = []
+    b: list[bytes] = []
     for rows in common.groups(batches, KEY):
         n, low, high = len(rows), rows[0]["low"], rows[0]["high"]
         block = np.asarray([r["block"] for r in rows])
@@ -248,81 +276,120 @@ def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             root = common.roots(n, np.asarray(i), np.asarray(j))
             for k in sorted({*i, *j}):
                 if root[k] != k:
-                    a.append(rows[k]["doc_id"])
-                    b.append(rows[root[k]]["doc_id"])
-    yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+                    a.append(rows[k]["digest"])
+                    b.append(rows[root[k]]["digest"])
+    yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
     common.release()
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, class_id), one row per distinct id: the class is the smallest id of all near-duplicates linked to it.
 
-    Rows that repeat an id are one document: it has the links of all its texts. Null ids are left out. A text that is
-    null or has no words is like nothing and is its own class. Other columns are not read.
+    Rows that repeat an id are one document: it has the links of all its texts, and so links the classes of texts that
+    differ. Null ids are left out. A text that is null or has no words is like nothing and is its own class. A text of
+    fewer than five words is one run. Texts of any length are compared whole; similarities of exactly 0.8 link. An empty
+    table has no classes. Other columns are not read, whatever their names.
     """
     with common.Scratch(docs.sparkSession) as scratch:
-        return scratch.keep(_classes(docs, id_col, text_col), "classes")
-
-
-def _classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+        placed = common.written(text_classes(docs, id_col=id_col, text_col=text_col), "placed")
+        several = placed.where("component is not null").groupBy("doc_id")
+        several = several.agg(F.min("component").alias("a"), F.max("component").alias("z")).where("a <> z").select("doc_id", "a")
+        several = common.written(several, "several")
+        same = placed.join(several, "doc_id").select("a", F.col("component").alias("b")).where("a <> b")
+        merged = connected_components(same).select(F.col("id").alias("component"), F.col("component").alias("whole"))
+        placed = placed.join(merged, "component", "left").withColumn("whole", F.coalesce("whole", "component"))
+        placed = common.written(placed.select("doc_id", "whole"), "whole")
+        least = placed.where("whole is not null").groupBy("whole").agg(F.min("doc_id").alias("class_id"))
+        found = placed.join(common.written(least, "least"), "whole", "left").groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
+        return scratch.keep(found.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id")), "classes")
+
+
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay when one of each class of near-duplicate texts does: that with the smallest id.
+
+    Rows that repeat an id are judged each by its own text: those with texts of different classes are no duplicates. Of
+    rows that repeat an id and a word sequence the one stays whose text, then whose hash over all columns, is smallest.
+    Rows without an id take part in no class and stay; so do texts without words, once for each id and text.
+    """
+    own, digest = "__doc_id", "__digest"
+    docs_ = docs.withColumn(own, F.col(id_col).cast("long"))
+    classes = common.written(text_classes(docs, id_col=id_col, text_col=text_col), "placed")
+    first = F.min(F.struct("doc_id", "digest")).alias("x")
+    first = common.written(classes.where("component is not null").groupBy("component").agg(first), "first")
+    other = classes.join(first, "component").where("doc_id <> x.doc_id or digest <> x.digest")
+    gone = common.written(other.select(F.col("doc_id").alias(own), F.col("digest").alias(digest)), "gone")
+    again = common.written(docs_.where(F.col(own).isNotNull()).groupBy(own).count().where("count > 1").select(own), "repeated")
+    once = docs_.join(again, own, "left_anti").join(gone.select(own), own, "left_anti")
+    names = [own, digest]
+    more = with_digest(docs_.join(again, own, "left_semi"), text_col, digest).join(gone, names, "left_anti")
+    plain = [f.name for f in docs.schema.fields if "map" not in f.dataType.simpleString()]
+    line = Window.partitionBy(*names, F.when(F.col(digest).isNull(), F.col(text_col))).orderBy(text_col, F.xxhash64(*plain))
+    more = more.withColumn("__n", F.row_number().over(line)).where("__n = 1")
+    return once.select(*docs.columns).unionByName(more.select(*docs.columns))
+
+
+def text_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, digest, component), a row per distinct pair: the class of each different word sequence of each id.
+
+    A component is named by one of its digests; it is null, as the digest is, for texts without words.
+    """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
     signed = common.written(base.mapInArrow(_sign, SIGNED), "signed")
     some = signed.where("n_words > 0")
-    # Equal word sequences: the smallest id stands for all. Tables that tell a group's size, star or representative are
-    # written before they are joined, so the join is free to split a large group.
-    rep = common.written(some.groupBy("digest").agg(F.min("doc_id").alias("rep")), "digests")
-    member = common.written(some.select("doc_id", "digest").join(rep, "digest").select("doc_id", "rep", "digest"), "members")
-    chosen = rep.select(F.col("rep").alias("doc_id"), "digest")
-    rows = some.join(chosen, ["doc_id", "digest"]).select("doc_id", "n_words", F.posexplode("bands").alias("band", "h")).distinct()
+    # Equal word sequences are one node, named by their digest; the row with the smallest id stands for all. Tables that
+    # tell a group's size, star or representative are written before they are joined, so the join is free to split a
+    # large group.
+    rep = common.written(some.groupBy("digest").agg(F.min("doc_id").alias("doc_id")), "digests")
+    rows = some.join(rep, ["doc_id", "digest"]).select("digest", "n_words", F.posexplode("bands").alias("band", "h")).distinct()
     rows = common.written(rows, "bands")
     size = rows.groupBy("band", "h").agg(F.count("*").alias("n"), F.sum("n_words").alias("words"))
     size = common.written(size.where("n > 1"), "bucket-sizes")
     rows = common.written(rows.drop("n_words").join(size, ["band", "h"]), "buckets")
-    degree = common.written(rows.groupBy("doc_id").agg(F.sum("n").alias("degree")), "degrees")
-    best = F.max(F.struct("degree", (-F.col("doc_id")).alias("minus"))).alias("x")
-    star = rows.join(degree, "doc_id").groupBy("band", "h").agg(best).select("band", "h", (-F.col("x.minus")).alias("star"))
-    star = common.written(star, "stars")
-    pairs = rows.join(star, ["band", "h"]).where("star <> doc_id").select(F.col("star").alias("a"), F.col("doc_id").alias("b"))
-    texts = _texts(base, degree.select("doc_id"))
+    degree = common.written(rows.groupBy("digest").agg(F.sum("n").alias("degree")), "degrees")
+    star = rows.join(degree, "digest").groupBy("band", "h").agg(F.max(F.struct("degree", "digest")).alias("x"))
+    star = common.written(star.select("band", "h", F.col("x.digest").alias("star")), "stars")
+    pairs = rows.join(star, ["band", "h"]).where("star <> digest").select(F.col("star").alias("a"), F.col("digest").alias("b"))
+    texts = _texts(base, rep, degree.select("digest"))
     first = common.written(_verified(pairs.distinct(), texts), "linked")
     component = connected_components(first)
-    links = first.unionByName(_across(rows, component, texts))
-    links = links.unionByName(member.where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")))
-    classes = connected_components(links)
-    ids = signed.select("doc_id").distinct()
-    return ids.join(classes.withColumnRenamed("id", "doc_id"), "doc_id", "left").select(
-        "doc_id", F.coalesce("component", "doc_id").alias("class_id")
-    )
+    component = connected_components(first.unionByName(_across(rows, component, texts)))
+    placed = signed.select("doc_id", "digest").distinct()
+    placed = placed.join(component.select(F.col("id").alias("digest"), "component"), "digest", "left")
+    return placed.select("doc_id", "digest", F.coalesce("component", "digest").alias("component"))
+
 
+def _texts(base: DataFrame, rep: DataFrame, digests: DataFrame) -> DataFrame:
+    """(digest, text) of the word sequences that stand in a bucket, once each, from the rows that stand for them.
 
-def _texts(base: DataFrame, ids: DataFrame) -> DataFrame:
-    """The text of each id that stands in a bucket, once; an id's first text where rows repeat it."""
-    found = base.join(ids, "doc_id", "left_semi")
-    return common.written(found.groupBy("doc_id").agg(F.min("text").alias("text")), "texts")
+    An id that stands for a sequence may have other texts as well, so the digests of its texts are computed again.
+    """
+    ids = rep.join(digests, "digest", "left_semi").select("doc_id").distinct()
+    found = with_digest(base.join(ids, "doc_id", "left_semi").select("text"), "text").join(digests, "digest", "left_semi")
+    return common.written(found.groupBy("digest").agg(F.min("text").alias("text")), "texts")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Of pairs (a, b), those with a similarity of THRESHOLD or more."""
-    other = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    both = other.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a long, b long")
+    other = pairs.join(texts.select(F.col("digest").alias("b"), F.col("text").alias("text_b")), "b")
+    both = other.join(texts.select(F.col("digest").alias("a"), F.col("text").alias("text_a")), "a")
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a binary, b binary")
 
 
 def _across(rows: DataFrame, component: DataFrame, texts: DataFrame) -> DataFrame:
     """Links between members of different components of a bucket; buckets with the same members are looked at once."""
-    placed = rows.join(component.withColumnRenamed("id", "doc_id"), "doc_id", "left")
-    placed = common.written(placed.withColumn("component", F.coalesce("component", "doc_id")), "placed")
+    placed = rows.join(component.withColumnRenamed("id", "digest"), "digest", "left")
+    placed = common.written(placed.withColumn("component", F.coalesce("component", "digest")), "placed")
     wide = "decimal(38,0)"
     mixed = placed.groupBy("band", "h").agg(
         F.min("component").alias("x"),
         F.max("component").alias("y"),
-        F.sum(F.xxhash64("doc_id").cast(wide)).alias("s"),
-        F.sum(F.xxhash64(F.lit(1), "doc_id").cast(wide)).alias("t"),
+        F.sum(F.xxhash64("digest").cast(wide)).alias("s"),
+        F.sum(F.xxhash64(F.lit(1), "digest").cast(wide)).alias("t"),
     )
     mixed = mixed.where("x <> y").groupBy("s", "t").agg(F.min(F.struct("band", "h")).alias("z")).select("z.*")
     members = placed.join(common.written(mixed, "mixed"), ["band", "h"])
     blocks = F.greatest(F.ceil(F.col("words") / BLOCK_WORDS), F.ceil(F.col("n") / BLOCK))
-    dealt = common.in_blocks(members, blocks, "doc_id").join(texts, "doc_id")
-    dealt = dealt.select(*KEY, "block", "doc_id", "component", "text")
+    dealt = common.in_blocks(members, blocks, "digest").join(texts, "digest")
+    dealt = dealt.select(*KEY, "block", "digest", "component", "text")
     dealt = dealt.repartition(*KEY).sortWithinPartitions(*KEY)
-    return common.written(dealt.mapInArrow(_link, "a long, b long"), "across")
+    return common.written(dealt.mapInArrow(_link, "a binary, b binary"), "across")

@@ -79,14 +79,17 @@ select page_id, strlen(body)::bigint as payload_bytes,
 from p join f using (h) join b using (h)"""
 
 NEAR = f"""
-with recursive d as (select doc_id, {WORDS} as w from documents where doc_id is not null),
-run as (select doc_id, array_to_string(list_slice(w, s, s + 4), ' ') as g from (select doc_id, w, unnest(range(1, greatest(1, len(w) - 4) + 1)) as s from d where len(w) > 0)),
-c as (select doc_id, g, count(*) as n from run group by doc_id, g),
-total as (select doc_id, sum(n) as t from c group by doc_id),
-pair as (select x.doc_id as a, y.doc_id as b, sum(least(x.n, y.n)) as m from c x join c y on x.g = y.g and x.doc_id <> y.doc_id group by 1, 2),
-link as (select a, b from pair join total u on u.doc_id = a join total v on v.doc_id = b where m >= 0.8 * (u.t + v.t - m)),
-{COMPONENTS.strip()}
-select doc_id, least(doc_id, coalesce(root, doc_id)) as class_id from (select distinct doc_id from d) left join reach on reach.id = doc_id"""
+with recursive d as (select row_number() over () as r, doc_id, {WORDS} as w from documents where doc_id is not null),
+run as (select r, array_to_string(list_slice(w, s, s + 4), ' ') as g from (select r, w, unnest(range(1, greatest(1, len(w) - 4) + 1)) as s from d where len(w) > 0)),
+c as (select r, g, count(*) as n from run group by r, g),
+total as (select r, sum(n) as t from c group by r),
+pair as (select x.r as a, y.r as b, sum(least(x.n, y.n)) as m from c x join c y on x.g = y.g and x.r <> y.r group by 1, 2),
+link as (select a, b from pair join total u on u.r = a join total v on v.r = b where m >= 0.8 * (u.t + v.t - m)
+  union select x.r, y.r from d x join d y on x.doc_id = y.doc_id and x.r <> y.r),
+{COMPONENTS.strip()},
+placed as (select doc_id, coalesce(root, r) as root from d left join reach on reach.id = r),
+least as (select root, min(doc_id) as class_id from placed group by root)
+select doc_id, min(class_id) as class_id from placed join least using (root) group by doc_id"""
 
 
 def oracle_sql() -> dict[str, str]:

@@ -88,6 +88,51 @@ def test_near_duplicates_of_repeated_null_and_absent_ids(spark):
     assert minhash.near_duplicates(df.limit(0)).count() == 0
 
 
+def changed(text, k):
+    words = text.split()
+    words[k] = "changed"
+    return " ".join(words)
+
+
+@pytest.mark.parametrize("swap", [False, True])
+def test_repeated_ids_have_the_links_of_all_their_texts(spark, swap):
+    a, b = (" ".join(f"{c}{i}" for i in range(60)) for c in ("zy" if swap else "ab"))
+    rows = [(5, a), (5, b), (6, changed(b, 20)), (7, changed(a, 3)), (8, "else"), (8, None), (9, None), (8, a.upper() + "!")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert partition_of(minhash.near_duplicates(df).collect()) == {5: 5, 6: 5, 7: 5, 8: 5, 9: 9}
+
+
+def test_near_duplicates_of_repeated_ids_are_those_of_all_pairs(spark):
+    rng = random.Random(9)
+    docs = [(rng.randrange(60), t) for _, t in corpus(4)]
+    got = partition_of(minhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect())
+    links = [(i, j) for i, a in docs for j, b in docs if i != j and similarity(a, b) >= 0.8]
+    assert got == union({i for i, _ in docs}, links)
+
+
+def test_one_row_of_each_class_stays(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(5, a, 1), (5, b, 2), (6, changed(b, 20), 3), (7, changed(a, 3), 4), (2, c, 5), (2, c, 6), (2, c + "!", 7), (3, c, 8), (None, a, 9), (None, a, 10), (4, None, 11), (4, None, 12), (4, "", 13), (1, "...", 14)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, component int")
+    kept = [tuple(r) for r in minhash.keep_one(df).collect()]
+    assert sorted((r[0] or 0, r[1] or "") for r in kept) == sorted([(5, a), (5, b), (2, c), (0, a), (0, a), (4, ""), (4, ""), (1, "...")])
+    assert sorted(kept, key=str) == sorted((tuple(r) for r in minhash.keep_one(df.repartition(7)).collect()), key=str)
+    assert minhash.keep_one(df.limit(0)).count() == 0
+
+
+def test_near_duplicates_of_long_texts_and_ties(spark):
+    rng = random.Random(2)
+    long = [f"w{rng.randrange(50_000)}" for _ in range(120_000)]
+    near = [w if k % 50 else "x" + w for k, w in enumerate(long)]
+    base = [f"t{k}" for k in range(40)]  # 36 runs: 32 shared ones of 40 are 0.8 exactly, 31 of 41 less
+    tie, less = [*base[:36], "u1", "u2", "u3", "u4"], [*base[:35], "v1", "v2", "v3", "v4", "v5"]
+    texts = [" ".join(t) for t in (long, near, base, tie, less)]
+    assert similarity(texts[2], texts[3]) == 0.8 > similarity(texts[2], texts[4])
+    got = partition_of(minhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect())
+    links = [(i, j) for i, a in enumerate(texts) for j, b in enumerate(texts) if i < j and similarity(a, b) >= 0.8]
+    assert got == union(range(5), links) and got[1] == 0 and got[3] == 2
+
+
 def test_links_that_no_star_shows(spark):
     """Members that are near each other but not to the best connected one are linked, too."""
     rng = random.Random(5)
@@ -136,6 +181,27 @@ def test_signatures_of_fractional_weights():
     assert abs((sig[0] == sig[1]).mean() - 0.5) < 0.05
 
 
+@pytest.mark.parametrize("scale", [1.0, 2.0**-10, 1000.0])
+def test_signatures_of_uneven_weights(scale):
+    """Weights from a fourth to hundreds, at any scale: coordinates agree as often as the weighted similarity says."""
+    rng = np.random.default_rng(4)
+    n = 300
+    h = np.tile(minhash.mix(np.arange(n).astype(np.uint64)), 2)
+    x, y = rng.choice([0.25, 0.7, 1, 2, 3.5, 8, 300], n) * scale, rng.choice([0.25, 1, 2.5, 9, 250], n) * scale
+    sig = minhash.signatures(np.repeat(np.arange(2), n), h, np.concatenate([x, y]), 2, k=4000, floor=0.25 * min(scale, 1))
+    assert abs((sig[0] == sig[1]).mean() - np.minimum(x, y).sum() / np.maximum(x, y).sum()) < 0.04
+
+
+def test_the_cost_of_a_weight_is_its_logarithm(monkeypatch):
+    """The darts thrown for one element of a huge weight, or of a tiny one above the floor, are about TARGET."""
+    thrown = []
+    plain = minhash.mix
+    monkeypatch.setattr(minhash, "mix", lambda x: (thrown.append(len(x)), plain(x))[1])
+    for weight, floor in ((1.0, 1.0), (1e6, 1.0), (1e-3, 1e-3)):
+        thrown.clear()
+        minhash.signatures(np.zeros(1, np.int64), np.array([5], np.uint64), np.array([weight]), 1, floor=floor)
+        assert sum(thrown) < 40_000
+
 def vectors(seed=0):
     rng = np.random.default_rng(seed)
     rows = []
