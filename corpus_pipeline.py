@@ -27,18 +27,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates: that with the smallest id; of rows that repeat its id, one.
-
-    Rows without an id take part in no class and stay.
-    """
+    """One document of each class of near-duplicates: that with the smallest id; see ``minhash.keep_one``."""
     common.wide_rows(spark)
-    classes = minhash.near_duplicates(docs)
-    gone = common.written(classes.where("doc_id <> class_id").select("doc_id"), "duplicates")
-    kept = docs.join(gone, "doc_id", "left_anti")
-    again = common.written(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
-    once = kept.join(again, "doc_id", "left_anti")
-    first = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return once.unionByName(first).select(*docs.columns)
+    return minhash.keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
