@@ -2,7 +2,8 @@
 
 Rules decide the urls that they fit. For the rest, trust flows from the hosts of allowed urls along links and distrust
 from the hosts of blocked urls against them (who links to a bad host is bad), both as personalised PageRank over
-weighted host edges; a host whose distrust exceeds its trust by the threshold is blocked. Everything is Spark SQL.
+weighted host edges of mass one each; a host of whose trust and distrust more than the threshold is distrust is blocked.
+Everything is Spark SQL.
 """
 
 from __future__ import annotations
@@ -15,10 +16,13 @@ from pyspark.sql import functions as F
 from riverloom.llm import common
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Share of rank that follows links, rounds of propagation between two tests of convergence, and how far distrust must exceed trust to block a host.
-DAMPING, ROUNDS, MARGIN = 0.85, 10, 0.0
+#: Share of rank that follows links, and rounds of propagation between two tests of convergence.
+DAMPING, ROUNDS = 0.85, 10
+#: A host is blocked where distrust is more than this share of its trust and distrust: the two kinds have equal masses,
+#: so at one half a host goes where more of the blocked seeds' mass than of the trusted ones' reaches it.
+THRESHOLD = 0.5
 #: Ranks have converged when a round moves less than this in each kind.
-TOLERANCE = 1e-9
+TOLERANCE = 1e-7
 #: Links in a page: absolute or scheme-relative targets of href attributes.
 LINK = r"""(?i)href\s*=\s*["']?\s*((?:https?:)?//[^\s"'<>]+)"""
 
@@ -82,21 +86,24 @@ def host_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
 def propagate(edges: DataFrame, seeds: DataFrame, *, damping: float = DAMPING, rounds: int | None = None) -> DataFrame:
     """(kind, host, score) by personalised PageRank from ``seeds`` (kind, host, weight) over (kind, src, dst, weight).
 
-    A kind's seeds share a mass of one by weight and all rank that does not follow a link returns to them. Rank of
-    hosts without links out is lost in a round, which changes no order between hosts of one kind; the kinds lose
-    different masses, which ``judge`` does not make up for. There are as many ``rounds`` as given, else until they move less than TOLERANCE. Every round joins rank with the
-    edges, is summed by target with partial aggregation, and is written to the shared folder.
+    A kind's seeds share a mass of one by weight, and all rank that does not follow a link returns to them, that of hosts
+    without links out included: each kind's scores sum to one in every round, so kinds can be compared. There are as
+    many ``rounds`` as given, else until they move less than TOLERANCE. Every round joins rank with the edges, is summed
+    by target with partial aggregation, and is written to the shared folder. No seeds give no scores.
     """
     total = edges.groupBy("kind", "src").agg(F.sum("weight").alias("total"))
     steps = common.written(edges.join(total, ["kind", "src"]).select("kind", "src", "dst", (F.col("weight") / F.col("total")).alias("p")), "edges")
+    linking = common.written(steps.select("kind", F.col("src").alias("host")).distinct(), "linking")
     mass = seeds.groupBy("kind").agg(F.sum("weight").alias("mass"))
     start = common.written(seeds.join(mass, "kind").select("kind", "host", (F.col("weight") / F.col("mass")).alias("score")), "seeds")
 
     def moved(rank: DataFrame) -> DataFrame:
         to = rank.withColumnRenamed("host", "src").join(steps, ["kind", "src"])
         to = to.select("kind", F.col("dst").alias("host"), (F.col("score") * F.col("p") * damping).alias("score"))
-        back = start.select("kind", "host", (F.col("score") * (1 - damping)).alias("score"))
-        return to.unionByName(back).groupBy("kind", "host").agg(F.sum("score").alias("score"))
+        ends = rank.join(linking, ["kind", "host"], "left_anti").groupBy("kind").agg(F.sum("score").alias("ends"))  # a row per kind
+        back = F.lit(1 - damping) + F.lit(damping) * F.coalesce("ends", F.lit(0.0))
+        home = start.join(ends, "kind", "left").select("kind", "host", (F.col("score") * back).alias("score"))
+        return to.unionByName(home).groupBy("kind", "host").agg(F.sum("score").alias("score"))
 
     rank = start
     if rounds is not None:
@@ -139,21 +146,23 @@ def judge(
     *,
     url_col: str = "url",
     html_col: str = "html",
-    margin: float = MARGIN,
+    threshold: float = THRESHOLD,
     rounds: int | None = None,
 ) -> DataFrame:
     """``pages`` without their html, with host, path, rule, trust, distrust and verdict.
 
-    The verdict is the rule's, else ``block`` where the host's distrust exceeds its trust by more than ``margin``, else
-    ``allow``. Null urls and urls without :// have an empty host and path and are allowed. Repeated rows are judged
-    alike; columns of ``pages`` named like new ones are replaced. Host scores meet the pages by a join on the host
+    The verdict is the rule's, else ``block`` where distrust is more than ``threshold`` of the host's trust and distrust,
+    else ``allow``: a tie at one half and hosts that nothing reaches are allowed. Null urls and urls without :// have an
+    empty host and path and are allowed. A null html has no links; one of any length is read whole. Repeated rows are
+    judged alike, and their links count as often. An empty table gives an empty one. Other columns stay; those of
+    ``pages`` named like new ones are replaced. Host scores meet the pages by a join on the host
     that broadcasts them where they are small and is split by adaptive execution where one host has most pages.
     """
     with common.Scratch(pages.sparkSession) as scratch:
         scores = scratch.keep(host_scores(pages, rules, url_col=url_col, html_col=html_col, rounds=rounds), "host-scores")
     slim = judged(pages.drop(html_col, "host", "path", "rule", "verdict", "trust", "distrust"), rules, url_col)
     found = slim.join(scores, "host", "left")
-    method = F.when(F.coalesce(F.col("distrust") - F.col("trust"), F.lit(0.0)) > margin, "block").otherwise("allow")
+    method = F.when(F.col("distrust") > threshold * (F.col("trust") + F.col("distrust")), "block").otherwise("allow")
     names = [c for c in slim.columns if c not in ("host", "path", "rule", "__action")]
     zero = lambda c: F.coalesce(c, F.lit(0.0)).alias(c)
     return found.select(*names, "host", "path", "rule", zero("trust"), zero("distrust"), F.coalesce("__action", method).alias("verdict"))

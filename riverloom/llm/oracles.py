@@ -13,33 +13,40 @@ walk as (select a as id, b as root from link union select walk.id, link.b from w
 reach as (select id, min(root) as root from walk group by id)"""
 
 
-def hosts_sql(rounds: int = hosts.ROUNDS, damping: float = hosts.DAMPING) -> str:
+#: Rounds after which less than 1e-10 of the rank can still move.
+HOST_ROUNDS = 142
+
+
+def hosts_sql(rounds: int = HOST_ROUNDS, damping: float = hosts.DAMPING) -> str:
     cases = "\n".join(
         f"when (host = '{r.host}' or ends_with(host, '.{r.host}')) and starts_with(path, '{r.path}') then '{r.text}|{r.action}'"
         for r in sorted(hosts.RULES, key=lambda r: -len(r.text))
     )
     host = lambda c: f"translate(regexp_extract({c}, '://([^/?#]*)', 1), '{hosts.UPPER}', '{hosts.LOWER}')"
-    steps = "".join(
-        f"""
-r{k + 1} as (select kind, host, sum(score) as score from (
-  select s.kind, s.dst as host, r.score * s.p * {damping} as score from r{k} r join step s on s.kind = r.kind and s.src = r.host
-  union all select kind, host, score * {1 - damping} from r0) group by kind, host),"""
-        for k in range(rounds)
-    )
     return f"""
-with p as (select page_id, html, coalesce({host("url")}, '') as host,
+with recursive p as (select page_id, html, coalesce({host("url")}, '') as host,
   coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') as path from pages),
 j as (select page_id, html, host, path, case {cases} end as fit from p),
-links as (select host as src, {host("t.x")} as dst from (select host, unnest(regexp_extract_all(html, 'href\\s*=\\s*["'']?\\s*((?:https?:)?//[^\\s"''<>]+)', 1, 'i')) as x from p) t),
+links as (select host as src, translate(regexp_extract(x, '//([^/?#]*)', 1), '{hosts.UPPER}', '{hosts.LOWER}') as dst
+  from (select host, unnest(regexp_extract_all(html, 'href\\s*=\\s*["'']?\\s*((?:https?:)?//[^\\s"''<>]+)', 1, 'i')) as x from p) t),
 edge as (select src, dst, count(*)::double as w from links where src <> '' and dst <> '' and src <> dst group by src, dst),
 both_ways as (select 'trust' as kind, src, dst, w from edge union all select 'distrust', dst, src, w from edge),
-step as (select kind, src, dst, w / sum(w) over (partition by kind, src) as p from both_ways),
+step as materialized (select kind, src, dst, w / sum(w) over (partition by kind, src) as p from both_ways),
+linking as materialized (select distinct kind, src as host from step),
 seed as (select case when ends_with(fit, '|allow') then 'trust' else 'distrust' end as kind, host, count(*)::double as w from j where fit is not null group by 1, 2),
-r0 as (select kind, host, w / sum(w) over (partition by kind) as score from seed),{steps}
-score as (select host, coalesce(sum(score) filter (where kind = 'trust'), 0) as trust, coalesce(sum(score) filter (where kind = 'distrust'), 0) as distrust from r{rounds} group by host)
+r0 as materialized (select kind, host, w / sum(w) over (partition by kind) as score from seed),
+r as (select 0 as k, kind, host, score from r0 union all
+  select k, kind, host, sum(score) as score from (
+    select r.k + 1 as k, r.kind, s.dst as host, r.score * s.p * {damping} as score from r join step s on s.kind = r.kind and s.src = r.host where r.k < {rounds}
+    union all
+    select m.k + 1, r0.kind, r0.host, r0.score * (1 - {damping} + {damping} * m.ends) from r0 join (
+      select r.k, r.kind, sum(case when l.host is null then r.score else 0 end) as ends from r left join linking l on l.kind = r.kind and l.host = r.host
+      where r.k < {rounds} group by r.k, r.kind) m on m.kind = r0.kind) group by k, kind, host),
+score as (select host, coalesce(sum(score) filter (where kind = 'trust'), 0) as trust, coalesce(sum(score) filter (where kind = 'distrust'), 0) as distrust
+  from r where k = {rounds} group by host)
 select page_id, j.host, path, nullif(split_part(fit, '|', 1), '') as rule,
-  case when fit is not null then split_part(fit, '|', 2) when coalesce(distrust - trust, 0) > {hosts.MARGIN} then 'block' else 'allow' end as verdict,
-  round(coalesce(trust, 0), 9) as trust, round(coalesce(distrust, 0), 9) as distrust
+  case when fit is not null then split_part(fit, '|', 2) when distrust > {hosts.THRESHOLD} * (trust + distrust) then 'block' else 'allow' end as verdict,
+  round(coalesce(trust, 0), 5) as trust, round(coalesce(distrust, 0), 5) as distrust
 from j left join score on j.host = score.host"""
 
 

@@ -38,7 +38,7 @@ def op1_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = hosts.judge(common.table(spark, sf_dir, "pages"))
-    scores = [F.round(c, 9).alias(c) for c in ("trust", "distrust")]
+    scores = [F.round(c, 5).alias(c) for c in ("trust", "distrust")]
     return found.select("page_id", "host", "path", "rule", "verdict", *scores)
 
 
