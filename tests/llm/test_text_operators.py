@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime
 import hashlib
+import hmac
 import random
 import re
 
@@ -227,8 +228,12 @@ def test_license_files_with_their_titles_and_full_texts(spark):
 KEY = "k"
 
 
+def keyed(kind, turn, half):
+    return hmac.new(KEY.encode(), f"{kind}|{turn}|{half}".encode(), "sha256").hexdigest()
+
+
 def shift(half, other, turn, alphabet, kind):
-    text = "".join(hashlib.sha256(f"{KEY}|{kind}|{turn * 100 + i}|{other}".encode()).hexdigest() for i in range((len(half) - 1) // 16 + 1))
+    text = "".join(keyed(kind, turn * 100 + i, other) for i in range((len(half) - 1) // 16 + 1))
     return "".join(alphabet[(alphabet.index(c) + int(text[4 * i : 4 * i + 4], 16)) % len(alphabet)] for i, c in enumerate(half))
 
 
@@ -259,39 +264,119 @@ def test_pseudonyms_of_valid_values_only(spark):
     assert got == [(t, 0, []) for t in keep] + [(None, 0, [])]
 
 
+def valid_ssn(d):
+    return not (d[:3] in ("000", "666") or d[0] == "9" or d[3:5] == "00" or d[5:] == "0000")
+
+
+def north_american(d):
+    return bool(re.fullmatch("[2-9][0-9]{2}[2-9][0-9]{6}", d))
+
+
+def walked(value, kind, valid):
+    now = feistel(value, kind)
+    while valid(now) != valid(value):
+        now = feistel(now, kind)
+    return now
+
+
+def mail_of(x):
+    head, last = x.lower().rsplit(".", 1)
+    new = iter(feistel(re.sub("[^a-z0-9]", "", head), "email", pseudonyms.LOWER))
+    return "".join(next(new) if c in pseudonyms.LOWER else c for c in head) + f".{last}.invalid"
+
+
 def test_pseudonyms_equal_the_plain_computation(spark):
-    text = "x 4845168114407329, 4845-1681-1440-7329 +1 (017) 555-7713 10.0.0.1 123-45-6789 a.b@c.example.com end"
+    text = "x 4845168114407329, 4845-1681-1440-7329 +1 (017) 555-7713 10.0.0.1 123-45-6789 a.B@c.example.com end"
     ((out, n, kinds),) = pseudonymised(spark, [text])
     card = "4" + feistel("84516811440732"[:14], "card")
     card += str((10 - luhn(card + "0")) % 10)
-    phone = feistel("0175557713", "phone")
+    phone = walked("0175557713", "phone", north_american)
     bits = feistel("0a000001", "ip", pseudonyms.HEX)
     ip = ".".join(str(int(bits[k : k + 2], 16)) for k in (0, 2, 4, 6))
-    ssn = feistel("123456789", "ssn")
-    mail = "u" + hashlib.sha256(f"{KEY}|email|0|a.b@c.example.com".encode()).hexdigest()[:12] + "@example.invalid"
+    ssn = walked("123456789", "ssn", valid_ssn)
     groups = "-".join(card[k : k + 4] for k in (0, 4, 8, 12))
-    want = f"x {card}, {groups} +1 ({phone[:3]}) {phone[3:6]}-{phone[6:]} {ip} {ssn[:3]}-{ssn[3:5]}-{ssn[5:]} {mail} end"
+    want = f"x {card}, {groups} +1 ({phone[:3]}) {phone[3:6]}-{phone[6:]} {ip} {ssn[:3]}-{ssn[3:5]}-{ssn[5:]} {mail_of('a.b@c.example.com')} end"
     assert out == want and n == 6 and kinds == ["card", "email", "ip", "phone", "ssn"]
     assert luhn(card) == 0
 
 
+def test_phones_are_linked_whatever_their_spelling(spark):
+    same = ["+1 415 555 2671", "+14155552671", "+1 (415) 555-2671", "(415) 555-2671", "415-555-2671", "415.555.2671", "(415)555-2671"]
+    got = pseudonymised(spark, [*same, "+49 30 1234567", "+49301234567", "+351 21 123 4567", "+351211234567", "x415-555-2671", "415-555-2671-3"])
+    digits = [re.sub("[^0-9]", "", t) for t, _, _ in got]
+    phone = walked("4155552671", "phone", north_american)
+    assert digits[:7] == ["1" + phone] * 3 + [phone] * 4 and north_american(phone)
+    assert digits[7] == digits[8] == "49" + walked("301234567", "phone", lambda _: False)
+    assert digits[9] == digits[10] == "351" + walked("211234567", "phone", lambda _: False)
+    assert [n for _, n, _ in got] == [1] * 11 + [0] * 2
+
+
+def test_social_security_numbers_stay_valid(spark):
+    rng = random.Random(1)
+    drawn = (f"{rng.randrange(10**9):09d}" for _ in range(400))
+    values = sorted({d for d in drawn if valid_ssn(d)})
+    got = [re.sub("-", "", t) for t, _, _ in pseudonymised(spark, [f"{d[:3]}-{d[3:5]}-{d[5:]}" for d in values])]
+    assert got == [walked(d, "ssn", valid_ssn) for d in values] and all(map(valid_ssn, got)) and len(set(got)) == len(values)
+
+
+def test_addresses_of_any_length(spark):
+    long, longer = "a" * 70 + "@b.example.com", "A" * 3000 + "@b.example.com"
+    got = pseudonymised(spark, [long, longer, "Mail Q.X@Y.ORG, q.x@y.org!"])
+    assert got[0][0] == mail_of(long) and len(got[0][0]) == len(long) + 8
+    assert got[1][0] == f"u{keyed('email', 0, longer.lower())}@example.invalid"
+    assert got[2][0] == f"Mail {mail_of('q.x@y.org')}, {mail_of('q.x@y.org')}!" and got[2][1] == 2
+
+
+def test_the_key_is_in_no_plan(spark):
+    df = spark.createDataFrame([("call +14155552671",)], "text string")
+    out = pseudonyms.pseudonymise(df, "a very secret key")
+    plan = out._jdf.queryExecution().toString()
+    inner = pseudonyms.pads("a very secret key")[0]
+    assert out.first().n_pseudonyms == 1 and "__key" in plan
+    assert "a very secret key" not in plan and inner.hex() not in plan.lower() and inner.decode("latin1") not in plan
+    assert pseudonyms.pseudonymise(df, "other").first().text != out.first().text
+    assert pseudonyms.pseudonymise(df.limit(0), "k").count() == 0
+
+
+def day_of(date):
+    a, b = pseudonyms.DAYS
+    left, right = divmod((date - datetime.date(1900, 1, 1)).days, b)
+    for turn in range(1, pseudonyms.ROUNDS + 1):
+        if turn % 2:
+            right = (right + int(keyed("date", turn, str(left))[:12], 16)) % b
+        else:
+            left = (left + int(keyed("date", turn, str(right))[:12], 16)) % a
+    return datetime.date(1900, 1, 1) + datetime.timedelta(days=left * b + right)
+
+
 def test_pseudonyms_of_dates_are_a_permutation(spark):
     first = datetime.date(1900, 1, 1)
     days = [first + datetime.timedelta(days=k) for k in range(0, 73049, 61)]
     got = [r[0] for r in pseudonymised(spark, [d.isoformat() for d in days])]
     found = [datetime.date.fromisoformat(x) for x in got]
-    assert len(set(found)) == len(days) and all(1900 <= d.year <= 2099 for d in found)
-    assert found != days
+    assert found == [day_of(d) for d in days] and len(set(found)) == len(days)
+    assert len({day_of(first + datetime.timedelta(days=k)) for k in range(73049)}) == 73049
     assert [r[0] for r in pseudonymised(spark, [days[5].strftime("%d.%m.%Y"), days[5].strftime("%Y/%m/%d")])] == [found[5].strftime("%d.%m.%Y"), found[5].strftime("%Y/%m/%d")]
 
 
+def iban_of(flat):
+    account = flat[4:]
+    new = iter(feistel(re.sub("[^0-9]", "", account), "iban"))
+    account = "".join(next(new) if c.isdigit() else c for c in account)
+    rest = int("".join(str(int(c, 36)) for c in account + flat[:2] + "00")) % 97
+    return f"{flat[:2]}{98 - rest:02d}{account}"
+
+
 def test_ibans_stay_valid_and_equal_values_stay_linked(spark):
-    got = pseudonymised(spark, ["DE89 3704 0044 0532 0130 00", "pay DE89370400440532013000 now", "GB82 WEST 1234 5698 7654 32"])
-    plain = [re.sub(" ", "", t) for t in (got[0][0], got[1][0][4:-4], got[2][0])]
-    assert plain[0] == plain[1] and got[0][0][:2] == "DE" and plain[2][4:8] == "WEST"
-    for x in plain:
-        assert int("".join(str(int(c, 36)) for c in x[4:] + x[:4])) % 97 == 1
-    assert got[0][0].count(" ") == 5
+    values = ["DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32", "FR14 2004 1010 0505 0001 3M02 606", "MT84 MALT 0110 0001 2345 MTLC AST0 01S", "NO93 8601 1117 947"]
+    got = pseudonymised(spark, [*values, *(f"to {v.replace(' ', '')} NOW 12" for v in values), *(f"PAY {v} THIS AB12" for v in values)])
+    n = len(values)
+    for k, v in enumerate(values):
+        want = iban_of(v.replace(" ", ""))
+        spaced, flat, amid = got[k][0], got[n + k][0], got[2 * n + k][0]
+        assert (spaced.replace(" ", ""), flat, amid) == (want, f"to {want} NOW 12", f"PAY {spaced} THIS AB12"), v
+        assert [len(g) for g in spaced.split(" ")] == [len(g) for g in v.split(" ")]
+        assert int("".join(str(int(c, 36)) for c in want[4:] + want[:4])) % 97 == 1
 
 
 def test_values_beside_others_are_found(spark):
@@ -302,8 +387,8 @@ def test_values_beside_others_are_found(spark):
 def test_short_digit_strings_are_permuted(spark):
     for n in (1, 2, 3):
         values = [str(k).zfill(n) for k in range(10**n)]
-        df = spark.createDataFrame([(v,) for v in values], "d string")
-        got = [r[0] for r in df.select(pseudonyms.feistel(F.col("d"), KEY, "t")).collect()]
+        df = pseudonyms.with_key(spark.createDataFrame([(v,) for v in values], "d string"), KEY)
+        got = [r[0] for r in df.select(pseudonyms.feistel(F.col("d"), F.col("__key"), "t")).collect()]
         assert sorted(got) == values
 
 
