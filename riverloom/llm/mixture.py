@@ -6,6 +6,9 @@ source's blocks are handed to its shards the same way. Only the blocks near the
 a party's number of blocks differs from its exact share by less than a bound that follows from its share, so all below
 is certain. Within a shard, documents lie in a seeded order; a quota goes through them as often as it fills the whole
 shard, and its last, partial round takes the first blocks. Everything is Spark SQL.
+
+Windows without a key run over one row per source; those by source over one row per shard, which is one for about a
+million tokens, and the few rows of the race for each. All larger tables are shuffled by source and shard.
 """
 
 from __future__ import annotations
@@ -15,8 +18,8 @@ from pyspark.sql import functions as F
 
 from riverloom.llm import common
 
-#: Tokens of a block, and about how many tokens a shard of a source has.
-BLOCK, SHARD = 64, 1_000_000
+#: Most tokens of a block, least blocks of a source that has a target, and about how many tokens a shard of a source has.
+BLOCK, LEAST_BLOCKS, SHARD = 64, 8, 1_000_000
 
 
 def n_words(text: str | Column) -> Column:
@@ -24,6 +27,11 @@ def n_words(text: str | Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
+def row_hash(df: DataFrame, seed: int) -> Column:
+    """A seeded hash of all columns of a row that can be hashed: rows that share an id, or have none, are spread."""
+    return F.xxhash64(F.lit(seed), *[F.col(f"`{f.name}`") for f in df.schema.fields if "map<" not in f.dataType.simpleString()])
+
+
 def sainte_lague(parties: DataFrame, votes: str, seats: str, order: list[str], by: list[str] | None = None) -> DataFrame:
     """``parties`` with a column ``won``: how many of ``seats`` each wins by the highest quotients votes / (2 k + 1).
 
@@ -87,23 +95,28 @@ def mix(
 ) -> DataFrame:
     """``docs`` with size, source_size, target and taken (tokens that the mix takes, repeats counted).
 
-    ``size`` is a column of whole numbers, by default the words of the text. Sources that are null share a target of
-    their own. Documents without tokens are kept with taken 0. Repeated rows are documents like others. Columns of
-    ``docs`` that are named like the new ones are replaced. A source's shards follow from a hash of the ids, so a
-    source of any size is spread; reruns give the same.
+    ``size`` is a column of whole numbers, by default the words of the text, however long. Sources that are null share a
+    target of their own. Documents without tokens are kept with taken 0; an empty table gives an empty one. Rows that
+    repeat are documents like others; between rows that agree in all columns it is open which of them is taken. Columns
+    of ``docs`` that are named like the new ones are replaced. A block has at most ``block`` tokens, and so few that the
+    smallest target has LEAST_BLOCKS of them, or one token. A source's shards and the order within them follow from a
+    hash of the rows, so a source of any size is spread, whatever its ids, and reruns give the same.
     """
     size = n_words(text_col) if size is None else size
     new = ["size", "source_size", "target", "taken"]
     base = docs.withColumn("__size", F.coalesce(size.cast("long"), F.lit(0).cast("long")))
     base = base.withColumn("__source", F.col(source_col).cast("string"))
-    base = base.withColumn("__hash", F.xxhash64(F.lit(seed), F.col(id_col)))
+    base = base.withColumn("__hash", row_hash(docs, seed))
     sizes = base.groupBy(F.col("__source").alias("source")).agg(F.sum("__size").alias("source_size"))
     plan = common.written(targets(sizes, weights, cap), "sources")
-    plan = plan.withColumn("__seats", F.round(F.sum("target").over(Window.partitionBy(F.lit(0))) / block).cast("long"))
+    all_ = Window.partitionBy(F.lit(0))
+    fewest = F.floor(F.min(F.when(F.col("target") > 0, F.col("target"))).over(all_) / LEAST_BLOCKS)
+    plan = plan.withColumn("__block", F.greatest(F.lit(1), F.least(F.lit(block), fewest)).cast("long"))
+    plan = plan.withColumn("__seats", F.round(F.sum("target").over(all_) / F.col("__block")).cast("long"))
     plan = sainte_lague(plan, "target", "__seats", ["source"])
     plan = plan.withColumn("__shards", F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard)).cast("long"))
     plan = common.written(plan.withColumnRenamed("won", "__blocks"), "quotas")
-    own = plan.select(F.col("source").alias("__name"), "source_size", "target", "__shards", "__blocks")
+    own = plan.select(F.col("source").alias("__name"), "source_size", "target", "__shards", "__block", "__blocks")
     placed = base.drop(*[c for c in new if c in base.columns]).join(own, common.same(F.col("__source"), F.col("__name")))
     placed = placed.withColumn("__shard", F.pmod("__hash", "__shards")).drop("__name", "__shards")
     shards = placed.groupBy("__source", "__shard", "__blocks").agg(F.sum("__size").alias("__tokens"))
@@ -114,7 +127,7 @@ def mix(
     on = common.same(F.col("__source"), F.col("___source")) & (F.col("__shard") == F.col("___shard"))
     line = Window.partitionBy("__source", "__shard").orderBy("__hash", id_col, "__size").rowsBetween(Window.unboundedPreceding, -1)
     dealt = placed.drop("__blocks").join(quota, on).withColumn("__at", F.coalesce(F.sum("__size").over(line), F.lit(0)))
-    amount = F.least(F.col("__quota") * block, F.floor(F.lit(float(cap)) * F.col("__tokens")))
+    amount = F.least(F.col("__quota") * F.col("__block"), F.floor(F.lit(float(cap)) * F.col("__tokens")))
     rounds = F.when(F.col("__tokens") > 0, F.floor(amount / F.col("__tokens"))).otherwise(F.lit(0)).cast("long")
     rest = amount - rounds * F.col("__tokens")
     part = F.greatest(F.lit(0), F.least(F.col("__at") + F.col("__size"), rest) - F.least(F.col("__at"), rest))

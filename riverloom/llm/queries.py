@@ -80,7 +80,7 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
-    slim = common.written(docs.select("doc_id", "source", mixture.n_words("text").alias("n")), "sizes")
+    slim = common.written(docs.select("doc_id", "source", mixture.n_words("text").alias("n"), F.xxhash64("text").alias("h")), "sizes")
     return mixture.mix(slim, size=F.col("n")).select("doc_id", "size", "source_size", "target", "taken")
 
 

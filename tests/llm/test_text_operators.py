@@ -448,6 +448,71 @@ def test_mix_comes_near_its_targets(spark, shard):
     assert sorted(map(str, got)) == sorted(map(str, again))
 
 
+def race(votes, seats):
+    won = [0] * len(votes)
+    for _ in range(seats):
+        k = max(range(len(votes)), key=lambda k: (votes[k] / (2 * won[k] + 1), -k))
+        won[k] += 1
+    return won
+
+
+def brute_mix(rows, shard, seed=17, block=mixture.BLOCK):
+    """(taken of each row) from (source, hash, id, size) rows by the definition."""
+    sizes = {}
+    for s, _, _, n in rows:
+        sizes[s] = sizes.get(s, 0) + n
+    target = brute_targets(sizes)
+    names = sorted(sizes, key=lambda s: (s is not None, [ord(c) for c in s or ""]))  # Spark's order: null first
+    block = max(1, min(block, int(min(t for t in target.values() if t > 0) // mixture.LEAST_BLOCKS)))
+    blocks = race([target[s] for s in names], round(sum(target.values()) / block))
+    taken = [0] * len(rows)
+    for s, quota in zip(names, blocks, strict=True):
+        count = max(1, -(-sizes[s] // shard))
+        own = {}
+        for k, (source, h, i, n) in enumerate(rows):
+            if source == s:
+                own.setdefault(h % count, []).append((h, i is not None, i or 0, n, k))
+        parts = sorted(own)
+        tokens = [sum(x[3] for x in own[p]) for p in parts]
+        for p, total, won in zip(parts, tokens, race(tokens, quota) if sum(tokens) else [0] * len(parts), strict=True):
+            left = min(won * block, 3 * total)
+            rounds = left // total if total else 0
+            rest = left - rounds * total
+            for *_, n, k in sorted(own[p]):
+                part = min(n, rest)
+                taken[k] = rounds * n + part
+                rest -= part
+    return taken
+
+
+@pytest.mark.parametrize("shard", [1_000_000, 9000])
+def test_mix_takes_what_the_definition_says(spark, shard):
+    rows = [(s if s != "tiny" else "b", i, t) for i, s, t in documents(5)]
+    rows += [(s, None, t) for s, _, t in rows[:200]]  # a third without an id
+    df = spark.createDataFrame([(i, s, t) for s, i, t in rows], "doc_id long, source string, text string")
+    got = mixture.mix(df.withColumn("h", mixture.row_hash(df, 17)), shard=shard)
+    hashed = df.withColumn("h", mixture.row_hash(df, 17))
+    hashed = hashed.withColumn("g", mixture.row_hash(hashed, 17)).select("source", "g", "doc_id", mixture.n_words("text").alias("n"), "h").collect()
+    want = brute_mix([tuple(r)[:4] for r in hashed], shard)
+    found = sorted((r.source or "", r.doc_id or -1, r.h, r.size, r.taken) for r in got.collect())
+    assert found == sorted((r.source or "", r.doc_id or -1, r.h, r.n, t) for r, t in zip(hashed, want, strict=True))
+
+
+def test_small_sources_get_their_target(spark):
+    rows = [(k, "a", "w " * 1000) for k in range(50)] + [(90, "b", "one two three four"), (91, None, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = {r.source: (r.target, r.taken) for r in mixture.mix(df).groupBy("source").agg(F.min("target").alias("target"), F.sum("taken").alias("taken")).collect()}
+    assert got["b"] == (12.0, 12) and got[None] == (3.0, 3) and abs(got["a"][0] - got["a"][1]) <= 1
+
+
+def test_mix_spreads_rows_without_ids_and_reads_long_texts(spark):
+    rows = [(None, "a", f"w{k} " * 40) for k in range(300)] + [(7, "a", f"v{k} " * 40) for k in range(300)] + [(8, "b", "long " * 300_000)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    spread = df.where("source = 'a'").select(F.pmod(mixture.row_hash(df, 17), F.lit(10)).alias("s")).groupBy("s").count().collect()
+    assert len(spread) == 10 and max(r["count"] for r in spread) < 120
+    assert mixture.mix(df, shard=5000).where("doc_id = 8").first().size == 300_000
+
+
 def test_mix_of_nothing_and_of_empty_texts(spark):
     df = spark.createDataFrame([(1, "a", None), (2, None, "")], "doc_id long, source string, text string")
     assert [(r.size, r.target, r.taken) for r in mixture.mix(df).collect()] == [(0, 0.0, 0)] * 2
