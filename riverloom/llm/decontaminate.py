@@ -1,19 +1,17 @@
 """Benchmark decontamination: an FM-index over each shard of training text, searched backwards for test phrases.
 
-A shard is a run of documents of bounded size. Its words become numbers, and runs of words that occur in the benchmark
-form the indexed text (a phrase cannot reach over a word the benchmark lacks, so leaving those out loses nothing; equal
-runs are indexed once). The index is the Burrows-Wheeler transform of that text in a wavelet matrix, whose bit planes
-answer how often a symbol occurs before a row, and a sample of suffix positions. All phrases of the benchmark are
-searched together, word by word from their ends; each occurrence is located by stepping backwards to the next sampled
-position. Occurrences in a document merge into spans to remove.
+A shard is a run of documents of bounded size. All its words become numbers, and its documents (equal ones once) are the
+indexed text. The index is the Burrows-Wheeler transform of that text in a wavelet matrix, whose bit planes answer how
+often a symbol occurs before a row, and a sample of suffix positions; it does not depend on the benchmark. All phrases
+of the benchmark, block by block, are searched in it together, word by word from their ends; each occurrence is located
+by stepping backwards to the next sampled position. Occurrences in a document merge into spans to remove.
 """
 
 from __future__ import annotations
 
-import uuid
-from collections import defaultdict
+import pickle
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -22,23 +20,35 @@ from pyspark.sql import functions as F
 
 from riverloom.llm import common
 
-#: Words of documents that one index covers.
-SHARD_WORDS = 1_500_000
-#: Words of benchmark items that a task holds at once; a longer benchmark is searched in blocks of so many.
-BLOCK_WORDS = 2_000_000
+#: Words of documents that one index covers; a longer document is a shard of its own.
+SHARD_WORDS = 1_000_000
+#: Bytes of benchmark text that a task holds at once; a longer benchmark is searched in blocks of so many.
+BLOCK_BYTES = 8_000_000
 #: Every so many text positions one suffix position is kept.
 SAMPLE = 8
+#: Occurrences that are located at once.
+LOCATED = 1_000_000
 
 
 class RankBits:
-    """A bit vector that counts its ones before a position in constant time."""
+    """A packed bit vector that counts its ones before a position in constant time."""
 
     def __init__(self, bits: np.ndarray):
-        self.ones = np.zeros(len(bits) + 1, np.int32)
-        np.cumsum(bits, out=self.ones[1:])
+        n = len(bits)
+        packed = np.packbits(bits.astype(bool), bitorder="little")
+        self.words = np.zeros(n // 64 + 1, "<u8")
+        self.words.view(np.uint8)[: len(packed)] = packed
+        self.before = np.zeros(len(self.words), np.int32)
+        np.cumsum(np.bitwise_count(self.words[:-1]), out=self.before[1:])
+        self.total = int(self.before[-1]) + int(np.bitwise_count(self.words[-1]))
 
     def rank1(self, i: np.ndarray) -> np.ndarray:
-        return self.ones[i]
+        at = i >> 6
+        below = (np.uint64(1) << (i & 63).astype(np.uint64)) - np.uint64(1)
+        return self.before[at] + np.bitwise_count(self.words[at] & below)
+
+    def __getitem__(self, i: np.ndarray) -> np.ndarray:
+        return ((self.words[i >> 6] >> (i & 63).astype(np.uint64)) & np.uint64(1)).astype(bool)
 
 
 class WaveletMatrix:
@@ -50,10 +60,10 @@ class WaveletMatrix:
         self.zeros: list[int] = []
         now = symbols
         for level in range(self.depth - 1, -1, -1):
-            bit = (now >> level) & 1
+            bit = ((now >> level) & 1).astype(bool)
             self.planes.append(RankBits(bit))
-            self.zeros.append(len(now) - int(self.planes[-1].ones[-1]))
-            now = np.concatenate([now[bit == 0], now[bit == 1]])
+            self.zeros.append(len(now) - self.planes[-1].total)
+            now = np.concatenate([now[~bit], now[bit]])
 
     def rank(self, symbol: np.ndarray, i: np.ndarray) -> np.ndarray:
         """How often each symbol occurs before each position."""
@@ -67,22 +77,41 @@ class WaveletMatrix:
         return at - low
 
 
-def suffix_array(rank: np.ndarray) -> np.ndarray:
-    """Positions of all suffixes in order, by doubling; ``rank`` orders single symbols."""
-    n = len(rank)
-    rank = np.asarray(rank, np.int64)
-    step = 1
-    while True:
-        second = np.zeros(n, np.int64)
-        second[: max(0, n - step)] = rank[step:] + 1
-        key = rank * (int(second.max(initial=0)) + 1) + second
-        order = np.argsort(key, kind="stable")
-        ordered = key[order]
-        new = np.zeros(n, np.int64)
-        new[order] = np.concatenate([[0], np.cumsum(ordered[1:] != ordered[:-1])])
-        if n == 0 or new[order[-1]] == n - 1 or step >= n:
-            return order
-        rank, step = new, step * 2
+def suffix_array(symbols: np.ndarray) -> np.ndarray:
+    """Positions of all suffixes in order. Symbols are small whole numbers, of which the last occurs once.
+
+    Suffixes are sorted by as many symbols as fit an integer; groups that are still equal are sorted by the ranks of
+    what follows, twice as far in each round, and only they are looked at again.
+    """
+    n = len(symbols)
+    if n == 0:
+        return np.zeros(0, np.int64)
+    bits = max(1, int(symbols.max()).bit_length())
+    step = min(n, max(1, 62 // bits))
+    key = np.zeros(n, np.int64)
+    for k in range(step):
+        key <<= bits
+        key[: n - k] += symbols[k:]
+    sa = np.argsort(key)
+    new = np.ones(n, bool)
+    new[1:] = key[sa[1:]] != key[sa[:-1]]
+    group = np.maximum.accumulate(np.where(new, np.arange(n), 0))  # a group's number is where it begins
+    rank = np.empty(n, np.int64)
+    rank[sa] = group
+    open_ = np.flatnonzero(~(new & np.append(new[1:], True)))  # rows of groups of several suffixes
+    while len(open_):
+        at = sa[open_]
+        follow = np.where(at + step < n, rank[np.minimum(at + step, n - 1)], -1)
+        order = np.lexsort((follow, group[open_]))
+        at, follow = at[order], follow[order]
+        sa[open_] = at
+        new = np.ones(len(open_), bool)
+        new[1:] = (follow[1:] != follow[:-1]) | (group[open_][1:] != group[open_][:-1])
+        group[open_] = np.maximum.accumulate(np.where(new, open_, 0))
+        rank[at] = group[open_]
+        open_ = open_[~(new & np.append(new[1:], True))]
+        step *= 2
+    return sa
 
 
 class FMIndex:
@@ -94,25 +123,29 @@ class FMIndex:
         first = text.astype(np.int64) + len(ends)
         first[ends] = np.arange(len(ends))  # each run ends in an end of its own, so no comparison goes beyond
         sa = suffix_array(first)
-        bwt = text[sa - 1]
-        self.wavelet = WaveletMatrix(bwt.astype(np.int64), n_symbols)
-        self.bwt = bwt
+        self.bwt = text[sa - 1].astype(np.int32)
+        self.wavelet = WaveletMatrix(self.bwt, n_symbols)
         self.before = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=n_symbols))])
         starts = np.concatenate([[0], ends[:-1] + 1]) if self.n else ends
         kept = np.arange(self.n) % sample == 0
         kept[starts] = True  # a run is never left backwards
         self.marked = RankBits(kept[sa])
-        self.sampled = sa[kept[sa]]
-
-    def search(self, phrases: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rows [low, high) of the suffixes that begin with each phrase; phrases are right-aligned."""
-        low, high = np.zeros(len(phrases), np.int64), np.full(len(phrases), self.n, np.int64)
-        live = np.arange(len(phrases))
-        for k in range(phrases.shape[1] if len(phrases) else 0):
-            live = live[(lengths[live] > k) & (low[live] < high[live])]
+        self.sampled = sa[kept[sa]].astype(np.int32)
+
+    def search(self, symbols: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows [low, high) of the suffixes that begin with each phrase symbols[start : start + length].
+
+        A symbol of 0 is one that the text lacks: its phrase has no rows.
+        """
+        low, high = np.zeros(len(start), np.int64), np.full(len(start), self.n, np.int64)
+        live = np.arange(len(start))
+        for k in range(int(length.max(initial=0))):
+            live = live[(length[live] > k) & (low[live] < high[live])]
             if not len(live):
                 break
-            c = phrases[live, phrases.shape[1] - 1 - k]
+            c = symbols[start[live] + length[live] - 1 - k]
+            high[live[c == 0]] = 0
+            live, c = live[c > 0], c[c > 0]
             low[live] = self.before[c] + self.wavelet.rank(c, low[live])
             high[live] = self.before[c] + self.wavelet.rank(c, high[live])
         return low, np.maximum(low, high)
@@ -123,175 +156,167 @@ class FMIndex:
         steps = np.zeros(len(rows), np.int64)
         open_ = np.arange(len(rows))
         while len(open_):
+            open_ = open_[~self.marked[rows[open_]]]
             r = rows[open_]
-            found = self.marked.ones[r + 1] > self.marked.ones[r]
-            open_ = open_[~found]
-            r = rows[open_]
-            c = self.bwt[r].astype(np.int64)
+            c = self.bwt[r]
             rows[open_] = self.before[c] + self.wavelet.rank(c, r)
             steps[open_] += 1
-        return self.sampled[self.marked.ones[rows]] + steps if len(rows) else rows
+        return self.sampled[self.marked.rank1(rows)] + steps if len(rows) else rows
 
 
 @dataclass
 class Phrases:
-    """Windows of benchmark items as numbers; ``items[k]`` names the items that window ``k`` stands in."""
+    """Windows of a block of benchmark items: places in one array of word numbers, so a word costs a few bytes."""
 
-    number: dict[bytes, int] = field(default_factory=dict)
-    matrix: np.ndarray = None  # type: ignore[assignment]
-    lengths: np.ndarray = None  # type: ignore[assignment]
-    items: list[list[str]] = field(default_factory=list)
+    words: list[bytes]  # word k has the number k
+    numbers: np.ndarray  # of the words of all items
+    start: np.ndarray
+    length: np.ndarray
+    item: np.ndarray  # the item that a window is of
+    names: list[str | None]
 
     @classmethod
-    def of(cls, rows: list[tuple[str, str | None]], width: int) -> Phrases:
-        self = cls()
-        found: dict[tuple[int, ...], set[str]] = defaultdict(set)
-        for item, text in rows:
-            words = [self.number.setdefault(w, len(self.number) + 1) for w in common.split_words(text)]
-            if words:
-                for k in range(max(1, len(words) - width + 1)):
-                    found[tuple(words[k : k + width])].add(item)
-        self.items = [sorted(x) for x in found.values()]
-        self.lengths = np.fromiter(map(len, found), np.int64, len(found))
-        self.matrix = np.zeros((len(found), max([0, *map(len, found)])), np.int64)
-        for k, phrase in enumerate(found):
-            self.matrix[k, self.matrix.shape[1] - len(phrase) :] = phrase
-        return self
-
-    def hits(self, ids: np.ndarray, doc_start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(first word, words, phrase) of every occurrence; ids: words of a shard, 0 where the benchmark lacks one."""
-        none = np.zeros(0, np.int64)
-        if not len(self.lengths) or not len(ids):
-            return none, none, none
-        shortest = int(self.lengths.min())
-        known = ids > 0
-        opens = known.copy()
-        opens[1:] &= ~known[:-1]
-        begins = doc_start[:-1][doc_start[:-1] < len(ids)]
-        opens[begins] = known[begins]
-        run_at = np.flatnonzero(opens)
-        closes = known.copy()
-        closes[:-1] &= ~known[1:] | opens[1:]
-        run_len = np.flatnonzero(closes) - run_at + 1
-        long_ = run_len >= shortest
-        run_at, run_len = run_at[long_], run_len[long_]
-        if not len(run_at):
-            return none, none, none
+    def of(cls, rows: list[tuple[str | None, list[bytes]]], width: int) -> Phrases:
+        known: dict[bytes, int] = {}
+        sizes = np.fromiter((len(w) for _, w in rows), np.int64, len(rows))
+        numbers = np.fromiter((known.setdefault(x, len(known)) for _, w in rows for x in w), np.int32, int(sizes.sum()))
+        count = np.where(sizes > 0, np.maximum(sizes - width + 1, 1), 0)
+        item = np.repeat(np.arange(len(rows), dtype=np.int32), count)
+        at = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+        start = (np.cumsum(sizes) - sizes)[item] + at
+        return cls(list(known), numbers, start.astype(np.int32), np.minimum(sizes, width)[item].astype(np.int16), item, [n for n, _ in rows])
+
+
+class Shard:
+    """A run of documents as one indexed text."""
+
+    def __init__(self, words: list[list[bytes]]):
+        self.number: dict[bytes, int] = {}
         seen: dict[bytes, int] = {}
         pieces: list[np.ndarray] = []
-        which = np.zeros(len(run_at), np.int64)
+        self.which = np.zeros(len(words), np.int64)  # the distinct document that each one is
         end = np.zeros(1, np.int32)
-        for k, (a, m) in enumerate(zip(run_at.tolist(), run_len.tolist(), strict=True)):
-            x = ids[a : a + m]
-            which[k] = j = seen.setdefault(x.tobytes(), len(seen))
-            if j * 2 == len(pieces):
-                pieces += [x, end]
+        for k, w in enumerate(words):
+            ids = np.fromiter((self.number.setdefault(x, len(self.number) + 1) for x in w), np.int32, len(w))
+            self.which[k] = j = seen.setdefault(ids.tobytes(), len(seen))
+            if 2 * j == len(pieces):
+                pieces += [ids, end]
         text = np.concatenate(pieces)
-        first = np.concatenate([[0], np.cumsum([len(x) + 1 for x in pieces[::2]])])
-        index = FMIndex(text, len(self.number) + 1)
-        low, high = index.search(self.matrix, self.lengths)
-        count = high - low
-        phrase = np.repeat(np.arange(len(count)), count)
-        rows = np.arange(int(count.sum())) + np.repeat(low - np.cumsum(count) + count, count)
-        at = index.locate(rows)
-        run = np.searchsorted(first, at, side="right") - 1
-        by_run = np.argsort(which, kind="stable")
-        copies = np.bincount(which, minlength=len(seen))
-        copy_at = np.concatenate([[0], np.cumsum(copies)])[:-1]
-        many = copies[run]
-        places = run_at[by_run[np.arange(int(many.sum())) + np.repeat(copy_at[run] - np.cumsum(many) + many, many)]]
-        start = places + np.repeat(at - first[run], many)
-        phrase = np.repeat(phrase, many)
-        return start, self.lengths[phrase], phrase
-
-
-def _shards(column: pa.Array, number, most: int) -> Iterator[tuple[int, list[np.ndarray]]]:
-    """(first document, numbers of the words of each) of runs of about ``most`` words; a longer document is a run alone."""
-    held: list[np.ndarray] = []
+        self.first = np.concatenate([[0], np.cumsum([len(x) + 1 for x in pieces[::2]])])
+        self.index = FMIndex(text, len(self.number) + 1)
+        self.change = np.zeros(len(text) + 1, np.int64)  # of the number of occurrences over each word
+        self.items: list[set[str]] = [set() for _ in seen]
+
+    def find(self, phrases: Phrases) -> None:
+        """Mark the occurrences of a block's phrases, and gather the items that they are of."""
+        if not len(phrases.start):
+            return
+        symbols = np.fromiter((self.number.get(w, 0) for w in phrases.words), np.int32, len(phrases.words))[phrases.numbers]
+        low, high = self.index.search(symbols, phrases.start, phrases.length)
+        found = np.flatnonzero(high > low)
+        # equal phrases have equal rows and lengths: each is located once
+        key = np.stack([low[found], high[found], phrases.length[found]])
+        distinct, of = np.unique(key, axis=1, return_inverse=True)
+        order = np.argsort(of, kind="stable")
+        begin = np.searchsorted(of[order], np.arange(distinct.shape[1] + 1))
+        count = distinct[1] - distinct[0]
+        total = np.concatenate([[0], np.cumsum(count)])
+        a = 0
+        while a < len(count):
+            b = max(a + 1, int(np.searchsorted(total, total[a] + LOCATED, side="right")) - 1)
+            phrase = np.repeat(np.arange(a, b), count[a:b])
+            rows = np.arange(int(total[b] - total[a])) + np.repeat(distinct[0, a:b] - total[a:b] + total[a], count[a:b])
+            at = self.index.locate(rows)
+            np.add.at(self.change, at, 1)
+            np.add.at(self.change, at + distinct[2, phrase], -1)
+            doc = np.searchsorted(self.first, at, side="right") - 1
+            for d, p in np.unique(np.stack([doc, phrase]), axis=1).T.tolist():
+                names = (phrases.names[phrases.item[found[k]]] for k in order[begin[p] : begin[p + 1]])
+                self.items[d].update(n for n in names if n is not None)
+            a = b
+
+    def spans(self) -> tuple[list[list[dict]], list[list[str]]]:
+        """Per document, merged spans in its word numbers, and the names of its items in order."""
+        hit = np.concatenate([[False], np.cumsum(self.change[:-1]) > 0, [False]])
+        edge = np.flatnonzero(hit[1:] != hit[:-1])
+        begin, end = edge[::2], edge[1::2]
+        doc = np.searchsorted(self.first, begin, side="right") - 1
+        spans: list[list[dict]] = [[] for _ in self.items]
+        for d, x, y in zip(doc.tolist(), (begin - self.first[doc]).tolist(), (end - self.first[doc]).tolist(), strict=True):
+            spans[d].append({"start": x, "end": y})
+        names = [sorted(x) for x in self.items]
+        return [spans[d] for d in self.which], [names[d] for d in self.which]
+
+
+def _shards(column: pa.Array, most: int) -> Iterator[tuple[int, list[str | None], list[list[bytes]]]]:
+    """(first document, texts, words) of runs of about ``most`` words; a longer document is a run alone."""
+    held: list[list[bytes]] = []
+    kept: list[str | None] = []
     first = size = 0
     for a, texts in common.text_slices(column, 4_000_000):
         for k, t in enumerate(texts, a):
             w = common.split_words(t)
             if held and size + len(w) > most:
-                yield first, held
-                held, first, size = [], k, 0
-            held.append(np.fromiter((number(x, 0) for x in w), np.int32, len(w)))
+                yield first, kept, held
+                held, kept, first, size = [], [], k, 0
+            held.append(w)
+            kept.append(t)
             size += len(w)
     if held:
-        yield first, held
+        yield first, kept, held
 
 
 SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 FOUND = "n_words long, spans array<struct<start:long,end:long>>, items array<string>"
 
 
-#: The phrases that a worker searched last; building them anew for every task would cost as much as a small shard.
+#: The block that a worker searched last; reading it anew for every task would cost as much as a small shard.
 _LAST: dict[str, Phrases] = {}
 
 
-def _search_block(docs: DataFrame, block: list[tuple[str, str | None]], text_col: str, width: int, keep_text: bool) -> DataFrame:
-    """``docs`` with n_words, merged spans [start, end) of hit words, and the items met, for one block of items."""
-    shared = docs.sparkSession.sparkContext.broadcast(block)
-    docs = docs.drop("n_words", "spans", "items")
-    names = [c for c in docs.columns if keep_text or c != text_col]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name in names)
-    known = uuid.uuid4().hex
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if known not in _LAST:
-            _LAST.clear()
-            _LAST[known] = Phrases.of(shared.value, width)
-        phrases = _LAST[known]
-        number = phrases.number.get
-        for batch in batches:
-            for first, words in _shards(batch.column(text_col), number, SHARD_WORDS):
-                n = len(words)
-                sizes = np.fromiter(map(len, words), np.int64, n)
-                start = np.concatenate([[0], np.cumsum(sizes)])
-                ids = np.concatenate(words)
-                at, length, phrase = phrases.hits(ids, start)
-                doc = np.searchsorted(start, at, side="right") - 1
-                spans, items = _merged(at, at + length, doc, phrase, start, phrases.items, n)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(c).slice(first, n) for c in names] + [pa.array(sizes), pa.array(spans, SPANS), pa.array(items, pa.list_(pa.string()))],
-                    names + ["n_words", "spans", "items"],
-                )
-        common.release()
+def _block(path: str) -> Phrases:
+    if path not in _LAST:
+        _LAST.clear()
+        fs, at = common.filesystem(path)
+        with fs.open_input_file(at) as f:
+            _LAST[path] = pickle.loads(f.read())
+    return _LAST[path]
 
-    return docs.mapInArrow(search, ", ".join(x for x in (schema, FOUND) if x))
 
+def _found(words: list[list[bytes]], paths: list[str]) -> tuple[list[list[dict]], list[list[str]]]:
+    shard = Shard(words)
+    for path in paths:
+        shard.find(_block(path))
+    return shard.spans()
 
-def _merged(a, b, doc, phrase, start, items, n):
-    """Per document: merged spans in word numbers of the document, and the items of its phrases."""
-    spans: list[list[dict]] = [[] for _ in range(n)]
-    met: list[set[str]] = [set() for _ in range(n)]
-    order = np.lexsort((b, a))
-    for k in order.tolist():
-        d = int(doc[k])
-        x, y = int(a[k] - start[d]), int(b[k] - start[d])
-        if spans[d] and x <= spans[d][-1]["end"]:
-            spans[d][-1]["end"] = max(spans[d][-1]["end"], y)
-        else:
-            spans[d].append({"start": x, "end": y})
-    for d, p in np.unique(np.stack([doc, phrase]), axis=1).T.tolist() if len(doc) else []:
-        met[d].update(items[p])
-    return spans, [sorted(x) for x in met]
 
+def _blocks(benchmark: DataFrame, item_col: str, text_col: str, width: int) -> Iterator[Phrases]:
+    """Items in blocks of bounded size, read one partition at a time; a table of any size passes through.
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[tuple[str, str | None]]]:
-    """Items in blocks of bounded size, read one partition at a time; a table of any size passes through."""
-    held: list[tuple[str, str | None]] = []
+    An item that does not fit into a block goes on in the next one, which repeats what windows reach over.
+    """
+    held: list[tuple[str | None, list[bytes]]] = []
     size = 0
-    rows = benchmark.select(F.col(item_col).cast("string"), F.col(text_col)).where(F.col(item_col).isNotNull())
-    for item, text in rows.toLocalIterator():
-        n = len(common.split_words(text))
-        if held and size + n > BLOCK_WORDS:
-            yield held
-            held, size = [], 0
-        if n:
-            held.append((item, text))
-            size += n
-    yield held
+    rows = benchmark.select(F.col(item_col).cast("string"), F.col(text_col))
+    for name, text in rows.toLocalIterator():
+        words = common.split_words(text)
+        a = 0
+        while a < len(words):
+            b, room = a, BLOCK_BYTES - size
+            while b < len(words) and room > len(words[b]):
+                room -= len(words[b]) + 1
+                b += 1
+            if b < len(words) and (held or b - a < width):
+                if held:
+                    yield Phrases.of(held, width)
+                    held, size = [], 0
+                    continue
+                b = min(len(words), a + width)  # a block has room for one window at least
+            held.append((name, words[a:b]))
+            size += sum(map(len, words[a:b])) + b - a
+            a = b if b == len(words) else b - width + 1
+    if held:
+        yield Phrases.of(held, width)
 
 
 def scan(
@@ -303,48 +328,54 @@ def scan(
     item_text_col: str = "text",
     width: int = 10,
     keep_text: bool = False,
+    cut: bool = False,
 ) -> DataFrame:
     """Every row of ``docs``, without its text unless that is kept, with ``n_words``, ``spans`` (merged runs of hit words) and ``items``.
 
-    A phrase is ``width`` consecutive words of an item, or a shorter item whole. Null texts have no words; items with a
-    null id are left out; repeated items count once; an empty benchmark hits nothing. The benchmark goes to the
-    executors in blocks of at most BLOCK_WORDS words: one pass over the documents for each block. Beyond one block the
-    rows are told apart by a row number, and the blocks' spans are merged. Columns of ``docs`` named like new ones are
-    replaced.
+    A phrase is ``width`` consecutive words of an item, or a shorter item whole. Null texts have no words; texts of any
+    length are indexed whole, those of more than SHARD_WORDS words alone, and take about 100 bytes a word. Phrases of
+    items with a null id hit as others do, but are in no list of items; items that share an id, or repeat, count once.
+    Repeated rows are judged alike. An empty benchmark hits nothing, an empty table gives an empty one. Columns of
+    ``docs`` named like new ones are replaced. With ``cut`` the texts come back without the words of their spans.
+
+    The benchmark is written to the shared folder in blocks of at most BLOCK_BYTES. A task reads its documents once,
+    indexes each shard once, and searches it for one block after another.
     """
-    blocks = _blocks(benchmark, item_col, item_text_col)
-    block = next(blocks)
-    following = next(blocks, None)
-    if following is None:
-        return _search_block(docs, block, text_col, width, keep_text)
-    own = "__row"
-    base = common.written(docs.withColumn(own, F.monotonically_increasing_id()), "decontaminate")
-    found = _search_block(base, block, text_col, width, keep_text)
-    slim = base.select(own, text_col)
-    while following is not None:
-        more = _search_block(slim, following, text_col, width, False)
-        more = more.select(own, F.col("spans").alias("more_spans"), F.col("items").alias("more_items"))
-        found = common.written(found.join(more, own), "decontaminate")
-        found = found.withColumn("spans", merge_spans(F.concat("spans", "more_spans")))
-        found = found.withColumn("items", F.array_sort(F.array_union("items", "more_items"))).drop("more_spans", "more_items")
-        following = next(blocks, None)
-    return found.drop(own)
-
-
-def merge_spans(spans):
-    """Overlapping or touching spans of an array as one."""
-    empty = F.array().cast("array<struct<start:long,end:long>>")
-
-    def add(acc, x):
-        last = F.try_element_at(acc, F.lit(-1))
-        joined = F.concat(
-            F.slice(acc, 1, F.size(acc) - 1),
-            F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"))),
-        )
-        apart = F.concat(acc, F.array(F.struct(x["start"].alias("start"), x["end"].alias("end"))))
-        return F.when((F.size(acc) > 0) & (x["start"] <= last["end"]), joined).otherwise(apart)
-
-    return F.aggregate(F.array_sort(spans), empty, add)
+    spark = docs.sparkSession
+    folder = common.new_folder(spark, "benchmark")
+    paths: list[str] = []
+    for k, block in enumerate(_blocks(benchmark, item_col, item_text_col, width)):
+        out = common.SharedWriter(folder, f"block-{k:06d}")
+        out.write(pickle.dumps(block))
+        out.commit()
+        paths.append(f"{folder}/block-{k:06d}")
+    docs = docs.drop("n_words", "spans", "items")
+    names = [c for c in docs.columns if keep_text or cut or c != text_col]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name in names)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, texts, words in _shards(batch.column(text_col), SHARD_WORDS):
+                n = len(words)
+                sizes = [len(w) for w in words]
+                spans, items = _found(words, paths) if paths else ([[]] * n, [[]] * n)
+                del words
+                columns = {c: batch.column(c).slice(first, n) for c in names}
+                if cut:
+                    left = [cut_spans(t, [(x["start"], x["end"]) for x in s]) for t, s in zip(texts, spans, strict=True)]
+                    columns[text_col] = pa.array(left, pa.string())
+                yield pa.RecordBatch.from_arrays(
+                    [*columns.values(), pa.array(sizes, pa.int64()), pa.array(spans, SPANS), pa.array(items, pa.list_(pa.string()))],
+                    [*names, "n_words", "spans", "items"],
+                )
+        common.release()
+
+    return docs.mapInArrow(search, ", ".join(x for x in (schema, FOUND) if x))
+
+
+def remove(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """``docs`` with texts without the words of their spans; a line break marks each cut. Options are those of ``scan``."""
+    return scan(docs, benchmark, cut=True, **options).select(*docs.columns)
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -62,13 +62,13 @@ select v.vec_id, (select count(*) from link where link.a = v.vec_id) as n_links,
 
 CONTAMINATION = f"""
 with d as (select row_number() over () as r, doc_id, {WORDS} as w from documents),
-i as (select cast(item_id as varchar) as item_id, {WORDS} as w from benchmark where item_id is not null),
+i as (select cast(item_id as varchar) as item_id, {WORDS} as w from benchmark),
 phrase as (select item_id, list_slice(w, s, s + 9) as p from (select item_id, w, unnest(range(1, greatest(1, len(w) - 9) + 1)) as s from i where len(w) > 0)),
 size as (select distinct len(p) as n from phrase),
 piece as (select r, s, n, list_slice(w, s, s + n - 1) as p from (select r, w, n, unnest(range(1, len(w) - n + 2)) as s from d, size)),
 hit as (select r, s, n, item_id from piece join phrase using (p)),
 place as (select r, count(distinct word) as n_hit from (select r, unnest(range(s, s + n)) as word from hit) group by r),
-item as (select r, count(*) as n_items, string_agg(item_id, ',' order by item_id) as names from (select distinct r, item_id from hit) group by r)
+item as (select r, count(*) as n_items, string_agg(item_id, ',' order by item_id) as names from (select distinct r, item_id from hit where item_id is not null) group by r)
 select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
   sha256(coalesce(names, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
 from d left join place using (r) left join item using (r)"""

@@ -37,7 +37,7 @@ def brute_hits(text, items, width=10):
                 if w[at : at + len(p)] == p:
                     hit.update(range(at, at + len(p)))
                     met.add(item)
-    return len(w), len(hit), sorted(met)
+    return len(w), len(hit), sorted(met - {None})
 
 
 def contaminated_corpus(seed=1):
@@ -56,19 +56,42 @@ def contaminated_corpus(seed=1):
     return list(enumerate(docs)), items
 
 
-@pytest.mark.parametrize("shard,block", [(1_500_000, 2_000_000), (100, 2_000_000), (700, 90)])
+@pytest.mark.parametrize("shard,block", [(1_000_000, 8_000_000), (100, 8_000_000), (700, 300), (100, 12)])
 def test_hits_are_those_of_a_scan(spark, monkeypatch, shard, block):
-    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", block)
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
     docs, items = contaminated_corpus()
-    bench = spark.createDataFrame([*items, (None, "w1 w2 w3")], "item_id string, text string")
+    items.append((None, "no id here"))
+    docs.append((len(docs), "so no id here either"))
+    bench = spark.createDataFrame(items, "item_id string, text string")
     df = spark.createDataFrame([(i, t, "x", 5) for i, t in docs], "doc_id long, text string, spans string, n_words int")
     monkeypatch.setattr(decontaminate, "SHARD_WORDS", shard)
+    monkeypatch.setattr(decontaminate, "LOCATED", 50)
     got = {r.doc_id: r for r in decontaminate.digest(decontaminate.scan(df, bench)).collect()}
     assert len(got) == len(docs)
     for i, t in docs:
         n, hit, met = brute_hits(t, items)
         want = (n, hit, len(met), hashlib.sha256(",".join(met).encode()).hexdigest(), hit > 0)
         assert (got[i].n_words, got[i].n_hit, got[i].n_items, got[i].items_sha256, got[i].contaminated) == want
+    assert any(got[i].n_hit and not got[i].n_items for i in got)
+
+
+def test_removal_takes_the_spans_out(spark):
+    passage = " ".join(f"b{k}" for k in range(14))
+    rows = [(1, f"Before. {passage.upper()}! After"), (2, "clean text"), (3, None), (4, f"{passage} x {passage}")]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, spans int")
+    bench = spark.createDataFrame([(1, passage)], "item_id long, text string")
+    got = {r.doc_id: r.text for r in decontaminate.remove(df.drop("spans"), bench).collect()}
+    assert got == {1: "Before. \n! After", 2: "clean text", 3: None, 4: "\n x \n"}
+
+
+def test_long_documents_are_indexed_whole(spark):
+    rng = random.Random(3)
+    passage = " ".join(f"b{k}" for k in range(10))
+    body = " ".join(f"w{rng.randrange(20_000)}" for _ in range(60_000))
+    text = f"{body} {passage} {'again ' * 30_000}{passage}"
+    bench = spark.createDataFrame([(1, passage)], "item_id long, text string")
+    r = decontaminate.digest(decontaminate.scan(spark.createDataFrame([(1, text)], "doc_id long, text string"), bench)).first()
+    assert (r.n_words, r.n_hit, r.n_items) == (90_020, 20, 1)
 
 
 def test_empty_benchmark_and_documents(spark):
@@ -84,12 +107,36 @@ def test_index_counts_and_locates():
         text = np.append(rng.integers(0, 4, rng.integers(1, 60)), 0).astype(np.int32)
         index = decontaminate.FMIndex(text, 4, sample=3)
         for _ in range(10):
-            p = rng.integers(1, 4, rng.integers(1, 5))
-            low, high = index.search(p[None, :], np.array([len(p)]))
+            p = rng.integers(1, 4, rng.integers(1, 5)).astype(np.int32)
+            low, high = index.search(p, np.array([0]), np.array([len(p)]))
             want = [k for k in range(len(text) - len(p) + 1) if (text[k : k + len(p)] == p).all()]
             assert sorted(index.locate(np.arange(low[0], high[0])).tolist()) == want
 
 
+def test_suffixes_are_sorted_whatever_repeats():
+    rng = np.random.default_rng(5)
+    for size, symbols in ((1, 1), (2, 1), (50, 1), (300, 2), (500, 40_000_000)):
+        text = np.append(rng.integers(1, symbols + 1, size), 0)
+        assert decontaminate.suffix_array(text).tolist() == sorted(range(len(text)), key=lambda k: text[k:].tolist())
+
+
+def test_ranks_count_ones():
+    rng = np.random.default_rng(6)
+    for n in (0, 1, 63, 64, 65, 1000):
+        bits = rng.integers(0, 2, n)
+        r = decontaminate.RankBits(bits)
+        assert r.rank1(np.arange(n + 1)).tolist() == [int(bits[:k].sum()) for k in range(n + 1)]
+        assert r[np.arange(n)].tolist() == bits.astype(bool).tolist() and r.total == bits.sum()
+
+
+def test_phrases_take_few_bytes():
+    """Half a million different words in one block."""
+    import pickle
+
+    rows = [(str(k), [b"word%d" % (50 * k + j) for j in range(50)]) for k in range(10_000)]
+    assert len(pickle.dumps(decontaminate.Phrases.of(rows, 10))) < 16_000_000
+
+
 def test_cut_spans_takes_words_out():
     assert decontaminate.cut_spans("One, two; three four.", [(1, 3)]) == "One, \n four."
     assert decontaminate.cut_spans("é a é", [(0, 1), (2, 3)]) == "\n a \n"
