@@ -14,6 +14,7 @@ holds the frames' document ids and the id width, so a file needs no catalogue.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -42,12 +43,14 @@ BATCH_CHARS = 2_000_000
 
 
 class Encoder:
-    """Encodes whole texts with the ``tokenizers`` library, each distinct piece of a text once.
+    """Encodes whole texts as the ``tokenizers`` library does, each distinct piece of a text once.
 
     A byte-level BPE cuts a text into pieces by a fixed pattern and merges within each piece alone, so the ids of a
-    text are the ids of its pieces one after another. Texts in the plain range, where this module's pattern is known
-    to cut as the library does, are cut here and only pieces not met before go to the library; any other text goes to
-    the library whole.
+    text are the ids of its pieces one after another. Where the tokenizer's file says that it is one, plain texts, in
+    which this module's pattern is known to cut as the library does, are cut here and only pieces not met before go to
+    the library. Texts with other characters or with strings of added tokens, and all texts of any other tokenizer, go
+    to the library whole. ``special_as_text`` is the library's switch ``encode_special_tokens``, off as it is there:
+    strings of special tokens in a text become these tokens, unless it is set.
     """
 
     PLAIN = re.compile(r"[\t\n\r\x20-\x7eÀ-ÖØ-öø-ſ]*")
@@ -56,15 +59,18 @@ class Encoder:
         r"| ?[^\s0-9A-Za-zÀ-ÖØ-öø-ſ]+|\s+(?!\S)|\s+"
     )
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special_as_text: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
-        self.lib.encode_special_tokens = True
+        self.lib.encode_special_tokens = special_as_text
         self.lib.no_truncation()
         self.lib.no_padding()
         self.vocab = self.lib.get_vocab_size(with_added_tokens=True)
+        self.cuts = cuts_as_known(json.loads(self.lib.to_str()))
+        added = [t for t in self.lib.get_added_tokens_decoder().values() if not (special_as_text and t.special)]
+        self.added = re.compile("|".join(re.escape(t.content) for t in added) or r"(?!)")
         self.known = _Numbers()
         self.start = np.zeros(1, np.int64)
         self.ids = np.zeros(0, np.int32)
@@ -98,9 +104,9 @@ class Encoder:
         self.ids = np.concatenate([self.ids, ids])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text, as the library gives them without special tokens."""
+        """Ids of each text, as the library gives them with add_special_tokens=False."""
         out: list[np.ndarray | None] = [None] * len(texts)
-        plain = [k for k, t in enumerate(texts) if self.PLAIN.fullmatch(t)]
+        plain = [k for k, t in enumerate(texts) if self.PLAIN.fullmatch(t) and not self.added.search(t)] if self.cuts else []
         plain_set = set(plain)
         if rest := [k for k in range(len(texts)) if k not in plain_set]:
             for k, e in zip(rest, self.lib.encode_batch_fast([texts[k] for k in rest], add_special_tokens=False), strict=True):
@@ -120,6 +126,14 @@ class Encoder:
         return out  # type: ignore[return-value]
 
 
+def cuts_as_known(spec: dict) -> bool:
+    """Whether a tokenizer's description is that of a byte-level BPE that cuts by the pattern of ``Encoder``."""
+    cut, model = spec.get("pre_tokenizer") or {}, spec.get("model") or {}
+    level = cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space")
+    odd = ("dropout", "continuing_subword_prefix", "end_of_word_suffix")
+    return bool(level and spec.get("normalizer") is None and model.get("type") == "BPE" and not any(model.get(k) for k in odd))
+
+
 class _Numbers(dict):
     """Numbers pieces in the order in which they are first met; ``fresh`` gathers the new ones."""
 
@@ -215,21 +229,22 @@ def write_token_files(
     text_col: str = "text",
     end_id: int = 2,
     shards: int | None = None,
+    special_as_text: bool = False,
 ) -> DataFrame:
     """Encode every whole text and write one file per shard under ``folder``; returns the manifest, one row a file.
 
     Documents are dealt to shards by ranges of ``id_col`` (nulls first) and written in ascending order, so the files in
-    order of their names hold all documents in order. Repeated ids are neighbours, ordered by text. A null text is an
-    empty one; an empty table gives an empty manifest. Other columns are not read. The tokenizer's file must be
-    readable under ``tokenizer_path`` on every executor, as installed packages are.
+    order of their names hold all documents in order. Repeated ids are neighbours, ordered by a hash of the text, then
+    by the text; as the ranges reach into the hash, rows without ids or with one id are spread over shards, too. A null
+    text is an empty one and has the end id alone; a text of any length is one frame. An empty table gives an empty
+    manifest. Other columns are not read, whatever their names. The tokenizer's file must be readable under
+    ``tokenizer_path`` on every executor, as installed packages are; see ``Encoder`` for ``special_as_text``.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     n = shards or common.parts_for(rows, SHARD_BYTES)
-    rows = (
-        rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first())
-        .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-        .withColumn("shard", F.spark_partition_id())
-    )
+    order = [F.col("doc_id").asc_nulls_first(), F.col("h")]
+    rows = rows.withColumn("h", F.xxhash64("text")).repartitionByRange(n, *order).sortWithinPartitions(*order, "text")
+    rows = rows.drop("h").withColumn("shard", F.spark_partition_id())
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = out = frames = None
@@ -238,7 +253,7 @@ def write_token_files(
             if not batch.num_rows:
                 continue
             if enc is None:
-                enc = _encoder(tokenizer_path)
+                enc = _encoder(tokenizer_path, special_as_text)
                 shard = batch.column("shard")[0].as_py()
                 out = common.SharedWriter(folder, f"part-{shard:08d}.zst")
                 frames = FrameWriter(out, 2 if enc.vocab <= 65536 else 4)
@@ -258,13 +273,14 @@ def write_token_files(
     return common.written(rows.mapInArrow(encode, MANIFEST), "token-manifest")
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, bool], Encoder] = {}
 
 
-def _encoder(path: str) -> Encoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+def _encoder(path: str, special_as_text: bool) -> Encoder:
+    key = (path, special_as_text)
+    if key not in _ENCODERS:
+        _ENCODERS[key] = Encoder(*key)
+    return _ENCODERS[key]
 
 
 DIGEST = "doc_id long, start long, n_tokens long, ids_crc32 long"

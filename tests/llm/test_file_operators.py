@@ -12,6 +12,8 @@ import zlib
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from riverloom.llm import common, hosts, token_files, warc
@@ -20,35 +22,68 @@ from riverloom.llm.queries import tokenizer_path
 TEXTS = ["", "a b c", "  two\n\n lines 's don't", None, "日本 text", "<|endoftext|> x", "x" * 5000, "é à la\tmode 12 + 3", "x\x1cy\x85z", "a b  \n", "!!'s ''t 'll'"]
 
 
+TEXTS += ["a <|endoftext|>", "x <|endoftext|> y", "<|startoftext|><|endoftext|>", "<| endoftext |>", "Über\u2028ß", "I'LL we'll", "e\u0301 É", "\u00a0 a\u00a0", "12345678901", "🙂 ok"]
+
+
 @pytest.fixture(scope="module")
 def library():
+    """The library as it is, without a setting of ours."""
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(tokenizer_path())
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(tokenizer_path())
 
 
-def test_ids_are_the_librarys(library, monkeypatch):
-    enc = token_files.Encoder(tokenizer_path())
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+@pytest.mark.parametrize("special_as_text", [False, True])
+def test_ids_are_the_librarys(monkeypatch, name, special_as_text):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(tokenizer_path(name))
+    if special_as_text:
+        plain.encode_special_tokens = True
+    enc = token_files.Encoder(tokenizer_path(name), special_as_text)
     texts = [t or "" for t in TEXTS]
-    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    want = [plain.encode(t, add_special_tokens=False).ids for t in texts]
     assert [x.tolist() for x in enc.encode(texts)] == want
     assert [x.tolist() for x in enc.encode(texts)] == want
     monkeypatch.setattr(token_files, "CACHE_PIECES", 3)
     assert [x.tolist() for x in enc.encode(texts)] == want
+    assert enc.cuts == (name == "byte_bpe_50k.json")
+
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(st.one_of(st.sampled_from(" \n\t'<|>sltrevmd09aZéßſ¡"), st.characters(codec="utf-8")), max_size=60), max_size=4))
+def test_ids_of_any_text_are_the_librarys(texts):
+    enc = token_files._encoder(tokenizer_path(), special_as_text=False)
+    assert [x.tolist() for x in enc.encode(texts)] == [enc.lib.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_only_known_tokenizers_are_cut(library):
+    spec = json.loads(library.to_str())
+    assert token_files.cuts_as_known(spec)
+    assert not token_files.cuts_as_known(spec | {"normalizer": {"type": "NFC"}})
+    assert not token_files.cuts_as_known(spec | {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True}})
+    assert not token_files.cuts_as_known(spec | {"pre_tokenizer": {"type": "Whitespace"}})
+    assert not token_files.cuts_as_known(spec | {"model": spec["model"] | {"end_of_word_suffix": "</w>"}})
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_files_give_back_every_document(spark, name):
+    from tokenizers import Tokenizer
 
-def test_files_give_back_every_document(spark, library):
-    rows = [(k * 3 % 17, t) for k, t in enumerate(TEXTS)] + [(None, "no id"), (5, "again"), (5, "again")]
+    library = Tokenizer.from_file(tokenizer_path(name))
+    rows = [(k * 3 % 17, t) for k, t in enumerate(TEXTS)] + [(None, "no id"), (5, "again"), (5, "again"), (40, "very long " * 200_000)]
+    rows += [(None, f"hot {k}") for k in range(40)]
     df = spark.createDataFrame([(*r, 1, "p") for r in rows], "doc_id long, text string, shard int, path string")
     folder = common.new_folder(spark, "t")
-    manifest = token_files.write_token_files(df, folder, tokenizer_path(), end_id=2, shards=3)
+    manifest = token_files.write_token_files(df, folder, tokenizer_path(name), end_id=2, shards=6)
     got = token_files.read_token_files(spark, folder, manifest).collect()
-    ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+    assert sum(r.n_docs < 40 for r in manifest.collect()) >= 3  # rows without ids are in several files
+    hashed = df.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text")).collect()
+    ordered = sorted(hashed, key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.h, r.text))
     start, want = 0, []
-    for i, t in ordered:
-        ids = [*library.encode(t or "", add_special_tokens=False).ids, 2]
+    for i, t, _ in ordered:
+        ids = [*library.encode(t, add_special_tokens=False).ids, 2]
         want.append((i, start, len(ids), zlib.crc32(np.asarray(ids, "<u4").tobytes())))
         start += len(ids)
     assert sorted([tuple(r) for r in got], key=lambda r: r[1]) == want
