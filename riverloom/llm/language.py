@@ -37,8 +37,10 @@ FOREIGN = 20.0
 SCRIPT_SHARE = 0.01
 #: Words that a worker keeps scores of, words of a batch, and words of a Viterbi piece.
 CACHE_WORDS, BATCH_WORDS, PIECE = 250_000, 300_000, 256
-#: With more languages than this, texts are not cut into pieces, and the words kept and in a batch are fewer.
-PIECE_LANGUAGES = 200
+#: Scores that a worker keeps or computes at once: with many languages it keeps fewer words.
+SCORES = 8_000_000
+#: With more languages than this, texts are not cut into pieces: a piece takes a byte for each pair of languages a word.
+PIECE_LANGUAGES = 8
 
 #: First and last code points of scripts, from the Unicode blocks. Letters elsewhere are named after theirs.
 SCRIPTS = [
@@ -121,6 +123,24 @@ def letter_runs(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return out, first
 
 
+class Counts:
+    """Letter runs and letters by script of a language's texts."""
+
+    def __init__(self):
+        self.runs = np.zeros((ORDERS, BUCKETS), np.int64)
+        self.scripts: dict[str, int] = {}
+
+    def add(self, text: str) -> None:
+        words = words_of(text)
+        for a in range(0, len(words), 200_000):
+            runs, _ = letter_runs(words[a : a + 200_000])
+            for n in range(ORDERS):
+                self.runs[n] += np.bincount(runs[n][runs[n] >= 0], minlength=BUCKETS)
+        for w in words:
+            if s := script_of(w):
+                self.scripts[s] = self.scripts.get(s, 0) + len(w)
+
+
 @dataclass
 class Model:
     languages: list[str]
@@ -131,26 +151,22 @@ class Model:
     @classmethod
     def fit(cls, rows: list[tuple[str, str]]) -> Model:
         """From (text, language) rows."""
-        texts: dict[str, list[str]] = {}
+        counts: dict[str, Counts] = {}
         for text, lang in rows:
-            texts.setdefault(lang, []).append(text)
-        languages = sorted(texts)
+            counts.setdefault(lang, Counts()).add(text)
+        return cls.of(counts)
+
+    @classmethod
+    def of(cls, counts: dict[str, Counts]) -> Model:
+        languages = sorted(counts)
         table = np.zeros((ORDERS, BUCKETS + 1, len(languages)), np.float32)
         scripts: dict[str, np.ndarray] = {}
         for k, lang in enumerate(languages):
-            counts = np.zeros((ORDERS, BUCKETS + 1))
-            words = [w for text in texts[lang] for w in words_of(text)]
-            for a in range(0, len(words), 200_000):
-                runs, _ = letter_runs(words[a : a + 200_000])
-                for n in range(ORDERS):
-                    counts[n] += np.bincount(np.where(runs[n] < 0, BUCKETS, runs[n]), minlength=BUCKETS + 1)
-            for w in words:
-                if s := script_of(w):
-                    scripts.setdefault(s, np.zeros(len(languages)))[k] += len(w)
-            counts[:, BUCKETS] = 0
-            share = np.log((counts + SMOOTHING) / (counts.sum(axis=1, keepdims=True) + SMOOTHING * BUCKETS))
-            share[:, BUCKETS] = 0
-            table[:, :, k] = share / ORDERS
+            runs = counts[lang].runs
+            share = np.log((runs + SMOOTHING) / (runs.sum(axis=1, keepdims=True) + SMOOTHING * BUCKETS))
+            table[:, :BUCKETS, k] = share / ORDERS
+            for s, n in sorted(counts[lang].scripts.items()):
+                scripts.setdefault(s, np.zeros(len(languages)))[k] += n
         letters = np.array(list(scripts.values())).reshape(len(scripts), len(languages))
         uses = letters >= SCRIPT_SHARE * np.maximum(letters.sum(axis=0), 1)
         return cls(languages, table, {s: k for k, s in enumerate(scripts)}, uses)
@@ -164,6 +180,11 @@ class Model:
 
     def scores(self, words: list[str]) -> np.ndarray:
         """(words, languages): log-likelihoods less the best one of each word; zeros where no language uses its script."""
+        step = max(64, SCORES // (16 * max(1, len(self.languages))))
+        parts = [self._scores(words[a : a + step]) for a in range(0, len(words), step)]
+        return np.concatenate([*parts, np.zeros((0, len(self.languages)), np.float32)])
+
+    def _scores(self, words: list[str]) -> np.ndarray:
         runs, first = letter_runs(words)
         per = np.zeros((runs.shape[1], len(self.languages)), np.float32)
         for n in range(ORDERS):
@@ -182,8 +203,8 @@ class Tagger:
     def __init__(self, model: Model):
         self.model = model
         k = max(1, len(model.languages))
-        self.batch_words = max(20_000, min(BATCH_WORDS, 16_000_000 // k**2)) if k <= PIECE_LANGUAGES else max(1_000, 4_000_000 // k)
-        self.cache_words = min(CACHE_WORDS, CACHE_WORDS * PIECE_LANGUAGES // k)
+        self.batch_words = max(20_000, min(BATCH_WORDS, 4 * SCORES // k))
+        self.cache_words = min(CACHE_WORDS, SCORES // k)
         self.known = _Numbers()
         self.score = np.zeros((0, len(model.languages)), np.float32)
         self.letters = np.zeros(0, np.int64)
@@ -212,7 +233,7 @@ class Tagger:
             self.evidence = np.concatenate([self.evidence, self.letters[len(self.evidence) :] * sure])
         flat = np.concatenate([*ids, np.zeros(0, np.int64)])
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        path = viterbi(self.score[flat], sizes, SWITCH)
+        path = viterbi(self.score, sizes, SWITCH, flat)
         cut = np.cumsum(sizes)[:-1]
         columns = (path, self.letters[flat], self.evidence[flat])
         return zip(*(np.split(x, cut) for x in columns), strict=True) if len(ids) else iter(())
@@ -229,19 +250,22 @@ class _Numbers(dict):
         return n
 
 
-def viterbi(score: np.ndarray, sizes: np.ndarray, penalty: float) -> np.ndarray:
-    """The best language of every word of texts laid end to end.
+def viterbi(score: np.ndarray, sizes: np.ndarray, penalty: float, word: np.ndarray | None = None) -> np.ndarray:
+    """The best language of every word of texts laid end to end; ``word`` gives the row of ``score`` of each.
 
     Texts are cut into pieces of PIECE words, and every piece is solved for every language that may stand before it;
     a text's pieces are then joined one after another. The result is that of one pass over each text, but all pieces
-    of a batch advance together.
+    of a batch advance together. With more than PIECE_LANGUAGES languages each text is gone through in one pass. A word
+    takes 64 bytes at most in the first case, and languages / 8 + 26 in the second, besides the scores of the different
+    words.
     """
     k = score.shape[1]
-    path = np.zeros(len(score), np.int64)
-    if not len(score) or k < 2:
+    word = np.arange(len(score)) if word is None else word
+    path = np.zeros(len(word), np.int64)
+    if not len(word) or k < 2:
         return path
     if k > PIECE_LANGUAGES:
-        return _whole(score, sizes, penalty)
+        return _whole(score, sizes, penalty, word)
     start = np.cumsum(sizes) - sizes
     count = -(-sizes // PIECE)
     text = np.repeat(np.arange(len(sizes)), count)
@@ -253,9 +277,9 @@ def viterbi(score: np.ndarray, sizes: np.ndarray, penalty: float) -> np.ndarray:
     slot = np.empty(len(order), np.int64)
     slot[order] = np.arange(len(order))
     active = np.searchsorted(-length, -np.arange(int(length.max())), side="left")  # pieces longer than t
-    back = np.zeros((len(score), k, k), np.int8 if k < 128 else np.int16)
-    v = score[begin][:, None, :] - np.where(np.eye(k, dtype=bool), 0, penalty).astype(np.float32)[None]
-    v[opening] = score[begin[opening]][:, None, :]
+    back = np.zeros((len(word), k, k), np.int8)
+    v = score[word[begin]][:, None, :] - np.where(np.eye(k, dtype=bool), 0, penalty).astype(np.float32)[None]
+    v[opening] = score[word[begin[opening]]][:, None, :]
     own = np.arange(k)
     for t in range(1, len(active)):
         m = active[t]
@@ -264,7 +288,7 @@ def viterbi(score: np.ndarray, sizes: np.ndarray, penalty: float) -> np.ndarray:
         change = np.take_along_axis(now, best[..., None], 2) - np.float32(penalty)
         stay = now >= change
         back[begin[:m] + t] = np.where(stay, own, best[..., None])
-        v[:m] = np.where(stay, now, change) + score[begin[:m] + t][:, None, :]
+        v[:m] = np.where(stay, now, change) + score[word[begin[:m] + t]][:, None, :]
     entry, leave = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
     some = np.flatnonzero(count > 0)
     some = some[np.argsort(-count[some], kind="stable")]
@@ -293,32 +317,34 @@ def viterbi(score: np.ndarray, sizes: np.ndarray, penalty: float) -> np.ndarray:
     return path
 
 
-def _whole(score: np.ndarray, sizes: np.ndarray, penalty: float) -> np.ndarray:
-    """The same in one pass over each text: a word needs memory for each language, not for each pair of them."""
+def _whole(score: np.ndarray, sizes: np.ndarray, penalty: float, word: np.ndarray) -> np.ndarray:
+    """The same in one pass over each text: a word needs a bit for each language, not a byte for each pair of them."""
     order = np.argsort(-sizes, kind="stable")
     begin, length = (np.cumsum(sizes) - sizes)[order], sizes[order]
     active = np.searchsorted(-length, -np.arange(int(length.max())), side="left")  # texts longer than t
-    stay, best = np.zeros(score.shape, bool), np.zeros(len(score), np.int64)
-    v = score[begin[: active[0]]]
+    k = score.shape[1]
+    stay, best = np.zeros((len(word), -(-k // 8)), np.uint8), np.zeros(len(word), np.int16)
+    v = score[word[begin[: active[0]]]]
     for t in range(1, len(active)):
         m = active[t]
         now = v[:m] - v[:m].max(axis=1, keepdims=True)
         where = begin[:m] + t
         best[where] = now.argmax(axis=1)
-        stay[where] = now >= -penalty
-        v[:m] = np.maximum(now, -np.float32(penalty)) + score[where]
-    path = np.zeros(len(score), np.int64)
+        stay[where] = np.packbits(now >= -penalty, axis=1)
+        v[:m] = np.maximum(now, -np.float32(penalty)) + score[word[where]]
+    path = np.zeros(len(word), np.int64)
     at = v.argmax(axis=1)
     for t in range(len(active) - 1, -1, -1):
         m = active[t]
         where = begin[:m] + t
         path[where] = at[:m]
-        at[:m] = np.where(stay[where, at[:m]], at[:m], best[where])
+        own = (stay[where, at[:m] // 8] >> (7 - at[:m] % 8)) & 1
+        at[:m] = np.where(own == 1, at[:m], best[where])
     return path
 
 
-def sample(labelled: DataFrame, text_col: str, lang_col: str, texts: int = SAMPLE_TEXTS) -> list[tuple[str, str]]:
-    """At most ``texts`` different texts of each language, those with the smallest hashes; all where there are fewer.
+def sample(labelled: DataFrame, text_col: str, lang_col: str, texts: int = SAMPLE_TEXTS) -> DataFrame:
+    """(text, lang): at most ``texts`` different texts of each language, those with the smallest hashes; all where fewer.
 
     Copies of a text count once for a language. Hashes of the different texts are shuffled, and a task keeps so many of
     each language before they are ranked.
@@ -329,8 +355,64 @@ def sample(labelled: DataFrame, text_col: str, lang_col: str, texts: int = SAMPL
     key = ["lang", "h", "g"]
     order = Window.partitionBy("lang").orderBy("h", "g")
     chosen = rows.select(*key).distinct().withColumn("n", F.row_number().over(order)).where(F.col("n") <= texts)
-    found = rows.join(F.broadcast(chosen.select(*key)), key, "left_semi").groupBy(*key).agg(F.min("text").alias("text"))
-    return sorted((r["text"], r["lang"]) for r in found.select("text", "lang").collect())
+    found = rows.join(chosen.select(*key), key, "left_semi").groupBy(*key).agg(F.min("text").alias("text"))
+    return found.select("text", "lang")
+
+
+COUNTED = "lang string, kind int, bucket int, script string, n long"
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of a task's texts by language; kind is the length of a run, or 0 for letters of a script."""
+    counts: dict[str, Counts] = {}
+
+    def rows(lang: str, c: Counts) -> pa.RecordBatch:
+        kind, bucket = np.nonzero(c.runs)
+        n = c.runs[kind, bucket]
+        some = len(c.scripts)
+        return pa.RecordBatch.from_pydict(
+            {
+                "lang": pa.array([lang] * (len(n) + some), pa.string()),
+                "kind": pa.array(np.concatenate([kind + 1, np.zeros(some, np.int64)]), pa.int32()),
+                "bucket": pa.array(np.concatenate([bucket, np.zeros(some, np.int64)]), pa.int32()),
+                "script": pa.array([None] * len(n) + list(c.scripts), pa.string()),
+                "n": pa.array(np.concatenate([n, np.fromiter(c.scripts.values(), np.int64, some)]), pa.int64()),
+            }
+        )
+
+    for batch in batches:
+        langs = batch.column("lang").to_pylist()
+        for a, texts in common.text_slices(batch.column("text"), 4_000_000):
+            for lang, text in zip(langs[a : a + len(texts)], texts, strict=True):
+                counts.setdefault(lang, Counts()).add(text)
+            if len(counts) > 32:  # 2 MB each
+                yield from (rows(*x) for x in counts.items())
+                counts.clear()
+    yield from (rows(*x) for x in counts.items())
+    counts.clear()
+    common.release()
+
+
+def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", texts: int = SAMPLE_TEXTS) -> Model:
+    """A model of every language that is not null, fitted on the texts of ``sample``.
+
+    Texts stay on the executors, whatever their length; the driver gets the sums of their counts, at most about 260,000
+    numbers a language, which is also the size of the model.
+    """
+    found = sample(labelled, text_col, lang_col, texts).mapInArrow(_count, COUNTED)
+    total = found.groupBy("lang", "kind", "bucket", "script").agg(F.sum("n").alias("n")).toArrow()
+    counts: dict[str, Counts] = {}
+    columns = [total.column(c).to_numpy(zero_copy_only=False) for c in ("kind", "bucket", "n")]
+    names, scripts = total.column("lang").to_pylist(), total.column("script").to_pylist()
+    for lang, script, kind, bucket, n in zip(names, scripts, *columns, strict=True):
+        own = counts.setdefault(lang, Counts())
+        if kind:
+            own.runs[kind - 1, bucket] = n
+        elif script is not None:
+            own.scripts[script] = int(n)
+    for lang in {r["lang"] for r in sample(labelled, text_col, lang_col, 1).select("lang").collect()} - set(counts):
+        counts[lang] = Counts()  # its texts have no letters
+    return Model.of(counts)
 
 
 PREDICTED = "lang_pred string, score double, spans array<struct<start:long,end:long,lang:string>>"
@@ -341,8 +423,10 @@ def predict(docs: DataFrame, model: Model, *, text_col: str = "text", keep_text:
     """``docs`` with lang_pred, score and the spans [start, end) of words in one language.
 
     The score is the language's share of all letters. A word of a script that no learnt language uses counts for none:
-    a text of such words only has score 0. A null text, one without letters, and any text where nothing was learnt are
-    ``und`` with score 0 and no spans. Ties go to the language whose name sorts first. Columns of ``docs`` named like new ones are replaced.
+    a text of such words only has score 0. A null or empty text, one without letters, and any text where nothing was
+    learnt are ``und`` with score 0 and no spans. Ties go to the language whose name sorts first. Rows that repeat are
+    judged alike, and an empty table gives an empty one. A text of any length is read whole: it takes about 100 bytes a
+    word, and four for each language for each different word. Columns of ``docs`` named like new ones are replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     docs = docs.drop("lang_pred", "score", "spans")

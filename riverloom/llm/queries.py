@@ -65,7 +65,7 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     common.wide_rows(spark)
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(4)) == 2
-    model = language.Model.fit(language.sample(docs.where(~held_out), "text", "lang"))
+    model = language.learn(docs.where(~held_out))
     found = language.predict(docs.select("doc_id", "text"), model, keep_text=False, spans=False)
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 

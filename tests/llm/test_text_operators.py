@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import collections
 import datetime
 import hashlib
 import hmac
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -170,7 +172,7 @@ def test_held_out_accuracy_and_spans(spark):
     path = "/root/testdata/sf0.01/documents.parquet"
     docs = spark.read.parquet(path).select("doc_id", "text", "lang")
     held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
-    model = language.Model.fit(language.sample(docs.where(~held), "text", "lang"))
+    model = language.learn(docs.where(~held))
     found = language.predict(docs.where(held), model).collect()
     assert sum(r.lang == r.lang_pred for r in found) >= 0.95 * len(found)
     assert all(0 <= r.score <= 1 for r in found)
@@ -186,7 +188,7 @@ def test_held_out_accuracy_and_spans(spark):
 def test_nothing_learnt(spark):
     df = spark.createDataFrame([(1, "text")], "doc_id long, text string")
     labelled = spark.createDataFrame([("a", None), (None, "en")], "text string, lang string")
-    model = language.Model.fit(language.sample(labelled, "text", "lang"))
+    model = language.learn(labelled)
     assert language.predict(df, model).first().lang_pred == "und"
     assert language.predict(df.limit(0), model).count() == 0
 
@@ -200,11 +202,69 @@ def test_every_language_is_fitted_on_different_texts(spark):
     rows = [(f"text {k} of many copies", "aa") for k in range(50) for _ in range(200)]
     rows += [(f"other {k}", "bb") for k in range(500) for _ in range(3)]
     rows += [(f"rare {k}", f"r{k:03d}") for k in range(230)] + [("rare 1", "bb"), (None, "aa"), ("x", None)]
-    got = language.sample(spark.createDataFrame(rows, "text string, lang string").repartition(5), "text", "lang")
+    df = spark.createDataFrame(rows, "text string, lang string").repartition(5)
+    got = [tuple(r) for r in language.sample(df, "text", "lang").collect()]
     assert len(set(got)) == len(got)
     many = {lang: sum(x == lang for _, x in got) for lang in {x for _, x in got}}
     assert many == {"aa": 50, "bb": 400, **{f"r{k:03d}": 1 for k in range(230)}}
     assert set(got) <= set(rows)
+    model, want = language.learn(df), language.Model.fit(got)
+    assert model.languages == want.languages and model.scripts == want.scripts
+    assert (model.uses == want.uses).all() and (model.table == want.table).all()
+
+
+def test_a_rare_language_of_few_texts_is_learnt(spark):
+    rows = [(f"mot {k} français {k * 7}", "fr") for k in range(900)] + [(f"wort {k % 3} deutsch", "de") for k in range(15_000)] + [("12 34", "xx")]
+    model = language.learn(spark.createDataFrame(rows, "text string, lang string"))
+    assert model.languages == ["de", "fr", "xx"]
+
+
+def letter_runs(word):
+    text = f"\n{word}\n"
+    return [(n, text[i : i + n]) for i in range(len(word) + 1) for n in range(1, 5) if i + n <= len(text) and text[i : i + n] != "\n"]
+
+
+def test_word_scores_are_those_of_a_plain_computation():
+    texts = {"en": "The cat and the dog, the hat", "de": "Der Hund und die Katze der Hut", "ru": "кот и собака"}
+    model = language.Model.fit([(t, lang) for lang, t in texts.items()])
+    words = ["the", "hund", "кот", "zzz", "собака", "日本", "a"]
+    got = model.scores(words)
+    counts = {}
+    for lang, t in texts.items():
+        found = [r for w in re.findall(r"[^\W\d_]+", t.lower()) for r in letter_runs(w)]
+        counts[lang] = collections.Counter(found)
+    script = {"en": "Latin", "de": "Latin", "ru": "Cyrillic"}
+    for row, w in zip(got, words, strict=True):
+        own = {"кот": "Cyrillic", "собака": "Cyrillic", "日本": "Han"}.get(w, "Latin")
+        want = []
+        for lang in model.languages:
+            total = {n: sum(c for (m, _), c in counts[lang].items() if m == n) for n in range(1, 5)}
+            s = sum(np.log((counts[lang][r] + language.SMOOTHING) / (total[r[0]] + language.SMOOTHING * language.BUCKETS)) / 4 for r in letter_runs(w))
+            want.append(s - (0 if script[lang] == own else language.FOREIGN))
+        want = np.array(want) - max(want) if own != "Han" else np.zeros(3)
+        assert np.allclose(row, want, atol=1e-3), w
+
+
+def test_long_and_repeated_texts(spark):
+    model = language.Model.fit([("the cat and the dog", "en"), ("der hund und die katze", "de")])
+    long = "the dog and the cat " * 100_000
+    df = spark.createDataFrame([(1, long), (2, "der hund"), (2, "der hund"), (3, long + "die katze")], "doc_id long, text string")
+    got = sorted((r.doc_id, r.lang_pred, round(r.score, 4)) for r in language.predict(df, model, keep_text=False, spans=False).collect())
+    assert [g[:2] for g in got] == [(1, "en"), (2, "de"), (2, "de"), (3, "en")] and got[0][2] == 1.0
+
+
+@pytest.mark.parametrize("languages", [4, 40, 200])
+def test_memory_of_a_long_text_is_bounded(languages):
+    """A million words: the pass itself takes less than 100 MB, whatever the number of languages."""
+    rng = np.random.default_rng(0)
+    score = rng.normal(0, 3, (1000, languages)).astype(np.float32)
+    n = 1_000_000 if languages < 8 else 60_000
+    word = rng.integers(0, 1000, n)
+    tracemalloc.start()
+    language.viterbi(score, np.array([n]), 8.0, word)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 100 * n
 
 
 def test_many_languages_take_one_pass_with_the_same_result(monkeypatch):
