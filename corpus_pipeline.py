@@ -20,7 +20,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known; the model is fitted on a bounded sample of the labelled ones."""
     common.wide_rows(spark)
     columns = docs.columns
-    model = language.Model.fit(language.sample(docs, "text", "lang"))
+    model = language.learn(docs)
     found = language.predict(docs, model, spans=False)
     kept = found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
     return kept.select(*columns)
