@@ -232,6 +232,8 @@ def brute(rows):
 @pytest.mark.parametrize("block", [4, 1024])
 def test_near_vectors_are_those_of_all_pairs(spark, monkeypatch, block):
     monkeypatch.setattr(embeddings, "BLOCK", block)
+    monkeypatch.setattr(embeddings, "PAIRS", 7 * block)
+    monkeypatch.setattr(embeddings, "CHUNK", 50 * block)
     rows = vectors()
     n = len(rows)
     rows += [(n + k, rows[0][1], rows[0][2]) for k in range(30)]
@@ -246,6 +248,33 @@ def test_near_vectors_are_those_of_all_pairs(spark, monkeypatch, block):
     assert max(w[0] for w in want.values()) >= 30
 
 
+def test_near_vectors_of_repeated_and_absent_ids(spark):
+    v, w = [1.0, 2.0, 3.0], [1.0, 2.0, 3.1]
+    rows = [(4, v, 1), (4, w, 1), (4, v, 1), (None, v, 1), (2, w, 1), (None, None, 1), (9, [3.0, -1.0, 0.0], 1), (9, [3.0, -1.0, 0.0], 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = sorted(map(str, ((r.vec_id, r.n_links, r.component_id, r.kept) for r in embeddings.near_vectors(df).collect())))
+    want = [(4, 4, 2, False)] * 3 + [(None, 4, 2, False), (2, 4, 2, True), (None, 0, None, True), (9, 1, 9, True), (9, 1, 9, True)]
+    assert got == sorted(map(str, want))
+    alone = spark.createDataFrame([(None, v, 1), (None, v, 1)], "vec_id long, embedding array<double>, label int")
+    assert {(r.n_links, r.component_id) for r in embeddings.near_vectors(alone).collect()} == {(1, None)}
+
+
+def test_a_cosine_at_the_threshold_links(spark):
+    a, b = [1.0, 0.0], [0.98, float(np.sqrt(1 - 0.98**2))]
+    x, y = np.array(a), np.array(b)
+    df = spark.createDataFrame([(1, a, 1), (2, b, 1), (3, [0.97, float(np.sqrt(1 - 0.97**2))], 1)], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r.n_links for r in embeddings.near_vectors(df).collect()}
+    assert x @ y / np.sqrt((x @ x) * (y @ y)) >= 0.98 and got == {1: 1, 2: 2, 3: 1}
+
+
+def test_near_vectors_of_long_vectors(spark):
+    rng = np.random.default_rng(1)
+    base = rng.normal(size=20_000)
+    rows = [(1, base.tolist(), 1), (2, (base + rng.normal(size=20_000) * 0.05).tolist(), 1), (3, rng.normal(size=20_000).tolist(), 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    assert {r.vec_id: r.component_id for r in embeddings.near_vectors(df).collect()} == {1: 1, 2: 1, 3: 3}
+
+
 def test_near_vectors_of_nothing(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert embeddings.near_vectors(df).count() == 0
