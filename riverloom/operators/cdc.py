@@ -61,20 +61,25 @@ def _envelope(df: DataFrame, config: dict) -> tuple[DataFrame, dict[str, Column]
                 T.StructField("source", T.StructType([T.StructField(n, T.StringType()) for n in ("db", "database", "table", "snapshot")])),
             ]
         )
-        outer = T.StructType([*inner.fields, T.StructField("payload", inner)])
+        # one schema reads an envelope, a payload in one, and a bare image, unless names of the two meet
+        taken = {n.lower() for n in (*inner.names, "payload")}
+        meet = any(f.name.lower() in taken for f in image_type.fields)
+        corrupt = T.StructField("__corrupt", T.StringType())
+        outer = T.StructType([*inner.fields, T.StructField("payload", inner), *([] if meet else image_type.fields), corrupt])
         c = col(source)
         whole = F.trim(c)
-        parts = F.struct(
-            F.from_json(c, outer).alias("outer"),
-            F.get_json_object(c, "$.payload").isNotNull().alias("has"),
-            F.from_json(c, image_type).alias("plain"),
-            (F.get_json_object(c, "$").isNull() | ~whole.startswith("{")).alias("unreadable"),
-            (c.isNull() | whole.isin("", "null") | whole.rlike(r'(?s)^\{\s*("payload"\s*:\s*null\s*,?.*)?\}$')).alias("empty"),
-        )
-        df = V.once(df, "__x", parts)
-        x = F.col("__x")
-        p = {n: F.when(x["has"], x["outer"]["payload"][n]).otherwise(x["outer"][n]) for n in inner.names}
-        p["plain"] = x["plain"]
+        df = V.once(df, "__x", F.from_json(c, outer, {"columnNameOfCorruptRecord": "__corrupt"}))
+        parsed = F.col("__x")
+        has = parsed["payload"].isNotNull()
+        p = {n: F.when(has, parsed["payload"][n]).otherwise(parsed[n]) for n in inner.names}
+        bare = F.from_json(c, image_type) if meet else F.struct(*[parsed[f.name].alias(f.name) for f in image_type.fields])
+        p["plain"] = F.when(parsed.isNotNull(), bare)
+        x = {
+            "has": has,
+            # a field of another type marks a record as well; only text that is no JSON is unreadable
+            "unreadable": c.isNull() | ~whole.startswith("{") | (parsed["__corrupt"].isNotNull() & F.get_json_object(c, "$").isNull()),
+            "empty": c.isNull() | whole.isin("", "null") | whole.rlike(r'(?s)^\{\s*("payload"\s*:\s*null\s*,?.*)?\}$'),
+        }
         p["tombstone"] = x["empty"] & ~F.coalesce(x["has"], F.lit(False))
         p["unreadable"] = x["unreadable"]
         return df, p, image_type
@@ -137,6 +142,31 @@ def _unwrap(df: DataFrame, config: dict, context: Context, full: bool) -> Outcom
     )
 
 
+def change_order(text: Column) -> Column:
+    """The order of a change among those of its log, from a Debezium envelope's JSON text, as one whole number.
+
+    MySQL names a log file, whose number grows with every rotation, a position in it, which begins again in each file,
+    and a row of an event: file (22 bits), position (33 bits) and row (8 bits, 255 and beyond alike) make the number.
+    PostgreSQL names a log sequence number, as a number or as two hexadecimal ones. Without either, a transaction
+    number of a GTID counts, then a time. Positions beyond their bits are an error.
+    """
+
+    def part(name: str) -> Column:
+        return F.coalesce(F.get_json_object(text, f"$.payload.source.{name}"), F.get_json_object(text, f"$.source.{name}"))
+
+    file = F.regexp_extract(part("file"), r"([0-9]+)$", 1).try_cast("bigint")
+    at, row = part("pos").try_cast("bigint"), F.least(F.coalesce(part("row").try_cast("bigint"), F.lit(0)), F.lit(255))
+    beyond = F.raise_error(F.concat(F.lit("log position out of range: "), part("file"), F.lit(" "), part("pos"))).cast("bigint")
+    log = F.when((file >= 1 << 22) | (at >= 1 << 33), beyond).otherwise(F.shiftleft(file, 41) + F.shiftleft(at, 8) + row)
+    lsn = part("lsn")
+    pair = F.regexp_extract(lsn, r"^([0-9A-Fa-f]{1,8})/([0-9A-Fa-f]{1,8})$", 1)
+    low = F.regexp_extract(lsn, r"^([0-9A-Fa-f]{1,8})/([0-9A-Fa-f]{1,8})$", 2)
+    lsn = F.when(pair != "", F.shiftleft(F.conv(pair, 16, 10).cast("bigint"), 32) + F.conv(low, 16, 10).cast("bigint")).otherwise(lsn.try_cast("bigint"))
+    gtid = F.regexp_extract(part("gtid"), r":([0-9]+)$", 1).try_cast("bigint")
+    time = F.coalesce(F.get_json_object(text, "$.payload.ts_ms"), F.get_json_object(text, "$.ts_ms")).try_cast("bigint")
+    return F.coalesce(F.when(file.isNotNull() & at.isNotNull(), log), lsn, at, gtid, time)
+
+
 @operator("normalize_envelope", "debezium_envelope")
 def normalize_envelope(df: DataFrame, config: dict, context: Context) -> Outcome:
     """The after-image (before-image of deletes) as columns, the change data beside it; plain rows pass as inserts."""
@@ -273,7 +303,8 @@ def apply_changes(base: DataFrame, changes: DataFrame, keys: list[str], order: s
     """The table that a base and its changes make: the last change of each key wins, deletes remove.
 
     ``insert`` keeps rows that are there; ``increment`` adds to the numbers that are there (deletes still remove).
-    Changes without a key fail. Base and changes meet in one join on the key.
+    Changes without a key fail. Base and changes meet in one join on the key. The order column tells which change is
+    the last one; see ``change_order`` for changes from a log.
     """
     names = base.columns
     work = delete_keys(changes, keys) if META in changes.columns else changes
@@ -332,9 +363,56 @@ def debezium_json(df: DataFrame) -> Column:
 
 #: MySQL column types and what they are called elsewhere.
 TYPE_NAMES = {
-    "postgresql": {"tinyint": "SMALLINT", "int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE PRECISION", "float": "REAL", "datetime": "TIMESTAMP", "text": "TEXT", "json": "JSONB", "varchar": "VARCHAR"},
-    "clickhouse": {"tinyint": "Int8", "int": "Int32", "bigint": "Int64", "double": "Float64", "float": "Float32", "datetime": "DateTime", "text": "String", "json": "String", "varchar": "String"},
-}
+    "postgresql": {
+        "tinyint": "SMALLINT",
+        "smallint": "SMALLINT",
+        "int": "INTEGER",
+        "integer": "INTEGER",
+        "mediumint": "INTEGER",
+        "bigint": "BIGINT",
+        "float": "REAL",
+        "double": "DOUBLE PRECISION",
+        "real": "DOUBLE PRECISION",
+        "decimal": "DECIMAL",
+        "numeric": "DECIMAL",
+        "char": "CHAR",
+        "varchar": "VARCHAR",
+        "text": "TEXT",
+        "tinytext": "TEXT",
+        "mediumtext": "TEXT",
+        "longtext": "TEXT",
+        "blob": "BYTEA",
+        "tinyblob": "BYTEA",
+        "mediumblob": "BYTEA",
+        "longblob": "BYTEA",
+        "date": "DATE",
+        "datetime": "TIMESTAMP(3)",
+        "timestamp": "TIMESTAMP(3)",
+        "time": "TIME",
+        "json": "JSONB",
+        "enum": "TEXT",
+        "set": "TEXT",
+    },
+    "clickhouse": {
+        "tinyint": "Int8",
+        "smallint": "Int16",
+        "int": "Int32",
+        "integer": "Int32",
+        "mediumint": "Int32",
+        "bigint": "Int64",
+        "float": "Float32",
+        "double": "Float64",
+        "real": "Float64",
+        "decimal": "Decimal",
+        "numeric": "Decimal",
+        "date": "Date",
+        "datetime": "DateTime64(3)",
+        "timestamp": "DateTime64(3)",
+    },
+}
+#: What a type is called that the lists above lack, and types that keep their length or precision.
+OTHER_TYPE = {"postgresql": "TEXT", "clickhouse": "String"}
+SIZED = {"postgresql": ("decimal", "numeric", "char", "varchar"), "clickhouse": ("decimal", "numeric")}
 
 
 def translate_ddl(ddl: str, dialect: str) -> str | None:
@@ -351,8 +429,8 @@ def translate_ddl(ddl: str, dialect: str) -> str | None:
         new = new.strip("`")
     t = re.match(r"(?i)(\w+)\s*(\([^)]*\))?", rest)
     base = t.group(1).lower() if t else ""
-    kind = TYPE_NAMES[dialect].get(base, base.upper())
-    if t and t.group(2) and (base in ("decimal", "numeric") or dialect == "postgresql" and base == "varchar"):
+    kind = TYPE_NAMES[dialect].get(base, OTHER_TYPE[dialect])
+    if t and t.group(2) and base in SIZED[dialect]:
         kind += t.group(2)
     if verb == "drop":
         return f"ALTER TABLE {table} DROP COLUMN {column}"

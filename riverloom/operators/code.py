@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riverloom.functions.predicates import ConfigError
-from riverloom.operators.joins import run_sql
+from riverloom.operators.joins import loaded, run_sql
 from riverloom.operators.outcome import Context, Outcome, need, operator
 from riverloom.operators.project import col
 
@@ -63,7 +63,7 @@ def call_rows(df: DataFrame, f: Callable[[dict], Any], schema: str, context: Con
     bad = found.where(F.col("__failed").isNotNull()).select(
         F.lit(context.node).alias("node"), F.lit("data").alias("error_class"), F.col("__failed").alias("message"), F.col("__record").alias("record")
     )
-    return Outcome(ok, bad)
+    return Outcome(ok, bad, found)
 
 
 def _json(row: dict) -> str:
@@ -114,7 +114,7 @@ def sql(df: DataFrame, config: dict, context: Context) -> DataFrame:
     model = need(config, "model" if config.get("model") else "query", "sql")
     name = config.get("source_table", "input")
     rows = df.select(*[col(c) for c in df.columns if not c.startswith("_")])
-    return run_sql(df.sparkSession, model, {**context.tables, name: rows})
+    return run_sql(model, {name: rows, **loaded(context, config)})
 
 
 PLUGINS: dict[str, Callable[[DataFrame, dict], DataFrame]] = {}

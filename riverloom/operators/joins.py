@@ -7,29 +7,32 @@ import re
 import time
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
+from urllib.parse import quote
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from riverloom.functions import values as V
 from riverloom.functions.predicates import ConfigError, where_clause
 from riverloom.operators.outcome import Context, Outcome, classify, failed, need, operator, split, whole
 from riverloom.operators.project import col
-from riverloom.operators.rows import order_column
+from riverloom.operators.rows import order_column, slices
 from riverloom.operators.window import event_time
 
-#: Rows of a dimension up to which it is broadcast; the count is checked.
-BROADCAST_ROWS = 500_000
+#: Rows of a dimension, and bytes of them as JSON text, up to which it is broadcast; both are checked.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 64_000_000
 
 
 @operator("join")
 def asof_join(df: DataFrame, config: dict, context: Context) -> Outcome:
     """Each row with the newest earlier row of its key that satisfies ``where`` and is younger than the window.
 
-    Earlier is by the order column, age by event time. Keys meet by their text form. The rows of a key pass one window
-    in order, and only the last match is held, so a key with very many rows needs no more memory than others; a key
-    that holds much of the input can be cut by time with ``slice_seconds`` (at least the window): a slice reads the
-    slice before it as well, and no match reaches further back.
+    Earlier is by the order column, age by event time. Keys meet by their text form. The rows of a key are cut into
+    ``slices`` of the order column (as many as shuffle partitions by default): within a slice one window pass finds the
+    last match, and the last one of each slice is handed on to the next over one row per key and slice. So a key that
+    holds much of the input is spread, and the result is that of one pass. Rows without a key are spread and match
+    nothing. More keys or rows than ``max_buffered_keys`` or ``max_buffered_records`` are refused.
     """
     kind = config.get("join_type", "inner")
     if kind not in ("inner", "left"):
@@ -46,23 +49,24 @@ def asof_join(df: DataFrame, config: dict, context: Context) -> Outcome:
     fields = [c for c in need(config, "join_fields", "join") if c in df.columns]
     shown = V.text(col(key), V.dtype(df, key))
     some = shown.isNotNull() & (shown != "")
-    work = df.withColumn("__key", shown).withColumn("__ts", event_time(df, config, context)).withColumn("__own", F.lit(True))
-    group = ["__key"]
-    if slice_ := whole(config, "slice_seconds"):
-        if slice_ < span:
-            raise ConfigError("join: a slice is not shorter than the window")
-        number = F.floor(F.unix_seconds("__ts") / slice_)
-        here = work.withColumn("__slice", number)
-        # a slice's rows serve the next one as candidates; order and time agree within the window there
-        ahead = here.withColumn("__slice", F.col("__slice") + 1).withColumn("__own", F.lit(False))
-        work, group = here.unionByName(ahead), ["__key", "__slice"]
+    work = df.withColumn("__key", shown).withColumn("__ts", event_time(df, config, context))
+    _check_caps(work.where(some), config)
     match = F.struct(F.col("__ts").alias("__t"), *[col(c).alias(c) for c in fields])
-    candidate = F.when(some & where_clause(config.get("where") or "", df.schema), match)
-    before = Window.partitionBy(*group).orderBy(col(seq)).rowsBetween(Window.unboundedPreceding, -1)
-    work = work.withColumn("__match", F.last(candidate, ignorenulls=True).over(before)).where("__own")
+    work = work.withColumn("__candidate", F.when(some & where_clause(config.get("where") or "", df.schema), match))
+    n = whole(config, "slices", int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    cut = slices(df, seq, n) if n > 1 and isinstance(V.dtype(df, seq), T.NumericType) else F.lit(0)
+    work = work.withColumn("__slice", F.when(some, cut).otherwise(-1 - F.pmod(F.xxhash64(col(seq)), F.lit(4 * n))))
+    work = work.withColumn("__key", F.when(some, F.col("__key")))
+    before = Window.partitionBy("__key", "__slice").orderBy(col(seq)).rowsBetween(Window.unboundedPreceding, -1)
+    work = work.withColumn("__match", F.last("__candidate", ignorenulls=True).over(before))
+    if n > 1:
+        last = F.max_by("__candidate", F.when(F.col("__candidate").isNotNull(), col(seq))).alias("__last")
+        ends = work.where(some).groupBy("__key", "__slice").agg(last)
+        earlier = Window.partitionBy("__key").orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
+        ends = ends.select("__key", "__slice", F.last("__last", ignorenulls=True).over(earlier).alias("__carried"))
+        work = work.join(ends, ["__key", "__slice"], "left").withColumn("__match", F.coalesce("__match", "__carried"))
     young = F.unix_micros("__ts") - F.unix_micros(F.col("__match.__t")) < span * 1_000_000
     work = work.withColumn("__match", F.when(some & young, F.col("__match")))
-    helpers = ["__key", "__ts", "__own", "__match", *group[1:]]
     names = [c for c in df.columns if c not in [prefix + f for f in fields]]
     joined = [col(c) for c in names] + [F.col(f"__match.{c}").alias(prefix + c) for c in fields]
     if kind == "left":
@@ -70,21 +74,76 @@ def asof_join(df: DataFrame, config: dict, context: Context) -> Outcome:
     hit = work.where(F.col("__match").isNotNull()).select(*joined)
     if on_miss == "drop":
         return Outcome(hit)
-    missed = work.where(F.col("__match").isNull()).drop(*helpers)
+    missed = work.where(F.col("__match").isNull()).select(*[col(c) for c in df.columns])
     return Outcome(hit, failed(missed, context.node, "data", f"join: no earlier row of the same {key}"))
 
 
+def _check_caps(rows: DataFrame, config: dict) -> None:
+    """Refuses input beyond the caps that a configuration sets on what a join holds."""
+    keys, records = whole(config, "max_buffered_keys"), whole(config, "max_buffered_records")
+    if not rows.isStreaming and keys and rows.select("__key").distinct().limit(keys + 1).count() > keys:
+        raise ConfigError(f"join: state key limit exceeded ({keys})")
+    if not rows.isStreaming and records and rows.limit(records + 1).count() > records:
+        raise ConfigError(f"join: state record limit exceeded ({records})")
+
+
 def unique_dimension(dim: DataFrame, key: str, order: str | None) -> DataFrame:
-    """One row per key, the last by ``order``; null keys name nothing."""
+    """One row per key, the last by ``order``; null keys name nothing.
+
+    Rows of a table have no order of their own: where a key has several different rows and no order is given, the query
+    fails and asks for one.
+    """
     kind = V.dtype(dim, key)
     rows = dim.where(col(key).isNotNull()).withColumn("__dim", V.text(col(key), kind))
     row = F.struct(*[col(c) for c in dim.columns])
-    by = col(order) if order else F.to_json(row)
-    return rows.groupBy("__dim").agg(F.max_by(row, by).alias("__row"))
+    grouped = rows.groupBy("__dim")
+    if order:
+        return grouped.agg(F.max_by(row, col(order)).alias("__row"))
+    one = grouped.agg(F.min(row).alias("__row"), F.max(row).alias("__other"))
+    asked = F.raise_error(F.concat(F.lit(f"lookup: {key} "), F.col("__dim"), F.lit(" has several rows; dim_order is required")))
+    return one.select("__dim", F.when(F.col("__row") == F.col("__other"), F.col("__row")).when(F.col("__row").eqNullSafe(F.col("__other")), F.col("__row")).otherwise(asked.cast(one.schema["__row"].dataType)).alias("__row"))
+
+
+def small(df: DataFrame, most: int = BROADCAST_ROWS, most_bytes: int = BROADCAST_BYTES) -> bool:
+    """Whether a table has few enough rows and bytes to be broadcast; at most ``most`` rows are looked at."""
+    size = F.octet_length(F.to_json(F.struct(*[col(c) for c in df.columns]))) + 32
+    n, total = df.limit(most + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
+    return n <= most and total <= most_bytes
 
 
-def small(df: DataFrame, most: int = BROADCAST_ROWS) -> bool:
-    return df.limit(most + 1).count() <= most
+class Snapshots:
+    """Dimensions that are loaded again after a time, of which the last good state is kept.
+
+    A context's table may be a function without arguments that loads it. ``refresh_interval_sec`` (300 by default, 0 for
+    never) says when a state is too old; where loading fails then, ``on_refresh_error`` tells whether the last good
+    state serves on (``pass``, the default) or the batch fails (``error``). A first load that fails always fails.
+    """
+
+    def __init__(self, clock: Callable[[], float] = time.monotonic):
+        self.clock = clock
+        self.held: dict[str, tuple[DataFrame, float]] = {}
+        self.failures = 0
+
+    def get(self, name: str, load: Callable[[], DataFrame], config: dict) -> DataFrame:
+        every = float(config.get("refresh_interval_sec", 300))
+        policy = config.get("on_refresh_error", "pass")
+        if policy not in ("pass", "error"):
+            raise ConfigError(f"lookup: on_refresh_error {policy!r}")
+        old = self.held.get(name)
+        if old is not None and (every <= 0 or self.clock() - old[1] <= every):
+            return old[0]
+        try:
+            new = load().persist()
+            new.count()  # a state counts once it is read as a whole
+        except Exception as e:
+            self.failures += 1
+            if old is None or policy == "error":
+                raise ConfigError(f"lookup: refresh of {name} failed: {e}") from e
+            return old[0]
+        self.held[name] = (new, self.clock())
+        if old is not None:
+            old[0].unpersist()
+        return new
 
 
 def dimension(config: dict, context: Context, op: str) -> DataFrame:
@@ -93,21 +152,26 @@ def dimension(config: dict, context: Context, op: str) -> DataFrame:
     if table:
         if table not in context.tables:
             raise ConfigError(f"{op}: no table {table!r}")
-        return context.tables[table]
+        found = context.tables[table]
+        return found if isinstance(found, DataFrame) else context.snapshots.get(table, found, config)
     if not query:
         raise ConfigError(f"{op}: a table or query is required")
     if not context.tables:
         raise ConfigError(f"{op}: no tables to query")
-    spark = next(iter(context.tables.values())).sparkSession
-    return run_sql(spark, query, context.tables)
+    return run_sql(query, loaded(context, config))
 
 
-def run_sql(spark, query: str, tables: dict[str, DataFrame]) -> DataFrame:
+def loaded(context: Context, config: dict) -> dict[str, DataFrame]:
+    """The context's tables, those that functions load included."""
+    return {k: t if isinstance(t, DataFrame) else context.snapshots.get(k, t, config) for k, t in context.tables.items()}
+
+
+def run_sql(query: str, tables: dict[str, DataFrame]) -> DataFrame:
     """A query over DataFrames by name, without leaving views behind."""
     for name, df in tables.items():
         query = re.sub(rf"(?i)\b(from|join)\s+`?{re.escape(name)}`?(?![\w.(])", rf"\1 {{{name}}}", query)
     used = {n: d for n, d in tables.items() if "{" + n + "}" in query}
-    return spark.sql(query, **used)
+    return next(iter(tables.values())).sparkSession.sql(query, **used)
 
 
 _ARGUMENT = re.compile(r"=\s*\{\{\s*\.([A-Za-z_]\w*)\s*\}\}")
@@ -127,8 +191,7 @@ def correlated_table(config: dict, context: Context, op: str) -> tuple[DataFrame
     columns = [c.strip().split(".")[-1].strip("`").lower() for c in select[len("select") :].split(",")]
     if "*" not in columns and key.lower() not in columns:
         query = f"{select}, {key} from {rest}"
-    spark = next(iter(context.tables.values())).sparkSession
-    return run_sql(spark, query, context.tables), key, field
+    return run_sql(query, loaded(context, config)), key, field
 
 
 @operator("lookup")
@@ -136,7 +199,8 @@ def lookup(df: DataFrame, config: dict, context: Context) -> Outcome:
     """Fields of the dimension's row with an equal key; both modes (cache, query) are one left join.
 
     A miss passes the row on as it is (``pass``), with the fields null (``null``), or fails it (``dlq``, ``error``).
-    The dimension is broadcast where its row count is small, which is checked; beyond that rows are shuffled by key.
+    The dimension is broadcast where its rows and bytes are few, which is checked; beyond that rows are shuffled by key.
+    Of several rows of a key the last by ``dim_order`` counts. See ``Snapshots`` for dimensions that change.
     """
     mode = config.get("mode", "cache")
     on_miss = config.get("on_miss", "pass")
@@ -222,38 +286,55 @@ def with_retry(call: Callable[[], str], attempts: int, first_delay: float) -> st
     raise AssertionError
 
 
+_FIELD = re.compile(r"\{\{\s*\.([A-Za-z_]\w*)\s*\}\}")
+
+
+def filled(form: str, row: dict, encode: Callable[[str], str]) -> str:
+    """A template with the row's values, each encoded for the place where it stands; null is empty."""
+    return _FIELD.sub(lambda m: "" if (v := row.get(m.group(1))) is None or v != v else encode(str(v)), form)
+
+
+def _one_line(value: str) -> str:
+    """A header's value ends no line."""
+    return re.sub(r"[\r\n]+", " ", value)
+
+
 def http_enricher(df: DataFrame, config: dict, context: Context, target: str) -> Outcome:
-    """One request per row with bounded concurrency; equal requests of a batch are sent once."""
+    """One request per row with bounded concurrency; equal requests of a batch are sent once.
+
+    The address and the headers are templates; values in the address are percent-encoded.
+    """
     url = need(config, "url", "enricher")
     fetch = context.functions.get(config.get("client", "")) or fetch_url
-    headers = dict(config.get("headers") or {})
+    given = {str(k): str(v) for k, v in (config.get("headers") or {}).items()}
     timeout = float(config.get("timeout_sec", 10))
     workers, attempts = int(config.get("max_concurrency", 8)), int(config.get("max_retries", 3))
-    names = re.findall(r"\{\{\s*\.([A-Za-z_]\w*)\s*\}\}", url)
+    names = list(dict.fromkeys(_FIELD.findall(" ".join([url, *given.values()]))))
+    missing = [n for n in names if n not in df.columns]
+    if missing:
+        raise ConfigError(f"enricher: no columns {missing}")
     pass_errors = config.get("on_error", "pass") == "pass"
 
     def run(batches):
         for pdf in batches:
-            urls = []
+            asked = []
             for row in pdf[names].astype(object).to_dict("records") if names else [{}] * len(pdf):
-                full = url
-                for k, v in row.items():
-                    full = re.sub(r"\{\{\s*\." + k + r"\s*\}\}", lambda _, v=v: str(v), full)
-                urls.append(full)
+                heads = tuple((k, filled(v, row, _one_line)) for k, v in given.items())
+                asked.append((filled(url, row, lambda v: quote(v, safe="")), heads))
 
             def one(u):
                 try:
-                    body = with_retry(lambda: fetch(u, headers, timeout), attempts, float(config.get("retry_delay_sec", 0.1)))
+                    body = with_retry(lambda: fetch(u[0], dict(u[1]), timeout), attempts, float(config.get("retry_delay_sec", 0.1)))
                     json.loads(body)
                     return body, None
                 except Exception as e:
                     return None, f"enricher: {e}"
 
-            distinct = list(dict.fromkeys(urls))
+            distinct = list(dict.fromkeys(asked))
             with ThreadPoolExecutor(workers) as pool:
                 got = dict(zip(distinct, pool.map(one, distinct), strict=True))
-            pdf[target] = [got[u][0] for u in urls]
-            pdf["__failed"] = [got[u][1] for u in urls]
+            pdf[target] = [got[u][0] for u in asked]
+            pdf["__failed"] = [got[u][1] for u in asked]
             yield pdf
 
     base = df.drop(target)
@@ -261,4 +342,6 @@ def http_enricher(df: DataFrame, config: dict, context: Context, target: str) ->
     found = base.mapInPandas(run, f"{fields}, `{target}` string, __failed string")
     if pass_errors:
         return Outcome(found.drop("__failed"))
-    return split(found, F.col("__failed"), context, "transient", leave=("__failed",))
+    out = split(found, F.col("__failed"), context, "transient", leave=("__failed",))
+    out.shared = found
+    return out

@@ -18,15 +18,25 @@ BEFORE = "_before"
 
 @dataclass
 class Context:
-    """What a pipeline hands to its operators: named tables, user functions, the event-time and order columns."""
+    """What a pipeline hands to its operators: named tables, user functions, the event-time and order columns.
 
-    tables: dict[str, DataFrame] = field(default_factory=dict)
+    A table is a DataFrame, or a function that loads one; see ``joins.Snapshots``.
+    """
+
+    tables: dict[str, Any] = field(default_factory=dict)
     functions: dict[str, Callable] = field(default_factory=dict)
     node: str = ""
     event_time: str | None = None
     seq: str | None = None
     streaming: bool = False
     now: Column | None = None
+    snapshots: Any = None
+
+    def __post_init__(self):
+        if self.snapshots is None:
+            from riverloom.operators.joins import Snapshots
+
+            self.snapshots = Snapshots()
 
     def time_now(self) -> Column:
         return self.now if self.now is not None else F.current_timestamp()
@@ -34,10 +44,14 @@ class Context:
 
 @dataclass
 class Outcome:
-    """Rows that go on, and rows that failed with the reason (schema ERROR_SCHEMA), if any can."""
+    """Rows that go on, and rows that failed with the reason (schema ERROR_SCHEMA), if any can.
+
+    ``shared`` are the rows that both are taken from, where making them runs user code or calls a service.
+    """
 
     ok: DataFrame
     errors: DataFrame | None = None
+    shared: DataFrame | None = None
 
 
 Builder = Callable[[DataFrame, dict[str, Any], Context], Outcome]
@@ -55,6 +69,8 @@ def operator(*names: str):
 
 def apply(df: DataFrame, name: str, config: dict[str, Any] | None = None, context: Context | None = None) -> Outcome:
     """Compile one operator over ``df``."""
+    import riverloom.plans.compile  # noqa: F401  registers the operators
+
     build = OPERATORS.get(name)
     if build is None and name.startswith("plugin_"):
         build = OPERATORS["plugin"]
@@ -113,15 +129,53 @@ def whole(config: dict, name: str, default: int | None = None) -> int | None:
     return int(v)
 
 
-#: The classes that an error can have, and words in its message that tell them.
+#: The classes that an error can have, and words of a message that tell a class, tried in this order.
 ERROR_CLASSES = ("unknown", "transient", "data", "schema", "auth", "config", "programming")
-_TELL = [
-    ("auth", ("permission denied", "access denied", "unauthorized", "authentication", "forbidden")),
-    ("schema", ("unknown column", "doesn't exist", "does not exist", "no such table", "schema")),
-    ("transient", ("timeout", "timed out", "connection refused", "connection reset", "broken pipe", "deadlock", "too many connections", "temporarily")),
-    ("data", ("out of range", "invalid", "duplicate", "too long", "truncated", "parse", "cannot cast")),
-    ("config", ("required", "unsupported", "config")),
-]
+ERROR_WORDS = {
+    "transient": [
+        "connection refused",
+        "connection reset",
+        "i/o timeout",
+        "timeout",
+        "temporarily",
+        "too many connections",
+        "deadlock",
+        "try again",
+        "broken pipe",
+        "no scannode backend available",
+        "not alive",
+        "in black list",
+    ],
+    "auth": ["access denied", "permission denied", "unauthorized", "forbidden", "authentication", "invalid credentials"],
+    "schema": [
+        "unknown column",
+        "missing column",
+        "no such column",
+        "doesn't exist",
+        "does not exist",
+        "unknown table",
+        "schema",
+        "type mismatch",
+        "cannot convert",
+        "unsupported conversion",
+    ],
+    "config": ["invalid config", "is required", "unsupported", "unknown source", "unknown sink", "unknown transform"],
+    "data": [
+        "duplicate",
+        "constraint",
+        "invalid input",
+        "parse",
+        "decode",
+        "malformed",
+        "truncated",
+        "out of range",
+        "data too long",
+        "incorrect datetime value",
+        "incorrect date value",
+        "incorrect integer value",
+    ],
+    "programming": ["panic", "nil pointer", "index out of range"],
+}
 
 
 def classify(error: BaseException | str) -> str:
@@ -135,7 +189,7 @@ def classify(error: BaseException | str) -> str:
     if isinstance(error, (TypeError, AttributeError, KeyError, IndexError, AssertionError)):
         return "programming"
     text = str(error).lower()
-    return next((k for k, words in _TELL if any(w in text for w in words)), "unknown")
+    return next((k for k, words in ERROR_WORDS.items() if any(w in text for w in words)), "unknown")
 
 
 def retryable(error: BaseException | str) -> bool:

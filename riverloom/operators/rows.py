@@ -127,7 +127,13 @@ def _has_type(c: Column, kind: T.DataType, expected: str) -> Column:
 
 @operator("validate")
 def validate(df: DataFrame, config: dict, context: Context) -> Outcome:
-    """Required fields and rules; all failures are collected unless ``fail_immediate``."""
+    """Required fields and rules; all failures are collected unless ``fail_immediate``.
+
+    ``on_failure`` is ``error`` or ``dlq`` (the error output, the default) or ``drop``; other words are refused.
+    """
+    action = config.get("on_failure") or "error"
+    if action not in ("error", "dlq", "drop"):
+        raise ConfigError(f"validate: on_failure {action!r}")
     failures: list[Column] = []
     for name in config.get("required_fields") or []:
         if name not in df.columns:
@@ -148,7 +154,7 @@ def validate(df: DataFrame, config: dict, context: Context) -> Outcome:
     else:
         found = F.filter(F.array(*failures), lambda m: m.isNotNull())
         message = F.when(F.size(found) > 0, F.array_join(found, "; "))
-    if config.get("on_failure", "error") == "drop":
+    if action == "drop":
         return Outcome(df.where(message.isNull()))
     return split(df, message, context)
 
@@ -163,18 +169,11 @@ def sample(df: DataFrame, config: dict, context: Context) -> DataFrame:
 
 
 def first_of(df: DataFrame, keys: list[str], order: str, last: bool = False) -> DataFrame:
-    """The first or last row of each key; nulls are a key.
+    """The first or last row of each key; nulls are a key, and rows without an order lose.
 
-    A maximum over structs keeps one row per key and task before rows are shuffled, so a key with very many rows costs
-    no more than others. Types that cannot be compared (maps, variants) take a window instead.
+    Spark keeps one row per key and task before rows are shuffled (a group limit under the window), so a key with very
+    many rows costs no more than others, and columns that nothing reads later are not shuffled.
     """
-    comparable = not any(isinstance(f.dataType, T.MapType) or f.dataType.typeName() == "variant" for f in df.schema.fields)
-    if comparable:
-        row = F.struct(*[col(c) for c in df.columns])
-        known = F.struct(col(order).isNotNull() if last else col(order).isNull(), col(order))  # rows without an order lose
-        pick = F.max_by(row, known) if last else F.min_by(row, known)
-        grouped = df.groupBy(*[col(k).alias(f"__k{i}") for i, k in enumerate(keys)])
-        return grouped.agg(pick.alias("__row")).select("__row.*")
     by = col(order).desc_nulls_last() if last else col(order).asc_nulls_last()
     window = Window.partitionBy(*[col(k) for k in keys]).orderBy(by)
     return df.withColumn("__n", F.row_number().over(window)).where("__n = 1").drop("__n")
@@ -214,15 +213,20 @@ def compact(df: DataFrame, config: dict, context: Context) -> DataFrame:
     """The last change of each key and table; rows without a key pass through."""
     keys = need(config, "keys", "compact")
     order = order_column(df, config, context, "compact")
-    some = F.lit(False)
+    none = F.lit(True)
     for k in keys:
-        some = some | col(k).isNotNull()
-    group = list(keys)
-    work = df
+        none = none & col(k).isNull()
+    # rows without a key are groups of their own, so one scan serves both
+    work = df.withColumn("__own", F.when(none, F.monotonically_increasing_id()))
+    group = [*keys, "__own"]
     if META in df.columns and "table" in V.dtype(df, META).names:
-        work = df.withColumn("__table", F.col(f"{META}.table"))
+        work = work.withColumn("__table", F.col(f"{META}.table"))
         group.append("__table")
-    return first_of(work.where(some), group, order, last=True).unionByName(work.where(~some)).drop("__table")
+    return first_of(work, group, order, last=True).drop("__table", "__own")
+
+
+def _down(f: dict) -> bool:
+    return str(f.get("order", f.get("direction", "asc"))).lower() == "desc" or bool(f.get("desc"))
 
 
 def sort_keys(df: DataFrame, fields: list) -> list[Column]:
@@ -230,7 +234,7 @@ def sort_keys(df: DataFrame, fields: list) -> list[Column]:
     for f in fields:
         f = {"field": f} if isinstance(f, str) else f
         name = f["field"]
-        down = str(f.get("order", f.get("direction", "asc"))).lower() == "desc" or bool(f.get("desc"))
+        down = _down(f)
         if name not in df.columns:
             continue
         c, kind = col(name), V.dtype(df, name)
@@ -258,12 +262,50 @@ def limit(df: DataFrame, config: dict, context: Context) -> DataFrame:
     return df.limit(n)
 
 
+def slices(df: DataFrame, order: str, n: int) -> Column:
+    """The number, from 0, of a slice of about equally many rows by the order column; nulls are in the first one.
+
+    Cuts are approximate quantiles, found in one pass. Rows with equal values are in one slice.
+    """
+    shares = [i / n for i in range(1, n)]
+    found = df.agg(F.percentile_approx(col(order), shares, 10_000).alias("x")).first()["x"] if shares else []
+    cuts = sorted(set(found or []))
+    return F.aggregate(F.array(*[F.lit(c) for c in cuts]), F.lit(0), lambda k, c: k + F.when(col(order) > c, 1).otherwise(0)) if cuts else F.lit(0)
+
+
 @operator("skip")
 def skip(df: DataFrame, config: dict, context: Context) -> DataFrame:
+    """All rows but the first ``n`` in the order of ``fields`` and ``seq``, else of the rows as they come.
+
+    With an order whose first column is a number or time, rows are counted in slices of it; whole slices are kept or
+    left out, only the slice that holds the last row to skip is numbered, and the rest is put in order side by side.
+    Otherwise Spark has to bring the rows into one sequence.
+    """
     n = whole(config, "n", whole(config, "count", whole(config, "skip")))
     if n is None or n < 0:
         raise ConfigError("skip: n is required")
-    return df.offset(n)
+    fields = [{"field": f} if isinstance(f, str) else f for f in config.get("fields") or []]
+    if config.get("seq") in df.columns and config.get("seq") is not None:
+        fields.append({"field": config["seq"]})
+    fields = [f for f in fields if f["field"] in df.columns]
+    first = V.dtype(df, fields[0]["field"]) if fields else None
+    if context.streaming or not isinstance(first, (T.NumericType, T.TimestampType, T.TimestampNTZType, T.DateType)):
+        return df.offset(n)
+    keys = sort_keys(df, fields)
+    number = slices(df, fields[0]["field"], 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    cut = df.withColumn("__slice", -number if _down(fields[0]) else number)
+    left, at = n, None
+    for r in cut.groupBy("__slice").count().orderBy("__slice").collect():  # a row per slice
+        if left < r["count"]:
+            at = r["__slice"]
+            break
+        left -= r["count"]
+    if at is None:
+        return df.where(F.lit(False))
+    line = Window.partitionBy("__slice").orderBy(*keys)
+    edge = cut.where(F.col("__slice") == at).withColumn("__n", F.row_number().over(line)).where(F.col("__n") > left)
+    rest = cut.where(F.col("__slice") > at).drop("__slice").unionByName(edge.drop("__slice", "__n"))
+    return rest.orderBy(*keys)
 
 
 @operator("router")

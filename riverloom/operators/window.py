@@ -94,20 +94,17 @@ def on_time(df: DataFrame, late: int, seq: str | None) -> DataFrame:
     """Rows that are not older than the newest event so far less ``late`` seconds.
 
     The newest event so far is a running maximum over the whole input. It is taken in two steps, so that no task holds
-    all rows: per slice of the order column, and over the slices' maxima.
+    all rows: per slice of the order column, and over the slices' maxima. Slices have about equally many rows.
     """
     from pyspark.sql import Window
 
+    from riverloom.operators.rows import slices
+
     if not seq:
         raise ConfigError("window: lateness in a batch needs an order column (seq)")
     if not isinstance(V.dtype(df, seq), T.NumericType):
         raise ConfigError("window: the order column is a number")
-    slices = df.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    low, high = df.agg(F.min(col(seq)), F.max(col(seq))).first()
-    if low is None:
-        return df
-    width = max(1.0, (float(high) - float(low) + 1) / int(slices))
-    cut = df.withColumn("__slice", F.floor((col(seq) - F.lit(low)) / F.lit(width)))
+    cut = df.withColumn("__slice", slices(df, seq, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     tops = cut.groupBy("__slice").agg(F.max("__ts").alias("__top"))
     before = Window.orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
     tops = tops.select("__slice", F.max("__top").over(before).alias("__before"))

@@ -15,7 +15,7 @@ _VARIABLE = re.compile(r"\$\{([A-Za-z_][A-Za-z0-9_]*)(?::-([^}]*))?\}")
 
 #: The names that sources and sinks can have, and what a specification leaves out.
 SOURCES = ("file", "mysql_batch", "mysql_cdc", "mysql_snapshot_cdc", "postgres_cdc", "kafka", "http", "rest_source", "salesforce", "github", "hubspot", "stripe", "notion", "redis", "feishu_sheet", "demo", "table", "jdbc")
-SINKS = ("file_sink", "s3", "mysql", "postgres", "postgresql", "jdbc", "clickhouse", "doris", "elasticsearch", "es", "kafka", "redis", "maxcompute", "odps", "table", "memory")
+SINKS = ("file_sink", "s3", "mysql", "postgres", "postgresql", "jdbc", "sqlite", "clickhouse", "doris", "elasticsearch", "es", "kafka", "redis", "maxcompute", "odps", "table", "memory")
 DEFAULTS = {"batch_size": 1000, "flush_interval_ms": 1000, "checkpoint_interval_sec": 30, "backpressure_buffer": 100}
 SCHEDULES = ("once", "streaming", "cron", "periodic", "dependency")
 CDC_SOURCES = ("mysql_cdc", "mysql_snapshot_cdc", "postgres_cdc")
@@ -68,6 +68,7 @@ class Graph:
     nodes: list[Node]
     edges: list[Edge]
     options: dict[str, Any] = field(default_factory=dict)
+    hooks: dict[str, Any] = field(default_factory=dict)
 
 
 NODE_KINDS = ("source", "transform", "sink", "fanout", "router", "tap", "rate_limiter", "enricher", "lookup", "merge")
@@ -86,6 +87,18 @@ def _processors(given: Any) -> list[Step]:
     return [_step(x) for x in given or []]
 
 
+def _before_sources(nodes: list[Node], edges: list[Edge], step: Step, i: int) -> tuple[list[Node], list[Edge]]:
+    """A processor behind each source of a graph, after the processors before it."""
+    out, moved = list(nodes), list(edges)
+    for n in [n for n in nodes if n.kind == "source" or n.id.endswith(f".p{i - 1}")]:
+        if n.kind == "source" and i:
+            continue
+        new = Node(f"{n.id.removesuffix(f'.p{i - 1}')}.p{i}", "transform", step.type, step.config)
+        moved = [Edge(new.id, e.to, e.condition) if e.from_ == n.id else e for e in moved] + [Edge(n.id, new.id)]
+        out.append(new)
+    return out, moved
+
+
 def parse(data: str | dict | Path, env: dict[str, str] | None = None) -> Spec | Graph:
     """A specification from YAML text, a file or a dictionary; ``nodes`` make it a graph."""
     if isinstance(data, Path):
@@ -98,7 +111,7 @@ def parse(data: str | dict | Path, env: dict[str, str] | None = None) -> Spec |
         raise ConfigError("a specification is a mapping")
     body = data.get("pipeline", data) if isinstance(data.get("pipeline", data), dict) else data
     name = body.get("name") or data.get("name") or ""
-    options = DEFAULTS | {k: body[k] for k in (*DEFAULTS, "parallelism", "schedule", "event_time", "seq", "allow_unsafe", "state") if k in body}
+    options = DEFAULTS | {k: body[k] for k in (*DEFAULTS, "parallelism", "schedule", "event_time", "seq", "allow_unsafe", "state", "alerts", "checkpoint", "errors_to") if k in body}
     graph = body.get("dag", body)
     if "nodes" in graph:
         nodes = [
@@ -106,7 +119,9 @@ def parse(data: str | dict | Path, env: dict[str, str] | None = None) -> Spec |
             for n in graph["nodes"]
         ]
         edges = [Edge(e.get("from", ""), e.get("to", ""), e.get("condition")) for e in graph.get("edges") or []]
-        return Graph(name, nodes, edges, options)
+        for i, step in enumerate(_processors(body.get("processors"))):
+            nodes, edges = _before_sources(nodes, edges, step, i)
+        return Graph(name, nodes, edges, options, body.get("hooks") or {})
     if "source" not in body:
         raise ConfigError("a specification has a source or nodes")
     steps = _processors(body.get("processors")) + [_step(t) for t in body.get("transforms") or []]
@@ -212,4 +227,4 @@ def to_graph(spec: Spec) -> Graph:
     if spec.sink:
         nodes.append(Node("sink", "sink", spec.sink.type, spec.sink.config))
     ids = [n.id for n in nodes]
-    return Graph(spec.name, nodes, [Edge(a, b) for a, b in zip(ids[:-1], ids[1:], strict=True)], spec.options)
+    return Graph(spec.name, nodes, [Edge(a, b) for a, b in zip(ids[:-1], ids[1:], strict=True)], spec.options, spec.hooks)

@@ -1,7 +1,7 @@
 """Paged REST, Redis and sheet sources as Python data sources.
 
-Their clients are functions that a test or an application may replace: ``rest`` fetches a URL, ``redis`` needs the
-redis package. Readers return Arrow batches page by page.
+Their clients are functions that a test or an application may replace: ``rest`` sends a request, ``redis`` needs the
+redis package. Readers return rows page by page.
 """
 
 from __future__ import annotations
@@ -9,9 +9,10 @@ from __future__ import annotations
 import base64
 import importlib
 import json
+import re
 import time
 from collections.abc import Callable, Iterator
-from urllib.parse import urlencode, urlsplit
+from urllib.parse import parse_qsl, quote, urlencode, urljoin, urlsplit, urlunsplit
 
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader
@@ -21,14 +22,99 @@ from riverloom.functions.predicates import ConfigError
 #: Where the items of a page are looked for.
 ITEM_KEYS = ("data", "items", "results", "records", "list")
 
-#: Addresses and paging of public services.
+#: Addresses, headers and paging of public services; names in braces are options, some with a default.
 PRESETS = {
-    "salesforce": {"url": "https://{instance}.my.salesforce.com/services/data/v58.0/query", "result_key": "records", "paging": "cursor", "cursor_key": "nextRecordsUrl", "auth": "bearer"},
-    "github": {"url": "https://api.github.com/repos/{owner}/{repo}/{object}", "paging": "page", "page_param": "page", "size_param": "per_page", "auth": "bearer"},
-    "hubspot": {"url": "https://api.hubapi.com/crm/v3/objects/{object}", "result_key": "results", "paging": "cursor", "cursor_key": "paging.next.after", "cursor_param": "after", "auth": "bearer"},
-    "stripe": {"url": "https://api.stripe.com/v1/{object}", "result_key": "data", "paging": "last_id", "cursor_param": "starting_after", "auth": "bearer"},
-    "notion": {"url": "https://api.notion.com/v1/databases/{database}/query", "result_key": "results", "paging": "cursor", "cursor_key": "next_cursor", "cursor_param": "start_cursor", "auth": "bearer"},
-}
+    "salesforce": {
+        "url": "{instance_url}/services/data/{api_version}/query?q=SELECT+Id+FROM+{object}",
+        "result_key": "records",
+        "paging": "next_url",
+        "cursor_key": "nextRecordsUrl",
+        "auth": "oauth2",
+        "token_url": "{login_url}/services/oauth2/token",
+    },
+    "github": {
+        "url": "{base_url}/repos/{repo}/{resource}",
+        "paging": "link",
+        "size_param": "per_page",
+        "auth": "bearer",
+        "headers": {"Accept": "application/vnd.github+json", "X-GitHub-Api-Version": "2022-11-28"},
+    },
+    "hubspot": {
+        "url": "{base_url}/crm/v3/objects/{object}",
+        "result_key": "results",
+        "paging": "cursor",
+        "cursor_key": "paging.next.after",
+        "cursor_param": "after",
+        "size_param": "limit",
+        "auth": "api_key",
+        "api_key_query": "hapikey",
+    },
+    "stripe": {
+        "url": "{base_url}/v1/{resource}",
+        "result_key": "data",
+        "paging": "last_id",
+        "cursor_param": "starting_after",
+        "size_param": "limit",
+        "more_key": "has_more",
+        "auth": "bearer",
+    },
+    "notion": {
+        "url": "{base_url}/v1/databases/{database_id}/query",
+        "method": "POST",
+        "body": {},
+        "cursor_in": "body",
+        "size_param": "page_size",
+        "result_key": "results",
+        "paging": "cursor",
+        "cursor_key": "next_cursor",
+        "cursor_param": "start_cursor",
+        "auth": "bearer",
+        "headers": {"Notion-Version": "{api_version}", "Content-Type": "application/json"},
+    },
+}
+#: Options that a preset's address takes where none are given.
+PRESET_DEFAULTS = {
+    "salesforce": {"login_url": "https://login.salesforce.com", "api_version": "v59.0", "object": "Account"},
+    "github": {"base_url": "https://api.github.com", "resource": "issues"},
+    "hubspot": {"base_url": "https://api.hubapi.com", "object": "contacts"},
+    "stripe": {"base_url": "https://api.stripe.com", "resource": "charges"},
+    "notion": {"base_url": "https://api.notion.com", "api_version": "2022-06-28"},
+}
+#: Options that hold a service's token, besides ``token``.
+TOKEN_NAMES = ("auth_token", "api_key", "secret_key", "integration_token")
+
+
+def preset_options(name: str, config: dict) -> dict:
+    """The options of a service, filled from a configuration, whose own options win."""
+    config = dict(config)
+    token = next((config[k] for k in ("token", *TOKEN_NAMES) if config.get(k)), None)
+    preset = dict(PRESETS[name])
+    if name == "hubspot" and not any(config.get(k) for k in ("token", "auth_token")):
+        preset["api_key"] = config.get("api_key", "")
+    elif name == "hubspot":
+        preset["auth"] = "bearer"
+        del preset["api_key_query"]
+    if token and "token" not in config:
+        config["token"] = token
+    if name == "salesforce":
+        if config.get("token"):
+            preset["auth"] = "bearer"
+        config.setdefault("instance_url", config.get("login_url", PRESET_DEFAULTS[name]["login_url"]))
+    if config.get("resource") in ("prs", "pull_requests") and name == "github":
+        config["resource"] = "pulls"
+    known = {k: str(v).rstrip("/") for k, v in {**PRESET_DEFAULTS[name], **config}.items() if isinstance(v, (str, int, float))}
+    safe = {k: v if k.endswith("_url") else quote(v, safe="/") for k, v in known.items()}
+
+    def fill(value, values):
+        try:
+            return value.format_map(values) if isinstance(value, str) else value
+        except KeyError as e:
+            raise ConfigError(f"{name}: {e.args[0]} is required") from e
+
+    own = {k for k in config if config[k] is not None}
+    out = {k: fill(v, safe) for k, v in preset.items() if k not in (*own, "headers")}
+    out["headers"] = {k: fill(v, known) for k, v in preset.get("headers", {}).items()} | dict(config.get("headers") or {})
+    return {**config, **out}
 
 
 def dig(value, path: str):
@@ -46,81 +132,165 @@ def items_of(page, result_key: str | None) -> list:
     return next((page[k] for k in ITEM_KEYS if isinstance(page.get(k), list)), [])
 
 
-def auth_headers(options: dict[str, str], fetch: Callable) -> dict[str, str]:
-    kind = options.get("auth", "none")
+def mapping(value) -> dict:
+    """An option that is a mapping, or its JSON text."""
+    if not value:
+        return {}
+    found = json.loads(value) if isinstance(value, str) else dict(value)
+    if not isinstance(found, dict):
+        raise ConfigError("rest: a mapping is expected")
+    return found
+
+
+def with_query(url: str, asked: dict) -> str:
+    """An address with more query parameters; those that it has of the same names are replaced."""
+    parts = urlsplit(url)
+    kept = [(k, v) for k, v in parse_qsl(parts.query, keep_blank_values=True) if k not in asked]
+    return urlunsplit(parts._replace(query=urlencode([*kept, *asked.items()]))) if asked else url
+
+
+def auth_headers(options: dict[str, str], send: Callable) -> dict[str, str]:
+    kind = options.get("auth", options.get("auth_type", "none"))
     if kind == "bearer":
         return {"Authorization": f"Bearer {options.get('token', '')}"}
-    if kind == "basic":
+    if kind in ("basic", "basic_auth"):
         pair = f"{options.get('username', '')}:{options.get('password', '')}".encode()
         return {"Authorization": "Basic " + base64.b64encode(pair).decode()}
     if kind == "api_key":
-        return {options.get("api_key_header", "X-API-Key"): options.get("api_key", "")}
-    if kind == "oauth2":
+        if options.get("api_key_query"):
+            return {}
+        return {options.get("api_key_header", "X-API-Key"): options.get("api_key", options.get("api_key_value", ""))}
+    if kind in ("oauth2", "oauth2_client_credentials"):
         form = {"grant_type": "client_credentials", "client_id": options.get("client_id", ""), "client_secret": options.get("client_secret", "")}
-        answer = json.loads(fetch(options["token_url"] + "?" + urlencode(form), {}))
-        return {"Authorization": f"Bearer {answer['access_token']}"}
-    if kind == "none":
+        if options.get("scopes"):
+            form["scope"] = options["scopes"]
+        headers = {"Content-Type": "application/x-www-form-urlencoded"}
+        answer = json.loads(send(options["token_url"], headers, "POST", urlencode(form))[0])
+        token = answer[options.get("token_field", "access_token")]
+        return {"Authorization": options.get("header_format", "Bearer %s") % token}
+    if kind in ("none", ""):
         return {}
     raise ConfigError(f"rest: no auth {kind!r}")
 
 
-def fetch_url(url: str, headers: dict[str, str]) -> str:
+def fetch_url(url: str, headers: dict[str, str], method: str = "GET", body: str | None = None) -> tuple[str, dict[str, str]]:
     from urllib.request import Request, urlopen
 
-    with urlopen(Request(url, headers=headers), timeout=30) as answer:
-        return answer.read().decode()
+    data = None if body is None else body.encode()
+    with urlopen(Request(url, data, headers, method=method), timeout=30) as answer:
+        return answer.read().decode(), dict(answer.headers.items())
+
 
+def client(path: str | None) -> Callable:
+    """A function (url, headers, method, body) by ``module:name``, by default one over HTTP.
 
-def client(path: str | None) -> Callable[[str, dict[str, str]], str]:
-    """A fetch function by ``module:name``, by default one over HTTP."""
+    It returns the answer's text, alone or with its headers. One that only takes an address and headers serves GET.
+    """
     if not path:
         return fetch_url
     module, _, name = path.partition(":")
     return getattr(importlib.import_module(module), name)
 
 
-def pages(options: dict[str, str], fetch: Callable[[str, dict[str, str]], str], pause: Callable[[float], None] = time.sleep) -> Iterator[list]:
-    """The items of each page by page number, offset, cursor, page token or last id, until one is empty."""
-    url, paging = options["url"], options.get("paging", "none")
-    size = int(options.get("page_size", 100))
-    headers = auth_headers(options, fetch)
+def sender(call: Callable) -> Callable[..., tuple[str, dict[str, str]]]:
+    """A client with its answers as (text, headers in lower case)."""
+
+    def send(url, headers, method="GET", body=None):
+        answer = call(url, headers) if method == "GET" and body is None else call(url, headers, method, body)
+        text, given = answer if isinstance(answer, tuple) else (answer, {})
+        return text, {k.lower(): v for k, v in given.items()}
+
+    return send
+
+
+def next_link(header: str | None) -> str | None:
+    """The address of the next page in a Link header."""
+    for part in (header or "").split(","):
+        if m := re.match(r"""\s*<([^>]+)>.*;\s*rel="?next"?""", part):
+            return m.group(1)
+    return None
+
+
+PAGINGS = ("none", "page", "offset", "cursor", "page_token", "last_id", "next_url", "link")
+
+
+def pages(options: dict[str, str], call: Callable, pause: Callable[[float], None] = time.sleep) -> Iterator[list]:
+    """The items of each page until there are no more.
+
+    Pages are asked for by number, offset, cursor, page token or the last item's id, in the address or in the ``body``
+    (``cursor_in``), or by the address that an answer names (``next_url``, a Link header). ``{name}`` in the address
+    and the body are ``variables``. More than ``max_pages`` pages are an error, so no part is taken for the whole.
+    """
+    send = sender(call)
+    paging = options.get("paging", options.get("pagination", "none")) or "none"
+    if paging not in PAGINGS:
+        raise ConfigError(f"rest: no paging {paging!r}")
+    size, method = int(options.get("page_size", 100)), options.get("method", "GET").upper()
+    variables = mapping(options.get("variables"))
+    url, text = options["url"], options.get("body")
+    for k, v in variables.items():
+        url = url.replace("{" + k + "}", quote(str(v), safe=""))
+        text = text.replace("{" + k + "}", str(v)) if isinstance(text, str) else text
+    headers = {**mapping(options.get("headers")), **auth_headers(options, send)}
+    form = options.get("body_type", "json") == "form"
+    body = None if method == "GET" and not text else dict(parse_qsl(text)) if form and isinstance(text, str) else mapping(text)
+    fixed: dict[str, object] = {}
+    if options.get("api_key_query"):
+        fixed[options["api_key_query"]] = options.get("api_key", options.get("api_key_value", ""))
+    if paging not in ("none", "page", "offset") and options.get("size_param"):
+        fixed[options["size_param"]] = size
+    in_body = options.get("cursor_in") == "body"
     number, offset, cursor = int(options.get("start_page", 1)), 0, None
-    most = int(options.get("max_pages", 1_000_000))
-    sep = "&" if urlsplit(url).query else "?"
-    for _ in range(most):
-        asked: dict[str, object] = {}
+    most, count = int(options.get("max_pages", 0)), 0
+    while True:
+        if most and count >= most:
+            raise ConfigError(f"rest: more than {most} pages")
+        asked: dict[str, object] = dict(fixed)
         if paging == "page":
-            asked = {options.get("page_param", "page"): number, options.get("size_param", "page_size"): size}
+            asked |= {options.get("page_param", "page"): number, options.get("size_param", "page_size"): size}
         elif paging == "offset":
-            asked = {options.get("offset_param", "offset"): offset, options.get("limit_param", "limit"): size}
+            asked |= {options.get("offset_param", "offset"): offset, options.get("limit_param", "limit"): size}
         elif paging in ("cursor", "page_token", "last_id") and cursor is not None:
-            asked = {options.get("cursor_param", "cursor"): cursor}
-        elif paging not in ("none", "cursor", "page_token", "last_id"):
-            raise ConfigError(f"rest: no paging {paging!r}")
-        page = json.loads(_patient(lambda: fetch(url + (sep + urlencode(asked) if asked else ""), headers), options, pause))
+            asked[options.get("cursor_param", options.get("token_param", "cursor"))] = cursor
+        here = cursor if paging in ("next_url", "link") and cursor else url
+        full = here if in_body or here is not url else with_query(here, asked)
+        content = {**body, **asked} if in_body and body is not None else body
+        payload = None if content is None else urlencode(content) if form else json.dumps(content)
+        answer, given = _patient(lambda: send(full, headers, method, payload), options, pause)  # noqa: B023
+        page = json.loads(answer)
         found = items_of(page, options.get("result_key"))
+        count += 1
         if found:
             yield found
         number, offset = number + 1, offset + len(found)
-        if paging == "none" or not found or paging in ("page", "offset") and len(found) < size:
+        if paging == "none" or not found and paging != "link" or paging in ("page", "offset") and len(found) < size:
+            return
+        if options.get("total_field") and isinstance(total := dig(page, options["total_field"]), int) and offset >= total:
+            return
+        if options.get("more_key") and isinstance(page, dict) and page.get(options["more_key"]) is False:
             return
         if paging in ("cursor", "page_token"):
-            cursor = dig(page, options.get("cursor_key", "next_cursor"))
+            cursor = dig(page, options.get("cursor_key", options.get("cursor_field", options.get("token_field", "next_cursor"))))
         elif paging == "last_id":
             cursor = found[-1].get("id")
-        if paging in ("cursor", "page_token", "last_id") and not cursor:
+        elif paging == "next_url":
+            cursor = dig(page, options.get("cursor_key", "next"))
+            cursor = urljoin(full, cursor) if cursor else None
+        elif paging == "link":
+            cursor = next_link(given.get("link"))
+        if paging not in ("page", "offset") and not cursor:
             return
 
 
 def _patient(call, options, pause):
-    attempts = int(options.get("max_retries", 3))
+    attempts = max(1, int(options.get("max_retries", 3)))
     for n in range(attempts):
         try:
             return call()
         except OSError:
             if n + 1 == attempts:
                 raise
-            pause(min(30.0, 2.0**n))
+            pause(min(30.0, float(options.get("retry_base_ms", 1000)) / 1000 * 2.0**n))
 
 
 def shaped(item, names: list[str]) -> tuple:
@@ -159,8 +329,8 @@ def rest_rows(options: dict[str, str], names: list[str]) -> Iterator[tuple]:
 
 def sheet_rows(options: dict[str, str], names: list[str]) -> Iterator[tuple]:
     """Rows of a sheet's cell range; a first row of texts only is the header."""
-    fetch = client(options.get("client"))
-    page = json.loads(fetch(options["url"], auth_headers(options, fetch)))
+    send = sender(client(options.get("client")))
+    page = json.loads(send(options["url"], {**mapping(options.get("headers")), **auth_headers(options, send)})[0])
     yield from (shaped(x, names) for x in sheet_records(dig(page, options.get("result_key", "data.valueRange.values")) or []))
 
 

@@ -1,8 +1,9 @@
-"""Sinks by name: files, tables with merge semantics, and messages."""
+"""Sinks by name: files, tables with merge semantics, stores, and messages."""
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable
 from datetime import date
 
@@ -15,9 +16,10 @@ from riverloom.operators import cdc
 from riverloom.operators.outcome import BEFORE, META, need
 from riverloom.operators.project import col
 from riverloom.operators.rows import payload
-from riverloom.sources import typing
+from riverloom.sources import stores, typing
 
-SINKS: dict[str, Callable[[DataFrame, dict], None]] = {}
+#: A sink writes rows and returns those that failed, if any can.
+SINKS: dict[str, Callable[[DataFrame, dict], DataFrame | None]] = {}
 MEMORY: dict[str, list] = {}
 
 
@@ -30,14 +32,18 @@ def sink(*names: str):
     return add
 
 
-def write(df: DataFrame, name: str, config: dict | None = None) -> None:
+def write(df: DataFrame, name: str, config: dict | None = None) -> DataFrame | None:
+    """Writes rows to a sink; returns the rows that it could not take (schema ERROR_SCHEMA), if any can fail."""
     if name not in SINKS:
         raise ConfigError(f"no sink {name!r}")
-    SINKS[name](df, dict(config or {}))
+    return SINKS[name](df, dict(config or {}))
 
 
-def write_observed(df: DataFrame, name: str, config: dict | None = None) -> dict:
-    """``write``, and what it wrote: rows by operation and by table, counted on the way, and seconds."""
+def write_observed(df: DataFrame, name: str, config: dict | None = None, by_table: bool = False) -> dict:
+    """``write``, and what it wrote: rows by operation, counted on the way, rows that failed, and seconds.
+
+    ``by_table`` adds rows and operations of each table of the change data, which reads the rows once more.
+    """
     from time import perf_counter
 
     from pyspark.sql import Observation
@@ -47,10 +53,14 @@ def write_observed(df: DataFrame, name: str, config: dict | None = None) -> dict
     op, table_ = F.col(f"{META}.op"), F.coalesce(F.col(f"{META}.table"), F.lit(""))
     seen = Observation()
     counts = [F.count_if(op == k).alias(k.lower()) for k in ("INSERT", "UPDATE", "DELETE", "DDL")]
-    df = df.observe(seen, F.count(F.lit(1)).alias("rows"), *counts, F.approx_count_distinct(table_).alias("tables"))
+    seen_rows = df.observe(seen, F.count(F.lit(1)).alias("rows"), *counts, F.approx_count_distinct(table_).alias("tables"))
     start = perf_counter()
-    write(df, name, config)
-    return {**seen.get, "seconds": perf_counter() - start}
+    errors = write(seen_rows, name, config)
+    out = {**seen.get, "seconds": perf_counter() - start, "failed": 0 if errors is None else errors.count()}
+    if by_table:
+        found = df.groupBy(table_.alias("t")).agg(F.count(F.lit(1)).alias("rows"), *counts)
+        out["by_table"] = {r["t"]: {k: r[k] for k in ("rows", "insert", "update", "delete", "ddl")} for r in found.collect()}
+    return out
 
 
 def live_rows(df: DataFrame) -> DataFrame:
@@ -82,8 +92,12 @@ def files(df: DataFrame, config: dict) -> None:
 
 @sink("memory")
 def memory(df: DataFrame, config: dict) -> None:
-    """For tests and dry runs: bounded by ``limit`` rows."""
-    MEMORY[config.get("name", "memory")] = df.limit(int(config.get("limit", 1000))).collect()
+    """For tests and dry runs: rows come to the driver. More than ``limit`` rows (1,000 by default) are an error."""
+    most = int(config.get("limit", 1000))
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ConfigError(f"memory: more than {most} rows")
+    MEMORY[config.get("name", "memory")] = rows
 
 
 def pre_write(base: DataFrame | None, config: dict | None, processing: date | None = None, params: dict | None = None) -> DataFrame | None:
@@ -124,33 +138,98 @@ def merged(base: DataFrame, df: DataFrame, config: dict):
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+    where, fs = _hadoop(spark, path)
+    return fs.exists(where)
 
 
-@sink("table", "mysql", "postgres", "postgresql", "doris", "clickhouse", "maxcompute", "odps", "elasticsearch", "es", "redis")
-def table(df: DataFrame, config: dict) -> None:
-    """A table of versioned Parquet folders under ``path`` with merge semantics of the named store.
+@sink("table")
+def table(df: DataFrame, config: dict) -> DataFrame | None:
+    """A table of versioned Parquet folders under ``path`` with merge semantics.
 
     insert, upsert and increment read the current version, join the changes, and write the next one; ``versions``
     appends change rows with their order instead and is read through ``final_view``. ``partition_overwrite`` replaces
-    the partitions that the rows name. A store itself is reached by ``jdbc``.
+    the partitions that the rows name. A version is written aside and takes its number at the end; where another writer
+    took it first, the write fails and can be tried again. With ``batch``, the number of a stream's batch, a version
+    names its batch, and a batch that has its version is not written again. Changes without a key are returned.
     """
     spark = df.sparkSession
-    path, mode = need(config, "path", "table"), config.get("mode", "upsert")
+    path, mode = need(config, "path", "table").rstrip("/"), config.get("mode", "upsert")
     if mode == "partition_overwrite":
         overwrite_partitions(df, config)
-        return
+        return None
     if mode in ("append", "versions"):
         rows = df if mode == "versions" else live_rows(df)
         rows.write.mode("append").option("mergeSchema", True).parquet(path)
-        return
+        return None
     current, number = current_version(spark, path)
+    batch = config.get("batch")
     rows = live_rows(df).limit(0) if current is None else current
     rows, df = typing.evolve(rows, df, config.get("schema_drift", "ignore"))
     rows = pre_write(rows, config.get("pre_write"), params=config.get("params"))
     done = merged(rows, df, config)
-    done.ok.write.mode("overwrite").parquet(f"{path.rstrip('/')}/v={number + 1}")
+    if batch is not None and exists(spark, f"{path}/v={number}/_BATCH_{batch}"):
+        return done.errors
+    aside = f"{path}/.{uuid.uuid4().hex}"
+    done.ok.write.parquet(aside)
+    if batch is not None:
+        touch(spark, f"{aside}/_BATCH_{batch}")
+    publish(spark, aside, f"{path}/v={number + 1}")
+    return done.errors
+
+
+def _hadoop(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def touch(spark: SparkSession, path: str) -> None:
+    where, fs = _hadoop(spark, path)
+    fs.create(where).close()
+
+
+def publish(spark: SparkSession, aside: str, path: str) -> None:
+    """Gives a folder its name; fails, and deletes it, where the name is taken."""
+    context = spark.sparkContext
+    jvm = context._jvm
+    where, fs = _hadoop(spark, aside)
+    options = context._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+    files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), context._jsc.hadoopConfiguration())
+    try:
+        files.rename(fs.makeQualified(where), fs.makeQualified(jvm.org.apache.hadoop.fs.Path(path)), options)
+    except Exception as e:
+        fs.delete(where, True)
+        raise RuntimeError(f"{path}: another writer took this version; try again") from e
+
+
+def _database(name: str):
+    @sink(name)
+    def write_database(df: DataFrame, config: dict) -> DataFrame | None:
+        return stores.database(df, config, {"postgresql": "postgres"}.get(name, name))
+
+    return write_database
+
+
+for _name in ("mysql", "postgres", "postgresql", "sqlite", "doris", "clickhouse"):
+    _database(_name)
+
+
+@sink("redis")
+def redis(df: DataFrame, config: dict) -> DataFrame | None:
+    return stores.redis(df, config)
+
+
+@sink("elasticsearch", "es")
+def search(df: DataFrame, config: dict) -> DataFrame | None:
+    return stores.search(df, config)
+
+
+@sink("maxcompute", "odps")
+def partitioned(df: DataFrame, config: dict) -> None:
+    """Replaces partitions of an external table's folder; the service itself is not served."""
+    if config.get("mode", "partition_overwrite") != "partition_overwrite" or not config.get("path"):
+        raise ConfigError("maxcompute: only partitions of an external table's folder (path) can be written")
+    overwrite_partitions(df, config)
 
 
 def current_version(spark: SparkSession, path: str) -> tuple[DataFrame | None, int]:
@@ -158,8 +237,7 @@ def current_version(spark: SparkSession, path: str) -> tuple[DataFrame | None, i
     if not exists(spark, path):
         return None, 0
     jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    where, fs = _hadoop(spark, path)
     numbers = []
     for s in fs.listStatus(where):
         name = s.getPath().getName()
@@ -190,9 +268,17 @@ def overwrite_partitions(df: DataFrame, config: dict) -> None:
 
 
 @sink("jdbc")
-def jdbc(df: DataFrame, config: dict) -> None:
+def jdbc(df: DataFrame, config: dict) -> DataFrame | None:
+    """Appends rows through a JDBC driver; with a ``dialect``, changes are merged through that database's client."""
+    if config.get("dialect"):
+        if config["dialect"] not in stores.DIALECTS:
+            raise ConfigError(f"jdbc: no dialect {config['dialect']!r}")
+        return stores.database(df, config, config["dialect"])
+    if config.get("mode", "append") not in ("append", "overwrite"):
+        raise ConfigError(f"jdbc: mode {config['mode']!r} needs a dialect")
     options = {k: str(config[k]) for k in ("url", "user", "password", "driver", "batchsize") if config.get(k)}
     live_rows(df).write.format("jdbc").options(dbtable=need(config, "table", "jdbc"), **options).mode(config.get("mode", "append")).save()
+    return None
 
 
 def messages(df: DataFrame, config: dict) -> DataFrame:
@@ -214,11 +300,4 @@ def kafka(df: DataFrame, config: dict) -> None:
     messages(df, config).write.format("kafka").option("kafka.bootstrap.servers", ",".join(need(config, "brokers", "kafka"))).save()
 
 
-def document_id(df: DataFrame, id_column: str | None = None) -> Column:
-    """An id column's text, or a digest of table and position, so a replayed row has the same id."""
-    if id_column:
-        return V.text(col(id_column), V.dtype(df, id_column))
-    return F.sha2(F.concat_ws("|", F.col(f"{META}.database"), F.col(f"{META}.table"), F.col(f"{META}.seq").cast("string"), F.col(f"{META}.key")), 256)
-
-
 __all__ = ["BEFORE", "final_view", "messages", "write"]

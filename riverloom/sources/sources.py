@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riverloom.functions import values as V
-from riverloom.functions.predicates import ConfigError, value_text
-from riverloom.operators.cdc import META_TYPE, meta
+from riverloom.functions.predicates import ConfigError
+from riverloom.operators.cdc import META_TYPE, change_order, meta
 from riverloom.operators.outcome import META, Context, Outcome, failed, need
 from riverloom.operators.project import col, fnv32
 
@@ -70,6 +70,10 @@ def file(spark: SparkSession, config: dict, context: Context) -> Outcome:
     """CSV with all columns as text, or JSON lines; Parquet and ORC as they are."""
     path = need(config, "path", "file")
     kind = config.get("format") or PurePosixPath(path).suffix.lstrip(".") or "csv"
+    if config.get("streaming"):
+        kind = "json" if kind in ("jsonl", "ndjson") else kind
+        reader = spark.readStream.schema(need(config, "schema", "file")).options(**(config.get("reader_options") or {}))
+        return Outcome((reader.option("header", config.get("has_header", True)) if kind == "csv" else reader).format(kind).load(path))
     if kind in ("parquet", "orc"):
         return Outcome(spark.read.format(kind).load(path))
     if kind == "csv":
@@ -91,18 +95,18 @@ def csv(spark: SparkSession, path: str, config: dict) -> DataFrame:
 
 
 def json_lines(spark: SparkSession, path: str, config: dict, context: Context) -> Outcome:
-    """A JSON object per line; other lines fail. Without a schema one is inferred from the lines, numbers as doubles."""
+    """A JSON object per line; other lines fail. Without a schema Spark's reader infers one, with numbers as doubles."""
     lines = spark.read.text(path).where(F.trim("value") != "")
-    return parse_json(lines, "value", config.get("schema"), context)
+    schema = config.get("schema")
+    if schema is None:
+        fields = [f for f in spark.read.json(path).schema.fields if f.name != "_corrupt_record"]
+        schema = T.StructType([T.StructField(f.name, T.DoubleType() if isinstance(f.dataType, T.LongType) else f.dataType) for f in fields])
+    return parse_json(lines, "value", schema, context)
 
 
-def parse_json(df: DataFrame, name: str, schema: str | T.StructType | None, context: Context, rest: list[str] | None = None) -> Outcome:
+def parse_json(df: DataFrame, name: str, schema: str | T.StructType, context: Context, rest: list[str] | None = None) -> Outcome:
     """The fields of a JSON text column in place of it; texts that are no objects fail."""
-    if schema is None:
-        inferred = df.sparkSession.read.option("primitivesAsString", False).json(df.select(name).rdd.map(lambda r: r[0])).schema
-        fields = [f for f in inferred.fields if f.name != "_corrupt_record"]
-        schema = T.StructType([T.StructField(f.name, T.DoubleType() if isinstance(f.dataType, T.LongType) else f.dataType) for f in fields])
-    elif isinstance(schema, str):
+    if isinstance(schema, str):
         schema = T._parse_datatype_string(schema)
     names = rest or []
     full = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
@@ -128,7 +132,7 @@ def demo(spark: SparkSession, config: dict, context: Context) -> DataFrame:
         fields = {f["name"]: f.get("type", "counter") for f in fields}
     if config.get("streaming"):
         rate = max(1, int(1000 / max(1, int(config.get("interval_ms", 1000)))))
-        base = spark.readStream.format("rate").option("rowsPerSecond", rate).load().withColumnRenamed("value", "id")
+        base = spark.readStream.format("rate").options(**{"rowsPerSecond": str(rate), **(config.get("reader_options") or {})}).load().withColumnRenamed("value", "id")
     else:
         base = spark.range(int(config.get("count", 100)))
     i = F.col("id")
@@ -173,28 +177,31 @@ def jdbc_reader(spark: SparkSession, config: dict):
 def cdc_files(spark: SparkSession, config: dict, context: Context) -> Outcome:
     """Change rows that a capture tool wrote as JSON lines of Debezium envelopes, with an optional snapshot before them.
 
-    Reading a database's log needs a client of that database outside Spark; what it delivers is read here. A snapshot's
-    rows are inserts with order 0, so later changes win. TRUNCATE events fail unless ``truncate`` is ``skip``.
+    Reading a database's log needs a client of that database outside Spark; what it delivers is read here. The order of
+    the changes is that of the log (``cdc.change_order``). A snapshot's rows are inserts with order 0, so later changes
+    win. TRUNCATE events fail unless ``truncate`` is ``skip``.
     """
-    from riverloom.operators.outcome import apply
+    return change_rows(spark.read.text(need(config, "changes", "cdc")), config, context)
+
 
-    lines = spark.read.text(need(config, "changes", "cdc")).withColumnRenamed("value", "__value")
-    lines = lines.withColumn("value", F.col("__value")).withColumn("__seq", F.coalesce(F.get_json_object("__value", "$.payload.source.pos"), F.get_json_object("__value", "$.source.pos"), F.get_json_object("__value", "$.payload.ts_ms"), F.get_json_object("__value", "$.ts_ms")).cast("bigint"))
+def change_rows(lines: DataFrame, config: dict, context: Context) -> Outcome:
+    """What ``cdc_files`` reads, from lines (value)."""
+    from riverloom.operators.outcome import apply, union_errors
+
+    lines = lines.select("value").withColumn("__seq", change_order(F.col("value")))
     letter = F.coalesce(F.get_json_object("value", "$.payload.op"), F.get_json_object("value", "$.op"))
     truncates = F.coalesce(letter == "t", F.lit(False))
     errors = None
     if config.get("truncate", "error") != "skip":
         errors = failed(lines.where(truncates).select("value"), context.node or "source", "data", "TRUNCATE is not supported")
-    done = apply(lines.where(~truncates).drop("__value"), "debezium_cdc", {"column": "value", "schema": need(config, "schema", "cdc"), "seq": "__seq", "keep_metadata": False})
+    done = apply(lines.where(~truncates), "debezium_cdc", {"column": "value", "schema": need(config, "schema", "cdc"), "seq": "__seq", "keep_metadata": False})
     rows = done.ok
     if config.get("snapshot"):
-        first = spark.read.format(config.get("snapshot_format", "parquet")).load(config["snapshot"])
+        first = lines.sparkSession.read.format(config.get("snapshot_format", "parquet")).load(config["snapshot"])
         image = T._parse_datatype_string(config["schema"])
         first = first.select(*[col(f.name).cast(f.dataType).alias(f.name) for f in image.fields])
         first = first.withColumn(META, meta(op=F.lit("INSERT"), table=F.lit(config.get("table")), seq=F.lit(0)))
         rows = first.unionByName(rows, allowMissingColumns=True)
-    from riverloom.operators.outcome import union_errors
-
     return Outcome(rows, union_errors([errors, done.errors]))
 
 
@@ -203,6 +210,7 @@ def kafka(spark: SparkSession, config: dict, context: Context) -> Outcome:
     """Messages of a topic, decoded; see ``decode_messages``. Needs Spark's Kafka connector on the class path."""
     reader = spark.readStream if config.get("streaming") else spark.read
     options = {"kafka.bootstrap.servers": ",".join(need(config, "brokers", "kafka")), "subscribe": need(config, "topic", "kafka"), "startingOffsets": config.get("offset", "earliest")}
+    options |= config.get("reader_options") or {} if config.get("streaming") else {}
     if config.get("max_offsets_per_trigger"):
         options["maxOffsetsPerTrigger"] = str(config["max_offsets_per_trigger"])
     return decode_messages(reader.format("kafka").options(**options).load(), config, context)
@@ -297,25 +305,23 @@ def python_source(spark: SparkSession, name: str, options: dict[str, Any], schem
     return spark.read.format(f"riverloom_{name}").options(**{k: v if isinstance(v, str) else json.dumps(v) for k, v in options.items()}).schema(schema).load()
 
 
-@source("http", "rest_source", "redis", "feishu_sheet")
-def remote(spark: SparkSession, config: dict, context: Context) -> DataFrame:
-    kind = {"http": "rest", "rest_source": "rest", "redis": "redis", "feishu_sheet": "sheet"}[config.pop("__name", None) or _remote_kind(config)]
-    return python_source(spark, kind, config, need(config, "schema", "remote"))
+def _remote(kind: str, *names: str) -> None:
+    @source(*names)
+    def remote(spark: SparkSession, config: dict, context: Context) -> DataFrame:
+        return python_source(spark, kind, config, need(config, "schema", names[0]))
 
 
-def _remote_kind(config: dict) -> str:
-    return "redis" if "pattern" in config else "feishu_sheet" if "sheet" in config else "rest_source"
+_remote("rest", "http", "rest_source")
+_remote("redis", "redis")
+_remote("sheet", "feishu_sheet")
 
 
 def _preset(name: str):
     @source(name)
     def preset(spark: SparkSession, config: dict, context: Context) -> DataFrame:
-        from riverloom.sources.remote import PRESETS
+        from riverloom.sources.remote import preset_options
 
-        full = PRESETS[name] | config
-        variables = {k: value_text(v) for k, v in config.items()}
-        full["url"] = full["url"].format_map({**{"instance": "", "owner": "", "repo": "", "object": "", "database": ""}, **variables})
-        return python_source(spark, "rest", full, need(config, "schema", name))
+        return python_source(spark, "rest", preset_options(name, config), need(config, "schema", name))
 
     return preset
 

@@ -129,12 +129,19 @@ def next_run(schedule: dict, after: datetime) -> datetime | None:
     fields = schedule["cron"].split()
     if len(fields) != 5:
         raise ConfigError("cron has five fields")
+    minute, hour, day, month, weekday = fields
+    minutes = [m for m in range(60) if _fits(minute, m)]
+    hours = [h for h in range(24) if _fits(hour, h)]
     at = after.replace(second=0, microsecond=0) + timedelta(minutes=1)
-    for _ in range(366 * 24 * 60):
-        now = (at.minute, at.hour, at.day, at.month, at.isoweekday() % 7)
-        if all(_fits(f, v) for f, v in zip(fields, now, strict=True)):
-            return at
-        at += timedelta(minutes=1)
+    for n in range(29 * 366):  # 29 February on a weekday comes again within 28 years, but for turns of centuries
+        date = at.date() + timedelta(days=n)
+        if not (_fits(day, date.day) and _fits(month, date.month) and _fits(weekday, date.isoweekday() % 7)):
+            continue
+        for h in hours:
+            for m in minutes:
+                found = at.replace(year=date.year, month=date.month, day=date.day, hour=h, minute=m)
+                if found >= at:
+                    return found
     return None
 
 
@@ -159,6 +166,7 @@ def trigger(options: dict) -> dict:
 
 
 def rate_options(config: dict, source: str) -> dict[str, str]:
-    """A rate limit as the option of a streaming source."""
+    """A rate limit as the option of a streaming source, for a trigger a second."""
     rps = int(config.get("rps", 1000))
-    return {"file": {"maxFilesPerTrigger": str(max(1, rps // 1000))}, "kafka": {"maxOffsetsPerTrigger": str(rps)}, "rate": {"rowsPerSecond": str(rps)}}.get(source, {})
+    kinds = {"file": {"maxFilesPerTrigger": str(max(1, rps // 1000))}, "kafka": {"maxOffsetsPerTrigger": str(rps)}, "demo": {"rowsPerSecond": str(rps)}}
+    return kinds.get(source, {})

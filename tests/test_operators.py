@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import datetime
 
 import pytest
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from riverloom.functions.predicates import ConfigError
 from riverloom.operators.cdc import apply_changes, key_from_metadata, meta, translate_ddl
 from riverloom.operators.code import plugin
+from riverloom.operators.joins import Snapshots, small
 from riverloom.operators.outcome import META, Context, apply, classify, retryable
 from riverloom.operators.project import fnv32, fnv64
 from riverloom.plans.compile import chain, dry_run
@@ -126,6 +128,13 @@ def test_validate_collects_or_stops(people):
     assert apply(people, "validate", {**rules, "on_failure": "drop"}).errors is None
 
 
+def test_validate_knows_its_ways(people):
+    rules = {"required_fields": ["name"]}
+    assert apply(people, "validate", {**rules, "on_failure": "dlq"}).errors.count() == 1
+    with pytest.raises(ConfigError):
+        apply(people, "validate", {**rules, "on_failure": "ignore"})
+
+
 def test_validate_counts_bytes(spark):
     df = spark.createDataFrame([("héllo", [1, 2])], "s string, a array<int>")
     rule = lambda f, t, **k: {"rules": [{"field": f, "type": t, **k}]}
@@ -159,6 +168,29 @@ def test_sort_puts_nulls_first_and_last(people):
     assert [r.id for r in chain(people, [("sort", {"fields": ["id"]}), ("skip", {"n": 1}), ("limit", {"n": 1})]).ok.collect()] == [2]
 
 
+@pytest.mark.parametrize("down", [False, True])
+def test_skip_needs_no_single_task(spark, down):
+    data = [(i, None if i % 9 == 0 else i * 7919 % 101) for i in range(500)]
+    df = spark.createDataFrame(data, "i int, v int").repartition(6)
+    fields = [{"field": "v", "order": "desc" if down else "asc"}]
+    ordered = sorted(data, key=lambda r: (r[1] is None, -(r[1] or 0), r[0]) if down else (r[1] is not None, r[1] or 0, r[0]))
+    for n in (0, 1, 55, 56, 57, 250, 499, 500, 900):
+        out = chain(df, [("sort", {"fields": fields, "seq": "i"}), ("skip", {"n": n})]).ok
+        assert rows(out) == ordered[n:], n
+        if 0 < n < 500:
+            plan = out._jdf.queryExecution().executedPlan().toString()
+            assert "SinglePartition" not in plan and "GlobalLimit" not in plan
+    assert ok(df, "skip", {"n": 20}).count() == 480
+    page = chain(df, [("sort", {"fields": fields, "seq": "i"}), ("skip", {"n": 100}), ("limit", {"n": 10})]).ok
+    assert rows(page) == ordered[100:110]
+
+
+def test_compaction_scans_once(spark):
+    df = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    plan = ok(df, "compact", {"keys": ["l_orderkey"], "seq": "l_linenumber"})._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1
+
+
 def test_compaction_keeps_rows_without_a_key(spark):
     df = spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (None, 3, "c"), (None, 4, "d")], "k int, seq int, v string")
     assert sorted(rows(ok(df, "compact", {"keys": ["k"], "seq": "seq"})), key=str) == [(1, 2, "b"), (None, 3, "c"), (None, 4, "d")]
@@ -182,19 +214,19 @@ def asof_model(data, span, where=lambda r: True):
     return out
 
 
-@pytest.mark.parametrize("sliced", [None, 25])
+@pytest.mark.parametrize("sliced", [None, 1, 7])
 def test_asof_join_is_a_loop_over_rows(spark, sliced):
     import random
 
     rng = random.Random(3)
     data, t = [], 0
     for seq in range(300):
-        t += rng.choice([0, 1, 3, 9, 20])
+        t += rng.choice([0, 1, 3, 9, 20, -15])  # times and order may disagree
         data.append((seq, rng.choice(["a", "b", "c", "", None]), t, rng.randint(0, 9)))
     df = spark.createDataFrame(data, "seq int, key string, t int, v int").repartition(4)
     config = {"join_key": "key", "join_fields": ["v"], "join_window_sec": 20, "event_time": "t", "seq": "seq", "join_type": "left"}
     if sliced:
-        config["slice_seconds"] = sliced
+        config["slices"] = sliced
     assert sorted((r.seq, r.joined_v) for r in ok(df, "join", config).collect()) == asof_model(data, 20)
     some = ok(df, "join", {**config, "where": "v >= 5"})
     assert sorted((r.seq, r.joined_v) for r in some.collect()) == asof_model(data, 20, lambda v: v >= 5)
@@ -203,6 +235,56 @@ def test_asof_join_is_a_loop_over_rows(spark, sliced):
     assert inner.ok.count() == sum(v is not None for _, v in want) and inner.errors.count() == sum(v is None for _, v in want)
 
 
+def test_joins_refuse_more_than_they_may_hold(spark):
+    df = spark.createDataFrame([(i, f"k{i % 3}", i) for i in range(10)] + [(11, None, 1)], "seq int, key string, t int")
+    config = {"join_key": "key", "join_fields": ["t"], "event_time": "t", "seq": "seq"}
+    assert apply(df, "join", {**config, "max_buffered_keys": 3, "max_buffered_records": 10}, Context()).ok.count() == 7
+    with pytest.raises(ConfigError, match="state key limit exceeded"):
+        apply(df, "join", {**config, "max_buffered_keys": 2}, Context())
+    with pytest.raises(ConfigError, match="state record limit exceeded"):
+        apply(df, "join", {**config, "max_buffered_records": 9}, Context())
+
+
+def test_dimensions_with_several_rows_ask_for_an_order(spark, people):
+    config = {"table": "d", "key": "id", "dim_key": "k", "fields": ["name"]}
+    twice = spark.createDataFrame([(1, "one"), (1, "one"), (2, None), (2, None)], "k int, name string")
+    assert ok(people, "lookup", config, tables={"d": twice}).where("id = 1").first().name == "one"
+    several = spark.createDataFrame([(1, "one"), (1, "uno")], "k int, name string")
+    with pytest.raises(Exception, match="dim_order is required"):
+        ok(people, "lookup", config, tables={"d": several}).collect()
+
+
+def test_broadcasts_are_checked_by_rows_and_bytes(spark):
+    df = spark.createDataFrame([(i, "x" * 1000) for i in range(50)], "i int, t string")
+    assert small(df) and not small(df, most=49) and not small(df, most_bytes=10_000)
+
+
+def test_dimensions_are_loaded_again(spark, people):
+    now, state = [0.0], {"rows": [(1, "a")], "down": False}
+
+    def load():
+        if state["down"]:
+            raise OSError("down")
+        return spark.createDataFrame(state["rows"], "k int, name string")
+
+    context = Context(tables={"d": load}, snapshots=Snapshots(lambda: now[0]))
+    config = {"table": "d", "key": "id", "dim_key": "k", "fields": ["name"], "refresh_interval_sec": 10}
+    first = lambda **more: apply(people, "lookup", {**config, **more}, context).ok.where("id = 1").first().name
+    assert first() == "a"
+    state["rows"] = [(1, "b")]
+    assert first() == "a"  # not old enough
+    now[0] = 11
+    assert first() == "b"
+    state["down"], now[0] = True, 30
+    assert first() == "b" and context.snapshots.failures == 1  # the last good state
+    with pytest.raises(ConfigError, match="refresh of d failed"):
+        first(on_refresh_error="error")
+    with pytest.raises(ConfigError, match="on_refresh_error"):
+        first(on_refresh_error="sometimes")
+    with pytest.raises(ConfigError):
+        apply(people, "lookup", config, Context(tables={"d": load}))
+
+
 def test_lookup_policies(spark, people):
     dim = spark.createDataFrame([(1, "one", 1), (1, "uno", 2), (None, "none", 3), (3, None, 4)], "k int, name string, v int")
     config = {"table": "d", "key": "id", "dim_key": "k", "fields": ["name"], "dim_order": "v"}
@@ -230,6 +312,19 @@ def test_http_enricher(people):
     assert kept.ok.count() == 3 and kept.errors is None
 
 
+def test_http_values_are_encoded(spark):
+    df = spark.createDataFrame([("a b&x=1/?#é", "t\r\nX: y"), (None, None)], "q string, h string")
+
+    def fetch(url, headers, timeout):
+        return json.dumps({"url": url, "h": headers["X-H"]})
+
+    config = {"mode": "http", "url": "http://x/s?q={{.q}}", "headers": {"X-H": "v {{.h}}"}, "client": "f", "target_field": "got"}
+    got = [json.loads(r.got) for r in ok(df, "enricher", config, functions={"f": fetch}).collect()]
+    assert got == [{"url": "http://x/s?q=a%20b%26x%3D1%2F%3F%23%C3%A9", "h": "v t X: y"}, {"url": "http://x/s?q=", "h": "v "}]
+    with pytest.raises(ConfigError):
+        apply(df, "enricher", {**config, "url": "http://x/{{.absent}}"}, Context(functions={"f": fetch}))
+
+
 def test_functions_over_rows(people):
     def f(row):
         if row["id"] == 1:
@@ -330,6 +425,25 @@ def test_router_and_tap(people):
 
 
 def test_errors_have_classes():
+    told = {
+        "dial tcp: connection refused": "transient",
+        "Error 1105 (HY000): errCode = 2, detailMessage = There is no scanNode Backend available.[10003: not alive]": "transient",
+        "authentication: i/o timeout": "transient",
+        "schema registry connection refused": "transient",
+        "access denied for user": "auth",
+        "unknown column amount": "schema",
+        "no such column": "schema",
+        "Error 1146 (42S02): Table 'target.orders' doesn't exist": "schema",
+        "host is required": "config",
+        "invalid config: x": "config",
+        "duplicate key constraint failed": "data",
+        "Error 1264 (22003): Out of range value for column 'soc' at row 1": "data",
+        "Error 1406 (22001): Data too long for column 'vin' at row 1": "data",
+        "Error 1292 (22007): Incorrect datetime value: '2024-03-09T16:00:01.123Z' for column '_event_time' at row 1": "data",
+        "nil pointer": "programming",
+    }
+    assert {m: classify(m) for m in told} == told
+    assert retryable("i/o timeout") and not retryable("Error 1264: Out of range value")
     assert [classify(x) for x in (TimeoutError(), "connection refused", "access denied", "Unknown column x", "boom", ConfigError("x"), KeyError("k"))] == ["transient", "transient", "auth", "schema", "unknown", "config", "programming"]
     assert retryable("deadlock found") and retryable("boom") and not retryable("access denied")
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from riverloom.functions.predicates import ConfigError
 from riverloom.operators.outcome import META, Context
-from riverloom.plans.compile import compile_spec, run
+from riverloom.plans.compile import FailedRows, compile_spec, run
 from riverloom.plans.hooks import Hooks
 from riverloom.plans.spec import Graph, Spec, expand, faults, parse, to_graph, topological, validate
 from riverloom.streaming.control import AlertRule, Alerts, Breaker, next_run, rate_options, trigger, with_retry
@@ -109,6 +109,57 @@ def test_a_run_reads_compiles_and_writes(spark, tmp_path):
     assert [e["event"] for e in seen] == ["on_init", "on_post_batch"]
 
 
+def test_failed_rows_do_not_vanish(spark, tmp_path):
+    (tmp_path / "in.csv").write_text('id,amount,note\n2,5.5,"a,b"\n3,much,y\n')
+    spec = parse(YAML, {"IN": str(tmp_path / "in.csv"), "OUT": str(tmp_path / "out")})
+    with pytest.raises(FailedRows, match="amount is no to_float"):
+        run(spark, spec)
+    assert not (tmp_path / "out").exists()
+    run(spark, spec, drop_errors=True)
+    assert spark.read.json(str(tmp_path / "out")).count() == 1
+    spec.sink.type, spec.sink.config = "table", {"path": str(tmp_path / "t"), "primary_key": "note", "seq": "amount"}
+    (tmp_path / "in.csv").write_text("id,amount,note\n2,5.5,x\n3,7,\n")
+    with pytest.raises(FailedRows, match="without a key"):
+        run(spark, spec)
+    run(spark, spec, errors_to=str(tmp_path / "bad"))
+    assert "without a key" in spark.read.json(str(tmp_path / "bad")).first().message
+
+
+def test_shared_rows_are_computed_once(spark, tmp_path):
+    (tmp_path / "in.csv").write_text("id\n" + "\n".join(map(str, range(10))) + "\n")
+    calls = spark.sparkContext.accumulator(0)
+
+    def f(row):
+        calls.add(1)
+        if row["id"] == "3":
+            raise ValueError("three")
+        return True
+
+    out = lambda n: {"id": n, "kind": "sink", "plugin": "file_sink", "config": {"path": str(tmp_path / n)}}
+    spec = {
+        "name": "g",
+        "nodes": [{"id": "s", "kind": "source", "plugin": "file", "config": {"path": str(tmp_path / "in.csv")}}, {"id": "f", "kind": "transform", "plugin": "python", "config": {"function": "f"}}, out("a"), out("b")],
+        "edges": [{"from": "s", "to": "f"}, {"from": "f", "to": "a"}, {"from": "f", "to": "b"}],
+    }
+    run(spark, spec, Context(functions={"f": f}), errors_to=str(tmp_path / "bad"))
+    assert [spark.read.json(str(tmp_path / n)).count() for n in ("a", "b", "bad")] == [9, 9, 1]
+    assert calls.value == 10
+
+
+def test_graphs_have_hooks_and_processors(spark, tmp_path):
+    seen = []
+    spec = parse({
+        "name": "g",
+        "hooks": {"on_checkpoint": [seen.append]},
+        "processors": [{"type": "filter", "config": {"expression": "id > 1"}}, {"type": "rename", "config": {"mappings": {"id": "n"}}}],
+        "nodes": [{"id": "s", "kind": "source", "plugin": "demo", "config": {"count": 5, "fields": {"id": "counter"}}}, {"id": "o", "kind": "sink", "plugin": "file_sink", "config": {"path": str(tmp_path / "o")}}],
+        "edges": [{"from": "s", "to": "o"}],
+    })
+    run(spark, spec)
+    assert sorted(r.n for r in spark.read.json(str(tmp_path / "o")).collect()) == [2, 3, 4]
+    assert [e["event"] for e in seen] == ["on_checkpoint"]
+
+
 def test_hooks_are_checked():
     with pytest.raises(ConfigError):
         Hooks.of({"on_lunch": print}, {})
@@ -163,6 +214,9 @@ def test_retry_breaker_and_schedules():
     assert next_run({"type": "periodic", "interval_sec": 90}, t) == datetime.datetime(2024, 2, 29, 0, 1)
     assert next_run({"type": "once"}, t) is None
     assert trigger({"schedule": "streaming", "flush_interval_ms": 200}) == {"processingTime": "200 milliseconds"} and trigger({}) == {"availableNow": True}
+    assert next_run({"type": "cron", "cron": "0 0 29 2 *"}, datetime.datetime(2025, 1, 1)) == datetime.datetime(2028, 2, 29)
+    assert next_run({"type": "cron", "cron": "0 0 29 2 1"}, datetime.datetime(2025, 1, 1)) == datetime.datetime(2044, 2, 29)
+    assert next_run({"type": "cron", "cron": "0 0 31 2 *"}, datetime.datetime(2025, 1, 1)) is None
     assert rate_options({"rps": 50}, "kafka") == {"maxOffsetsPerTrigger": "50"}
 
 

@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+import json
+import os
+import sys
+
 import pytest
 from pyspark.sql import functions as F
 
 from riverloom.functions.predicates import ConfigError
 from riverloom.operators.outcome import Context, apply
-from riverloom.streaming.runner import ROCKSDB, file_stream, run_stream
+from riverloom.plans.compile import run
+from riverloom.sources.sinks import current_version
+from riverloom.streaming.runner import PROVIDER, ROCKSDB, file_stream, isolate, run_stream
 
+sys.path.insert(0, os.path.dirname(__file__))
 SCHEMA = "id int, key string, t timestamp, v int"
 
 
@@ -64,18 +71,83 @@ def test_deduplication_of_a_stream(spark, folder):
 
 
 def test_asof_join_of_a_stream(spark, folder):
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     config = {"join_key": "key", "join_fields": ["id"], "join_window_sec": 150, "event_time": "t", "seq": "id", "join_type": "left", "where": "v != 4"}
-    try:
-        query = run_stream(stream(spark, folder, maxFilesPerTrigger=1), [("join", config)], ("file_sink", {"path": str(folder / "out")}), str(folder / "cp"))
-        finish(query)
-    finally:
-        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
-    got = {(r.id, None if r.joined_id is None else int(float(r.joined_id))) for r in spark.read.schema("id int, joined_id string").json(str(folder / "out")).collect()}
+    query = run_stream(stream(spark, folder, maxFilesPerTrigger=1), [("join", config)], ("file_sink", {"path": str(folder / "out"), "format": "parquet"}), str(folder / "cp"))
+    assert spark.conf.get(PROVIDER) == ROCKSDB
+    finish(query)
+    out = spark.read.parquet(str(folder / "out"))
+    assert dict(out.dtypes)["joined_id"] == "int"
+    got = {(r.id, r.joined_id) for r in out.collect()}
     want = {(r.id, r.joined_id) for r in apply(batch(spark, folder), "join", config).ok.collect()}
     assert got == want
 
 
+def test_misses_of_a_stream_are_kept(spark, folder):
+    config = {"join_key": "key", "join_fields": ["id"], "join_window_sec": 150, "event_time": "t", "seq": "id", "where": "v != 4", "on_miss": "dlq"}
+    with pytest.raises(ConfigError):
+        run_stream(stream(spark, folder), [("join", config)], ("file_sink", {"path": str(folder / "out")}), str(folder / "cp0"))
+    finish(run_stream(stream(spark, folder, maxFilesPerTrigger=1), [("join", config)], ("file_sink", {"path": str(folder / "out")}), str(folder / "cp"), errors_to=str(folder / "bad")))
+    for q in spark.streams.active:
+        q.awaitTermination(120)
+    want = apply(batch(spark, folder), "join", config)
+    assert spark.read.json(str(folder / "out")).count() == want.ok.count()
+    assert sorted(json.loads(r.record)["id"] for r in spark.read.json(str(folder / "bad" / "stream")).collect()) == sorted(json.loads(r.record)["id"] for r in want.errors.collect())
+
+
+def test_failed_rows_stop_a_stream_without_a_place(spark, folder):
+    steps = [("validate", {"rules": [{"field": "v", "type": "range", "max": 7}]})]
+    query = run_stream(stream(spark, folder), steps, ("file_sink", {"path": str(folder / "out")}), str(folder / "cp"))
+    with pytest.raises(Exception, match="errors_to"):
+        query.awaitTermination(120)
+
+
+def test_a_batch_is_added_once(spark, folder):
+    """The same files again under a new checkpoint are the same batch numbers: a table has them already."""
+    sink = ("table", {"path": str(folder / "t"), "primary_key": "key", "mode": "increment", "seq": "id"})
+    for n in range(2):
+        finish(run_stream(stream(spark, folder), [("project", {"fields": ["key", "v", "id"]})], sink, str(folder / f"cp{n}")))
+    now, version = current_version(spark, str(folder / "t"))
+    assert version == 1 and sorted((r.key, r.v) for r in now.collect()) == [("a", 60), ("b", 75)]
+
+
+def test_a_refused_row_stands_alone(spark, folder):
+    from fake_clients import BULK
+
+    def refuse(rows):
+        if rows.where("id = 13").count():
+            raise ValueError("duplicate key constraint failed")
+        BULK.append(sorted(r.id for r in rows.collect()))
+
+    BULK.clear()
+    bad = isolate(batch(spark, folder), refuse, "sink").collect()
+    assert [json.loads(r.record)["id"] for r in bad] == [13] and sorted(x for part in BULK for x in part) == [i for i in range(30) if i != 13]
+
+
+def test_a_specification_starts_a_stream(spark, folder):
+    seen, told = [], []
+    spec = {
+        "name": "live",
+        "schedule": "streaming",
+        "flush_interval_ms": 100,
+        "checkpoint": str(folder / "cp"),
+        "event_time": "t",
+        "hooks": {"on_post_batch": [seen.append], "on_checkpoint": [seen.append]},
+        "alerts": [{"name": "busy", "measure": "rows", "threshold": 1}],
+        "source": {"type": "file", "config": {"path": str(folder / "in"), "format": "json", "schema": SCHEMA}},
+        "transforms": [{"type": "rate_limiter", "config": {"rps": 1000}}, {"type": "filter", "config": {"expression": "v > 1"}}],
+        "sink": {"type": "file_sink", "config": {"path": str(folder / "out")}},
+    }
+    done = run(spark, spec, tell=lambda name, found: told.append(name))
+    try:
+        done.query.processAllAvailable()
+    finally:
+        done.query.stop()
+    assert spark.read.json(str(folder / "out")).count() == 24
+    assert [e["event"] for e in seen][:2] == ["on_post_batch", "on_checkpoint"] and len(seen) >= 6  # a file a batch
+    with pytest.raises(ConfigError):
+        run(spark, {**spec, "checkpoint": None})
+
+
 def test_one_stateful_operator(spark, folder):
     steps = [("deduplicate", {"keys": ["key"]}), ("window", {})]
     with pytest.raises(ConfigError):
