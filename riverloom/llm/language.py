@@ -36,9 +36,11 @@ FOREIGN = 20.0
 #: A language uses a script that holds at least this share of its letters.
 SCRIPT_SHARE = 0.01
 #: Words that a worker keeps scores of, words of a batch, and words of a Viterbi piece.
-CACHE_WORDS, BATCH_WORDS, PIECE = 250_000, 300_000, 256
+CACHE_WORDS, BATCH_WORDS, PIECE = 250_000, 200_000, 256
 #: Scores that a worker keeps or computes at once: with many languages it keeps fewer words.
 SCORES = 8_000_000
+#: Parts that a language's texts are ranked in, and chosen texts that are broadcast, 24 bytes each; more are shuffled.
+PARTS, MOST_CHOSEN = 64, 500_000
 #: With more languages than this, texts are not cut into pieces: a piece takes a byte for each pair of languages a word.
 PIECE_LANGUAGES = 8
 
@@ -132,8 +134,8 @@ class Counts:
 
     def add(self, text: str) -> None:
         words = words_of(text)
-        for a in range(0, len(words), 200_000):
-            runs, _ = letter_runs(words[a : a + 200_000])
+        for a in range(0, len(words), 50_000):
+            runs, _ = letter_runs(words[a : a + 50_000])
             for n in range(ORDERS):
                 self.runs[n] += np.bincount(runs[n][runs[n] >= 0], minlength=BUCKETS)
         for w in words:
@@ -180,7 +182,7 @@ class Model:
 
     def scores(self, words: list[str]) -> np.ndarray:
         """(words, languages): log-likelihoods less the best one of each word; zeros where no language uses its script."""
-        step = max(64, SCORES // (16 * max(1, len(self.languages))))
+        step = max(64, min(50_000, SCORES // (16 * max(1, len(self.languages)))))
         parts = [self._scores(words[a : a + step]) for a in range(0, len(words), step)]
         return np.concatenate([*parts, np.zeros((0, len(self.languages)), np.float32)])
 
@@ -346,16 +348,22 @@ def _whole(score: np.ndarray, sizes: np.ndarray, penalty: float, word: np.ndarra
 def sample(labelled: DataFrame, text_col: str, lang_col: str, texts: int = SAMPLE_TEXTS) -> DataFrame:
     """(text, lang): at most ``texts`` different texts of each language, those with the smallest hashes; all where fewer.
 
-    Copies of a text count once for a language. Hashes of the different texts are shuffled, and a task keeps so many of
-    each language before they are ranked.
+    Copies of a text count once for a language. Hashes of the different texts are shuffled and ranked in PARTS parts of
+    each language, then what is left over all parts, so no task ranks most of a language. The chosen hashes are
+    broadcast where they are few, which is checked.
     """
     rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.where("lang is not null and text is not null")
     rows = rows.withColumn("h", F.xxhash64("text")).withColumn("g", F.xxhash64(F.lit(1), "text"))
     key = ["lang", "h", "g"]
-    order = Window.partitionBy("lang").orderBy("h", "g")
-    chosen = rows.select(*key).distinct().withColumn("n", F.row_number().over(order)).where(F.col("n") <= texts)
-    found = rows.join(chosen.select(*key), key, "left_semi").groupBy(*key).agg(F.min("text").alias("text"))
+    rank = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("h", "g"))
+    chosen = rows.select(*key).distinct().withColumn("part", F.pmod("g", F.lit(PARTS)))
+    chosen = chosen.withColumn("n", rank("lang", "part")).where(F.col("n") <= texts)
+    chosen = chosen.withColumn("n", rank("lang")).where(F.col("n") <= texts)
+    chosen = common.written(chosen.select(*key), "chosen")
+    if chosen.limit(MOST_CHOSEN + 1).count() <= MOST_CHOSEN:
+        chosen = F.broadcast(chosen)
+    found = rows.join(chosen, key, "left_semi").groupBy(*key).agg(F.min("text").alias("text"))
     return found.select("text", "lang")
 
 
@@ -369,14 +377,15 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def rows(lang: str, c: Counts) -> pa.RecordBatch:
         kind, bucket = np.nonzero(c.runs)
         n = c.runs[kind, bucket]
-        some = len(c.scripts)
+        scripts = {None: 0, **c.scripts}  # a language whose texts have no letters is one, too
+        some = len(scripts)
         return pa.RecordBatch.from_pydict(
             {
                 "lang": pa.array([lang] * (len(n) + some), pa.string()),
                 "kind": pa.array(np.concatenate([kind + 1, np.zeros(some, np.int64)]), pa.int32()),
                 "bucket": pa.array(np.concatenate([bucket, np.zeros(some, np.int64)]), pa.int32()),
-                "script": pa.array([None] * len(n) + list(c.scripts), pa.string()),
-                "n": pa.array(np.concatenate([n, np.fromiter(c.scripts.values(), np.int64, some)]), pa.int64()),
+                "script": pa.array([None] * len(n) + list(scripts), pa.string()),
+                "n": pa.array(np.concatenate([n, np.fromiter(scripts.values(), np.int64, some)]), pa.int64()),
             }
         )
 
@@ -399,8 +408,9 @@ def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", t
     Texts stay on the executors, whatever their length; the driver gets the sums of their counts, at most about 260,000
     numbers a language, which is also the size of the model.
     """
-    found = sample(labelled, text_col, lang_col, texts).mapInArrow(_count, COUNTED)
-    total = found.groupBy("lang", "kind", "bucket", "script").agg(F.sum("n").alias("n")).toArrow()
+    with common.Scratch(labelled.sparkSession):
+        found = sample(labelled, text_col, lang_col, texts).mapInArrow(_count, COUNTED)
+        total = found.groupBy("lang", "kind", "bucket", "script").agg(F.sum("n").alias("n")).toArrow()
     counts: dict[str, Counts] = {}
     columns = [total.column(c).to_numpy(zero_copy_only=False) for c in ("kind", "bucket", "n")]
     names, scripts = total.column("lang").to_pylist(), total.column("script").to_pylist()
@@ -410,8 +420,6 @@ def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", t
             own.runs[kind - 1, bucket] = n
         elif script is not None:
             own.scripts[script] = int(n)
-    for lang in {r["lang"] for r in sample(labelled, text_col, lang_col, 1).select("lang").collect()} - set(counts):
-        counts[lang] = Counts()  # its texts have no letters
     return Model.of(counts)
 
 

@@ -198,7 +198,8 @@ def known_licenses(spark: SparkSession, texts: dict[str, str] | None = None) ->
 def scan(docs: DataFrame, known: DataFrame, *, text_col: str = "text", most_broadcast: int = 10_000) -> DataFrame:
     """``docs`` with canon_sha256 and license: the known licence whose canonical text equals the document's, or null.
 
-    Null texts and texts without letters and digits match nothing. Of known texts with one canonical form the name that
+    Null texts and texts without letters and digits match nothing; texts of any length are compared whole, and rows that
+    repeat are labelled alike. An empty table gives an empty one. Other columns stay. Of known texts with one canonical form the name that
     sorts first counts. At most ``most_broadcast`` known licences are broadcast, which is checked; more are joined by
     shuffling digests. Columns of ``docs`` named like new ones are replaced.
     """

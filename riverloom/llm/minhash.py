@@ -247,8 +247,8 @@ def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     over the lists of its own elements. A linked document is returned with the smallest one that it reaches.
     """
     hashes = WordHashes()
-    a: list[bytes] = []
-    b: list[bytes] = []
+    a: list[int] = []
+    b: list[int] = []
     for rows in common.groups(batches, KEY):
         n, low, high = len(rows), rows[0]["low"], rows[0]["high"]
         block = np.asarray([r["block"] for r in rows])
@@ -276,9 +276,9 @@ def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             root = common.roots(n, np.asarray(i), np.asarray(j))
             for k in sorted({*i, *j}):
                 if root[k] != k:
-                    a.append(rows[k]["digest"])
-                    b.append(rows[root[k]]["digest"])
-    yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+                    a.append(rows[k]["node"])
+                    b.append(rows[root[k]]["node"])
+    yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
     common.release()
 
 
@@ -295,10 +295,12 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         several = placed.where("component is not null").groupBy("doc_id")
         several = several.agg(F.min("component").alias("a"), F.max("component").alias("z")).where("a <> z").select("doc_id", "a")
         several = common.written(several, "several")
-        same = placed.join(several, "doc_id").select("a", F.col("component").alias("b")).where("a <> b")
-        merged = connected_components(same).select(F.col("id").alias("component"), F.col("component").alias("whole"))
-        placed = placed.join(merged, "component", "left").withColumn("whole", F.coalesce("whole", "component"))
-        placed = common.written(placed.select("doc_id", "whole"), "whole")
+        placed = placed.withColumn("whole", F.col("component"))
+        if not several.isEmpty():
+            same = placed.join(several, "doc_id").select("a", F.col("component").alias("b")).where("a <> b")
+            merged = connected_components(same).select(F.col("id").alias("component"), F.col("component").alias("into"))
+            placed = placed.join(merged, "component", "left").withColumn("whole", F.coalesce("into", "component"))
+            placed = common.written(placed.select("doc_id", "whole"), "whole")
         least = placed.where("whole is not null").groupBy("whole").agg(F.min("doc_id").alias("class_id"))
         found = placed.join(common.written(least, "least"), "whole", "left").groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
         return scratch.keep(found.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id")), "classes")
@@ -331,65 +333,71 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
 def text_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, digest, component), a row per distinct pair: the class of each different word sequence of each id.
 
-    A component is named by one of its digests; it is null, as the digest is, for texts without words.
+    A component is a number of this run; it is null, as the digest is, for texts without words.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
-    signed = common.written(base.mapInArrow(_sign, SIGNED), "signed")
+    # once written, numbers of rows stay what they are
+    signed = common.written(base.mapInArrow(_sign, SIGNED).withColumn("uid", F.monotonically_increasing_id()), "signed")
     some = signed.where("n_words > 0")
-    # Equal word sequences are one node, named by their digest; the row with the smallest id stands for all. Tables that
-    # tell a group's size, star or representative are written before they are joined, so the join is free to split a
-    # large group.
-    rep = common.written(some.groupBy("digest").agg(F.min("doc_id").alias("doc_id")), "digests")
-    rows = some.join(rep, ["doc_id", "digest"]).select("digest", "n_words", F.posexplode("bands").alias("band", "h")).distinct()
+    # Equal word sequences are one node: the number of one of their rows, whose bands stand for all. Tables that tell a
+    # group's size, star or node are written before they are joined, so the join is free to split a large group.
+    rep = some.groupBy("digest").agg(F.min("uid").alias("node"), F.min_by("doc_id", "uid").alias("doc_id"))
+    rep = common.written(rep, "nodes")
+    rows = some.join(rep.select(F.col("node").alias("uid")), "uid", "left_semi")
+    rows = rows.select(F.col("uid").alias("node"), "n_words", F.posexplode("bands").alias("band", "h"))
     rows = common.written(rows, "bands")
     size = rows.groupBy("band", "h").agg(F.count("*").alias("n"), F.sum("n_words").alias("words"))
     size = common.written(size.where("n > 1"), "bucket-sizes")
     rows = common.written(rows.drop("n_words").join(size, ["band", "h"]), "buckets")
-    degree = common.written(rows.groupBy("digest").agg(F.sum("n").alias("degree")), "degrees")
-    star = rows.join(degree, "digest").groupBy("band", "h").agg(F.max(F.struct("degree", "digest")).alias("x"))
-    star = common.written(star.select("band", "h", F.col("x.digest").alias("star")), "stars")
-    pairs = rows.join(star, ["band", "h"]).where("star <> digest").select(F.col("star").alias("a"), F.col("digest").alias("b"))
-    texts = _texts(base, rep, degree.select("digest"))
+    degree = common.written(rows.groupBy("node").agg(F.sum("n").alias("degree")), "degrees")
+    star = rows.join(degree, "node").groupBy("band", "h").agg(F.max(F.struct("degree", "node")).alias("x"))
+    star = common.written(star.select("band", "h", F.col("x.node").alias("star")), "stars")
+    pairs = rows.join(star, ["band", "h"]).where("star <> node").select(F.col("star").alias("a"), F.col("node").alias("b"))
+    texts = _texts(base, rep, degree.select("node"))
     first = common.written(_verified(pairs.distinct(), texts), "linked")
     component = connected_components(first)
-    component = connected_components(first.unionByName(_across(rows, component, texts)))
+    across = _across(rows, component, texts)
+    if not across.isEmpty():
+        component = connected_components(component.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(across))
+    node = rep.select("digest", "node").join(component.withColumnRenamed("id", "node"), "node", "left")
+    node = common.written(node.select("digest", F.coalesce("component", "node").alias("component")), "node-components")
     placed = signed.select("doc_id", "digest").distinct()
-    placed = placed.join(component.select(F.col("id").alias("digest"), "component"), "digest", "left")
-    return placed.select("doc_id", "digest", F.coalesce("component", "digest").alias("component"))
+    return placed.join(node, "digest", "left").select("doc_id", "digest", "component")
 
 
-def _texts(base: DataFrame, rep: DataFrame, digests: DataFrame) -> DataFrame:
-    """(digest, text) of the word sequences that stand in a bucket, once each, from the rows that stand for them.
+def _texts(base: DataFrame, rep: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, text) of the word sequences that stand in a bucket, once each, from documents that have them.
 
-    An id that stands for a sequence may have other texts as well, so the digests of its texts are computed again.
+    Such a document's id may have other texts as well, so the digests of its texts are computed again.
     """
-    ids = rep.join(digests, "digest", "left_semi").select("doc_id").distinct()
-    found = with_digest(base.join(ids, "doc_id", "left_semi").select("text"), "text").join(digests, "digest", "left_semi")
-    return common.written(found.groupBy("digest").agg(F.min("text").alias("text")), "texts")
+    wanted = common.written(rep.join(nodes, "node", "left_semi"), "wanted")
+    ids = wanted.select("doc_id").distinct()
+    found = with_digest(base.join(ids, "doc_id", "left_semi").select("text"), "text").join(wanted.select("digest", "node"), "digest")
+    return common.written(found.groupBy("node").agg(F.min("text").alias("text")), "texts")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Of pairs (a, b), those with a similarity of THRESHOLD or more."""
-    other = pairs.join(texts.select(F.col("digest").alias("b"), F.col("text").alias("text_b")), "b")
-    both = other.join(texts.select(F.col("digest").alias("a"), F.col("text").alias("text_a")), "a")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a binary, b binary")
+    other = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+    both = other.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a long, b long")
 
 
 def _across(rows: DataFrame, component: DataFrame, texts: DataFrame) -> DataFrame:
     """Links between members of different components of a bucket; buckets with the same members are looked at once."""
-    placed = rows.join(component.withColumnRenamed("id", "digest"), "digest", "left")
-    placed = common.written(placed.withColumn("component", F.coalesce("component", "digest")), "placed")
+    placed = rows.join(component.withColumnRenamed("id", "node"), "node", "left")
+    placed = common.written(placed.withColumn("component", F.coalesce("component", "node")), "placed")
     wide = "decimal(38,0)"
     mixed = placed.groupBy("band", "h").agg(
         F.min("component").alias("x"),
         F.max("component").alias("y"),
-        F.sum(F.xxhash64("digest").cast(wide)).alias("s"),
-        F.sum(F.xxhash64(F.lit(1), "digest").cast(wide)).alias("t"),
+        F.sum(F.xxhash64("node").cast(wide)).alias("s"),
+        F.sum(F.xxhash64(F.lit(1), "node").cast(wide)).alias("t"),
     )
     mixed = mixed.where("x <> y").groupBy("s", "t").agg(F.min(F.struct("band", "h")).alias("z")).select("z.*")
     members = placed.join(common.written(mixed, "mixed"), ["band", "h"])
     blocks = F.greatest(F.ceil(F.col("words") / BLOCK_WORDS), F.ceil(F.col("n") / BLOCK))
-    dealt = common.in_blocks(members, blocks, "digest").join(texts, "digest")
-    dealt = dealt.select(*KEY, "block", "digest", "component", "text")
+    dealt = common.in_blocks(members, blocks, "node").join(texts, "node")
+    dealt = dealt.select(*KEY, "block", "node", "component", "text")
     dealt = dealt.repartition(*KEY).sortWithinPartitions(*KEY)
-    return common.written(dealt.mapInArrow(_link, "a binary, b binary"), "across")
+    return common.written(dealt.mapInArrow(_link, "a long, b long"), "across")

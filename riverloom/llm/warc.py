@@ -164,7 +164,9 @@ def write_archives(
     """A record per row, in files that are each compressed as one gzip stream; returns the manifest (path, n_records).
 
     Of rows with equal payloads, those with the smallest id are responses, the others revisit them (a null id is never
-    the smallest unless all are null). An empty table gives no files.
+    the smallest unless all are null). A null payload is an empty one, a null url is left out of its record. Payloads of
+    any length are written whole; a task holds one record at a time beside the rows of a batch. Rows that repeat an id
+    are records of their own. Other columns are not read, whatever their names. An empty table gives no files.
     """
     rows = plan_records(pages.select(id_col, url_col, payload_col), id_col=id_col, payload_col=payload_col, least=least)
     rows = rows.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.col(payload_col).alias("payload"), "__digest", F.col("__first").cast("long").alias("first"))

@@ -123,11 +123,12 @@ def test_any_decoder_reads_a_file_and_damage_is_found(tmp_path):
 
 def pages():
     same = "<html>same</html>"
-    return [(3, "https://a/1", same), (1, "https://a/2", same), (2, None, "x\r\n\r\nWARC/1.1 é"), (4, "u\nv", None), (5, "u", ""), (6, "u", "z" * 300_000), (3, "https://a/1", same), (None, "n", same), (None, "n", "alone")]
+    return [(3, "https://a/1", same), (1, "https://a/2", same), (2, None, "x\r\n\r\nWARC/1.1 é"), (4, "u\nv", None), (5, "u", ""), (6, "u", "z" * 3_000_000), (3, "https://a/1", same), (None, "n", same), (None, "n", "alone")]
 
 
 def test_archives_give_back_every_record(spark):
-    df = spark.createDataFrame([(*r, 1) for r in pages()], "page_id long, url string, html string, first int").repartition(3)
+    names = "page_id long, url string, html string, first int, payload string, id long, __digest string, path string"
+    df = spark.createDataFrame([(*r, 1, "p", 9, "d", "x") for r in pages()], names).repartition(3)
     raw, folder = common.new_folder(spark, "raw"), common.new_folder(spark, "warc")
     streams = warc.write_archives(df, raw)
     archives = warc.normalise(streams, folder)

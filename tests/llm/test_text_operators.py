@@ -317,6 +317,13 @@ def test_licenses_match_whatever_their_spelling(spark):
     assert licenses.scan(df.limit(0), licenses.known_licenses(spark)).count() == 0
 
 
+def test_long_and_repeated_texts_are_looked_up_whole(spark):
+    mit = licenses.NOTICES["MIT"]
+    rows = [(1, mit), (1, mit), (2, mit + " more" * 300_000), (3, "word " * 400_000), (4, "!" * 100_000)]
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), licenses.known_licenses(spark)).collect()
+    assert sorted((r.doc_id, r.license) for r in got if r.license) == [(1, "MIT")] * 2 and len(got) == 5
+
+
 def test_license_files_with_their_titles_and_full_texts(spark):
     long = {f.stem: f.read_text() for f in licenses.FOLDER.glob("*.txt")}
     line = "\n\nCopyright (c) 2020 A. Person\n"
