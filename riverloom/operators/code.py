@@ -118,28 +118,52 @@ def sql(df: DataFrame, config: dict, context: Context) -> DataFrame:
 
 
 PLUGINS: dict[str, Callable[[DataFrame, dict], DataFrame]] = {}
+KINDS = ("transform", "source", "sink")
 
 
-def plugin(name: str, abi: int = 1):
-    """Registers a function from a DataFrame and a configuration to a DataFrame as ``plugin_<name>``."""
+def plugin(name: str, abi: int = 1, kind: str = "transform"):
+    """Registers a function as ``plugin_<name>``.
+
+    A transform takes a DataFrame and a configuration and returns a DataFrame, a source a session and a configuration,
+    a sink a DataFrame and a configuration; a source may return an ``Outcome``, a sink the rows that it refused.
+    """
     if abi != 1:
         raise ConfigError(f"plugin {name}: interface {abi} is not known")
+    if kind not in KINDS:
+        raise ConfigError(f"plugin {name}: no kind {kind!r}")
 
     def add(f):
-        PLUGINS[name] = f
+        register(name, f, kind)
         return f
 
     return add
 
 
+def register(name: str, f: Callable, kind: str) -> None:
+    from riverloom.sources import sinks, sources
+
+    if kind == "transform":
+        PLUGINS[name] = f
+    elif kind == "source":
+        sources.SOURCES[f"plugin_{name}"] = lambda spark, config, context: f(spark, config)
+    else:
+        sinks.SINKS[f"plugin_{name}"] = f
+
+
+def installed(name: str, kind: str) -> bool:
+    """Registers an installed plugin of that name, from the packages' entry points ``riverloom.<kind>s``, if there is one."""
+    from importlib.metadata import entry_points
+
+    groups = [f"riverloom.{kind}s", *(["riverloom.plugins"] if kind == "transform" else [])]
+    found = [e for g in groups for e in entry_points(group=g) if e.name == name]
+    if found:
+        register(name, found[0].load(), kind)
+    return bool(found)
+
+
 @operator("plugin")
 def run_plugin(df: DataFrame, config: dict, context: Context) -> DataFrame:
     name = config.pop("name", None)
-    if name not in PLUGINS:
-        from importlib.metadata import entry_points
-
-        found = [e for e in entry_points(group="riverloom.plugins") if e.name == name]
-        if not found:
-            raise ConfigError(f"no plugin {name!r}")
-        PLUGINS[name] = found[0].load()
+    if name not in PLUGINS and not installed(name, "transform"):
+        raise ConfigError(f"no plugin {name!r}")
     return PLUGINS[name](df, config)

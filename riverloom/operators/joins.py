@@ -87,21 +87,20 @@ def _check_caps(rows: DataFrame, config: dict) -> None:
         raise ConfigError(f"join: state record limit exceeded ({records})")
 
 
-def unique_dimension(dim: DataFrame, key: str, order: str | None) -> DataFrame:
+def unique_dimension(dim: DataFrame, keys: list[str], order: str | None) -> DataFrame:
     """One row per key, the last by ``order``; null keys name nothing.
 
     Rows of a table have no order of their own: where a key has several different rows and no order is given, the query
     fails and asks for one.
     """
-    kind = V.dtype(dim, key)
-    rows = dim.where(col(key).isNotNull()).withColumn("__dim", V.text(col(key), kind))
+    rows = dim.withColumn("__dim", joined_key(dim, keys)).where(F.col("__dim").isNotNull())
     row = F.struct(*[col(c) for c in dim.columns])
-    grouped = rows.groupBy("__dim")
     if order:
-        return grouped.agg(F.max_by(row, col(order)).alias("__row"))
-    one = grouped.agg(F.min(row).alias("__row"), F.max(row).alias("__other"))
-    asked = F.raise_error(F.concat(F.lit(f"lookup: {key} "), F.col("__dim"), F.lit(" has several rows; dim_order is required")))
-    return one.select("__dim", F.when(F.col("__row") == F.col("__other"), F.col("__row")).when(F.col("__row").eqNullSafe(F.col("__other")), F.col("__row")).otherwise(asked.cast(one.schema["__row"].dataType)).alias("__row"))
+        return rows.groupBy("__dim").agg(F.max_by(row, col(order)).alias("__row"))
+    shown = F.to_json(row)
+    one = rows.groupBy("__dim").agg(F.max_by(row, shown).alias("__row"), (F.min(shown) == F.max(shown)).alias("__same"))
+    asked = F.raise_error(F.concat(F.lit(f"lookup: {', '.join(keys)} "), F.col("__dim"), F.lit(" has several rows; dim_order is required")))
+    return one.select("__dim", F.when(F.col("__same"), F.col("__row")).otherwise(asked).alias("__row"))
 
 
 def small(df: DataFrame, most: int = BROADCAST_ROWS, most_bytes: int = BROADCAST_BYTES) -> bool:
@@ -177,21 +176,52 @@ def run_sql(query: str, tables: dict[str, DataFrame]) -> DataFrame:
 _ARGUMENT = re.compile(r"=\s*\{\{\s*\.([A-Za-z_]\w*)\s*\}\}")
 
 
-def correlated(query: str) -> tuple[str, str, str]:
-    """(query without its condition, dimension key, row field) of ``select ... where key = {{.field}}``."""
-    m = re.fullmatch(r"(?is)\s*(select\s.+?)\s+where\s+([\w.`]+)\s*=\s*\{\{\s*\.([A-Za-z_]\w*)\s*\}\}\s*(?:limit\s+1\s*)?;?\s*", query)
-    if not m:
-        raise ConfigError("a query per row has the form select ... where key = {{.field}}")
-    return m.group(1), m.group(2).split(".")[-1].strip("`"), m.group(3)
+def correlated(query: str) -> tuple[str, list[str], list[str]]:
+    """(query without the conditions on the row, dimension keys, row fields) of ``select ... where key = {{.field}} and ...``.
 
-
-def correlated_table(config: dict, context: Context, op: str) -> tuple[DataFrame, str, str]:
-    query, key, field = correlated(need(config, "query", op))
+    Conditions that name no field of the row stay in the query.
+    """
+    m = re.fullmatch(r"(?is)\s*(select\s.+?)\s+where\s+(.+?)\s*(?:limit\s+1\s*)?;?\s*", query)
+    refused = ConfigError("a query per row has the form select ... where key = {{.field}} and ...")
+    if not m or re.search(r"(?i)\b(order|group)\s+by\b", m.group(2)):
+        raise refused
+    keys, fields, rest = [], [], []
+    for c in re.split(r"(?i)\s+and\s+", m.group(2)):
+        e = re.fullmatch(r"([\w.`]+)\s*=\s*'?\{\{\s*\.([A-Za-z_]\w*)\s*\}\}'?", c.strip())
+        if e:
+            keys.append(e.group(1).split(".")[-1].strip("`"))
+            fields.append(e.group(2))
+        elif "{{" in c:
+            raise refused
+        else:
+            rest.append(c.strip())
+    if not keys:
+        raise refused
+    return m.group(1) + (" where " + " and ".join(rest) if rest else ""), keys, fields
+
+
+def correlated_table(config: dict, context: Context, op: str) -> tuple[DataFrame, list[str], list[str]]:
+    query, keys, fields = correlated(need(config, "query", op))
     select, _, rest = re.split(r"(?i)(\sfrom\s)", query, maxsplit=1)
     columns = [c.strip().split(".")[-1].strip("`").lower() for c in select[len("select") :].split(",")]
-    if "*" not in columns and key.lower() not in columns:
-        query = f"{select}, {key} from {rest}"
-    return run_sql(query, loaded(context, config)), key, field
+    more = [] if "*" in columns else [k for k in keys if k.lower() not in columns]
+    query = f"{', '.join([select, *more])} from {rest}"
+    return run_sql(query, loaded(context, config)), keys, fields
+
+
+def joined_key(df: DataFrame, names: list[str]) -> Column:
+    """The text form of one column or several as a join key; null where one is null or missing."""
+    parts = [V.text(col(n), V.dtype(df, n)) if n in df.columns else F.lit(None).cast("string") for n in names]
+    if len(parts) == 1:
+        return parts[0]
+    some = F.lit(True)
+    for p in parts:
+        some = some & p.isNotNull()
+    return F.when(some, F.concat_ws("\u001f", *parts))
+
+
+def names_of(value: str | list[str]) -> list[str]:
+    return [value] if isinstance(value, str) else list(value)
 
 
 @operator("lookup")
@@ -207,25 +237,24 @@ def lookup(df: DataFrame, config: dict, context: Context) -> Outcome:
     if on_miss not in ("pass", "null", "dlq", "error"):
         raise ConfigError(f"lookup: on_miss {on_miss!r}")
     if mode == "query" and "{{" in str(config.get("query") or ""):
-        dim, dim_key, key = correlated_table(config, context, "lookup")
+        dim, dim_keys, keys = correlated_table(config, context, "lookup")
     elif mode in ("cache", "query"):
         dim = dimension(config, context, "lookup")
-        key = need(config, "key", "lookup")
-        dim_key = config.get("dim_key") or key
+        keys = names_of(need(config, "key", "lookup"))
+        dim_keys = names_of(config.get("dim_key") or keys)
     else:
         raise ConfigError(f"lookup: mode {mode!r}")
-    fields = [c for c in config.get("fields") or [c for c in dim.columns if c != dim_key]]
-    missing = [c for c in [*fields, dim_key] if c not in dim.columns]
+    fields = [c for c in config.get("fields") or [c for c in dim.columns if c not in dim_keys]]
+    missing = [c for c in [*fields, *dim_keys] if c not in dim.columns]
     if missing:
         raise ConfigError(f"lookup: the dimension has no {missing}")
-    one = unique_dimension(dim.select(*dict.fromkeys([*fields, dim_key, *([config["dim_order"]] if config.get("dim_order") else [])])), dim_key, config.get("dim_order"))
+    one = unique_dimension(dim.select(*dict.fromkeys([*fields, *dim_keys, *([config["dim_order"]] if config.get("dim_order") else [])])), dim_keys, config.get("dim_order"))
     most = whole(config, "max_cache_entries")
     if most is not None and one.limit(most + 1).count() > most:
         raise ConfigError(f"lookup: the dimension has more than {most} rows")
     if not context.streaming and small(one):
         one = F.broadcast(one)
-    own = V.text(col(key), V.dtype(df, key)) if key in df.columns else F.lit(None).cast("string")
-    joined = df.withColumn("__key", own).join(one, F.col("__key") == F.col("__dim"), "left")
+    joined = df.withColumn("__key", joined_key(df, keys)).join(one, F.col("__key") == F.col("__dim"), "left")
     hit = F.col("__dim").isNotNull()
     new: dict[str, Column] = {}
     for c in fields:
@@ -237,7 +266,7 @@ def lookup(df: DataFrame, config: dict, context: Context) -> Outcome:
     columns = [new.get(c, col(c)).alias(c) for c in df.columns] + [new[c].alias(c) for c in fields if c not in df.columns]
     if on_miss in ("pass", "null"):
         return Outcome(joined.select(*columns))
-    missed = failed(joined.where(~hit).select(*[col(c) for c in df.columns]), context.node, "data", f"lookup: no row for {key}")
+    missed = failed(joined.where(~hit).select(*[col(c) for c in df.columns]), context.node, "data", f"lookup: no row for {', '.join(keys)}")
     return Outcome(joined.where(hit).select(*columns), missed)
 
 
@@ -250,14 +279,13 @@ def enricher(df: DataFrame, config: dict, context: Context) -> Outcome:
     mode = config.get("mode", config.get("type", "sql"))
     target = config.get("target_field", "enriched")
     if mode == "sql":
-        dim, dim_key, key = correlated_table(config, context, "enricher")
+        dim, dim_keys, keys = correlated_table(config, context, "enricher")
         names = [c for c in dim.columns]
-        rows = dim.where(col(dim_key).isNotNull()).withColumn("__dim", V.text(col(dim_key), V.dtype(dim, dim_key)))
+        rows = dim.withColumn("__dim", joined_key(dim, dim_keys)).where(F.col("__dim").isNotNull())
         one = rows.groupBy("__dim").agg(F.array_sort(F.collect_list(F.struct(*[col(c) for c in names]))).alias("__rows"))
         if not context.streaming and small(rows):  # all rows of all keys are broadcast
             one = F.broadcast(one)
-        own = V.text(col(key), V.dtype(df, key)) if key in df.columns else F.lit(None).cast("string")
-        joined = df.drop(target).withColumn("__key", own).join(one, F.col("__key") == F.col("__dim"), "left")
+        joined = df.drop(target).withColumn("__key", joined_key(df, keys)).join(one, F.col("__key") == F.col("__dim"), "left")
         empty = F.array().cast(one.schema["__rows"].dataType)
         return Outcome(joined.withColumn(target, F.coalesce("__rows", empty)).drop("__key", "__dim", "__rows"))
     if mode != "http":

@@ -148,9 +148,9 @@ def faults(spec: Spec | Graph) -> list[str]:
         out.append(f"no schedule {kind!r}")
     if isinstance(spec, Graph):
         return out + graph_faults(spec)
-    if spec.source.type not in SOURCES:
+    if spec.source.type not in SOURCES and not spec.source.type.startswith("plugin_"):
         out.append(f"no source {spec.source.type!r}")
-    if spec.sink and spec.sink.type not in SINKS:
+    if spec.sink and spec.sink.type not in SINKS and not spec.sink.type.startswith("plugin_"):
         out.append(f"no sink {spec.sink.type!r}")
     for i, t in enumerate(spec.transforms):
         if not known_operator(t.type):

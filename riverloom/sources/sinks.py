@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from riverloom.functions import values as V
 from riverloom.functions.predicates import ConfigError
 from riverloom.operators import cdc
+from riverloom.operators.code import installed
 from riverloom.operators.outcome import BEFORE, META, need
 from riverloom.operators.project import col
 from riverloom.operators.rows import payload
@@ -34,7 +35,7 @@ def sink(*names: str):
 
 def write(df: DataFrame, name: str, config: dict | None = None) -> DataFrame | None:
     """Writes rows to a sink; returns the rows that it could not take (schema ERROR_SCHEMA), if any can fail."""
-    if name not in SINKS:
+    if name not in SINKS and not (name.startswith("plugin_") and installed(name.removeprefix("plugin_"), "sink")):
         raise ConfigError(f"no sink {name!r}")
     return SINKS[name](df, dict(config or {}))
 

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from riverloom.functions import values as V
 from riverloom.functions.predicates import ConfigError
 from riverloom.operators.cdc import META_TYPE, change_order, meta
+from riverloom.operators.code import installed
 from riverloom.operators.outcome import META, Context, Outcome, failed, need
 from riverloom.operators.project import col, fnv32
 
@@ -31,7 +32,7 @@ def source(*names: str):
 
 def read(spark: SparkSession, name: str, config: dict | None = None, context: Context | None = None) -> Outcome:
     """The rows of a source, its shard of them, and its unreadable records."""
-    if name not in SOURCES:
+    if name not in SOURCES and not (name.startswith("plugin_") and installed(name.removeprefix("plugin_"), "source")):
         raise ConfigError(f"no source {name!r}")
     config = dict(config or {})
     out = SOURCES[name](spark, config, context or Context(node=name))

@@ -259,6 +259,21 @@ def test_broadcasts_are_checked_by_rows_and_bytes(spark):
     assert small(df) and not small(df, most=49) and not small(df, most_bytes=10_000)
 
 
+def test_queries_with_several_conditions(spark):
+    df = spark.createDataFrame([(1, "x"), (1, "y"), (2, "x"), (None, "x")], "a int, b string")
+    dim = spark.createDataFrame([(1, "x", 10, "on"), (1, "y", 20, "off"), (2, "x", 30, "on"), (2, "x", 31, "off")], "k int, l string, v int, s string")
+    config = {"mode": "query", "query": "select v from d where k = {{.a}} and s = 'on' and l = {{.b}}", "fields": ["v"], "on_miss": "null"}
+    got = ok(df, "lookup", config, tables={"d": dim})
+    assert sorted(((r.a, r.b, r.v) for r in got.collect()), key=str) == [(1, "x", 10), (1, "y", None), (2, "x", 30), (None, "x", None)]
+    both = ok(df, "lookup", {"table": "d", "key": ["a", "b"], "dim_key": ["k", "l"], "fields": ["v"], "dim_order": "v"}, tables={"d": dim})
+    assert sorted(((r.a, r.b, r.v) for r in both.collect()), key=str) == [(1, "x", 10), (1, "y", 20), (2, "x", 31), (None, "x", None)]
+    rows_ = ok(df, "enricher", {"query": "select v from d where k = {{.a}} and l = '{{.b}}'", "target_field": "f"}, tables={"d": dim})
+    assert sorted([(r.a, r.b, [x.v for x in r.f]) for r in rows_.collect()], key=str) == [(1, "x", [10]), (1, "y", [20]), (2, "x", [30, 31]), (None, "x", [])]
+    for bad in ("select v from d where k > {{.a}}", "select v from d where s = 'on'", "select v from d where k = {{.a}} order by v"):
+        with pytest.raises(ConfigError):
+            apply(df, "lookup", {**config, "query": bad}, Context(tables={"d": dim}))
+
+
 def test_dimensions_are_loaded_again(spark, people):
     now, state = [0.0], {"rows": [(1, "a")], "down": False}
 
@@ -352,6 +367,24 @@ def test_explode_of_structs_and_plugins(spark, people):
     assert [r.name for r in ok(people, "plugin_upper", {"field": "name"}).collect()] == ["ANN", "BOB", None]
 
 
+def test_sources_and_sinks_of_plugins(spark):
+    from riverloom.plans.compile import run
+
+    got = []
+    plugin("few", kind="source")(lambda spark, config: spark.range(config["n"]))
+    plugin("list", kind="sink")(lambda df, config: got.extend(r.id for r in df.collect()))
+    run(spark, {"name": "p", "source": {"type": "plugin_few", "config": {"n": 3}}, "sink": {"type": "plugin_list"}})
+    assert got == [0, 1, 2]
+    for kind in ("source", "sink"):
+        spec = {"name": "p", "source": {"type": "demo"}, "sink": {"type": "memory"}} | {kind: {"type": "plugin_absent"}}
+        with pytest.raises(ConfigError):
+            run(spark, spec)
+    with pytest.raises(ConfigError):
+        plugin("x", kind="hook")
+    with pytest.raises(ConfigError):
+        plugin("x", abi=2)
+
+
 def test_sql_leaves_hidden_columns_out(people):
     out = ok(people.withColumn("_x", F.lit(1)), "sql", {"query": "select * from input where id > 1"})
     assert out.columns == ["id", "name", "score", "tag"] and out.count() == 2
