@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from riverloom.llm import common
 
 #: Words of documents that one index covers; a longer document is a shard of its own.
-SHARD_WORDS = 1_000_000
+SHARD_WORDS = 400_000
 #: Bytes of benchmark text that a task holds at once; a longer benchmark is searched in blocks of so many.
 BLOCK_BYTES = 8_000_000
 #: Every so many text positions one suffix position is kept.
@@ -253,7 +253,7 @@ def _shards(column: pa.Array, most: int) -> Iterator[tuple[int, list[str | None]
     held: list[list[bytes]] = []
     kept: list[str | None] = []
     first = size = 0
-    for a, texts in common.text_slices(column, 4_000_000):
+    for a, texts in common.text_slices(column, 2_000_000):
         for k, t in enumerate(texts, a):
             w = common.split_words(t)
             if held and size + len(w) > most:

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -52,6 +53,7 @@ def units_of(x: np.ndarray) -> np.ndarray:
         return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+@lru_cache(maxsize=2)
 def planes(dim: int) -> np.ndarray:
     return np.random.default_rng([SEED, dim]).normal(size=(dim, TABLES * BITS))
 

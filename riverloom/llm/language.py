@@ -39,8 +39,9 @@ SCRIPT_SHARE = 0.01
 CACHE_WORDS, BATCH_WORDS, PIECE = 250_000, 200_000, 256
 #: Scores that a worker keeps or computes at once: with many languages it keeps fewer words.
 SCORES = 8_000_000
-#: Parts that a language's texts are ranked in, and chosen texts that are broadcast, 24 bytes each; more are shuffled.
-PARTS, MOST_CHOSEN = 64, 500_000
+#: Parts that a language's texts are ranked in, parts that its sample is counted in, and chosen texts that are
+#: broadcast, 24 bytes each; more are shuffled.
+PARTS, COUNT_PARTS, MOST_CHOSEN = 16, 4, 500_000
 #: With more languages than this, texts are not cut into pieces: a piece takes a byte for each pair of languages a word.
 PIECE_LANGUAGES = 8
 
@@ -409,7 +410,9 @@ def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", t
     numbers a language, which is also the size of the model.
     """
     with common.Scratch(labelled.sparkSession):
-        found = sample(labelled, text_col, lang_col, texts).mapInArrow(_count, COUNTED)
+        # few tasks count a language, so that the numbers of its runs come from few of them
+        dealt = sample(labelled, text_col, lang_col, texts).repartition("lang", F.pmod(F.xxhash64("text"), F.lit(COUNT_PARTS)))
+        found = dealt.mapInArrow(_count, COUNTED)
         total = found.groupBy("lang", "kind", "bucket", "script").agg(F.sum("n").alias("n")).toArrow()
     counts: dict[str, Counts] = {}
     columns = [total.column(c).to_numpy(zero_copy_only=False) for c in ("kind", "bucket", "n")]

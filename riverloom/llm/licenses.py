@@ -176,8 +176,9 @@ def canonical_sql(text: str) -> str:
     return f"trim(regexp_replace({c}, ' +', ' ', 'g'))"
 
 
-def scan_sql(texts: dict[str, str] = NOTICES) -> str:
-    rows = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in sorted(texts.items()))
+def scan_sql() -> str:
+    """What ``scan`` finds of ``known_texts``, as DuckDB SQL that holds all of them."""
+    rows = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in known_texts())
     return f"""
 with known as (select sha256({canonical_sql('t')}) as canon_sha256, min(l) as license from (values {rows}) as x(l, t)
   where {canonical_sql('t')} <> '' group by 1),

@@ -36,7 +36,7 @@ TARGET = 900
 #: Words and documents of a block.
 BLOCK_WORDS, BLOCK = 128_000, 512
 #: Words that one batch of array operations covers.
-BATCH_WORDS = 200_000
+BATCH_WORDS = 150_000
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _G = np.uint64(0x9E3779B97F4A7C15)

@@ -240,7 +240,8 @@ def link(*to):
     return "".join(f'<a href="{t}">x</a>' for t in to)
 
 
-def test_rank_of_hosts_without_links_returns_to_the_seeds(spark):
+def test_rank_of_hosts_without_links_returns_to_the_seeds(spark, monkeypatch):
+    monkeypatch.setattr(hosts, "TOLERANCE", 2e-5)
     rows = [
         (1, "https://t.org/fr/", link(*["https://x.com/"] * 8, *["https://y.com/"] * 2)),
         (2, "https://x.com/", link("https://b.net/")),
@@ -258,7 +259,8 @@ def test_rank_of_hosts_without_links_returns_to_the_seeds(spark):
     assert abs(hosts.propagate(edges, seeds, rounds=7).agg(F.sum("score")).first()[0] - 1) < 1e-12
 
 
-def test_hosts_equal_their_sql_where_they_link(spark, tmp_path):
+def test_hosts_equal_their_sql_where_they_link(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(hosts, "TOLERANCE", 1e-6)
     import duckdb
 
     from riverloom.llm import oracles, queries
@@ -305,7 +307,8 @@ def test_trust_and_distrust_spread_over_links(spark):
         assert got[k].verdict == ("block" if distrust.get(got[k].host, 0) > trust.get(got[k].host, 0) else "allow")
 
 
-def test_distrust_reaches_far_hosts(spark):
+def test_distrust_reaches_far_hosts(spark, monkeypatch):
+    monkeypatch.setattr(hosts, "TOLERANCE", 1e-5)
     rows = [(k, f"https://h{k}.com/", link(f"https://h{k - 1}.com/" if k else "https://bad.net/")) for k in range(14)]
     rows += [(20, "https://bad.net/", None), (21, "https://good.org/fr/", link("https://mid.com/", *(f"https://leaf{k}.com/" for k in range(9))))]
     rows += [(22, "https://mid.com/", link("https://bad.net/", "https://end.com/", "https://end.com/"))]
@@ -315,7 +318,7 @@ def test_distrust_reaches_far_hosts(spark):
     edges = [tuple(r) for r in hosts.host_edges(df).collect()]
     for kind, e, seed in (("trust", edges, {"good.org": 1}), ("distrust", [(b, a, w) for a, b, w in edges], {"bad.net": 1})):
         want = rank(e, seed, 300)
-        assert all(abs(r[kind] - want.get(r.host, 0)) < 1e-6 for r in got.values())
+        assert all(abs(r[kind] - want.get(r.host, 0)) < 1e-4 for r in got.values())
 
 
 def test_no_pages(spark):

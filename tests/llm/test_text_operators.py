@@ -324,6 +324,23 @@ def test_long_and_repeated_texts_are_looked_up_whole(spark):
     assert sorted((r.doc_id, r.license) for r in got if r.license) == [(1, "MIT")] * 2 and len(got) == 5
 
 
+def test_licenses_equal_their_sql_where_they_are_found(spark, tmp_path):
+    import duckdb
+
+    from riverloom.llm import oracles, queries
+
+    known = licenses.known_texts()
+    rows = [(k, f"Copyright (c) {1990 + k % 30} Someone\n\n{t.upper() if k % 3 else t}") for k, (_, t) in enumerate(known)]
+    rows += [(1000 + k, t + " and more") for k, (_, t) in enumerate(known[:20])] + [(2000, None), (2001, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.sql(f"select doc_id, canon_sha256, license from ({oracles.oracle_sql()['op8_licenses']})").fetchall()
+    got = [(r.doc_id, r.canon_sha256, r.license) for r in queries.queries()["op8_licenses"](spark, str(tmp_path)).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+    assert {n for i, _, n in got if i < 1000} == {n for n, _ in known} and not any(n for i, _, n in got if i >= 1000)
+
+
 def test_license_files_with_their_titles_and_full_texts(spark):
     long = {f.stem: f.read_text() for f in licenses.FOLDER.glob("*.txt")}
     line = "\n\nCopyright (c) 2020 A. Person\n"
