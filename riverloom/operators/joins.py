@@ -97,8 +97,9 @@ def unique_dimension(dim: DataFrame, keys: list[str], order: str | None) -> Data
     row = F.struct(*[col(c) for c in dim.columns])
     if order:
         return rows.groupBy("__dim").agg(F.max_by(row, col(order)).alias("__row"))
-    shown = F.to_json(row)
-    one = rows.groupBy("__dim").agg(F.max_by(row, shown).alias("__row"), (F.min(shown) == F.max(shown)).alias("__same"))
+    plain = [f.name for f in dim.schema.fields if not isinstance(f.dataType, T.MapType)]
+    h = F.xxhash64(*[col(c) for c in plain], *[F.to_json(col(c)) for c in dim.columns if c not in plain])
+    one = rows.groupBy("__dim").agg(F.first(row).alias("__row"), (F.min(h) == F.max(h)).alias("__same"))
     asked = F.raise_error(F.concat(F.lit(f"lookup: {', '.join(keys)} "), F.col("__dim"), F.lit(" has several rows; dim_order is required")))
     return one.select("__dim", F.when(F.col("__same"), F.col("__row")).otherwise(asked).alias("__row"))
 
@@ -110,6 +111,17 @@ def small(df: DataFrame, most: int = BROADCAST_ROWS, most_bytes: int = BROADCAST
     return n <= most and total <= most_bytes
 
 
+def for_join(df: DataFrame) -> DataFrame:
+    """A dimension as a side of a join, to be broadcast where it is small.
+
+    Where Spark's estimate of its size is below its own threshold, Spark broadcasts it by itself; beyond, or where there
+    is no estimate, its rows and bytes are looked at.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    most = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    return df if size <= most else F.broadcast(df) if small(df) else df
+
+
 class Snapshots:
     """Dimensions that are loaded again after a time, of which the last good state is kept.
 
@@ -252,8 +264,8 @@ def lookup(df: DataFrame, config: dict, context: Context) -> Outcome:
     most = whole(config, "max_cache_entries")
     if most is not None and one.limit(most + 1).count() > most:
         raise ConfigError(f"lookup: the dimension has more than {most} rows")
-    if not context.streaming and small(one):
-        one = F.broadcast(one)
+    if not context.streaming:
+        one = for_join(one)
     joined = df.withColumn("__key", joined_key(df, keys)).join(one, F.col("__key") == F.col("__dim"), "left")
     hit = F.col("__dim").isNotNull()
     new: dict[str, Column] = {}
@@ -283,8 +295,8 @@ def enricher(df: DataFrame, config: dict, context: Context) -> Outcome:
         names = [c for c in dim.columns]
         rows = dim.withColumn("__dim", joined_key(dim, dim_keys)).where(F.col("__dim").isNotNull())
         one = rows.groupBy("__dim").agg(F.array_sort(F.collect_list(F.struct(*[col(c) for c in names]))).alias("__rows"))
-        if not context.streaming and small(rows):  # all rows of all keys are broadcast
-            one = F.broadcast(one)
+        if not context.streaming:  # all rows of all keys are broadcast
+            one = for_join(one)
         joined = df.drop(target).withColumn("__key", joined_key(df, keys)).join(one, F.col("__key") == F.col("__dim"), "left")
         empty = F.array().cast(one.schema["__rows"].dataType)
         return Outcome(joined.withColumn(target, F.coalesce("__rows", empty)).drop("__key", "__dim", "__rows"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import uuid
 from collections.abc import Callable
@@ -9,11 +10,13 @@ from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from riverloom.functions import values as V
 from riverloom.functions.predicates import ConfigError
 from riverloom.operators import cdc
 from riverloom.operators.code import installed
+from riverloom.operators.joins import names_of
 from riverloom.operators.outcome import BEFORE, META, need
 from riverloom.operators.project import col
 from riverloom.operators.rows import payload
@@ -152,6 +155,9 @@ def table(df: DataFrame, config: dict) -> DataFrame | None:
     the partitions that the rows name. A version is written aside and takes its number at the end; where another writer
     took it first, the write fails and can be tried again. With ``batch``, the number of a stream's batch, a version
     names its batch, and a batch that has its version is not written again. Changes without a key are returned.
+
+    ``buckets`` deals a new table's rows to so many folders by a hash of the key; a write then reads and replaces only
+    those that its changes fall into, and a version is a list of folders. ``vacuum`` deletes what old versions hold.
     """
     spark = df.sparkSession
     path, mode = need(config, "path", "table").rstrip("/"), config.get("mode", "upsert")
@@ -164,6 +170,13 @@ def table(df: DataFrame, config: dict) -> DataFrame | None:
         return None
     current, number = current_version(spark, path)
     batch = config.get("batch")
+    known = manifest(spark, path, number)
+    buckets = known["buckets"] if known else int(config.get("buckets", 1)) if number == 0 else 1
+    touched: list[int] = []
+    if buckets > 1:
+        touched = list(range(buckets)) if config.get("pre_write") else changed_buckets(df, config, buckets)
+        folders = [f"{path}/{known['folders'][str(k)]}" for k in touched if str(k) in known["folders"]] if known else []
+        current = spark.read.option("mergeSchema", True).parquet(*folders) if folders else None if current is None else current.limit(0)
     rows = live_rows(df).limit(0) if current is None else current
     rows, df = typing.evolve(rows, df, config.get("schema_drift", "ignore"))
     rows = pre_write(rows, config.get("pre_write"), params=config.get("params"))
@@ -171,7 +184,17 @@ def table(df: DataFrame, config: dict) -> DataFrame | None:
     if batch is not None and exists(spark, f"{path}/v={number}/_BATCH_{batch}"):
         return done.errors
     aside = f"{path}/.{uuid.uuid4().hex}"
-    done.ok.write.parquet(aside)
+    if buckets > 1:
+        data = f"data/{uuid.uuid4().hex}"
+        part = bucket_of(done.ok, names_of(config["primary_key"]), buckets)
+        done.ok.withColumn(BUCKET, part).repartition(BUCKET).write.partitionBy(BUCKET).parquet(f"{path}/{data}")
+        there = {k: f for k, f in (known["folders"] if known else {}).items() if int(k) not in touched}
+        there |= {str(k): f"{data}/{BUCKET}={k}" for k in touched if exists(spark, f"{path}/{data}/{BUCKET}={k}")}
+        body = json.dumps({"buckets": buckets, "folders": there, "schema": done.ok.schema.json()})
+        touch(spark, f"{aside}/_SUCCESS")
+        touch(spark, f"{aside}/{MANIFEST}", body)
+    else:
+        done.ok.write.parquet(aside)
     if batch is not None:
         touch(spark, f"{aside}/_BATCH_{batch}")
     publish(spark, aside, f"{path}/v={number + 1}")
@@ -184,9 +207,50 @@ def _hadoop(spark: SparkSession, path: str):
     return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def touch(spark: SparkSession, path: str) -> None:
+#: The column that deals rows to folders, and the file in a version that lists them.
+BUCKET, MANIFEST = "__bucket", "manifest.json"
+
+
+def bucket_of(df: DataFrame, keys: list[str], n: int) -> Column:
+    return F.pmod(F.xxhash64(*[col(k).cast("string") for k in keys]), F.lit(n)).cast("int")
+
+
+def changed_buckets(df: DataFrame, config: dict, n: int) -> list[int]:
+    """The buckets that changes fall into: at most ``n`` numbers."""
+    keys = names_of(need(config, "primary_key", "table"))
+    rows = cdc.delete_keys(df, keys) if META in df.columns else df
+    return sorted(r[0] for r in rows.select(bucket_of(rows, keys, n)).distinct().collect())
+
+
+def manifest(spark: SparkSession, path: str, number: int) -> dict | None:
+    """The folders of a version of a table in buckets; None for others."""
+    where = f"{path.rstrip('/')}/v={number}/{MANIFEST}"
+    return json.loads("".join(r[0] for r in spark.read.text(where, wholetext=True).collect())) if exists(spark, where) else None
+
+
+def touch(spark: SparkSession, path: str, text: str = "") -> None:
+    where, fs = _hadoop(spark, path)
+    out = fs.create(where)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
+def vacuum(spark: SparkSession, path: str, keep: int = 2) -> None:
+    """Deletes what only versions before the last ``keep`` hold. Readers of those versions fail from then on."""
+    path = path.rstrip("/")
+    jvm = spark.sparkContext._jvm
     where, fs = _hadoop(spark, path)
-    fs.create(where).close()
+    numbers = sorted(int(s.getPath().getName()[2:]) for s in fs.listStatus(where) if s.getPath().getName().startswith("v="))
+    used = {f for n in numbers[-keep:] for f in (manifest(spark, path, n) or {"folders": {}})["folders"].values()}
+    for n in numbers[:-keep]:
+        fs.delete(jvm.org.apache.hadoop.fs.Path(f"{path}/v={n}"), True)
+    if not exists(spark, f"{path}/data"):
+        return
+    for write_ in fs.listStatus(jvm.org.apache.hadoop.fs.Path(f"{path}/data")):
+        for s in fs.listStatus(write_.getPath()):
+            name = f"data/{write_.getPath().getName()}/{s.getPath().getName()}"
+            if s.getPath().getName().startswith(BUCKET) and name not in used:
+                fs.delete(s.getPath(), True)
 
 
 def publish(spark: SparkSession, aside: str, path: str) -> None:
@@ -246,7 +310,12 @@ def current_version(spark: SparkSession, path: str) -> tuple[DataFrame | None, i
             numbers.append(int(name[2:]))
     if not numbers:
         return None, 0
-    return spark.read.parquet(f"{path.rstrip('/')}/v={max(numbers)}"), max(numbers)
+    newest = max(numbers)
+    if found := manifest(spark, path, newest):
+        schema = T.StructType.fromJson(json.loads(found["schema"]))
+        folders = [f"{path.rstrip('/')}/{f}" for f in found["folders"].values()]
+        return (spark.read.schema(schema).parquet(*folders) if folders else spark.createDataFrame([], schema)), newest
+    return spark.read.parquet(f"{path.rstrip('/')}/v={newest}"), newest
 
 
 def final_view(versions: DataFrame, keys: list[str], order: str = "_version", deleted: str | None = None) -> DataFrame:

@@ -209,6 +209,36 @@ def test_a_table_takes_changes(spark, tmp_path):
     assert not os.path.exists(aside)
 
 
+def test_a_table_in_buckets_replaces_what_changes(spark, tmp_path):
+    path = str(tmp_path / "b")
+    config = {"path": path, "primary_key": "id", "buckets": 8}
+    want = {i: i for i in range(50)}
+    sinks.write(rows(spark, list(want.items())), "table", config)
+    first = sinks.manifest(spark, path, 1)["folders"]
+    assert len(first) == 8
+    now = lambda: {r.id: r.v for r in sinks.current_version(spark, path)[0].collect()}
+    assert now() == want
+    ch = spark.createDataFrame([(7, 70, "UPDATE", 1), (7, None, "DELETE", 2), (60, 60, "INSERT", 3), (None, 1, "INSERT", 4)], "id long, v long, op string, s long")
+    ch = ch.withColumn(META, meta(op=F.col("op"), seq=F.col("s"))).drop("op", "s")
+    errors = sinks.write(ch, "table", {**config, "batch": 3})
+    sinks.write(ch, "table", {**config, "batch": 3})  # once
+    del want[7]
+    want[60] = 60
+    assert now() == want and errors.count() == 1 and sinks.current_version(spark, path)[1] == 2
+    second = sinks.manifest(spark, path, 2)["folders"]
+    assert sum(first[k] != second[k] for k in first) in (1, 2, 3)
+    wider = rows(spark, [(5, 55, "n")], "id long, v long, note string")
+    sinks.write(wider, "table", {**config, "schema_drift": "add_columns"})
+    assert {r.id: r.note for r in sinks.current_version(spark, path)[0].where("note is not null").collect()} == {5: "n"}
+    want[5] = 55
+    assert now() == want
+    sinks.vacuum(spark, path, keep=1)
+    assert now() == want and not sinks.exists(spark, f"{path}/v=1") and not sinks.exists(spark, f"{path}/{first['0']}") or first["0"] in sinks.manifest(spark, path, 3)["folders"].values()
+    everything = spark.createDataFrame([(i, None, "DELETE", 100 + i) for i in want], "id long, v long, op string, s long")
+    sinks.write(everything.withColumn(META, meta(op=F.col("op"), seq=F.col("s"))).drop("op", "s"), "table", config)
+    assert now() == {}
+
+
 def test_memory_is_for_few_rows(spark):
     sinks.write(spark.range(3), "memory", {"name": "m"})
     assert len(sinks.MEMORY["m"]) == 3
