@@ -1,12 +1,16 @@
 """The corpus pipeline: language identification, near-duplicate removal, benchmark decontamination, mixing, token files.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
-one's docs. All but the last return the columns of ``documents``.
+one's docs. All but the last return the columns of ``documents``, and any others that docs have, whatever their names.
+
+Texts of any length are judged whole. Documents whose text is null, empty or without letters go in the first stage. Rows
+that repeat an id are judged each by its own text, and of rows that repeat id and words one stays. Documents without
+an id are no duplicates of any. An empty table passes all stages.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riverloom.llm import common, decontaminate, language, minhash, mixture, token_files
@@ -16,10 +20,16 @@ from riverloom.llm.queries import tokenizer_path
 LEAST_SCORE = 0.3
 
 
+def _aside(docs: DataFrame, taken: tuple[str, ...]) -> tuple[DataFrame, list[Column]]:
+    """``docs`` with columns that an operator's own would replace under other names, and what restores them all."""
+    other = {c: f"__own_{c}" for c in docs.columns if c in taken}
+    return docs.withColumnsRenamed(other), [F.col(f"`{other.get(c, c)}`").alias(c) for c in docs.columns]
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known; the model is fitted on a bounded sample of the labelled ones."""
     common.wide_rows(spark)
-    columns = docs.columns
+    docs, columns = _aside(docs, ("lang_pred", "score", "spans"))
     model = language.learn(docs)
     found = language.predict(docs, model, spans=False)
     kept = found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
@@ -35,13 +45,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no phrase of a benchmark item stands."""
     common.wide_rows(spark)
+    docs, columns = _aside(docs, ("n_words", "spans", "items"))
     found = decontaminate.scan(docs, common.table(spark, sf_dir, "benchmark"), keep_text=True)
-    return found.where(F.size("spans") == 0).select(*docs.columns)
+    return found.where(F.size("spans") == 0).select(*columns)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them; the partial round counts from half a document on."""
-    columns = docs.columns
+    docs, columns = _aside(docs, ("size", "source_size", "target", "taken"))
     return mixture.copies(mixture.mix(docs)).select(*columns)
 
 
