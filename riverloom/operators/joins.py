@@ -22,6 +22,8 @@ from riverloom.operators.window import event_time
 
 #: Rows of a dimension, and bytes of them as JSON text, up to which it is broadcast; both are checked.
 BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 64_000_000
+#: Bytes of input for which an as-of join adds a slice.
+SLICE_BYTES = 32_000_000
 
 
 @operator("join")
@@ -29,8 +31,8 @@ def asof_join(df: DataFrame, config: dict, context: Context) -> Outcome:
     """Each row with the newest earlier row of its key that satisfies ``where`` and is younger than the window.
 
     Earlier is by the order column, age by event time. Keys meet by their text form. The rows of a key are cut into
-    ``slices`` of the order column (as many as shuffle partitions by default): within a slice one window pass finds the
-    last match, and the last one of each slice is handed on to the next over one row per key and slice. So a key that
+    ``slices`` of the order column (by default one for every 32 MB of Spark's estimate of the input, at most as many as
+    shuffle partitions): within a slice one window pass finds the last match, and the last one of each slice is handed on to the next over one row per key and slice. So a key that
     holds much of the input is spread, and the result is that of one pass. Rows without a key are spread and match
     nothing. More keys or rows than ``max_buffered_keys`` or ``max_buffered_records`` are refused.
     """
@@ -53,7 +55,7 @@ def asof_join(df: DataFrame, config: dict, context: Context) -> Outcome:
     _check_caps(work.where(some), config)
     match = F.struct(F.col("__ts").alias("__t"), *[col(c).alias(c) for c in fields])
     work = work.withColumn("__candidate", F.when(some & where_clause(config.get("where") or "", df.schema), match))
-    n = whole(config, "slices", int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    n = whole(config, "slices") or min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), estimate(df) // SLICE_BYTES + 1)
     cut = slices(df, seq, n) if n > 1 and isinstance(V.dtype(df, seq), T.NumericType) else F.lit(0)
     work = work.withColumn("__slice", F.when(some, cut).otherwise(-1 - F.pmod(F.xxhash64(col(seq)), F.lit(4 * n))))
     work = work.withColumn("__key", F.when(some, F.col("__key")))
@@ -111,13 +113,18 @@ def small(df: DataFrame, most: int = BROADCAST_ROWS, most_bytes: int = BROADCAST
     return n <= most and total <= most_bytes
 
 
+def estimate(df: DataFrame) -> int:
+    """Spark's estimate of a table's bytes; very large where it has none."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def for_join(df: DataFrame) -> DataFrame:
     """A dimension as a side of a join, to be broadcast where it is small.
 
     Where Spark's estimate of its size is below its own threshold, Spark broadcasts it by itself; beyond, or where there
     is no estimate, its rows and bytes are looked at.
     """
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    size = estimate(df)
     most = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
     return df if size <= most else F.broadcast(df) if small(df) else df
 
